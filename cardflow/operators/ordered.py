@@ -38,10 +38,11 @@ def must_split(df: DataFrame, keys: Sequence[str]) -> bool:
     return largest_group(df, keys) > max_group_rows(df.sparkSession)
 
 
-def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                   slices: int | None = None) -> DataFrame:
     """Adds ``SLICE``: consecutive, evenly filled slices in (keys, order). The result
     is materialised because range bounds are sampled anew on every evaluation."""
-    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    slices = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 

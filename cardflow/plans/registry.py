@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("history", "velocity")
+MODULES = ("history", "velocity", "relational")
 
 
 def all_queries() -> dict:
