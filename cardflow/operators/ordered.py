@@ -10,7 +10,8 @@ on its own, and the totals of the earlier slices of the same key (one small row
 per key and slice) are added.
 
 Aggregates are given as ``{name: (kind, column)}`` with the kinds ``count``
-(non-null values), ``sum``, ``min``, ``max`` and ``last`` (latest non-null).
+(non-null values; ``ROWS`` counts rows), ``sum``, ``min``, ``max`` and ``last``
+(latest non-null).
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cardflow.session import materialize, max_group_rows
 
 SLICE = "__slice"
-ROWS = ("count", F.lit(1))
+ROWS = ("count", None)
 
-Aggs = Mapping[str, tuple[str, Column]]
+Aggs = Mapping[str, tuple[str, Column | None]]
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -47,7 +48,12 @@ def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _aggregate(kind: str, column: Column) -> Column:
+def _value(column: Column | None) -> Column:
+    return F.lit(1) if column is None else column
+
+
+def _aggregate(kind: str, column: Column | None) -> Column:
+    column = _value(column)
     if kind == "last":
         return F.last(column, ignorenulls=True)
     return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](column)
@@ -148,7 +154,7 @@ def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str
             W.unboundedPreceding, -shift if inclusive else -shift - 1)
         return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()])
     order = [F.col(time), *[F.col(t) for t in tiebreak]]
-    source = df.select(*keys, time, *tiebreak, *[c.alias(f"__v_{n}") for n, (_, c) in aggs.items()])
+    source = df.select(*keys, time, *tiebreak, *[_value(c).alias(f"__v_{n}") for n, (_, c) in aggs.items()])
     upto = running(source, keys, order, {n: (k, F.col(f"__v_{n}")) for n, (k, _) in aggs.items()}, split=True)
     probes = df.withColumn("__probe", F.col(time) - F.lit(shift))
     found = latest(probes, upto, keys, "__probe", time, list(aggs), tiebreak, inclusive, split=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("history", "velocity", "relational")
+MODULES = ("history", "velocity", "relational", "metrics")
 
 
 def all_queries() -> dict:
