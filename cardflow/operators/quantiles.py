@@ -22,11 +22,11 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def value_counts_running(df: DataFrame, by: Sequence[str], value: str, split: bool | None = None) -> DataFrame:
-    """Rows ``(by, value, n, upto)``: how often a value occurs and how many rows are <= it."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    """Rows ``(by, value, __n, __upto)``: how often a value occurs and how many rows are <= it."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     if split is None:
         counts = materialize(counts)  # read twice: for the size check and for the ranks
-    return running(counts, by, [F.col(value)], {"upto": ("sum", F.col("n"))}, split=split)
+    return running(counts, by, [F.col(value)], {"__upto": ("sum", F.col("__n"))}, split=split)
 
 
 def _at_rank(ranked_value: str, upto: str, rank: Column) -> Column:
@@ -39,7 +39,7 @@ def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: dict[s
     """One row per group with a column per quantile. ``linear`` interpolates between ranks,
     ``nearest`` takes the value at rank ``int(p * n)``."""
     ranked = value_counts_running(df, by, value, split)
-    sizes = ranked.groupBy(*by).agg(F.max("upto").alias("__size"))
+    sizes = ranked.groupBy(*by).agg(F.max("__upto").alias("__size"))
     joined = with_row(ranked, sizes) if not by else ranked.join(
         sizes.select(*[F.col(b).alias(f"__s_{b}") for b in by], "__size"),
         [F.col(b).eqNullSafe(F.col(f"__s_{b}")) for b in by])
@@ -47,12 +47,12 @@ def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: dict[s
     for name, p in probs.items():
         if method == "nearest":
             rank = F.least(F.floor(F.lit(float(p)) * size), size - 1)
-            parts.append(_at_rank(value, "upto", rank).alias(name))
+            parts.append(_at_rank(value, "__upto", rank).alias(name))
             out.append(F.col(name))
             continue
         position = F.lit(float(p)) * (size - 1)
-        parts += [_at_rank(value, "upto", F.floor(position)).cast("double").alias(f"__lo_{name}"),
-                  _at_rank(value, "upto", F.ceil(position)).cast("double").alias(f"__hi_{name}"),
+        parts += [_at_rank(value, "__upto", F.floor(position)).cast("double").alias(f"__lo_{name}"),
+                  _at_rank(value, "__upto", F.ceil(position)).cast("double").alias(f"__hi_{name}"),
                   F.max(position - F.floor(position)).alias(f"__w_{name}")]
         out.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
                     * F.col(f"__w_{name}")).alias(name))
