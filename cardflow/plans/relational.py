@@ -259,13 +259,15 @@ QUERIES["j3_join_one_to_one"] = (
                                         table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id"),
     "SELECT doc_id, source, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 
-QUERIES["j4_linkage"] = (
-    lambda spark, sf: J.linkage(table(spark, sf, "documents").filter("doc_id % 5 <> 0"),
-                                table(spark, sf, "labels"), "doc_id"),
-    """SELECT count(d.doc_id) AS left_keys, count(l.doc_id) AS right_keys,
-  count(CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 1 END) AS overlap,
-  count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS left_only, count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS right_only
-FROM (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+for label, left, right, lk, rk in (("labels", "documents", "labels", "doc_id", "doc_id"),
+                                   ("orders", "lineitem", "orders", "l_orderkey", "o_orderkey")):
+    QUERIES[f"j4_linkage_{label}"] = (
+        lambda spark, sf, left=left, right=right, lk=lk, rk=rk: J.linkage(
+            table(spark, sf, left).select(F.col(lk).alias("id")), table(spark, sf, right).select(F.col(rk).alias("id")), "id"),
+        f"""SELECT count(d.id) AS left_keys, count(l.id) AS right_keys,
+  count(CASE WHEN d.id IS NOT NULL AND l.id IS NOT NULL THEN 1 END) AS overlap, count(CASE WHEN l.id IS NULL THEN 1 END) AS left_only,
+  count(CASE WHEN d.id IS NULL THEN 1 END) AS right_only
+FROM (SELECT DISTINCT {lk} AS id FROM {left}) d FULL JOIN (SELECT DISTINCT {rk} AS id FROM {right}) l ON d.id = l.id""")
 
 
 def velocity_records(spark, sf):
@@ -301,18 +303,18 @@ QUERIES["j7_lookup_profile"] = (
     lambda spark, sf: J.lookup_profile(
         ev(spark, sf).select("transaction_id", F.when(F.col("k") % 2 == 0, F.concat(
             F.lit("CARD-"), F.col("card_id"))).otherwise(F.col("card_id").cast("string")).alias("card_id")),
-        prof(spark, sf).filter("card_id % 7 <> 0")),
+        prof(spark, sf).filter("addr1 >= 0")),
     with_(EV, PROF) + """SELECT e.transaction_id, CASE WHEN k % 2 = 0 THEN 'CARD-' || e.card_id
   ELSE CAST(e.card_id AS VARCHAR) END AS card_id, p.card4, p.card1, p.addr1, p.card_id IS NOT NULL AS known
-FROM ev e LEFT JOIN prof p ON p.card_id = e.card_id AND p.card_id % 7 <> 0""")
+FROM ev e LEFT JOIN prof p ON p.card_id = e.card_id AND p.addr1 >= 0""")
 
 QUERIES["j9_align_predictions"] = (
     lambda spark, sf: J.alignment_summary(J.align_predictions(
-        scored2(spark, sf), scored2(spark, sf).filter("id % 3 <> 0").withColumn(
-            "y", F.when(F.col("id") % 10 == 1, 1 - F.col("y")).otherwise(F.col("y"))).withColumnRenamed("p_b", "q"),
-        "id", "y", "p_a")),
-    with_(SCORED2) + """SELECT count(*) AS common_ids, count(CASE WHEN id % 10 = 1 THEN 1 END) AS label_mismatches
-FROM scored2 WHERE id % 3 <> 0""")
+        scored2(spark, sf).select("id", "y", F.col("p_a").alias("p")),
+        table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("y"), F.lit(0.5).alias("p")),
+        "id", "y", "p")),
+    """SELECT count(*) AS common_ids, count(CASE WHEN a.toxic <> 1 - b.quality THEN 1 END) AS label_mismatches
+FROM documents JOIN labels a USING (doc_id) JOIN labels b USING (doc_id)""")
 
 QUERIES["j10_parity_report"] = (
     lambda spark, sf: J.parity_report(
@@ -326,10 +328,10 @@ SELECT count(*) AS rows, count(*) FILTER (same) AS decisions_equal, count(*) FIL
 
 QUERIES["j11_lineage"] = (
     lambda spark, sf: J.lineage(
-        ev(spark, sf).select("transaction_id", "card_id"), velocity_records(spark, sf).filter("vel_id % 4 <> 0")
+        ev(spark, sf).select("transaction_id", "card_id"), velocity_records(spark, sf).filter("total_long > 100")
         .withColumnRenamed("vel_id", "transaction_id"), "transaction_id", ["vel_us", "count_short"]),
     with_(EV, VEL_SQL) + """SELECT e.transaction_id, e.card_id, v.vel_us, v.count_short, v.vel_id IS NOT NULL AS has_features
-FROM ev e LEFT JOIN vel v ON v.vel_id = e.transaction_id AND v.vel_id % 4 <> 0""")
+FROM ev e LEFT JOIN vel v ON v.vel_id = e.transaction_id AND v.total_long > 100""")
 
 # ---- A: aggregation
 
