@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("history", "velocity", "relational", "metrics", "quality", "features")
+MODULES = ("history", "velocity", "relational", "metrics", "quality", "features", "io", "model")
 
 
 def all_queries() -> dict:
