@@ -155,11 +155,11 @@ def ks_stat(ref: DataFrame, df: DataFrame, cols: Sequence[str], split: bool | No
     counts = both.groupBy("feature", "value").agg(F.count_if(F.col("now") == 0).alias("a"),
                                                   F.count_if(F.col("now") == 1).alias("b"))
     counts = materialize(counts)
-    totals = counts.groupBy("feature").agg(F.sum("a").alias("a_all"), F.sum("b").alias("b_all"))
-    upto = running(counts, ["feature"], [F.col("value")],
-                   {"a_upto": ("sum", F.col("a")), "b_upto": ("sum", F.col("b"))}, split=split)
+    a, b = ("sum", F.col("a")), ("sum", F.col("b"))
+    upto = running(counts, ["feature"], [F.col("value")], {"a_upto": a, "b_upto": b},
+                   totals={"a_all": a, "b_all": b}, split=split)
     gap = F.abs(ratio(F.col("a_upto"), F.col("a_all")) - ratio(F.col("b_upto"), F.col("b_all")))
-    return upto.join(totals, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
+    return upto.groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def drift_windows(df: DataFrame, time: str, label: str, amount: str, card: str, n: int = 6) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import money
-from cardflow.operators.ordered import ROWS, Aggs, latest, must_split, prefix, running
+from cardflow.operators.ordered import ROWS, Aggs, latest, prefix, running
 
 
 def _order(time: str, tiebreak: Sequence[str]) -> list[Column]:
@@ -83,8 +83,6 @@ def causality_violations(df: DataFrame, key: str, time: str, tiebreak: Sequence[
     """Rows whose latest history row is not strictly earlier; must be empty. The history is
     rebuilt here through ``latest``, independently of the frames used to make features."""
     rows = df.select(key, time, *tiebreak)
-    if split is None:
-        split = must_split(rows, [key])
     moments = rows.select(key, F.col(time).alias("hist_time")).distinct()
     found = latest(rows, moments, [key], time, "hist_time", ["hist_time"], inclusive=False, split=split)
     return found.agg(F.count(F.lit(1)).alias("rows"), F.count("hist_time").alias("with_history"),

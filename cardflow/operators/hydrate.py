@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import true_labels
 from cardflow.operators.history import causal_counters
+from cardflow.operators.ordered import by_heat
 from cardflow.operators.joins import asof_join, lookup_profile
 from cardflow.operators.prep import tier
 
@@ -42,6 +43,11 @@ def hydrate(events: DataFrame, profiles: DataFrame, velocity: DataFrame | None =
             profile_fields: Sequence[str] = ESSENTIAL_PROFILE, split: bool | None = None) -> DataFrame:
     """Event + profile + gate + as-of velocity + causal counters. Only rows that pass the gate
     enter the history of later ones."""
+    if split is None:
+        # One look at the keys of both sides decides for all steps.
+        sides = [events] if velocity is None else [events, velocity]
+        return by_heat(sides, [key], lambda ev, vel=None, split=False: hydrate(
+            ev, profiles, vel, key, time, tiebreak, velocity_time, velocity_count, tolerance, day, profile_fields, split))
     rows = gate(lookup_profile(events, profiles, key), profile_fields)
     if velocity is not None:
         rows = asof_join(rows, velocity, key, time, velocity_time, [velocity_count], (velocity_count,), tolerance, split)

@@ -24,11 +24,9 @@ def curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), split:
     positive = F.col(label).cast("int") == 1
     groups = materialize(df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")))
-    points = running(groups, by, [F.col("score").desc()],
-                     {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg")), "k": ROWS}, split=split)
-    totals = groups.groupBy(*by).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"),
-                                     F.count(F.lit(1)).alias("k_all"))
-    return points.join(totals, by) if by else with_row(points, totals)
+    pos, neg = ("sum", F.col("pos")), ("sum", F.col("neg"))
+    return running(groups, by, [F.col("score").desc()], {"tp": pos, "fp": neg, "k": ROWS},
+                   totals={"p_all": pos, "n_all": neg, "k_all": ROWS}, split=split)
 
 
 def average_precision(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1,13 +1,13 @@
 """Ordered per-key computation that does not depend on how large a key is.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. That is the
-best plan while every key is small (one shuffle, one sort), and it fails when a
-single key holds a large part of the table. Each function below therefore looks
-at the largest group first (one aggregation over the key columns only) and, if
-it exceeds ``spark.cardflow.maxGroupRows``, works in two levels: rows are range
-partitioned by (key, order) into slices of similar size, every slice is computed
-on its own, and the totals of the earlier slices of the same key (one small row
-per key and slice) are added.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. That is the best plan
+while a key is small (one shuffle, one sort), and it fails when a single key holds a large
+part of the table. The functions below therefore count rows per key first (one aggregation
+over the key columns) and treat hot keys apart. Their rows are range partitioned by
+(key, order) into slices of similar size, every slice is computed on its own, and the totals
+of the earlier slices of the same key (one small row per key and slice) are added.
+
+``split`` overrules the count: False uses the plain window for all keys, True slices all.
 
 Aggregates are given as ``{name: (kind, column)}`` with the kinds ``count``
 (non-null values; ``ROWS`` counts rows), ``sum``, ``min``, ``max`` and ``last``
@@ -16,7 +16,7 @@ Aggregates are given as ``{name: (kind, column)}`` with the kinds ``count``
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -24,19 +24,44 @@ from cardflow.session import materialize, max_group_rows
 
 SLICE = "__slice"
 ROWS = ("count", None)
+HOT_KEYS_LIMIT = 10_000
 
 Aggs = Mapping[str, tuple[str, Column | None]]
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key group."""
+def hot_keys(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than one task should take, or None. A key is hot above
+    ``spark.cardflow.maxGroupRows`` rows and above a 10,000th of all rows; the second bound
+    proves that there are fewer than 10,000 hot keys, so they may be broadcast."""
+    both = dfs[0].select(*keys)
+    for df in dfs[1:]:
+        both = both.unionByName(df.select(*keys))
+    counts = both.groupBy(*keys).count()
+    size = counts.agg(F.max("count").alias("top"), F.sum("count").alias("rows")).first()
+    spark = both.sparkSession
+    limit = max(max_group_rows(spark), (size["rows"] or 0) // HOT_KEYS_LIMIT)
+    if (size["top"] or 0) <= limit:
+        return None
+    rows = counts.filter(F.col("count") > limit).select(*keys).collect()
+    return spark.createDataFrame(rows, both.schema)
+
+
+def by_heat(dfs: Sequence[DataFrame], keys: Sequence[str], work: Callable[..., DataFrame]) -> DataFrame:
+    """``work(*tables, split=False)`` for the ordinary keys and ``split=True`` for the hot ones.
+    Without keys the tables are one group, which is hot when it is large."""
     if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        large = sum(df.count() for df in dfs) > max_group_rows(dfs[0].sparkSession)
+        return work(*dfs, split=large)
+    hot = hot_keys(dfs, keys)
+    if hot is None:
+        return work(*dfs, split=False)
 
+    def part(df: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]))
+        return df.join(side, [df[k].eqNullSafe(side[f"__hot_{k}"]) for k in keys], how)
 
-def must_split(df: DataFrame, keys: Sequence[str]) -> bool:
-    return largest_group(df, keys) > max_group_rows(df.sparkSession)
+    return work(*[part(df, "left_anti") for df in dfs], split=False).unionByName(
+        work(*[part(df, "left_semi") for df in dfs], split=True))
 
 
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -75,15 +100,20 @@ def _combine(kind: str, before: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Aggs,
-            include_current: bool = True, split: bool | None = None) -> DataFrame:
-    """Running aggregates over the rows of the key up to (or before) each row.
-    ``order`` must be total within a key; without keys the whole table is one group."""
-    end = W.currentRow if include_current else -1
+            include_current: bool = True, totals: Aggs | None = None, split: bool | None = None) -> DataFrame:
+    """Running aggregates over the rows of the key up to (or before) each row, and ``totals``
+    over all rows of the key. ``order`` must be total within a key; without keys the whole
+    table is one group."""
     if split is None:
-        split = must_split(df, keys)
+        return by_heat([df], keys, lambda rows, split: running(
+            rows, keys, order, aggs, include_current, totals, split))
+    totals = totals or {}
+    end = W.currentRow if include_current else -1
     if not split:
-        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-        return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()])
+        group = W.partitionBy(*keys)
+        frame = group.orderBy(*order).rowsBetween(W.unboundedPreceding, end)
+        return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()],
+                         *[_aggregate(k, c).over(group).alias(n) for n, (k, c) in totals.items()])
 
     sliced = ordered_slices(df, keys, order)
     group = [*keys, SLICE]
@@ -91,21 +121,27 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: A
     frame = by_slice.rowsBetween(W.unboundedPreceding, end)
     local = sliced.select("*", *[_aggregate(k, c).over(frame).alias(f"__l_{n}") for n, (k, c) in aggs.items()])
 
-    lasts = {n: c for n, (k, c) in aggs.items() if k == "last"}
-    source = sliced.withColumn("__rn", F.row_number().over(by_slice)) if lasts else sliced
-    totals = source.groupBy(*group).agg(*[
+    parts = {**aggs, **totals}
+    ranked = any(k == "last" for k, _ in parts.values())
+    source = sliced.withColumn("__rn", F.row_number().over(by_slice)) if ranked else sliced
+    sums = source.groupBy(*group).agg(*[
         F.max_by(c, F.when(c.isNotNull(), F.col("__rn"))).alias(f"__t_{n}") if k == "last"
         else _aggregate(k, c).alias(f"__t_{n}")
-        for n, (k, c) in aggs.items()])
-    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
+        for n, (k, c) in parts.items()])
+    # One row per key and slice, so at most as many rows per key as there are slices.
+    slices = W.partitionBy(*keys).orderBy(SLICE)
+    earlier = slices.rowsBetween(W.unboundedPreceding, -1)
+    every = slices.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    carry = sums.select(
         *[F.col(g).alias(f"__c_{g}") for g in group],
-        *[_aggregate(_merge(k), F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (k, _) in aggs.items()])
+        *[_aggregate(_merge(k), F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (k, _) in aggs.items()],
+        *[_aggregate(_merge(k), F.col(f"__t_{n}")).over(every).alias(f"__c_{n}") for n, (k, _) in totals.items()])
     match = [local[g].eqNullSafe(carry[f"__c_{g}"]) for g in group]
     joined = local.join(carry, match, "left")
     return joined.select(
         *[local[c] for c in df.columns],
-        *[_combine(k, F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n) for n, (k, _) in aggs.items()])
+        *[_combine(k, F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n) for n, (k, _) in aggs.items()],
+        *[F.col(f"__c_{n}").alias(n) for n in totals])
 
 
 def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -115,52 +151,64 @@ def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: st
     ``right_time <= left_time`` (``<`` if not inclusive). Both sides are stacked and
     read in time order, so the work is one sort and no pairs are formed.
     Adds ``payload`` (columns of the right side), NULL where nothing precedes."""
-    none = F.lit(None)
+    if split is None:
+        return by_heat([left, right], keys, lambda a, b, split: latest(
+            a, b, keys, left_time, right_time, payload, tiebreak, inclusive, split))
     value = F.struct(*[F.col(c).alias(c) for c in payload])
     row = F.struct(*[F.col(c) for c in left.columns])
-    ties = [right[t] for t in tiebreak]
-    rights = right.filter(F.col(right_time).isNotNull()).select(
-        *keys, F.col(right_time).alias("__t"), F.lit(0 if inclusive else 1).alias("__side"),
-        *[t.alias(f"__tie{i}") for i, t in enumerate(ties)], value.alias("__value"))
+    ties = [f"__tie{i}" for i in range(len(tiebreak))]
+    usable = F.col(right_time).isNotNull()
     for k in keys:
-        rights = rights.filter(F.col(k).isNotNull())
+        usable = usable & F.col(k).isNotNull()
+    rights = right.filter(usable).select(
+        *keys, F.col(right_time).alias("__t"), F.lit(0 if inclusive else 1).alias("__side"),
+        *[F.col(c).alias(t) for c, t in zip(tiebreak, ties)], value.alias("__value"))
     lefts = left.select(
         *keys, F.col(left_time).alias("__t"), F.lit(1 if inclusive else 0).alias("__side"),
-        *[none.cast(right.schema[t].dataType).alias(f"__tie{i}") for i, t in enumerate(tiebreak)],
+        *[F.lit(None).cast(right.schema[c].dataType).alias(t) for c, t in zip(tiebreak, ties)],
         row.alias("__row"))
     both = rights.unionByName(lefts, allowMissingColumns=True)
-    order = [F.col("__t"), F.col("__side"), *[F.col(f"__tie{i}") for i in range(len(ties))]]
-    if split is None:
-        split = must_split(both, keys)
+    order = [F.col("__t"), F.col("__side"), *[F.col(t) for t in ties]]
     if split:
         # Left rows that share a key and time are interchangeable here; a hash spreads them.
         order.append(F.xxhash64(*[F.col(f"__row.`{c}`") for c in left.columns
-                                  if not left.schema[c].dataType.typeName() in ("map", "variant")]))
+                                  if left.schema[c].dataType.typeName() not in ("map", "variant")]))
     found = running(both, keys, order, {"__found": ("last", F.col("__value"))}, split=split)
     return found.filter(F.col("__row").isNotNull()).select(
         *[F.col(f"__row.`{c}`").alias(c) for c in left.columns],
         *[F.col(f"__found.`{c}`").alias(c) for c in payload])
 
 
+def _filled(aggs: Aggs, name: str) -> Column:
+    """A count over nothing is 0."""
+    return F.coalesce(F.col(name), F.lit(0)).alias(name) if aggs[name][0] == "count" else F.col(name)
+
+
+def _upto(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs) -> DataFrame:
+    """Sliced running aggregates under their own names, with nothing but the order columns."""
+    source = df.select(*keys, time, *tiebreak, *[_value(c).alias(f"__v_{n}") for n, (_, c) in aggs.items()])
+    order = [F.col(time), *[F.col(t) for t in tiebreak]]
+    out = running(source, keys, order, {n: (k, F.col(f"__v_{n}")) for n, (k, _) in aggs.items()}, split=True)
+    return out.select(*keys, time, *tiebreak, *aggs)
+
+
 def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
            shift: int = 0, inclusive: bool = False, split: bool | None = None) -> DataFrame:
     """Aggregates over the rows of the key with ``time < row.time - shift`` (``<=`` if
     inclusive): unlike ``running`` with rows, tied rows never see each other.
     ``time`` is a whole number; counts are 0 and the others NULL when nothing qualifies."""
     if split is None:
-        split = must_split(df, keys)
+        return by_heat([df], keys, lambda rows, split: prefix(
+            rows, keys, time, tiebreak, aggs, shift, inclusive, split))
     if not split:
         frame = W.partitionBy(*keys).orderBy(time).rangeBetween(
             W.unboundedPreceding, -shift if inclusive else -shift - 1)
         return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()])
-    order = [F.col(time), *[F.col(t) for t in tiebreak]]
-    source = df.select(*keys, time, *tiebreak, *[_value(c).alias(f"__v_{n}") for n, (_, c) in aggs.items()])
-    upto = running(source, keys, order, {n: (k, F.col(f"__v_{n}")) for n, (k, _) in aggs.items()}, split=True)
+    # The value of the latest row before the shifted time, found among the running aggregates.
     probes = df.withColumn("__probe", F.col(time) - F.lit(shift))
-    found = latest(probes, upto, keys, "__probe", time, list(aggs), tiebreak, inclusive, split=True)
-    return found.select(
-        *df.columns,
-        *[(F.coalesce(F.col(n), F.lit(0)) if k == "count" else F.col(n)).alias(n) for n, (k, _) in aggs.items()])
+    found = latest(probes, _upto(df, keys, time, tiebreak, aggs), keys, "__probe", time, list(aggs), tiebreak,
+                   inclusive, split=True)
+    return found.select(*df.columns, *[_filled(aggs, n) for n in aggs])
 
 
 def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str],
@@ -172,16 +220,23 @@ def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[s
     the row itself in ``tiebreak`` order, ``peers="all"`` all tied rows.
     Adds ``{agg}_{width name}`` for every pair."""
     if split is None:
-        split = must_split(df, keys)
+        return by_heat([df], keys, lambda rows, split: trailing(
+            rows, keys, time, tiebreak, widths, aggs, peers, split))
     now = {f"__now_{n}": a for n, a in aggs.items()}
+    order = [F.col(time), *[F.col(t) for t in tiebreak]]
     if peers == "arrived":
-        order = [F.col(time), *[F.col(t) for t in tiebreak]]
         out = running(df, keys, order, now, split=split)
     else:
         out = prefix(df, keys, time, tiebreak, now, inclusive=True, split=split)
+    base = _upto(df, keys, time, tiebreak, aggs) if split else None
     for label, width in widths.items():
         old = {f"__old_{n}_{label}": a for n, a in aggs.items()}
-        out = prefix(out, keys, time, tiebreak, old, shift=width, split=split)
+        if split:
+            renamed = base.select(*keys, time, *tiebreak, *[F.col(n).alias(f"__old_{n}_{label}") for n in aggs])
+            out = latest(out.withColumn("__probe", F.col(time) - F.lit(width)), renamed, keys, "__probe", time,
+                         list(old), tiebreak, inclusive=False, split=True).drop("__probe")
+        else:
+            out = prefix(out, keys, time, tiebreak, old, shift=width, split=False)
     return out.select(*df.columns, *[
         (F.col(f"__now_{n}") - F.coalesce(F.col(f"__old_{n}_{label}"), F.lit(0))).alias(f"{n}_{label}")
         for label in widths for n in aggs])
@@ -191,7 +246,7 @@ def tail_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value
               name: str, split: bool | None = None) -> DataFrame:
     """Adds an array with ``value`` of the row and of its up to ``length - 1`` predecessors."""
     if split is None:
-        split = must_split(df, keys)
+        return by_heat([df], keys, lambda rows, split: tail_rows(rows, keys, order, value, length, name, split))
     if not split:
         frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(length - 1), 0)
         return df.select("*", F.collect_list(value).over(frame).alias(name))

@@ -22,11 +22,13 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def value_counts_running(df: DataFrame, by: Sequence[str], value: str, split: bool | None = None) -> DataFrame:
-    """Rows ``(by, value, __n, __upto)``: how often a value occurs and how many rows are <= it."""
+    """Rows ``(by, value, __n, __upto, __size)``: how often a value occurs, how many rows are <= it,
+    and how many rows the group has."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     if split is None:
         counts = materialize(counts)  # read twice: for the size check and for the ranks
-    return running(counts, by, [F.col(value)], {"__upto": ("sum", F.col("__n"))}, split=split)
+    n = ("sum", F.col("__n"))
+    return running(counts, by, [F.col(value)], {"__upto": n}, totals={"__size": n}, split=split)
 
 
 def _at_rank(ranked_value: str, upto: str, rank: Column) -> Column:
@@ -39,10 +41,6 @@ def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: dict[s
     """One row per group with a column per quantile. ``linear`` interpolates between ranks,
     ``nearest`` takes the value at rank ``int(p * n)``."""
     ranked = value_counts_running(df, by, value, split)
-    sizes = ranked.groupBy(*by).agg(F.max("__upto").alias("__size"))
-    joined = with_row(ranked, sizes) if not by else ranked.join(
-        sizes.select(*[F.col(b).alias(f"__s_{b}") for b in by], "__size"),
-        [F.col(b).eqNullSafe(F.col(f"__s_{b}")) for b in by])
     size, parts, out = F.col("__size"), [], []
     for name, p in probs.items():
         if method == "nearest":
@@ -56,7 +54,7 @@ def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: dict[s
                   F.max(position - F.floor(position)).alias(f"__w_{name}")]
         out.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
                     * F.col(f"__w_{name}")).alias(name))
-    return joined.groupBy(*by).agg(*parts).select(*by, *out)
+    return ranked.groupBy(*by).agg(*parts).select(*by, *out)
 
 
 def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), kind: str = "double",

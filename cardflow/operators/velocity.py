@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, bucketize, money, ratio, true_labels
-from cardflow.operators.ordered import ROWS, must_split, prefix, running, trailing
+from cardflow.operators.ordered import ROWS, by_heat, prefix, running, trailing
 
 SECOND = 1_000_000
 
@@ -44,7 +44,8 @@ def trailing_distinct(df: DataFrame, key: str, time: str, tiebreak: Sequence[str
     until the value's next occurrence or until it leaves the window. The distinct count is the
     number of open stretches, i.e. stretches begun minus stretches ended: two running counts."""
     if split is None:
-        split = must_split(df, [key])
+        return by_heat([df], [key], lambda rows, split: trailing_distinct(
+            rows, key, time, tiebreak, value, width, name, split))
     occurrences = df.filter(F.col(value).isNotNull()).select(key, time, *tiebreak, value)
     descending = [F.col(time).desc(), *[F.col(t).desc() for t in tiebreak]]
     nexts = running(occurrences, [key, value], descending, {"__next": ("last", F.col(time))},
@@ -71,7 +72,8 @@ def features_at(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amo
                 split: bool | None = None) -> DataFrame:
     """The six trailing features with "now" at each row's own time, all tied rows included."""
     if split is None:
-        split = must_split(df, [key])
+        return by_heat([df], [key], lambda rows, split: features_at(
+            rows, key, time, tiebreak, amount, merchant, short, long, split))
     out = trailing(df, [key], time, tiebreak, {"short": short, "long": long},
                    {"__n": ROWS, "__s": ("sum", money(amount))}, peers="all", split=split)
     out = trailing_distinct(out, key, time, tiebreak, merchant, long, "unique_merchants_long", split=split)

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_GROUP_ROWS = "spark.cardflow.maxGroupRows"
-MAX_GROUP_ROWS_DEFAULT = 1_000_000
+MAX_GROUP_ROWS_DEFAULT = 100_000
 
 
 def local_session(app: str = "cardflow", cores: int | str = 8, memory: str = "12g", **conf) -> SparkSession:
