@@ -146,19 +146,20 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: A
 
 def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
            payload: Sequence[str], tiebreak: Sequence[str] = (), inclusive: bool = True,
-           split: bool | None = None) -> DataFrame:
+           null_keys: bool = False, split: bool | None = None) -> DataFrame:
     """For each left row the latest right row of the same key with
     ``right_time <= left_time`` (``<`` if not inclusive). Both sides are stacked and
     read in time order, so the work is one sort and no pairs are formed.
-    Adds ``payload`` (columns of the right side), NULL where nothing precedes."""
+    Adds ``payload`` (columns of the right side), NULL where nothing precedes. As in a join,
+    a NULL key matches nothing, unless ``null_keys`` makes it a key like any other."""
     if split is None:
         return by_heat([left, right], keys, lambda a, b, split: latest(
-            a, b, keys, left_time, right_time, payload, tiebreak, inclusive, split))
+            a, b, keys, left_time, right_time, payload, tiebreak, inclusive, null_keys, split))
     value = F.struct(*[F.col(c).alias(c) for c in payload])
     row = F.struct(*[F.col(c) for c in left.columns])
     ties = [f"__tie{i}" for i in range(len(tiebreak))]
     usable = F.col(right_time).isNotNull()
-    for k in keys:
+    for k in () if null_keys else keys:
         usable = usable & F.col(k).isNotNull()
     rights = right.filter(usable).select(
         *keys, F.col(right_time).alias("__t"), F.lit(0 if inclusive else 1).alias("__side"),
@@ -207,7 +208,7 @@ def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str
     # The value of the latest row before the shifted time, found among the running aggregates.
     probes = df.withColumn("__probe", F.col(time) - F.lit(shift))
     found = latest(probes, _upto(df, keys, time, tiebreak, aggs), keys, "__probe", time, list(aggs), tiebreak,
-                   inclusive, split=True)
+                   inclusive, null_keys=True, split=True)
     return found.select(*df.columns, *[_filled(aggs, n) for n in aggs])
 
 
@@ -234,7 +235,7 @@ def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[s
         if split:
             renamed = base.select(*keys, time, *tiebreak, *[F.col(n).alias(f"__old_{n}_{label}") for n in aggs])
             out = latest(out.withColumn("__probe", F.col(time) - F.lit(width)), renamed, keys, "__probe", time,
-                         list(old), tiebreak, inclusive=False, split=True).drop("__probe")
+                         list(old), tiebreak, inclusive=False, null_keys=True, split=True).drop("__probe")
         else:
             out = prefix(out, keys, time, tiebreak, old, shift=width, split=False)
     return out.select(*df.columns, *[

@@ -8,6 +8,7 @@ import datetime
 import decimal
 import math
 import os
+import re
 import sys
 import time
 
@@ -19,6 +20,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+# Operators that compare all rows with all rows, or call Python row by row.
+PAIRS = re.compile("CartesianProduct|NestedLoopJoin|BatchEvalPython")
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -47,12 +52,12 @@ def compare(spark, con, fn, sql, sf_dir):
     """Returns (rows, list of problems)."""
     df = fn(spark, sf_dir)
     got = df.collect()
+    problems = sorted(set(PAIRS.findall(df._jdf.queryExecution().executedPlan().toString())))
     if sql is None:
-        return len(got), []
+        return len(got), problems
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
     want = rel.fetchall()
-    problems = []
     if sorted(cols) != sorted(df.columns):
         return len(got), [f"columns {sorted(df.columns)} != {sorted(cols)}"]
     order = sorted(range(len(cols)), key=lambda i: cols[i])
