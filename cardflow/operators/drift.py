@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cardflow.functions.columns import money, ratio
+from cardflow.functions.columns import money_sum, ratio
 from cardflow.operators.ordered import running
 from cardflow.operators.quantiles import long_form, quantile_columns, with_row
 from cardflow.session import materialize
@@ -175,7 +175,7 @@ def drift_windows(df: DataFrame, time: str, label: str, amount: str, card: str,
     return placed.groupBy(window.alias("window")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("long")).alias("fraud_rows"),
         F.avg(F.col(label).cast("double")).alias("fraud_rate"),
-        (F.sum(money(amount)).cast("double") / F.count(amount)).alias("mean_amount"),
+        (money_sum(amount) / F.count(amount)).alias("mean_amount"),
         F.count_distinct(card).alias("unique_cards"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardflow.functions.columns import money
+from cardflow.functions.columns import amount_of, money
 from cardflow.operators.ordered import ROWS, Aggs, latest, prefix, running
 
 
@@ -21,7 +21,7 @@ def history_features(df: DataFrame, key: str, time: str, tiebreak: Sequence[str]
     out = running(df, [key], _order(time, tiebreak), {
         "hist_count": ROWS, "__sum": ("sum", money(amount)), "hist_max": ("max", F.col(amount)),
     }, include_current=False, split=split)
-    total = F.col("__sum").cast("double")
+    total = amount_of("__sum")
     return out.select(*df.columns, "hist_count", total.alias("hist_sum"),
                       (total / F.nullif(F.col("hist_count"), F.lit(0))).alias("hist_mean"), "hist_max")
 
@@ -94,7 +94,7 @@ def running_totals(df: DataFrame, key: str, time: str, tiebreak: Sequence[str],
     """Total and count of the key including the row."""
     out = running(df, [key], _order(time, tiebreak),
                   {"__sum": ("sum", money(amount)), "running_count": ROWS}, split=split)
-    return out.select(*df.columns, F.col("__sum").cast("double").alias("running_total"), "running_count")
+    return out.select(*df.columns, amount_of("__sum").alias("running_total"), "running_count")
 
 
 def replay_order(df: DataFrame, time: str, tiebreak: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cardflow.functions.columns import bare_card, canonical_card
 from cardflow.operators.ordered import latest
@@ -15,14 +15,13 @@ from cardflow.operators.quantiles import quantile_columns, with_row
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``. An aggregation, so copies are reduced before
-    the shuffle; give an order that is total to make the survivor unique."""
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
+    """The first row of each key in ``order``; give an order that is total to make the survivor
+    unique. Spark keeps one row per key and input partition before the shuffle (a partial
+    window group limit), so a key with many copies is reduced where it is read."""
+    if not [c for c in df.columns if c not in keys]:
         return df.distinct()
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
-    return df.groupBy(*keys).agg(first).select(
-        *[F.col(c) if c in keys else F.col(f"__first.`{c}`").alias(c) for c in df.columns])
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 
 def join_identity(tx: DataFrame, identity: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:

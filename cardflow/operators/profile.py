@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from cardflow.functions.columns import DAY_SECONDS, money, ratio
+from cardflow.functions.columns import DAY_SECONDS, money_sum, ratio
 from cardflow.operators.quantiles import long_form, quantile_columns, with_row
 
 # Sequence lengths and shares reported for entities.
@@ -68,7 +68,7 @@ def missing_signal(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 def class_balance(df: DataFrame, label: str, amount: str) -> DataFrame:
     """Rows, rate, imbalance and amount figures per class and in total."""
     return (df.withColumn("class", F.col(label).cast("string")).rollup("class").agg(
-        F.count(F.lit(1)).alias("rows"), (F.sum(money(amount)).cast("double") / F.count(amount)).alias("mean_amount"),
+        F.count(F.lit(1)).alias("rows"), (money_sum(amount) / F.count(amount)).alias("mean_amount"),
         F.min(amount).alias("min_amount"), F.max(amount).alias("max_amount"),
         F.stddev_samp(amount).alias("std_amount")).withColumn("class", F.coalesce("class", F.lit("total"))))
 
@@ -82,7 +82,7 @@ def validate_table(df: DataFrame, key: str, time: str, label: str, amount: str)
         F.count_if(~F.col(label).cast("int").isin(0, 1)).alias("label_outside"),
         F.sum(F.col(label).cast("long")).alias("positives"), F.min(time).alias("t_min"), F.max(time).alias("t_max"),
         F.min(amount).alias("amount_min"), F.max(amount).alias("amount_max"),
-        (F.sum(money(amount)).cast("double") / F.count(amount)).alias("amount_mean"))
+        (money_sum(amount) / F.count(amount)).alias("amount_mean"))
     negatives = F.col("rows") - F.col("positives")
     checks = {
         "rows": (F.col("rows"), F.col("rows") > 0),

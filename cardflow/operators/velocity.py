@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardflow.functions.columns import AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, bucketize, money, ratio, true_labels
+from cardflow.functions.columns import (
+    AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, amount_of, bucketize, money, money_sum, ratio, true_labels)
 from cardflow.operators.ordered import ROWS, by_heat, prefix, running, trailing
 
 SECOND = 1_000_000
@@ -22,7 +23,7 @@ def trailing_velocity(df: DataFrame, key: str, time: str, tiebreak: Sequence[str
                    {"__n": ROWS, "__s": ("sum", money(amount))}, split=split)
 
     def total(w: str) -> Column:
-        return F.greatest(F.coalesce(F.col(f"__s_{w}").cast("double"), F.lit(0.0)), F.lit(0.0))
+        return F.greatest(F.coalesce(amount_of(f"__s_{w}"), F.lit(0.0)), F.lit(0.0))
 
     one = F.lit(1)
     return out.select(
@@ -83,8 +84,8 @@ def features_at(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amo
     gap = F.when(F.col("__same_now") > 1, F.lit(0).cast("long")).otherwise(F.col(time) - F.col("__prev"))
     return out.select(
         *df.columns,
-        F.col("__n_short").alias("count_short"), F.col("__s_short").cast("double").alias("amount_short"),
-        F.col("__n_long").alias("count_long"), F.col("__s_long").cast("double").alias("amount_long"),
+        F.col("__n_short").alias("count_short"), amount_of("__s_short").alias("amount_short"),
+        F.col("__n_long").alias("count_long"), amount_of("__s_long").alias("amount_long"),
         "unique_merchants_long", gap.alias("since_previous"))
 
 
@@ -99,9 +100,9 @@ def features_now(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], no
     zero = F.lit(0.0)
     return gaps.groupBy(key).agg(
         F.count_if(in_short).alias("count_short"),
-        F.coalesce(F.sum(F.when(in_short, money(amount))).cast("double"), zero).alias("amount_short"),
+        F.coalesce(money_sum(F.when(in_short, F.col(amount))), zero).alias("amount_short"),
         F.count_if(in_long).alias("count_long"),
-        F.coalesce(F.sum(F.when(in_long, money(amount))).cast("double"), zero).alias("amount_long"),
+        F.coalesce(money_sum(F.when(in_long, F.col(amount))), zero).alias("amount_long"),
         F.count_distinct(F.when(in_long, F.col(merchant))).alias("unique_merchants_long"),
         F.max_by(F.col(time) - F.col("__prev"), F.struct(time, *tiebreak)).alias("since_previous"))
 
@@ -116,7 +117,7 @@ def velocity_alerts(df: DataFrame, key: str, time: str, tiebreak: Sequence[str],
         "__n": ROWS, "__s": ("sum", money(amount)),
         "__foreign": ("count", F.when(is_foreign, 1)),
         "__other": ("count", F.when(~is_foreign & (F.col(country) != ""), 1))}, split=split)
-    spend = F.col("__s_w").cast("double")
+    spend = amount_of("__s_w")
     alerts = true_labels({
         "VELOCITY": F.col("__n_w") > max_count,
         "BURST_SPEND": spend > max_spend,
@@ -125,31 +126,66 @@ def velocity_alerts(df: DataFrame, key: str, time: str, tiebreak: Sequence[str],
                       F.coalesce(spend, F.lit(0.0)).alias("spend_in_window"), alerts.alias("alerts"))
 
 
+UNITS = {"second": SECOND, "minute": 60 * SECOND, "hour": 3600 * SECOND, "day": 86400 * SECOND}
+
+
+def micros(duration: str) -> int:
+    """``10 minutes`` in microseconds."""
+    number, unit = duration.split()
+    return int(number) * UNITS[unit.rstrip("s")]
+
+
 def hopping_features(df: DataFrame, size: str = "10 minutes", slide: str = "1 minute", tail: str = "5 minutes",
                      distinct: str = "exact", key: str = "card_id", time: str = "event_time",
                      amount: str = "amount", merchant: str = "merchant_id") -> DataFrame:
     """Hopping windows per key: count and sum over the window and over its last ``tail``, and
     distinct merchants. ``distinct``: ``exact`` (batch), ``set`` (exact in a stream) or ``approx``."""
+    if distinct == "exact" and not micros(size) % micros(slide) and not micros(tail) % micros(slide):
+        return _hopping_panes(df, micros(size), micros(slide), micros(tail), key, time, amount, merchant)
     merchants = {"exact": F.count_distinct, "approx": F.approx_count_distinct,
                  "set": lambda c: F.size(F.collect_set(c)).cast("long")}[distinct](F.col(merchant))
     windowed = df.withColumn("__w", F.window(time, size, slide))
     in_tail = F.col(time) >= F.col("__w.end") - F.expr(f"INTERVAL {tail}")
     return windowed.groupBy("__w", key).agg(
         F.count_if(in_tail).alias("count_tail"),
-        F.sum(F.when(in_tail, money(amount)).otherwise(money(F.lit(0)))).cast("double").alias("amount_tail"),
-        F.count(F.lit(1)).alias("count_window"),
-        F.sum(money(amount)).cast("double").alias("amount_window"),
+        money_sum(F.when(in_tail, F.col(amount)).otherwise(0.0)).alias("amount_tail"),
+        F.count(F.lit(1)).alias("count_window"), money_sum(amount).alias("amount_window"),
         merchants.alias("unique_merchants"),
     ).select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,
              "count_tail", "amount_tail", "count_window", "amount_window", "unique_merchants")
 
 
+def _hopping_panes(df: DataFrame, size: int, slide: int, tail: int, key: str, time: str, amount: str,
+                   merchant: str) -> DataFrame:
+    """The same in batch, without shuffling a row once per window: rows are summed per pane (one
+    slide long) first, and a pane is sent to the at most two blocks of windows it lies in.
+    Windows are then formed inside the block, where all their panes are."""
+    k, keep = size // slide, (size - tail) // slide
+    panes = df.filter(F.col(time).isNotNull()).groupBy(
+        key, F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(slide)).alias("__p"), merchant).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"))
+    pane = F.col("__p")
+    blocks = F.array_distinct(F.array(F.floor((pane - (k - 1)) / F.lit(k)), F.floor(pane / F.lit(k))))
+    placed = panes.withColumn("__b", F.explode(blocks)).repartition(key, "__b")
+    first = F.col("__b") * k
+    starts = F.sequence(F.greatest(pane - (k - 1), first), F.least(pane, first + (k - 1)))
+    in_tail = pane >= F.col("__w") + keep
+    out = placed.withColumn("__w", F.explode(starts)).groupBy(key, "__b", "__w").agg(
+        F.sum(F.when(in_tail, F.col("__n")).otherwise(0)).alias("count_tail"),
+        F.coalesce(amount_of(F.sum(F.when(in_tail, F.col("__s")))), F.lit(0.0)).alias("amount_tail"),
+        F.sum("__n").alias("count_window"), amount_of(F.sum("__s")).alias("amount_window"),
+        F.count_distinct(merchant).alias("unique_merchants"))
+    start = F.col("__w") * slide
+    return out.select(F.timestamp_micros(start).alias("window_start"), F.timestamp_micros(start + size).alias("window_end"), key,
+                      "count_tail", "amount_tail", "count_window", "amount_window", "unique_merchants")
+
+
 def window_summary(df: DataFrame, size: str, slide: str | None = None, key: str = "card_id",
                    time: str = "event_time", amount: str = "amount") -> DataFrame:
     """Tumbling (no slide) or hopping count, total, average and amount bucket per key."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
     out = df.groupBy(window.alias("__w"), key).agg(
-        F.count(F.lit(1)).alias("transaction_count"), F.sum(money(amount)).cast("double").alias("total_amount"))
+        F.count(F.lit(1)).alias("transaction_count"), money_sum(amount).alias("total_amount"))
     return out.select(
         F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,
         "transaction_count", "total_amount",
@@ -170,8 +206,8 @@ def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 min
     recent = F.col(time) >= F.col("__latest") - F.expr(f"INTERVAL {back}")
     out = joined.groupBy("__w", key).agg(
         F.sum(F.when(recent, F.col("__n")).otherwise(0)).alias("count_short"),
-        F.sum(F.when(recent, F.col("__s"))).cast("double").alias("total_short"),
-        F.sum("__n").alias("count_long"), F.sum("__s").cast("double").alias("total_long"))
+        amount_of(F.sum(F.when(recent, F.col("__s")))).alias("total_short"),
+        F.sum("__n").alias("count_long"), amount_of(F.sum("__s")).alias("total_long"))
     total_ratio = F.when(F.col("total_long") > 0, ratio(F.col("total_short"), F.col("total_long"))).otherwise(0.0)
     return out.select(
         F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cardflow.functions.columns import money
+from cardflow.functions.columns import amount_of, money
 from cardflow.operators import history as H
 from cardflow.operators.clean import clean_transactions
 from cardflow.operators.ordered import ROWS
@@ -97,7 +97,7 @@ for suffix, split in (("", None), ("_split", True)):
         lambda spark, sf, split=split: H.causal_history(tx(spark, sf), "card_id", "dt", ["transaction_id"], {
             "n": ROWS, "total": ("sum", money("amount")), "first_dt": ("min", F.col("dt")),
             "prev_dt": ("max", F.col("dt"))}, split).select(
-            "transaction_id", "card_id", "dt", "n", F.round(F.col("total").cast("double"), 2).alias("total"),
+            "transaction_id", "card_id", "dt", "n", F.round(amount_of("total"), 2).alias("total"),
             "first_dt", "prev_dt"),
         with_(TX) + J8_SQL)
 

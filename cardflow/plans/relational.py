@@ -359,7 +359,7 @@ FROM tx WHERE {cond}""")
 QUERIES["a3_conditional"] = (
     lambda spark, sf: ev(spark, sf).groupBy("card_id").agg(
         F.count_if(F.col("amount") > 100).alias("big_count"),
-        F.round(F.sum(F.when(F.col("amount") > 100, C.money("amount"))).cast("double"), 4).alias("big_sum")),
+        F.round(C.money_sum(F.when(F.col("amount") > 100, F.col("amount"))), 4).alias("big_sum")),
     with_(EV) + f"""SELECT card_id, count(*) FILTER (amount > 100) AS big_count,
   round(CAST(sum(CAST(amount AS {MONEY})) FILTER (amount > 100) AS DOUBLE), 4) AS big_sum FROM ev GROUP BY card_id""")
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from cardflow.functions.columns import money
+from cardflow.functions.columns import money_sum
 from cardflow.operators.velocity import hopping_features, window_summary
 from cardflow.session import checkpoint_dir
 
@@ -46,7 +46,7 @@ def dedup_stream(df: DataFrame, keys: Sequence[str], time: str = "event_time", d
 
 def running_totals_stream(df: DataFrame, key: str = "card_id", amount: str = "amount") -> DataFrame:
     """Total and count per key, for update mode."""
-    return df.groupBy(key).agg(F.sum(money(amount)).cast("double").alias("running_total"),
+    return df.groupBy(key).agg(money_sum(amount).alias("running_total"),
                                F.count(F.lit(1)).alias("running_count"))
 
 

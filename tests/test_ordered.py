@@ -189,7 +189,7 @@ def test_hot_instant(spark, limit):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-50, 50)), min_size=1, max_size=40),
-       st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]), st.booleans())
+       st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]), st.sampled_from([None, True, False]))
 def test_quantiles(spark, values, p, split):
     import numpy as np
 
@@ -201,6 +201,38 @@ def test_quantiles(spark, values, p, split):
         assert got[g] == pytest.approx((float(np.percentile(xs, p * 100)), xs[min(int(p * len(xs)), len(xs) - 1)]))
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_from_brackets(spark, monkeypatch, by):
+    """Coarse brackets, too many groups, and brackets that miss: always the same values."""
+    import numpy as np
+
+    from cardflow.operators import quantiles as Q
+
+    rng = np.random.default_rng(2)
+    xs = np.concatenate([rng.integers(0, 50, 700), rng.normal(20, 9, 800).round(3)])
+    df = spark.createDataFrame([("one", float(x)) for x in xs], "g string, x double")
+    probs = {"p01": 0.01, "p30": 0.3, "p31": 0.31, "p50": 0.5, "p999": 0.999}
+    want = [float(np.percentile(xs, p * 100)) for p in probs.values()]
+
+    def got():
+        row = quantile_columns(df, by, "x", probs).first()
+        return [row[n] for n in probs]
+
+    assert got() == pytest.approx(want)
+    monkeypatch.setattr(Q, "ACCURACY", 100)
+    assert got() == pytest.approx(want)
+    right = Q._brackets
+    kind = "`__b_g` string, " if by else ""
+    wrong = [f"__{side}{i} double" for i in range(5) for side in ("lo", "hi")]
+    ends = tuple(float(9 * i + j) for i in range(5) for j in range(2))
+    monkeypatch.setattr(Q, "_brackets", lambda *a: spark.createDataFrame(
+        [(*(["one"] if by else []), *ends)], kind + ", ".join(wrong)))
+    assert got() == pytest.approx(want)
+    monkeypatch.setattr(Q, "_brackets", right)
+    monkeypatch.setattr(Q, "MAX_BRACKETED_GROUPS", 0)
+    assert got() == pytest.approx(want)
+
+
 def test_shuffled_input_gives_the_same(df, rows):
     """Neither the order of the input nor its partitioning matters."""
     want = sorted(map(tuple, history.history_features(df, "k", "t", ["id"], "v").collect()), key=lambda r: r[2])
