@@ -180,11 +180,6 @@ def latest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: st
         *[F.col(f"__found.`{c}`").alias(c) for c in payload])
 
 
-def _filled(aggs: Aggs, name: str) -> Column:
-    """A count over nothing is 0."""
-    return F.coalesce(F.col(name), F.lit(0)).alias(name) if aggs[name][0] == "count" else F.col(name)
-
-
 def _upto(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs) -> DataFrame:
     """Sliced running aggregates under their own names, with nothing but the order columns."""
     source = df.select(*keys, time, *tiebreak, *[_value(c).alias(f"__v_{n}") for n, (_, c) in aggs.items()])
@@ -193,23 +188,40 @@ def _upto(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str]
     return out.select(*keys, time, *tiebreak, *aggs)
 
 
-def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
-           shift: int = 0, inclusive: bool = False, split: bool | None = None) -> DataFrame:
-    """Aggregates over the rows of the key with ``time < row.time - shift`` (``<=`` if
-    inclusive): unlike ``running`` with rows, tied rows never see each other.
-    ``time`` is a whole number; counts are 0 and the others NULL when nothing qualifies."""
+def prefixes(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
+             points: Mapping[str, tuple[int, bool]], split: bool | None = None,
+             upto: DataFrame | None = None) -> DataFrame:
+    """Aggregates over the rows of the key before several points per row. A point
+    ``{label: (shift, inclusive)}`` takes the rows with ``time < row.time - shift`` (``<=`` if
+    inclusive) and adds ``{aggregate}_{label}``: unlike ``running`` with rows, tied rows never
+    see each other. ``time`` is a whole number; counts are 0 and the others NULL when nothing
+    qualifies. ``upto`` are sliced running aggregates, if the caller has them."""
     if split is None:
-        return by_heat([df], keys, lambda rows, split: prefix(
-            rows, keys, time, tiebreak, aggs, shift, inclusive, split))
+        return by_heat([df], keys, lambda rows, split: prefixes(rows, keys, time, tiebreak, aggs, points, split))
     if not split:
-        frame = W.partitionBy(*keys).orderBy(time).rangeBetween(
-            W.unboundedPreceding, -shift if inclusive else -shift - 1)
-        return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()])
-    # The value of the latest row before the shifted time, found among the running aggregates.
-    probes = df.withColumn("__probe", F.col(time) - F.lit(shift))
-    found = latest(probes, _upto(df, keys, time, tiebreak, aggs), keys, "__probe", time, list(aggs), tiebreak,
-                   inclusive, null_keys=True, split=True)
-    return found.select(*df.columns, *[_filled(aggs, n) for n in aggs])
+        order = W.partitionBy(*keys).orderBy(time)
+        frames = {label: order.rangeBetween(W.unboundedPreceding, -shift if inclusive else -shift - 1)
+                  for label, (shift, inclusive) in points.items()}
+        return df.select("*", *[_aggregate(k, c).over(frame).alias(f"{n}_{label}")
+                                for label, frame in frames.items() for n, (k, c) in aggs.items()])
+    # The value of the latest row before the point, found among the running aggregates.
+    upto = _upto(df, keys, time, tiebreak, aggs) if upto is None else upto
+    out = df
+    for label, (shift, inclusive) in points.items():
+        named = upto.select(*keys, time, *tiebreak, *[F.col(n).alias(f"{n}_{label}") for n in aggs])
+        probes = out.withColumn("__probe", F.col(time) - F.lit(shift))
+        out = latest(probes, named, keys, "__probe", time, [f"{n}_{label}" for n in aggs], tiebreak, inclusive,
+                     null_keys=True, split=True).drop("__probe")
+    return out.select(*df.columns, *[
+        (F.coalesce(F.col(f"{n}_{label}"), F.lit(0)) if k == "count" else F.col(f"{n}_{label}")).alias(f"{n}_{label}")
+        for label in points for n, (k, _) in aggs.items()])
+
+
+def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
+           shift: int = 0, inclusive: bool = False, split: bool | None = None) -> DataFrame:
+    """``prefixes`` for a single point; the aggregates keep their names."""
+    out = prefixes(df, keys, time, tiebreak, aggs, {"__p": (shift, inclusive)}, split)
+    return out.select(*df.columns, *[F.col(f"{n}___p").alias(n) for n in aggs])
 
 
 def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str],
@@ -223,23 +235,16 @@ def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[s
     if split is None:
         return by_heat([df], keys, lambda rows, split: trailing(
             rows, keys, time, tiebreak, widths, aggs, peers, split))
-    now = {f"__now_{n}": a for n, a in aggs.items()}
-    order = [F.col(time), *[F.col(t) for t in tiebreak]]
+    points = {f"__old_{label}": (width, False) for label, width in widths.items()}
     if peers == "arrived":
-        out = running(df, keys, order, now, split=split)
+        order = [F.col(time), *[F.col(t) for t in tiebreak]]
+        out = running(df, keys, order, {f"{n}___now": a for n, a in aggs.items()}, split=split)
+        upto = out.select(*keys, time, *tiebreak, *[F.col(f"{n}___now").alias(n) for n in aggs]) if split else None
+        out = prefixes(out, keys, time, tiebreak, aggs, points, split, upto)
     else:
-        out = prefix(df, keys, time, tiebreak, now, inclusive=True, split=split)
-    base = _upto(df, keys, time, tiebreak, aggs) if split else None
-    for label, width in widths.items():
-        old = {f"__old_{n}_{label}": a for n, a in aggs.items()}
-        if split:
-            renamed = base.select(*keys, time, *tiebreak, *[F.col(n).alias(f"__old_{n}_{label}") for n in aggs])
-            out = latest(out.withColumn("__probe", F.col(time) - F.lit(width)), renamed, keys, "__probe", time,
-                         list(old), tiebreak, inclusive=False, null_keys=True, split=True).drop("__probe")
-        else:
-            out = prefix(out, keys, time, tiebreak, old, shift=width, split=False)
+        out = prefixes(df, keys, time, tiebreak, aggs, {"__now": (0, True), **points}, split)
     return out.select(*df.columns, *[
-        (F.col(f"__now_{n}") - F.coalesce(F.col(f"__old_{n}_{label}"), F.lit(0))).alias(f"{n}_{label}")
+        (F.col(f"{n}___now") - F.coalesce(F.col(f"{n}___old_{label}"), F.lit(0))).alias(f"{n}_{label}")
         for label in widths for n in aggs])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import (
     AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, amount_of, bucketize, money, money_sum, ratio, true_labels)
-from cardflow.operators.ordered import ROWS, by_heat, prefix, running, trailing
+from cardflow.operators.ordered import ROWS, by_heat, prefixes, running, trailing
 
 SECOND = 1_000_000
 
@@ -75,17 +75,21 @@ def features_at(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amo
     if split is None:
         return by_heat([df], [key], lambda rows, split: features_at(
             rows, key, time, tiebreak, amount, merchant, short, long, split))
-    out = trailing(df, [key], time, tiebreak, {"short": short, "long": long},
-                   {"__n": ROWS, "__s": ("sum", money(amount))}, peers="all", split=split)
+    aggs = {"__n": ROWS, "__s": ("sum", money(amount)), "__t": ("max", F.col(time))}
+    out = prefixes(df, [key], time, tiebreak, aggs, {
+        "now": (0, True), "before": (0, False), "short": (short, False), "long": (long, False)}, split)
     out = trailing_distinct(out, key, time, tiebreak, merchant, long, "unique_merchants_long", split=split)
+
+    def total(w: str) -> Column:
+        return amount_of(F.col("__s_now") - F.coalesce(F.col(f"__s_{w}"), F.lit(0)))
+
     # The distance between the two latest events up to now is 0 when now itself is tied.
-    out = prefix(out, [key], time, tiebreak, {"__prev": ("max", F.col(time))}, split=split)
-    out = trailing(out, [key], time, tiebreak, {"now": 0}, {"__same": ROWS}, peers="all", split=split)
-    gap = F.when(F.col("__same_now") > 1, F.lit(0).cast("long")).otherwise(F.col(time) - F.col("__prev"))
+    tied = F.col("__n_now") - F.col("__n_before") > 1
+    gap = F.when(tied, F.lit(0).cast("long")).otherwise(F.col(time) - F.col("__t_before"))
     return out.select(
         *df.columns,
-        F.col("__n_short").alias("count_short"), amount_of("__s_short").alias("amount_short"),
-        F.col("__n_long").alias("count_long"), amount_of("__s_long").alias("amount_long"),
+        (F.col("__n_now") - F.col("__n_short")).alias("count_short"), total("short").alias("amount_short"),
+        (F.col("__n_now") - F.col("__n_long")).alias("count_long"), total("long").alias("amount_long"),
         "unique_merchants_long", gap.alias("since_previous"))
 
 
