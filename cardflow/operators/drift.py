@@ -48,15 +48,15 @@ def _bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], clip: str)
 
 
 def _numeric_props(df: DataFrame, edges: Mapping[str, Sequence[float]], clip: str = "none") -> DataFrame:
-    """Smoothed share of every bin, empty ones included."""
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(c, i, len(inner) + 1) for c, inner in edges.items() for i in range(len(inner) + 1)],
-                                 "feature string, bin int, bins int")
-    counts = _bin_counts(df, edges, clip)
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    return grid.join(counts, ["feature", "bin"], "left").join(totals, "feature", "left").select(
-        "feature", "bin", "bins", ((F.coalesce("n", F.lit(0)) + F.lit(EPSILON))
-                                   / (F.coalesce("total", F.lit(0)) + F.lit(EPSILON) * F.col("bins"))).alias("prop"))
+    """Smoothed share of every bin, empty ones included. The counts are at most columns x bins
+    numbers and are read to the driver."""
+    counts = {(r["feature"], r["bin"]): r["n"] for r in _bin_counts(df, edges, clip).collect()}
+    rows = []
+    for c, inner in edges.items():
+        bins = len(inner) + 1
+        total = sum(counts.get((c, i), 0) for i in range(bins))
+        rows += [(c, i, bins, (counts.get((c, i), 0) + EPSILON) / (total + EPSILON * bins)) for i in range(bins)]
+    return df.sparkSession.createDataFrame(rows, "feature string, bin int, bins int, prop double")
 
 
 def _category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -81,7 +81,7 @@ def fit_psi(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], b
         totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
         shares = materialize(counts.join(totals, "feature").select(
             "feature", "category", (F.col("n") / F.col("total")).alias("share")))
-    props = materialize(_numeric_props(df, edges)) if edges else None
+    props = _numeric_props(df, edges) if edges else None
     return PsiReference(edges, props, shares)
 
 

@@ -41,27 +41,21 @@ def _ranks(p: float, size: Column, method: str) -> list[Column]:
     return [F.floor(position), F.ceil(position)]
 
 
-def _quantile(p: float, size: Column, method: str, at: Sequence[Column]) -> Column:
+def _hits(ranked: DataFrame, by: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
+    """``(by, __size, __value, __gap, __quantile, __part)``: the value at every wanted rank, out of rows
+    that stand for the ranks from ``__upto - __n`` to below ``__upto``."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), rank.alias("rank"))
+                       for i, p in enumerate(probs.values()) for j, rank in enumerate(_ranks(p, F.col("__size"), method))])
+    here = F.filter(wanted, lambda w: (w["rank"] >= F.col("__upto") - F.col("__n")) & (w["rank"] < F.col("__upto")))
+    return ranked.select(*by, "__size", "__value", "__gap", F.explode(here).alias("__w")).select(
+        *by, "__size", "__value", "__gap", F.col("__w.i").alias("__quantile"), F.col("__w.j").alias("__part"))
+
+
+def _between(p: float, size: int, parts: Mapping[int, float], method: str):
     if method == "nearest":
-        return at[0]
-    position = F.lit(float(p)) * (size - 1)
-    low, high = (v.cast("double") for v in at)
-    return low + (high - low) * (position - F.floor(position))
-
-
-def _pick(ranked: DataFrame, by: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
-    """Quantiles from rows ``(by, __value, __gap, __upto, __size)`` in rank order. Adds
-    ``__missed``: a rank that fell between the brackets."""
-    parts, out, missed = [F.max("__size").alias("__size")], [], F.lit(False)
-    entry = F.struct("__upto", "__gap", "__value")
-    for i, p in enumerate(probs.values()):
-        for j, rank in enumerate(_ranks(p, F.col("__size"), method)):
-            parts.append(F.min(F.when(F.col("__upto") > rank, entry)).alias(f"__e{i}_{j}"))
-            missed = missed | F.col(f"__e{i}_{j}.__gap")
-    for i, (name, p) in enumerate(probs.items()):
-        at = [F.col(f"__e{i}_{j}.__value") for j in range(len(_ranks(p, F.lit(1), method)))]
-        out.append(_quantile(p, F.col("__size"), method, at).alias(name))
-    return ranked.groupBy(*by).agg(*parts).select(*by, *out, missed.alias("__missed"))
+        return parts[0]
+    position = float(p) * (size - 1)
+    return float(parts[0]) + (float(parts[1]) - float(parts[0])) * (position - int(position))
 
 
 def _ranked_values(df: DataFrame, by: Sequence[str], value: str, split: bool | None) -> DataFrame:
@@ -120,11 +114,30 @@ def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: Mappin
     ``nearest`` takes the value at rank ``int(p * n)``. ``split`` forces the ranking of all
     values, in one task per group or in slices."""
     present = df.filter(F.col(value).isNotNull()).select(*by, value)
+    kind = df.schema[value].dataType.simpleString() if method == "nearest" else "double"
     if split is None:
         ends = _brackets(present, by, value, probs)
         if ends is not None:
-            picked = _pick(_ranked_inside(present, by, value, ends), by, probs, method)
-            rows = picked.collect()  # one row per bracketed group
-            if not any(r["__missed"] for r in rows):
-                return df.sparkSession.createDataFrame(rows, picked.schema).drop("__missed")
-    return _pick(_ranked_values(present, by, value, split), by, probs, method).drop("__missed")
+            # A few rows per bracketed group.
+            rows = _hits(_ranked_inside(present, by, value, ends), by, probs, method).collect()
+            if not any(r["__gap"] for r in rows):
+                groups: dict[tuple, dict] = {}
+                for r in rows:
+                    mine = groups.setdefault(tuple(r[b] for b in by), {"size": r["__size"]})
+                    mine.setdefault(r["__quantile"], {})[r["__part"]] = r["__value"]
+                out = [(*key, *[_between(p, g["size"], g[i], method) for i, p in enumerate(probs.values())])
+                       for key, g in groups.items()]
+                fields = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by] + [f"`{n}` {kind}" for n in probs]
+                return df.sparkSession.createDataFrame(out, ", ".join(fields))
+    hits = _hits(_ranked_values(present, by, value, split), by, probs, method)
+    position = F.struct("__quantile", "__part")
+    found = hits.groupBy(*by, "__size").agg(F.map_from_entries(F.collect_list(F.struct(position, "__value"))).alias("__at"))
+    out = []
+    for i, (name, p) in enumerate(probs.items()):
+        at = [F.col("__at")[F.struct(F.lit(i).alias("__quantile"), F.lit(j).alias("__part"))]
+              for j in range(len(_ranks(p, F.lit(1), method)))]
+        place = F.lit(float(p)) * (F.col("__size") - 1)
+        one = at[0] if method == "nearest" else at[0].cast("double") + (
+            at[1].cast("double") - at[0].cast("double")) * (place - F.floor(place))
+        out.append(one.cast(kind).alias(name))
+    return found.select(*by, *out)

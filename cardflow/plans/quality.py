@@ -62,20 +62,20 @@ cq AS (SELECT feature, (n + 1e-6::DOUBLE) / (total + 1e-6::DOUBLE * k) AS now, c
 pc AS (SELECT feature, sum((now - prop) * ln(now / prop)) AS psi FROM cq GROUP BY feature)"""
 
 
-def reference(spark, sf):
-    return R.fit_psi(windows(spark, sf)[0], NUMERIC, CATEGORICAL)
+def reference(spark, sf, numeric=True, categorical=True):
+    return R.fit_psi(windows(spark, sf)[0], NUMERIC if numeric else [], CATEGORICAL if categorical else [])
 
 
 QUERIES["r1_psi_reference"] = (
-    lambda spark, sf: rounded(reference(spark, sf).numeric, ["prop"], 9).withColumn("bin", F.col("bin").cast("long")).withColumn(
+    lambda spark, sf: rounded(reference(spark, sf, categorical=False).numeric, ["prop"], 9).withColumn("bin", F.col("bin").cast("long")).withColumn(
         "bins", F.col("bins").cast("long")),
     with_(BASE, numeric_sql("none", "mon")) + "SELECT feature, bin, bins, round(prop, 9) AS prop FROM rp")
 for clip in ("none", "inner"):
     QUERIES[f"r2_psi_numeric_{clip}"] = (
-        lambda spark, sf, clip=clip: rounded(R.psi_numeric(reference(spark, sf), windows(spark, sf)[1], clip), ["psi"], 8),
+        lambda spark, sf, clip=clip: rounded(R.psi_numeric(reference(spark, sf, categorical=False), windows(spark, sf)[1], clip), ["psi"], 8),
         with_(BASE, numeric_sql(clip, "mon")) + "SELECT feature, round(psi, 8) AS psi FROM pn")
 QUERIES["r3_psi_categorical"] = (
-    lambda spark, sf: rounded(R.psi_categorical(reference(spark, sf), windows(spark, sf)[1]), ["psi"], 8),
+    lambda spark, sf: rounded(R.psi_categorical(reference(spark, sf, numeric=False), windows(spark, sf)[1]), ["psi"], 8),
     with_(BASE, categorical_sql()) + "SELECT feature, round(psi, 8) AS psi FROM pc")
 
 

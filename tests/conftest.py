@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 def spark():
     from cardflow.session import local_session
 
-    session = local_session("tests", cores=8, memory="8g", **{"spark.sql.shuffle.partitions": "4"})
+    session = local_session("tests", cores=8, memory="8g", **{
+        "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp")})
     yield session
     session.stop()
 

@@ -1,12 +1,14 @@
 """Physical plans: what reaches the scan and how often rows are shuffled."""
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cardflow.operators import aggregate, history, velocity
-from cardflow.sources.views import ev, tx
+from cardflow.operators import aggregate, history, joins, profile, velocity
+from cardflow.session import checkpoint_dir, materialize
+from cardflow.sources.views import ev, prof, table, tx
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,30 @@ def test_rollup_after_history_reuses_the_shuffle(spark):
     rows = history.history_features(tx(spark, SF), "card_id", "dt", ["transaction_id"])
     rolled = aggregate.aggregate_card_history(rows, "card_id", "amount", "is_fraud")
     assert len(re.findall(r"Exchange hashpartitioning", plan(rolled))) == 1
+
+
+def test_copies_are_reduced_before_the_shuffle(spark):
+    """A key with many copies must not travel in full."""
+    lines = table(spark, SF, "lineitem")
+    text = plan(joins.dedup(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"]))
+    assert re.search(r"WindowGroupLimit .*Partial", text)
+    assert re.search(r"WindowGroupLimit .*Partial", plan(profile.column_profile(lines, ["l_returnflag"])))
+
+
+def test_only_small_tables_are_broadcast(spark):
+    """A side above the size threshold is shuffled, not broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        text = plan(joins.lookup_profile(ev(spark, SF), prof(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) == folder
+    before = set(os.listdir(folder))
+    materialize(spark.range(5)).count()
+    written = set(os.listdir(folder)) | {n for d in os.listdir(folder) for n in os.listdir(os.path.join(folder, d))}
+    assert any(n.startswith("rdd-") for n in written) and before <= written
