@@ -7,9 +7,9 @@ from cardflow.operators import prep as E
 from cardflow.operators import sequences as S
 from cardflow.operators.clean import normalize_event
 from cardflow.operators.velocity import SECOND, trailing_velocity
-from cardflow.plans.relational import SPLIT_SQL, TRAIN_END, VAL_END, rounded, split_tx
-from cardflow.plans.sql import EV, MONEY, NULLS, PROF, TX, with_
-from cardflow.sources.views import ev, nulls, prof, table, tx
+from cardflow.plans.relational import SPLIT_SQL, rounded, split_tx
+from cardflow.plans.sql import EV, NULLS, PROF, TX, with_
+from cardflow.sources.views import ev, nulls, prof, tx
 
 QUERIES = {}
 CUT_US = 1_705_276_800 * SECOND  # training rows are before 2024-01-15
@@ -126,8 +126,6 @@ QUERIES["f10_enforce_contract"] = (
     lambda spark, sf: E.enforce_contract(tx(spark, sf), ["amount", "dist1", "product_cd"]),
     with_(TX) + "SELECT amount, CAST(NULL AS DOUBLE) AS dist1, product_cd FROM tx")
 
-FEATURES = ["amount", "is_fraud"]
-
 
 def sequences(spark, sf, split=None):
     return S.build_sequences(split_tx(spark, sf), "card_id", "dt", ["transaction_id"], ["amount"], "is_fraud",

@@ -11,8 +11,12 @@ from cardflow.sources.views import ev, tx
 
 QUERIES = {}
 
-HIST = ["transaction_id", "card_id", "dt", "hist_count", F.round("hist_sum", 2).alias("hist_sum"),
-        F.round("hist_mean", 8).alias("hist_mean"), "hist_max"]
+
+
+def hist_columns():
+    return [F.col("transaction_id"), F.col("card_id").cast("long").alias("card_id"), "dt", "hist_count",
+            F.round("hist_sum", 2).alias("hist_sum"), F.round("hist_mean", 8).alias("hist_mean"), "hist_max"]
+
 
 HIST_SQL = f"""SELECT transaction_id, card_id, dt, count(*) OVER w AS hist_count,
   round(CAST(sum(CAST(amount AS {MONEY})) OVER w AS DOUBLE), 2) AS hist_sum,
@@ -24,13 +28,12 @@ FROM tx WINDOW w AS (PARTITION BY card_id ORDER BY dt, transaction_id
 
 def history_features(spark, sf):
     return H.history_features(clean_transactions(tx(spark, sf), "amount", "dt", "card_id"), "card_id", "dt",
-                              ["transaction_id"]).select(F.col("transaction_id"), F.col("card_id").cast("long"),
-                                                         *HIST[2:])
+                              ["transaction_id"]).select(*hist_columns())
 
 
 QUERIES["n1_history_features"] = (history_features, with_(TX) + HIST_SQL)
 QUERIES["n1_history_features_split"] = (
-    lambda spark, sf: H.history_features(tx(spark, sf), "card_id", "dt", ["transaction_id"], split=True).select(*HIST),
+    lambda spark, sf: H.history_features(tx(spark, sf), "card_id", "dt", ["transaction_id"], split=True).select(*hist_columns()),
     with_(TX) + HIST_SQL)
 
 for delay in (0, 90 * 86400):

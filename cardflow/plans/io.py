@@ -7,10 +7,10 @@ from cardflow.operators.velocity import SECOND
 from cardflow.plans.features import HYDRATE_SQL, hydrated
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
 from cardflow.plans.sql import EV, MONEY, TX, with_
-from cardflow.plans.velocity import SUMMARY, bucket_sql, summary_sql, us
+from cardflow.plans.velocity import summary_columns, summary_sql, us
 from cardflow.sources import readers as I
 from cardflow.sources import sinks as O
-from cardflow.sources.views import ev, table, tx
+from cardflow.sources.views import ev, table
 from cardflow.streaming import stateful as T
 from cardflow.streaming import streams as S
 
@@ -180,7 +180,7 @@ SELECT ws AS window_start, ws + 600000000 AS window_end, card_id, count(*) FILTE
 QUERIES["w1_hopping_stream_approx"] = (
     lambda spark, sf: drained(S.hopping_stream(stream(spark, sf)), "w1a"), None)
 QUERIES["w3_tumbling_stream"] = (
-    lambda spark, sf: drained(S.summary_stream(stream(spark, sf), "5 minutes"), "w3").select(*SUMMARY),
+    lambda spark, sf: drained(S.summary_stream(stream(spark, sf), "5 minutes"), "w3").select(*summary_columns()),
     with_(EV) + summary_sql(300 * SECOND, 300 * SECOND).replace("FROM h GROUP BY", f"FROM h WHERE ws + 300000000 <= {CLOSED} GROUP BY"))
 
 

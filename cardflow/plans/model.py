@@ -7,7 +7,7 @@ from cardflow.operators.adapt import adapt
 from cardflow.plans.relational import split_tx
 from cardflow.sources.readers import read_file_events, read_parquet
 from cardflow.sources.sinks import sink_parquet, write_parquet
-from cardflow.sources.views import prof, tx
+from cardflow.sources.views import prof
 from cardflow.streaming.streams import run_all, scratch
 
 QUERIES = {}

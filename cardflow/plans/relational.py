@@ -7,9 +7,9 @@ from cardflow.operators import aggregate as A
 from cardflow.operators import clean as P
 from cardflow.operators import joins as J
 from cardflow.operators.velocity import SECOND, trailing_velocity
-from cardflow.plans.sql import API_LOG, EV, LOG, MONEY, NULLS, PROF, SCORED2, TX, with_
+from cardflow.plans.sql import API_LOG, EV, MONEY, NULLS, PROF, SCORED2, TX, with_
 from cardflow.sources import normalize as N
-from cardflow.sources.views import api_log, ev, log, nulls, prof, scored2, table, tx
+from cardflow.sources.views import api_log, ev, nulls, prof, scored2, table, tx
 
 QUERIES = {}
 DAY = 86400

@@ -27,10 +27,11 @@ def us(col: str):
 
 # Trailing velocity
 
-VELOCITY = ["transaction_id", "card_id", "count_short", F.round("total_short", 4).alias("total_short"),
-            F.round("avg_short", 7).alias("avg_short"), "count_long", F.round("total_long", 4).alias("total_long"),
-            F.round("avg_long", 7).alias("avg_long"), F.round("count_ratio", 7).alias("count_ratio"),
-            F.round("amount_ratio", 7).alias("amount_ratio"), "amount_bucket"]
+
+def velocity_columns():
+    rounded = [F.round(c, d).alias(c) for c, d in (
+        ("total_short", 4), ("avg_short", 7), ("total_long", 4), ("avg_long", 7), ("count_ratio", 7), ("amount_ratio", 7))]
+    return ["transaction_id", "card_id", "count_short", "count_long", *rounded, "amount_bucket"]
 
 
 def velocity_sql(view: str, time: str, short: int, long: int) -> str:
@@ -48,18 +49,20 @@ SELECT transaction_id, card_id, cs AS count_short, round(ts, 4) AS total_short,
 for label, short, long in (("5m_10m", 300 * V.SECOND, 600 * V.SECOND), ("6h_24h", 6 * HOUR, 24 * HOUR)):
     QUERIES[f"n5_trailing_velocity_{label}"] = (
         lambda spark, sf, short=short, long=long: V.trailing_velocity(
-            ev(spark, sf), "card_id", "us", ["transaction_id"], short=short, long=long).select(*VELOCITY),
+            ev(spark, sf), "card_id", "us", ["transaction_id"], short=short, long=long).select(*velocity_columns()),
         with_(EV) + velocity_sql("ev", "us", short, long))
 for suffix, split in (("", None), ("_split", True)):
     QUERIES[f"n5_trailing_velocity_ties{suffix}"] = (
         lambda spark, sf, split=split: V.trailing_velocity(
             tx(spark, sf), "card_id", "dt", ["transaction_id"], short=30 * DAY, long=90 * DAY, split=split)
-        .select(*VELOCITY),
+        .select(*velocity_columns()),
         with_(TX) + velocity_sql("tx", "dt", 30 * DAY, 90 * DAY))
 
 # Features at each row's time
 
-FEATURES = ["count_short", F.round("amount_short", 4).alias("amount_short"), "count_long",
+
+def feature_columns():
+    return ["count_short", F.round("amount_short", 4).alias("amount_short"), "count_long",
             F.round("amount_long", 4).alias("amount_long"), "unique_merchants_long", "since_previous"]
 
 
@@ -78,20 +81,20 @@ GROUP BY a.transaction_id, a.card_id, a.{time}"""
 
 QUERIES["n6_features_at"] = (
     lambda spark, sf: V.features_at(ev(spark, sf), "card_id", "us", ["transaction_id"],
-                                    short=6 * HOUR, long=24 * HOUR).select("transaction_id", "card_id", *FEATURES),
+                                    short=6 * HOUR, long=24 * HOUR).select("transaction_id", "card_id", *feature_columns()),
     with_(EV) + features_sql("ev", "us", "merchant_id", 6 * HOUR, 24 * HOUR))
 for suffix, split in (("", None), ("_split", True)):
     QUERIES[f"n6_features_at_ties{suffix}"] = (
         lambda spark, sf, split=split: V.features_at(
             tx(spark, sf), "card_id", "dt", ["transaction_id"], merchant="product_cd", short=90 * DAY,
-            long=400 * DAY, split=split).select("transaction_id", "card_id", *FEATURES),
+            long=400 * DAY, split=split).select("transaction_id", "card_id", *feature_columns()),
         with_(TX) + features_sql("tx", "dt", "product_cd", 90 * DAY, 400 * DAY))
 
 NOW = 1_705_276_800 * V.SECOND  # 2024-01-15 00:00 UTC, inside the events
 
 QUERIES["n6_features_now"] = (
     lambda spark, sf: V.features_now(ev(spark, sf), "card_id", "us", ["transaction_id"], F.lit(NOW),
-                                     short=24 * HOUR, long=72 * HOUR).select("card_id", *FEATURES),
+                                     short=24 * HOUR, long=72 * HOUR).select("card_id", *feature_columns()),
     with_(EV) + f""", p AS (SELECT *, us - lag(us) OVER (PARTITION BY card_id ORDER BY us, transaction_id) AS gap
   FROM ev WHERE us <= {NOW})
 SELECT card_id, count(*) FILTER (us >= {NOW - 24 * HOUR}) AS count_short,
@@ -134,9 +137,11 @@ SELECT ws AS window_start, ws + 600000000 AS window_end, card_id,
   count(DISTINCT merchant_id) AS unique_merchants
 FROM h GROUP BY ws, card_id""")
 
-SUMMARY = [us("window_start"), us("window_end"), "card_id", "transaction_count",
-           F.round("total_amount", 4).alias("total_amount"), F.round("average_amount", 7).alias("average_amount"),
-           "amount_bucket"]
+
+def summary_columns():
+    return [us("window_start"), us("window_end"), "card_id", "transaction_count",
+            F.round("total_amount", 4).alias("total_amount"), F.round("average_amount", 7).alias("average_amount"),
+            "amount_bucket"]
 
 
 def summary_sql(size: int, slide: int) -> str:
@@ -149,10 +154,10 @@ FROM h GROUP BY ws, card_id"""
 
 
 QUERIES["w3_tumbling_5m"] = (
-    lambda spark, sf: V.window_summary(ev(spark, sf), "5 minutes").select(*SUMMARY),
+    lambda spark, sf: V.window_summary(ev(spark, sf), "5 minutes").select(*summary_columns()),
     with_(EV) + summary_sql(300 * V.SECOND, 300 * V.SECOND))
 QUERIES["w3_hopping_10m_5m"] = (
-    lambda spark, sf: V.window_summary(ev(spark, sf), "10 minutes", "5 minutes").select(*SUMMARY),
+    lambda spark, sf: V.window_summary(ev(spark, sf), "10 minutes", "5 minutes").select(*summary_columns()),
     with_(EV) + summary_sql(600 * V.SECOND, 300 * V.SECOND))
 
 for label, size, slide, back, unit in (("10m_5m", "10 minutes", "5 minutes", "5 minutes", (600, 300, 300)),
