@@ -84,6 +84,11 @@ def to_epoch(c: Column | str) -> Column:
     return F.coalesce(epoch_seconds(number), F.unix_micros(stamp) / 1e6)
 
 
+def epoch_micros(seconds: Column | str) -> Column:
+    """Seconds as whole microseconds, the time unit of the ordered functions."""
+    return F.rint(_col(seconds) * 1e6).cast("long")
+
+
 def first_present(*names: str, available: Sequence[str], default: Column | None = None) -> Column:
     """First non-null of the alias columns that exist."""
     found = [F.col(n) for n in names if n in available]

@@ -25,6 +25,7 @@ from cardflow.session import materialize, max_group_rows
 SLICE = "__slice"
 ROWS = ("count", None)
 HOT_KEYS_LIMIT = 10_000
+WHOLE = ("byte", "short", "integer", "long")
 
 Aggs = Mapping[str, tuple[str, Column | None]]
 
@@ -196,6 +197,8 @@ def prefixes(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[s
     inclusive) and adds ``{aggregate}_{label}``: unlike ``running`` with rows, tied rows never
     see each other. ``time`` is a whole number; counts are 0 and the others NULL when nothing
     qualifies. ``upto`` are sliced running aggregates, if the caller has them."""
+    if df.schema[time].dataType.typeName() not in WHOLE:
+        raise TypeError(f"{time} must be a whole number, for instance epoch microseconds")
     if split is None:
         return by_heat([df], keys, lambda rows, split: prefixes(rows, keys, time, tiebreak, aggs, points, split))
     if not split:

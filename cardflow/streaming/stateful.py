@@ -20,6 +20,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cardflow.functions.columns import true_labels
+
 # The processors travel to the executors by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,7 +80,7 @@ class TrailingSums(_Rows):
         place[order] = np.arange(len(us))
         us, amount, flag = us[order], amount[order], flag[order]
         mine = place[len(old_us):]
-        out = {"id": batch["id"].to_numpy(np.int64)}
+        out = {"id": batch["id"]}
         sums, flags = np.concatenate([[0.0], np.cumsum(amount)]), np.concatenate([[0], np.cumsum(flag)])
         for i, width in enumerate(self.widths):
             first = np.searchsorted(us, new_us - width, side="left")
@@ -92,33 +94,28 @@ class TrailingSums(_Rows):
 class LatestRecord(_Rows):
     """Events (side 1) against the latest record (side 0) at or before them."""
 
-    fields = (("us", "bigint", np.int64), ("record", "bigint", np.int64))
-
-    def __init__(self, tolerance: int, ttl_ms: int | None = None):
+    def __init__(self, tolerance: int, id_type: str, ttl_ms: int | None = None):
         super().__init__(ttl_ms)
         self.tolerance = tolerance
+        self.fields = (("us", "bigint", np.int64), ("record", id_type, object))
 
     def answer(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         old_us, old_record = self.load()
         side = batch["side"].to_numpy()
         fresh = batch[side == 0]
-        us = np.concatenate([old_us, fresh["us"].to_numpy(np.int64)])
-        record = np.concatenate([old_record, fresh["id"].to_numpy(np.int64)])
-        order = np.lexsort((record, us))
-        us, record = us[order], record[order]
+        known = pd.DataFrame({"us": np.concatenate([old_us, fresh["us"].to_numpy(np.int64)]),
+                              "record": np.concatenate([old_record, fresh["id"].to_numpy(object)])})
+        known = known.sort_values(["us", "record"], kind="stable")
+        us, record = known["us"].to_numpy(np.int64), known["record"].to_numpy(object)
+        self.store([us, record])
         events = batch[(side == 1) & batch["own"].to_numpy(bool)]
         at = events["us"].to_numpy(np.int64)
         last = np.searchsorted(us, at, side="right") - 1
-        safe = np.maximum(last, 0)
-        found = np.zeros(len(at), bool)
-        if len(us):
-            found = (last >= 0) & (at - us[safe] <= self.tolerance)
-        self.store([us, record])
-        out = pd.DataFrame({"id": events["id"].to_numpy(np.int64)})
-        out["record_us"] = pd.array(us[safe] if len(us) else np.zeros(len(at), np.int64), dtype="Int64")
-        out["record_id"] = pd.array(record[safe] if len(us) else np.zeros(len(at), np.int64), dtype="Int64")
-        out.loc[~found, ["record_us", "record_id"]] = pd.NA
-        return out
+        hit = [i if i >= 0 and t - us[i] <= self.tolerance else None for i, t in zip(last, at)]
+        return pd.DataFrame({
+            "id": events["id"].to_numpy(object),
+            "record_us": pd.array([None if i is None else us[i] for i in hit], dtype="Int64"),
+            "record_id": pd.Series([None if i is None else record[i] for i in hit], dtype=object)})
 
 
 class PreviousTime(_Rows):
@@ -134,7 +131,7 @@ class PreviousTime(_Rows):
         previous = pd.array(known[np.maximum(last, 0)], dtype="Int64")
         previous[last < 0] = pd.NA
         self.store([known[-HISTORY_LIMIT:]])
-        return pd.DataFrame({"card_id": key[0], "id": batch["id"], "us": new, "prev_us": previous})
+        return pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "prev_us": previous})
 
 
 class LastArrival(_Rows):
@@ -151,7 +148,7 @@ class LastArrival(_Rows):
         if not len(old):
             gap[0] = pd.NA
         self.store([new[-1:]])
-        yield pd.DataFrame({"card_id": key[0], "id": batch["id"], "us": new, "gap": gap})
+        yield pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "gap": gap})
 
 
 def _bucketed(df: DataFrame, key: str, width: int) -> DataFrame:
@@ -166,13 +163,16 @@ def _mode(ttl_ms: int | None) -> str:
     return "processingTime" if ttl_ms else "none"
 
 
+def _type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
 def trailing_stream(df: DataFrame, widths: Sequence[int], key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
                     amount: str = "amount", flag: str | None = None, ttl_ms: int | None = None) -> DataFrame:
     """``id, n0, s0, f0, n1, ...``: rows, sum and flagged rows in each trailing width, per row."""
-    rows = df.select(key, F.col(time).alias("us"), F.col(row_id).cast("long").alias("id"),
-                     F.col(amount).cast("double").alias("amount"),
+    rows = df.select(key, F.col(time).alias("us"), F.col(row_id).alias("id"), F.col(amount).cast("double").alias("amount"),
                      (F.col(flag).cast("long") if flag else F.lit(0).cast("long")).alias("flag"))
-    schema = "id long, " + ", ".join(f"n{i} long, s{i} double, f{i} long" for i in range(len(widths)))
+    schema = f"id {_type(df, row_id)}, " + ", ".join(f"n{i} long, s{i} double, f{i} long" for i in range(len(widths)))
     return _bucketed(rows, key, max(widths) + 1).groupBy(key, "bucket").transformWithStateInPandas(
         TrailingSums(widths, ttl_ms), schema, "append", _mode(ttl_ms))
 
@@ -180,8 +180,6 @@ def trailing_stream(df: DataFrame, widths: Sequence[int], key: str = "card_id",
 def velocity_alerts_stream(df: DataFrame, width: int, max_count: int = 3, max_spend: float = 5000.0,
                            foreign: str = "FOREIGN", ttl_ms: int | None = None) -> DataFrame:
     """Alerts of the trailing window of each row."""
-    from cardflow.functions.columns import true_labels
-
     flagged = df.withColumn("__foreign", (F.col("country") == foreign).cast("long"))
     out = trailing_stream(flagged, [width], flag="__foreign", ttl_ms=ttl_ms)
     alerts = true_labels({"VELOCITY": F.col("n0") > max_count, "BURST_SPEND": F.col("s0") > max_spend,
@@ -193,25 +191,30 @@ def velocity_alerts_stream(df: DataFrame, width: int, max_count: int = 3, max_sp
 def asof_stream(events: DataFrame, records: DataFrame, tolerance: int, key: str = "card_id", time: str = "us",
                 event_id: str = "transaction_id", record_time: str = "vel_us", record_id: str = "vel_id",
                 ttl_ms: int | None = None) -> DataFrame:
-    """For each event the latest record of its card that is not newer and at most ``tolerance`` old."""
-    left = events.select(key, F.col(time).alias("us"), F.col(event_id).cast("long").alias("id"), F.lit(1).alias("side"))
-    right = records.select(key, F.col(record_time).alias("us"), F.col(record_id).cast("long").alias("id"), F.lit(0).alias("side"))
-    return _bucketed(left.unionByName(right), key, tolerance + 1).groupBy(key, "bucket").transformWithStateInPandas(
-        LatestRecord(tolerance, ttl_ms), "id long, record_us long, record_id long", "append", _mode(ttl_ms))
+    """For each event the latest record of its card that is not newer and at most ``tolerance`` old.
+    Event and record ids have one type."""
+    left = events.select(key, F.col(time).alias("us"), F.col(event_id).alias("id"), F.lit(1).alias("side"))
+    right = records.select(key, F.col(record_time).alias("us"), F.col(record_id).alias("id"), F.lit(0).alias("side"))
+    both, kind = left.unionByName(right), _type(records, record_id)
+    return _bucketed(both, key, tolerance + 1).groupBy(key, "bucket").transformWithStateInPandas(
+        LatestRecord(tolerance, kind, ttl_ms), f"id {kind}, record_us long, record_id {kind}", "append", _mode(ttl_ms))
+
+
+def _per_key(df: DataFrame, processor: _Rows, extra: str, key: str, time: str, row_id: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.col(time).alias("us"), F.col(row_id).alias("id"))
+    schema = f"key {_type(df, key)}, id {_type(df, row_id)}, us long, {extra} long"
+    out = rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", _mode(processor.ttl_ms))
+    return out.withColumnRenamed("key", key)
 
 
 def previous_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
                         ttl_ms: int | None = None) -> DataFrame:
     """Previous time in event-time order, as ``previous_gap(prev="strict")`` in batch."""
-    rows = df.select(F.col(key).cast("long").alias("card_id"), F.col(time).alias("us"), F.col(row_id).cast("long").alias("id"))
-    out = rows.groupBy("card_id").transformWithStateInPandas(
-        PreviousTime(ttl_ms), "card_id long, id long, us long, prev_us long", "append", _mode(ttl_ms))
+    out = _per_key(df, PreviousTime(ttl_ms), "prev_us", key, time, row_id)
     return out.withColumn("gap", F.col("us") - F.col("prev_us"))
 
 
 def arrival_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
                        ttl_ms: int | None = None) -> DataFrame:
     """Distance to the previously arrived row of the key."""
-    rows = df.select(F.col(key).cast("long").alias("card_id"), F.col(time).alias("us"), F.col(row_id).cast("long").alias("id"))
-    return rows.groupBy("card_id").transformWithStateInPandas(
-        LastArrival(ttl_ms), "card_id long, id long, us long, gap long", "append", _mode(ttl_ms))
+    return _per_key(df, LastArrival(ttl_ms), "gap", key, time, row_id)

@@ -177,6 +177,12 @@ def test_causal_counters_and_labels(df, rows, split):
         assert late[row[2]] == (sum(r[4] == "x" for r in before(rows, row, lambda r, x: r[1] <= x[1] - 4)),)
 
 
+def test_fractional_times_are_refused(spark):
+    df = spark.createDataFrame([("k", 1.5, 1)], "k string, t double, id long")
+    with pytest.raises(TypeError):
+        history.previous_gap(df, "k", "t", ["id"], "strict")
+
+
 def test_hot_instant(spark, limit):
     """One key and one instant hold everything."""
     limit(20)

@@ -100,6 +100,32 @@ def test_asof_stream_across_batches(spark, events, inbox, tmp_path):
     assert sum(got[i] != want[i] for i in want) <= 4
 
 
+def test_text_ids_across_batches(spark, events, inbox, tmp_path):
+    """Cards and transactions are usually named by text."""
+    def named(df):
+        return df.withColumn("card_id", F.concat(F.lit("CARD-"), F.col("card_id"))).withColumn(
+            "transaction_id", F.format_string("TX-%05d", "transaction_id"))
+
+    batch = named(spark.createDataFrame(events, SCHEMA))
+    gaps, _, _ = run(stateful.previous_gap_stream(named(arriving(spark, inbox))), tmp_path, "text-gaps")
+    want = history.previous_gap(batch, "card_id", "us", ["transaction_id"], "strict")
+    assert {(r["card_id"], r["id"], r["gap"]) for r in gaps.collect()} == {
+        (r["card_id"], r["transaction_id"], r["gap"]) for r in want.collect()}
+    sums, _, _ = run(stateful.trailing_stream(named(arriving(spark, inbox)), [600 * US]), tmp_path, "text-sums")
+    want = velocity.trailing_velocity(batch, "card_id", "us", ["transaction_id"])
+    assert {(r["id"], r["n0"], r["s0"]) for r in sums.collect()} == {
+        (r["transaction_id"], r["count_long"], r["total_long"]) for r in want.collect()}
+    source = named(arriving(spark, inbox))
+    records = source.select("card_id", F.col("us").alias("vel_us"), F.concat(F.lit("V"), "transaction_id").alias("vel_id"))
+    found, _, _ = run(stateful.asof_stream(named(arriving(spark, inbox)), records, 100 * US), tmp_path, "text-asof")
+    assert {(r["id"], r["record_id"]) for r in found.collect()} == {
+        (r["transaction_id"], "V" + r["transaction_id"]) for r in batch.collect()}
+
+
+def test_console_sink(spark, inbox, tmp_path):
+    streams.run_all([sinks.sink_console(arriving(spark, inbox).select("transaction_id"), str(tmp_path / "console-c"), rows=1)])
+
+
 def test_windows_across_batches(spark, events, inbox, tmp_path):
     stream = arriving(spark, inbox).withColumn("event_time", F.timestamp_micros("us"))
     out, _, _ = run(streams.hopping_stream(stream, "1 minute", distinct="set"), tmp_path, "hop")
