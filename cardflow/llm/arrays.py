@@ -1,7 +1,7 @@
 """Whole Arrow batches of texts as numpy arrays: words, lines and their 64-bit hashes.
 
-Texts are worked on as UTF-8 bytes. A batch is cut into parts of a few MB at separators, so that the
-memory of a task does not depend on the length of a text (a single word longer than a part is one part)."""
+Texts are worked on as UTF-8 bytes, in parts of a few MB, so that the tables of a task stay small whatever the length of
+a text (a single word or line that is longer is a part of its own)."""
 
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-NEWLINE = np.zeros(256, bool)
-NEWLINE[0x0A] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -69,27 +67,15 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
 
 
-def _parts(data: np.ndarray, separator: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts the bytes after a separator, into parts of about PART_BYTES."""
-    at = 0
-    while at < len(data):
-        end = min(at + PART_BYTES, len(data))
-        while end < len(data) and not separator[data[end - 1]]:
-            ahead = np.flatnonzero(separator[data[end : end + PART_BYTES]])
-            end = end + int(ahead[0]) + 1 if len(ahead) else min(end + PART_BYTES, len(data))
-        yield at, end
-        at = end
-
-
-def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: np.ndarray, lower: bool = False,
-                  lengths: tuple[int, ...] = ()) -> list[np.ndarray]:
-    """Hashes of data[start:end], and of the first bytes of each, as many as lengths says (the whole where it is shorter)."""
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lengths: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hashes of data[start:end], and of the first bytes of each, as many as lengths says (the whole where it is shorter).
+    The spans follow one another."""
     out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(lengths))]
-    for a, b in _parts(data, separator):
-        i, j = np.searchsorted(starts, (a, b))
-        if i == j:
-            continue
-        piece = data[a:b]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART_BYTES, "right")))
+        a = starts[i]
+        piece = data[a : ends[j - 1]]
         piece = LOWER[piece] if lower else piece
         total = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum((piece + np.uint64(1)) * _powers(len(piece), _P), out=total[1:])
@@ -98,6 +84,7 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separa
         for k, length in enumerate((None, *lengths)):
             stop = e if length is None else np.minimum(e, s + length)
             out[k][i:j] = mix((total[stop] - total[s]) * back + (stop - s).astype(np.uint64))
+        i = j
     return out
 
 
@@ -105,7 +92,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     """A hash of each word [^\\x20\\x09-\\x0D]+ and the offset of each text's first word. lower: A-Z count as a-z."""
     data, offsets = utf8(texts)
     starts, ends, first = spans(data, offsets, SPACE)
-    return prefix_hashes(data, starts, ends, SPACE, lower)[0], first
+    return prefix_hashes(data, starts, ends, lower)[0], first
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

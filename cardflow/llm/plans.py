@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lang_id", "near_dup", "mixing")
+MODULES = ("lang_id", "near_dup", "mixing", "line_dedup")
 
 
 def all_queries() -> dict:
