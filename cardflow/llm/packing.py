@@ -103,11 +103,15 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     closes[:-1] &= ~blank[1:]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     opens[edges], closes[edges - 1] = blank[edges], blank[edges - 1]
+    cut, ends = opens, np.zeros(len(data) + 1, bool)
+    ends[offsets] = True
     p, q = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    inner = ~np.isin(q, offsets)  # white space at the end of a text is one piece
-    long = inner & (q - p > 1)
-    other = inner & (data[q - 1] != 0x20)
-    return np.unique(np.concatenate([offsets, p, q[long] - 1, q[other], [0, len(data)]]))
+    inner = ~ends[q]  # white space at the end of a text is one piece
+    cut[q[inner & (q - p > 1)] - 1] = True
+    cut[q[inner & (data[q - 1] != 0x20)]] = True
+    cut |= ends[:-1]
+    cut[0] = True
+    return np.append(np.flatnonzero(cut), len(data))
 
 
 _encoders: dict[str, Encoder] = {}
