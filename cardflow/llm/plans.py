@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lang_id", "near_dup", "mixing", "line_dedup", "packing", "toxicity", "html_text")
+MODULES = ("lang_id", "near_dup", "mixing", "line_dedup", "packing", "toxicity", "html_text", "media")
 
 
 def all_queries() -> dict:
