@@ -203,7 +203,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; those that are rejected go."""
     model = fit(docs)
-    return docs.withColumn("_found", predict(F.col("text"), model)).where("not _found.rejected").drop("_found")
+    return docs.select(F.struct("*").alias("doc"), predict(F.col("text"), model).alias("found")).where("not found.rejected").select("doc.*")
 
 
 QUERIES = {"op1_language_id": (query, None)}

@@ -105,7 +105,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: rows of documents, some twice; the last one that a source serves ends at the word it has come to."""
     rows = mix(docs)
     words = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("taken"), F.lit("}+"))
-    text = F.when(F.col("taken") < F.col("size"), F.regexp_extract(F.col("doc.text"), words, 0)).otherwise(F.col("doc.text"))
+    text = F.when(F.col("taken") < F.col("size"), F.regexp_substr(F.col("doc.text"), words)).otherwise(F.col("doc.text"))
     rows = rows.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
     if "n_chars" not in docs.columns:
         return rows
