@@ -88,6 +88,14 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     return out
 
 
+def sequence_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs h[first:last], which depend on the order within."""
+    n = len(h)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(n, _P))])
+        return mix((total[last] - total[first]) * _powers(n + 1, _P_INVERSE)[first] + (last - first).astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word [^\\x20\\x09-\\x0D]+ and the offset of each text's first word. lower: A-Z count as a-z."""
     data, offsets = utf8(texts)

@@ -32,23 +32,27 @@ WRAP = 4
 MIN_WORDS = 30
 #: Bytes that an occurrence can be widened by, on each side.
 REACH = 400
+#: Most keys of texts that are broadcast (8 bytes each), to leave out the others before a shuffle; beyond it, the joins shuffle.
+MOST_KEYS = 1_000_000
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ends of the wrapped lines of all texts, and whether each is the end of a line of the text."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    h = np.zeros(len(data), np.uint32)
-    for back, odd in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35), (4, 0x27D4EB2F)):
-        h[back:] += data[:-back] * np.uint32(odd)
-        h ^= h >> np.uint32(13)
     whole = data == 0x0A
     whole[offsets[1:][offsets[1:] > 0] - 1] = True
     wrap = data == 0x20
     for i in range(4):  # there the bytes before are another text's
         wrap[np.minimum(offsets[:-1] + i, len(data) - 1)] = False
-    drawn = ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)) % np.uint32(WRAP) == 0
-    ends = np.flatnonzero(whole | (wrap & drawn))
+    at = np.flatnonzero(wrap)
+    h = np.zeros(len(at), np.uint32)
+    for back, odd in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35), (4, 0x27D4EB2F)):
+        h += data[at - back] * np.uint32(odd)
+        h ^= h >> np.uint32(13)
+    whole_or_wrapped = whole.copy()
+    whole_or_wrapped[at[((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)) % np.uint32(WRAP) == 0]] = True
+    ends = np.flatnonzero(whole_or_wrapped)
     return ends + 1, whole[ends]
 
 
@@ -61,16 +65,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h = arrays.prefix_hashes(data, starts, ends)[0]
     rolling = h.copy()
     inner = np.flatnonzero(~whole[:-1]) + 1  # lines that go on the one before
-    with np.errstate(over="ignore"):
-        rolling[inner] = arrays.mix(h[inner - 1] * np.uint64(0x100000001B3) + h[inner])
+    rolling[inner] = arrays.mix(h[inner - 1] * np.uint64(0x100000001B3) + h[inner])
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     before, after = np.full(len(h), top), np.full(len(h), top)
     before[inner], after[inner - 1] = rolling[inner - 1], rolling[inner]
     cut = np.flatnonzero(whole | ((rolling < before) & (rolling <= after)))
     first = np.concatenate([[0], cut[:-1] + 1])
     many = cut > first
-    s, e = starts[first[many]], ends[cut[many]]
-    return s, e, arrays.prefix_hashes(data, s, e)[0]
+    first, last = first[many], cut[many]
+    return starts[first], ends[last], arrays.sequence_hashes(h, first, last + 1)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,30 +163,39 @@ def _key() -> Column:
 
 def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> DataFrame:
     """Two structs: the row as it was, and its text without repeated passages, the removed spans (code points) and their words."""
-    rows = docs.select(F.struct("*").alias(keep), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known = rows.where("doc_id is not null and text is not null").select("doc_id", _key().alias("key"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("key", F.when(F.col("doc_id").isNotNull(), _key()))
+    known = rows.where("doc_id is not null and text is not null").select("doc_id", "key", "text")
     seen = stored(known.mapInArrow(_occurrences, "h long, doc_id long, key long, at int, end int"))
-    often = small(stored(seen.groupBy("h").count().where("count > 1").select("h")), 1_000_000)
+    often = seen.groupBy("h").count().where("count > 1").select("h")
     some = stored(seen.join(often, "h"))
     place = F.struct("doc_id", "key", "at")
-    first = stored(some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
-        "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at")))
-    later = some.join(first, "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at"))).withColumn("from_end", F.expr("from_at + end - at"))
+    first = some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
+        "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at"))
+    later = some.join(stored(first), "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at")))
+    later = later.withColumn("from_end", F.expr("from_at + end - at")).drop("h").distinct()
 
     by_place = W.partitionBy("doc_id", "key").orderBy("at")
     on = (F.lag("end").over(by_place) == F.col("at")) & (F.lag("from_key").over(by_place) == F.col("from_key")) & (F.lag("from_end").over(by_place) == F.col("from_at"))
-    later = later.distinct().withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place))
+    later = later.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place))
     finds = stored(later.groupBy("doc_id", "key", "run").agg(*[f(c).alias(c) for f, c in (
         (F.min, "at"), (F.max, "end"), (F.min, "from_id"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"))]))
 
-    wanted = stored(finds.select("from_key", "from_at", "from_end").distinct().groupBy("from_key").agg(F.collect_list(F.struct("from_at", "from_end")).alias("wanted")))
-    holders = known.withColumnRenamed("key", "from_key").join(small(wanted, 50_000), "from_key").select("from_key", "wanted", "text")
-    same = holders.mapInArrow(_first_bytes, "from_key long, from_at int, from_end int, before binary, same binary, after binary")
-    same = stored(same.dropDuplicates(["from_key", "from_at", "from_end"]))
-    finds = finds.join(same, ["from_key", "from_at", "from_end"])
-    finds = finds.groupBy("key").agg(F.collect_list(F.struct("at", "end", "before", "same", "after")).alias("finds"))
-    keyed = rows.withColumn("key", F.when(F.col("doc_id").isNotNull(), _key()))
-    return keyed.join(finds, "key", "left").select(keep, F.arrow_udf(_removed, RESULT)("text", "finds").alias(into))
+    wanted = finds.select("from_key", "from_at", "from_end").distinct().groupBy("from_key").agg(F.collect_list(F.struct("from_at", "from_end")).alias("wanted"))
+    holders = small(stored(finds.select(F.col("from_key").alias("key")).distinct()), MOST_KEYS)
+    held = known.join(holders, "key", "left_semi").withColumnRenamed("key", "from_key").join(wanted, "from_key").select("from_key", "wanted", "text")
+    same = held.mapInArrow(_first_bytes, "from_key long, from_at int, from_end int, before binary, same binary, after binary")
+    same = same.dropDuplicates(["from_key", "from_at", "from_end"])
+    finds = stored(finds.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "before", "same", "after")).alias("finds")))
+
+    # only texts that change are moved and go through Python
+    changing = small(finds.select("key"), MOST_KEYS)
+    changed = rows.join(changing, "key", "left_semi").join(finds, "key").select("rest", "text", F.arrow_udf(_removed, RESULT)("text", "finds").alias(into))
+    others = rows.join(changing, "key", "left_anti")
+    same = F.struct("text", F.array().cast("array<struct<start:long,end:long>>").alias("removed"), F.lit(0).cast("long").alias("removed_words")).cast(RESULT)
+    both = changed.unionByName(others.select("rest", "text", same.alias(into)))
+    doc = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return both.select(F.struct(*doc).alias(keep), into)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
