@@ -17,29 +17,40 @@ AUDIT_SCORE = 0.60
 
 EPOCH_MS_ABOVE = 1e11
 DAY_SECONDS = 86400
-MONEY_UNIT = 1e6  # money is added up in millionths
-LONG_MONEY = 9e12  # above this, millionths no longer fit a long
+MONEY_UNIT = 1e6  # money is added up in millionths unless the caller gives another unit
+LONG_UNITS = 9e18  # more units do not fit a long
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: Column | str) -> Column:
-    """Exact amount in millionths: sums do not depend on row order and differences lose no
-    digits. Whole numbers go through a long, which is far cheaper than a decimal cast."""
-    units = F.rint(_col(c).cast("double") * MONEY_UNIT)
-    return F.when(F.abs(_col(c)) < LONG_MONEY, units.cast("long").cast("decimal(38,0)")).otherwise(
-        units.cast("decimal(38,0)"))
+def _countable(x: Column, unit: float) -> Column:
+    return F.abs(x) < F.lit(LONG_UNITS / unit)  # NaN is above everything
 
 
-def amount_of(units: Column | str) -> Column:
-    """Millionths back to an amount."""
-    return _col(units).cast("double") / MONEY_UNIT
+def money(c: Column | str, unit: float = MONEY_UNIT) -> Column:
+    """The whole units of an amount (millionths by default): sums do not depend on row order and differences lose no
+    digits. Amounts that are not finite or too large for a long have 0 here; what is missing is in ``money_rest``."""
+    x = _col(c).cast("double")
+    return F.when(_countable(x, unit), F.rint(x * unit).cast("long")).when(x.isNotNull(), F.lit(0).cast("long")).cast("decimal(38,0)")
 
 
-def money_sum(c: Column | str) -> Column:
-    return amount_of(F.sum(money(c)))
+def money_rest(c: Column | str, unit: float = MONEY_UNIT) -> Column:
+    """What ``money`` leaves: parts of a unit (0 for amounts with at most the digits of the unit), and whole amounts that are
+    not finite or too large. Added up as doubles, as Spark's own sum does."""
+    x = _col(c).cast("double")
+    return F.when(_countable(x, unit), x - F.rint(x * unit) / unit).otherwise(x)
+
+
+def amount_of(units: Column | str, rest: Column | str | None = None, unit: float = MONEY_UNIT) -> Column:
+    """Units, and the rest if there is one, back to an amount."""
+    whole = _col(units).cast("double") / unit
+    return whole if rest is None else whole + _col(rest)
+
+
+def money_sum(c: Column | str, unit: float = MONEY_UNIT) -> Column:
+    return amount_of(F.sum(money(c, unit)), F.sum(money_rest(c, unit)), unit)
 
 
 def bucketize(c: Column | str, scale: Sequence[tuple[float | None, str]], right: bool = False) -> Column:

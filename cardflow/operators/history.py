@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardflow.functions.columns import amount_of, money
+from cardflow.functions.columns import amount_of, money, money_rest
 from cardflow.operators.ordered import ROWS, Aggs, latest, prefix, running
 
 
@@ -19,9 +19,9 @@ def history_features(df: DataFrame, key: str, time: str, tiebreak: Sequence[str]
     """Count, sum, mean and maximum over the earlier rows of the key; the first row has
     count 0 and no values."""
     out = running(df, [key], _order(time, tiebreak), {
-        "hist_count": ROWS, "__sum": ("sum", money(amount)), "hist_max": ("max", F.col(amount)),
+        "hist_count": ROWS, "__sum": ("sum", money(amount)), "__rest": ("sum", money_rest(amount)), "hist_max": ("max", F.col(amount)),
     }, include_current=False, split=split)
-    total = amount_of("__sum")
+    total = amount_of("__sum", "__rest")
     return out.select(*df.columns, "hist_count", total.alias("hist_sum"),
                       (total / F.nullif(F.col("hist_count"), F.lit(0))).alias("hist_mean"), "hist_max")
 
@@ -93,8 +93,8 @@ def running_totals(df: DataFrame, key: str, time: str, tiebreak: Sequence[str],
                    split: bool | None = None) -> DataFrame:
     """Total and count of the key including the row."""
     out = running(df, [key], _order(time, tiebreak),
-                  {"__sum": ("sum", money(amount)), "running_count": ROWS}, split=split)
-    return out.select(*df.columns, amount_of("__sum").alias("running_total"), "running_count")
+                  {"__sum": ("sum", money(amount)), "__rest": ("sum", money_rest(amount)), "running_count": ROWS}, split=split)
+    return out.select(*df.columns, amount_of("__sum", "__rest").alias("running_total"), "running_count")
 
 
 def replay_order(df: DataFrame, time: str, tiebreak: Sequence[str]) -> DataFrame:

@@ -229,26 +229,28 @@ def prefix(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str
 
 def trailing(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str],
              widths: Mapping[str, int], aggs: Aggs, peers: str = "arrived",
-             split: bool | None = None) -> DataFrame:
+             split: bool | None = None, now: Aggs | None = None) -> DataFrame:
     """Counts and sums over ``[time - width, time]`` for every row, as the difference of
     two running totals: the cost is linear however long the window is. Sums should be
     decimal so that the difference is exact. ``peers="arrived"`` counts tied rows up to
     the row itself in ``tiebreak`` order, ``peers="all"`` all tied rows.
-    Adds ``{agg}_{width name}`` for every pair."""
+    Adds ``{agg}_{width name}`` for every pair, and the aggregates ``now`` over all rows up to this one."""
     if split is None:
         return by_heat([df], keys, lambda rows, split: trailing(
-            rows, keys, time, tiebreak, widths, aggs, peers, split))
+            rows, keys, time, tiebreak, widths, aggs, peers, split, now))
+    now = now or {}
     points = {f"__old_{label}": (width, False) for label, width in widths.items()}
     if peers == "arrived":
         order = [F.col(time), *[F.col(t) for t in tiebreak]]
-        out = running(df, keys, order, {f"{n}___now": a for n, a in aggs.items()}, split=split)
+        out = running(df, keys, order, {f"{n}___now": a for n, a in {**aggs, **now}.items()}, split=split)
         upto = out.select(*keys, time, *tiebreak, *[F.col(f"{n}___now").alias(n) for n in aggs]) if split else None
         out = prefixes(out, keys, time, tiebreak, aggs, points, split, upto)
     else:
-        out = prefixes(df, keys, time, tiebreak, aggs, {"__now": (0, True), **points}, split)
+        out = prefixes(df, keys, time, tiebreak, {**aggs, **now}, {"__now": (0, True)}, split)
+        out = prefixes(out, keys, time, tiebreak, aggs, points, split)
     return out.select(*df.columns, *[
         (F.col(f"{n}___now") - F.coalesce(F.col(f"{n}___old_{label}"), F.lit(0))).alias(f"{n}_{label}")
-        for label in widths for n in aggs])
+        for label in widths for n in aggs], *[F.col(f"{n}___now").alias(n) for n in now])
 
 
 def tail_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, length: int,

@@ -9,21 +9,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import (
-    AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, amount_of, bucketize, money, money_sum, ratio, true_labels)
+    AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, LONG_UNITS, MONEY_UNIT, amount_of, bucketize, money, money_rest, money_sum, ratio, true_labels)
 from cardflow.operators.ordered import ROWS, by_heat, prefixes, running, trailing
 
 SECOND = 1_000_000
+LARGE = LONG_UNITS / MONEY_UNIT
+
+
+def _parts(amount: str) -> dict[str, tuple[str, Column]]:
+    """What sums over trailing windows are made of: whole units, parts of a unit, and amounts too large for units."""
+    rest, huge = money_rest(amount), F.abs(F.col(amount).cast("double")) >= LARGE
+    return {"__s": ("sum", money(amount)), "__r": ("sum", F.when(huge | F.isnan(rest), 0.0).otherwise(rest)),
+            "__b": ("sum", F.when(huge & (F.abs(rest) < float("inf")), rest).otherwise(0.0))}
+
+
+def _odd(amount: str, time: str) -> dict[str, tuple[str, Column]]:
+    """The latest time of each kind of amount that has no units: whether one is in a window does not follow from a difference."""
+    value = F.col(amount).cast("double")
+    kinds = {"nan": F.isnan(value), "inf": value == float("inf"), "-inf": value == float("-inf"), "huge": (F.abs(value) >= LARGE) & (F.abs(value) < float("inf"))}
+    return {f"__{name}": ("max", F.when(hit, F.col(time))) for name, hit in kinds.items()}
+
+
+def _total(label: str, time: str, width: int) -> Column:
+    """The sum over a trailing window, as Spark's own sum would be."""
+    inside = {name: F.coalesce(F.col(f"`__{name}`") >= F.col(time) - F.lit(width), F.lit(False)) for name in ("nan", "inf", "-inf", "huge")}
+    odd = F.when(inside["nan"] | (inside["inf"] & inside["-inf"]), float("nan")).when(inside["inf"], float("inf")).when(inside["-inf"], float("-inf"))
+    total = amount_of(f"__s_{label}", f"__r_{label}")
+    return odd.when(inside["huge"], total + F.col(f"__b_{label}")).otherwise(total)
 
 
 def trailing_velocity(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amount: str = "amount",
                       short: int = 300 * SECOND, long: int = 600 * SECOND, split: bool | None = None) -> DataFrame:
     """Count, sum and average over ``[time - width, time]`` for two widths, their ratios and
     the bucket of the long sum. Tied rows count up to the row itself."""
-    out = trailing(df, [key], time, tiebreak, {"short": short, "long": long},
-                   {"__n": ROWS, "__s": ("sum", money(amount))}, split=split)
+    widths = {"short": short, "long": long}
+    out = trailing(df, [key], time, tiebreak, widths, {"__n": ROWS, **_parts(amount)}, split=split, now=_odd(amount, time))
 
     def total(w: str) -> Column:
-        return F.greatest(F.coalesce(amount_of(f"__s_{w}"), F.lit(0.0)), F.lit(0.0))
+        return F.greatest(F.coalesce(_total(w, time, widths[w]), F.lit(0.0)), F.lit(0.0))
 
     one = F.lit(1)
     return out.select(
@@ -75,21 +98,22 @@ def features_at(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amo
     if split is None:
         return by_heat([df], [key], lambda rows, split: features_at(
             rows, key, time, tiebreak, amount, merchant, short, long, split))
-    aggs = {"__n": ROWS, "__s": ("sum", money(amount)), "__t": ("max", F.col(time))}
-    out = prefixes(df, [key], time, tiebreak, aggs, {
-        "now": (0, True), "before": (0, False), "short": (short, False), "long": (long, False)}, split)
+    aggs = {"__n": ROWS, **_parts(amount), "__t": ("max", F.col(time))}
+    out = prefixes(df, [key], time, tiebreak, {**aggs, **_odd(amount, time)}, {"now": (0, True)}, split)
+    out = prefixes(out, [key], time, tiebreak, aggs, {"before": (0, False), "short": (short, False), "long": (long, False)}, split)
     out = trailing_distinct(out, key, time, tiebreak, merchant, long, "unique_merchants_long", split=split)
 
-    def total(w: str) -> Column:
-        return amount_of(F.col("__s_now") - F.coalesce(F.col(f"__s_{w}"), F.lit(0)))
+    out = out.withColumnsRenamed({f"__{name}_now": f"__{name}" for name in ("nan", "inf", "-inf", "huge")})
+    for w in ("short", "long"):
+        out = out.withColumns({f"__{p}_{w}": F.col(f"__{p}_now") - F.coalesce(F.col(f"__{p}_{w}"), F.lit(0)) for p in ("s", "r", "b")})
 
     # The distance between the two latest events up to now is 0 when now itself is tied.
     tied = F.col("__n_now") - F.col("__n_before") > 1
     gap = F.when(tied, F.lit(0).cast("long")).otherwise(F.col(time) - F.col("__t_before"))
     return out.select(
         *df.columns,
-        (F.col("__n_now") - F.col("__n_short")).alias("count_short"), total("short").alias("amount_short"),
-        (F.col("__n_now") - F.col("__n_long")).alias("count_long"), total("long").alias("amount_long"),
+        (F.col("__n_now") - F.col("__n_short")).alias("count_short"), _total("short", time, short).alias("amount_short"),
+        (F.col("__n_now") - F.col("__n_long")).alias("count_long"), _total("long", time, long).alias("amount_long"),
         "unique_merchants_long", gap.alias("since_previous"))
 
 
@@ -118,10 +142,10 @@ def velocity_alerts(df: DataFrame, key: str, time: str, tiebreak: Sequence[str],
     above ``max_spend``, or a foreign country beside another one."""
     is_foreign = F.col(country) == foreign
     out = trailing(df, [key], time, tiebreak, {"w": width}, {
-        "__n": ROWS, "__s": ("sum", money(amount)),
+        "__n": ROWS, **_parts(amount),
         "__foreign": ("count", F.when(is_foreign, 1)),
-        "__other": ("count", F.when(~is_foreign & (F.col(country) != ""), 1))}, split=split)
-    spend = amount_of("__s_w")
+        "__other": ("count", F.when(~is_foreign & (F.col(country) != ""), 1))}, split=split, now=_odd(amount, time))
+    spend = _total("w", time, width)
     alerts = true_labels({
         "VELOCITY": F.col("__n_w") > max_count,
         "BURST_SPEND": spend > max_spend,
@@ -167,7 +191,7 @@ def _hopping_panes(df: DataFrame, size: int, slide: int, tail: int, key: str, ti
     k, keep = size // slide, (size - tail) // slide
     panes = df.filter(F.col(time).isNotNull()).groupBy(
         key, F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(slide)).alias("__p"), merchant).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"))
+        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
     pane = F.col("__p")
     blocks = F.array_distinct(F.array(F.floor((pane - (k - 1)) / F.lit(k)), F.floor(pane / F.lit(k))))
     placed = panes.withColumn("__b", F.explode(blocks)).repartition(key, "__b")
@@ -176,8 +200,8 @@ def _hopping_panes(df: DataFrame, size: int, slide: int, tail: int, key: str, ti
     in_tail = pane >= F.col("__w") + keep
     out = placed.withColumn("__w", F.explode(starts)).groupBy(key, "__b", "__w").agg(
         F.sum(F.when(in_tail, F.col("__n")).otherwise(0)).alias("count_tail"),
-        F.coalesce(amount_of(F.sum(F.when(in_tail, F.col("__s")))), F.lit(0.0)).alias("amount_tail"),
-        F.sum("__n").alias("count_window"), amount_of(F.sum("__s")).alias("amount_window"),
+        F.coalesce(amount_of(F.sum(F.when(in_tail, F.col("__s"))), F.sum(F.when(in_tail, F.col("__r")))), F.lit(0.0)).alias("amount_tail"),
+        F.sum("__n").alias("count_window"), amount_of(F.sum("__s"), F.sum("__r")).alias("amount_window"),
         F.count_distinct(merchant).alias("unique_merchants"))
     start = F.col("__w") * slide
     return out.select(F.timestamp_micros(start).alias("window_start"), F.timestamp_micros(start + size).alias("window_end"), key,
@@ -203,15 +227,15 @@ def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 min
     event. Batch only. Rows are first summed per (window, key, instant), so a hot window
     enters the join with its latest instant in pre-aggregated form."""
     instants = df.groupBy(F.window(time, size, slide).alias("__w"), key, time).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"))
+        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
     newest = instants.groupBy("__w", key).agg(F.max(time).alias("__latest")).select(
         F.col("__w").alias("__lw"), F.col(key).alias("__lk"), "__latest")
     joined = instants.join(newest, (F.col("__w") == F.col("__lw")) & F.col(key).eqNullSafe(F.col("__lk")))
     recent = F.col(time) >= F.col("__latest") - F.expr(f"INTERVAL {back}")
     out = joined.groupBy("__w", key).agg(
         F.sum(F.when(recent, F.col("__n")).otherwise(0)).alias("count_short"),
-        amount_of(F.sum(F.when(recent, F.col("__s")))).alias("total_short"),
-        F.sum("__n").alias("count_long"), amount_of(F.sum("__s")).alias("total_long"))
+        amount_of(F.sum(F.when(recent, F.col("__s"))), F.sum(F.when(recent, F.col("__r")))).alias("total_short"),
+        F.sum("__n").alias("count_long"), amount_of(F.sum("__s"), F.sum("__r")).alias("total_long"))
     total_ratio = F.when(F.col("total_long") > 0, ratio(F.col("total_short"), F.col("total_long"))).otherwise(0.0)
     return out.select(
         F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,

@@ -7,7 +7,8 @@ from cardflow.operators import history as H
 from cardflow.operators.clean import clean_transactions
 from cardflow.operators.ordered import ROWS
 from cardflow.plans.sql import EV, MONEY, TX, with_
-from cardflow.sources.views import ev, tx
+from cardflow.plans.sql import digits as sql_digits, odd as sql_odd
+from cardflow.sources.views import digits, ev, odd, tx
 
 QUERIES = {}
 
@@ -36,6 +37,13 @@ QUERIES["n1_history_features_split"] = (
     lambda spark, sf: H.history_features(tx(spark, sf), "card_id", "dt", ["transaction_id"], split=True).select(*hist_columns()),
     with_(TX) + HIST_SQL)
 
+for suffix, split in (("", None), ("_split", True)):
+    QUERIES[f"n1_history_odd{suffix}"] = (
+        lambda spark, sf, split=split: H.history_features(odd(tx(spark, sf)), "card_id", "dt", ["transaction_id"], split=split).select(
+            "transaction_id", "hist_count", digits("hist_sum", 7).alias("hist_sum")),
+        with_(TX, sql_odd("tx")) + f"""SELECT transaction_id, count(*) OVER w AS hist_count, {sql_digits('sum(amount) OVER w', 7)} AS hist_sum
+FROM odd WINDOW w AS (PARTITION BY card_id ORDER BY dt, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+
 for delay in (0, 90 * 86400):
     frame = ("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING" if delay == 0 else
              f"RANGE BETWEEN UNBOUNDED PRECEDING AND {delay} PRECEDING")

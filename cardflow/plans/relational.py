@@ -8,8 +8,9 @@ from cardflow.operators import clean as P
 from cardflow.operators import joins as J
 from cardflow.operators.velocity import SECOND, trailing_velocity
 from cardflow.plans.sql import API_LOG, EV, MONEY, NULLS, PROF, SCORED2, TX, with_
+from cardflow.plans.sql import digits as sql_digits, odd as sql_odd
 from cardflow.sources import normalize as N
-from cardflow.sources.views import api_log, ev, nulls, prof, scored2, table, tx
+from cardflow.sources.views import api_log, digits, ev, nulls, odd, prof, scored2, table, tx
 
 QUERIES = {}
 DAY = 86400
@@ -346,6 +347,17 @@ QUERIES["a1_card_rollup"] = (
   max(amount) AS max_amount, CAST(sum(is_fraud) AS BIGINT) AS fraud_count, round(avg(is_fraud), 9) AS fraud_rate
 FROM tx GROUP BY card_id""")
 
+QUERIES["a1_card_rollup_odd"] = (
+    lambda spark, sf: A.aggregate_card_history(odd(tx(spark, sf)), "card_id", "amount", "is_fraud").select(
+        "card_id", "transaction_count", digits("total_amount", 7).alias("total_amount"), digits("avg_amount", 5).alias("avg_amount")),
+    with_(TX, sql_odd("tx")) + f"""SELECT card_id, count(*) AS transaction_count, {sql_digits('sum(amount)', 7)} AS total_amount,
+  {sql_digits('sum(amount) / count(*)', 5)} AS avg_amount FROM odd GROUP BY card_id""")
+QUERIES["a1_part_rollup"] = (
+    lambda spark, sf: A.aggregate_card_history(table(spark, sf, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int")), "l_suppkey", "l_extendedprice", "late").select(
+        "l_suppkey", "transaction_count", F.round("total_amount", 2).alias("total_amount"), "min_amount", "max_amount", "fraud_count"),
+    f"""SELECT l_suppkey, count(*) AS transaction_count, round(CAST(sum(CAST(l_extendedprice AS {MONEY})) AS DOUBLE), 2) AS total_amount,
+  min(l_extendedprice) AS min_amount, max(l_extendedprice) AS max_amount, CAST(sum(CAST(l_returnflag = 'R' AS INTEGER)) AS BIGINT) AS fraud_count FROM lineitem GROUP BY l_suppkey""")
+
 for label, cond in (("", "TRUE"), ("_empty", "amount < 0")):
     QUERIES[f"a2_summarize{label}"] = (
         lambda spark, sf, cond=cond: A.summarize(tx(spark, sf).filter(cond), "amount").select(

@@ -33,5 +33,16 @@ API_LOG = EV + """, api_log AS (SELECT transaction_id, us, event_time, amount AS
 MONEY = "DECIMAL(28,6)"
 
 
+def odd(view: str) -> str:
+    """``view`` with the odd amounts of ``views.odd``, named ``odd``."""
+    return f"""odd AS (SELECT * REPLACE (CASE transaction_id % 499 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE
+  WHEN 3 THEN '-Infinity'::DOUBLE WHEN 4 THEN 1e33 ELSE CASE WHEN transaction_id % 499 % 5 = 0 THEN 1e-7 ELSE amount END END AS amount) FROM {view})"""
+
+
+def digits(x: str, n: int) -> str:
+    """Rounded, unless so large that there are no such digits."""
+    return f"CASE WHEN abs({x}) < 1e15 THEN round({x}, {n}) ELSE {x} END"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cardflow.operators import velocity as V
 from cardflow.plans.sql import EV, MONEY, TX, with_
-from cardflow.sources.views import ev, tx
+from cardflow.plans.sql import digits as sql_digits, odd as sql_odd
+from cardflow.sources.views import digits, ev, odd, tx
 
 QUERIES = {}
 HOUR = 3600 * V.SECOND
@@ -51,6 +52,17 @@ for label, short, long in (("5m_10m", 300 * V.SECOND, 600 * V.SECOND), ("6h_24h"
         lambda spark, sf, short=short, long=long: V.trailing_velocity(
             ev(spark, sf), "card_id", "us", ["transaction_id"], short=short, long=long).select(*velocity_columns()),
         with_(EV) + velocity_sql("ev", "us", short, long))
+for suffix, split in (("", None), ("_split", True)):
+    QUERIES[f"n5_trailing_velocity_odd{suffix}"] = (
+        lambda spark, sf, split=split: V.trailing_velocity(
+            odd(tx(spark, sf)), "card_id", "dt", ["transaction_id"], short=30 * DAY, long=300 * DAY, split=split).select(
+            "transaction_id", "count_short", "count_long", digits("total_short", 7).alias("total_short"), digits("total_long", 7).alias("total_long"), "amount_bucket"),
+        with_(TX, sql_odd("tx")) + f""", w AS (SELECT a.transaction_id, count(*) FILTER (near) AS cs, count(*) AS cl,
+  greatest(sum(amount) FILTER (near), 0) AS ts, greatest(sum(amount), 0) AS tl
+  FROM (SELECT a.transaction_id, b.amount, b.dt >= a.dt - {30 * DAY} AS near FROM odd a JOIN odd b
+    ON b.card_id = a.card_id AND b.dt BETWEEN a.dt - {300 * DAY} AND a.dt AND (b.dt < a.dt OR b.transaction_id <= a.transaction_id)) a GROUP BY ALL)
+SELECT transaction_id, cs AS count_short, cl AS count_long, {sql_digits('ts', 7)} AS total_short, {sql_digits('tl', 7)} AS total_long,
+  {bucket_sql('tl')} AS amount_bucket FROM w""")
 for suffix, split in (("", None), ("_split", True)):
     QUERIES[f"n5_trailing_velocity_ties{suffix}"] = (
         lambda spark, sf, split=split: V.trailing_velocity(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cardflow.operators.ordered import ROWS, running
 from cardflow.session import use_utc
@@ -40,6 +40,18 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderstatus") == "F").cast("int").alias("is_fraud"))
 
 
+def odd(df: DataFrame) -> DataFrame:
+    """The amounts with some that are no ordinary sums of money: not a number, infinite, tiny and huge."""
+    part = F.pmod("transaction_id", F.lit(499))
+    return df.withColumn("amount", F.when(part == 1, float("nan")).when(part == 2, float("inf")).when(part == 3, float("-inf"))
+                         .when(part == 4, 1e33).when(part % 5 == 0, 1e-7).otherwise(F.col("amount")))
+
+
+def digits(name: str, n: int) -> Column:
+    """Rounded, unless so large that there are no such digits."""
+    return F.when(F.abs(name) < 1e15, F.round(name, n)).otherwise(F.col(name))
+
+
 def prof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("card_id"), F.col("c_mktsegment").alias("card4"),
