@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from math import lgamma
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
 BLOCK = 1 << 21  # weights held at a time
-TABLE_LIMIT = 1000  # above this mean the normal approximation is used
+SPREAD = 12  # deviations from the mean that a table of probabilities covers; what lies beyond is below 1e-30
 
 # Executors get this code with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,17 +37,20 @@ def poisson_weights(counts: np.ndarray, keys: np.ndarray, replicates: np.ndarray
     out = np.zeros(u.shape)
     for mean in np.unique(counts[counts > 0]):
         rows = counts == mean
-        if mean <= TABLE_LIMIT:
-            top = int(mean + 12 * mean ** 0.5 + 20)
-            pmf = np.exp([k * np.log(mean) - mean - lgamma(k + 1) for k in range(top)])
-            out[rows] = np.searchsorted(np.cumsum(pmf), u[rows])
-        else:
-            v = uniform(keys[rows], replicates, salt + 7)
-            z = np.sqrt(-2 * np.log(u[rows])) * np.cos(2 * np.pi * v)
-            out[rows] = np.maximum(np.round(mean + z * mean ** 0.5), 0)
+        least, cumulated = _table(float(mean))
+        out[rows] = least + np.searchsorted(cumulated, u[rows])
     return out
 
 
+def _table(mean: float) -> tuple[int, np.ndarray]:
+    """The least count that matters and the distribution function from there, by the ratios of neighbouring probabilities."""
+    reach = SPREAD * mean ** 0.5 + 20
+    least, most = max(0, int(mean - reach)), int(mean + reach)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(mean / np.arange(least + 1, most + 1)))])
+    cumulated = np.cumsum(np.exp(logs - logs.max()))
+    return least, cumulated / cumulated[-1]
+
+
 def weighted_blocks(pdf: pd.DataFrame, replicates: int, seed: int) -> Iterator[tuple]:
     """Scores in descending order with the positive and negative weights of each group."""
     pdf = pdf.sort_values(["score", "key"], ascending=[False, True], kind="stable")

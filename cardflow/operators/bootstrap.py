@@ -53,24 +53,27 @@ def _slice_areas(replicates: int, seed: int):
         fp = (before["neg"] + before["first_neg"]).to_numpy()
         inner = pdf[(pdf["score"] < pdf["score"].max()) & (pdf["score"] > pdf["score"].min())]
         precision_area, roc_area = np.zeros(replicates), np.zeros(replicates)
-        tie, tie_pos, tie_neg = None, np.zeros(replicates), np.zeros(replicates)
+        tie, tie_pos, tie_neg = None, np.zeros((0, replicates)), np.zeros((0, replicates))
 
-        def close() -> None:
-            # A finished score: its rows enter the curve together.
+        def enter(p: np.ndarray, n: np.ndarray) -> None:
+            """Finished scores in order: the rows of a score enter the curve together."""
             nonlocal tp, fp, precision_area, roc_area
-            roc_area = roc_area + tie_neg * (tp + tie_pos / 2)
-            tp, fp = tp + tie_pos, fp + tie_neg
-            precision_area = precision_area + tie_pos * tp / np.maximum(tp + fp, 1e-300)
+            if len(p):
+                up, down = tp + np.cumsum(p, axis=0), fp + np.cumsum(n, axis=0)
+                roc_area = roc_area + (n * (up - p / 2)).sum(axis=0)
+                precision_area = precision_area + (p * up / np.maximum(up + down, 1e-300)).sum(axis=0)
+                tp, fp = up[-1], down[-1]
 
         for score, wp, wn in weighted_blocks(inner, replicates, seed):
             starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
             wp, wn = np.add.reduceat(wp, starts, axis=0), np.add.reduceat(wn, starts, axis=0)
-            for s, p, n in zip(score[starts], wp, wn):
-                if s != tie:
-                    close()
-                    tie, tie_pos, tie_neg = s, np.zeros(replicates), np.zeros(replicates)
-                tie_pos, tie_neg = tie_pos + p, tie_neg + n
-        close()
+            if score[0] == tie:  # goes on from the block before
+                wp[0], wn[0] = wp[0] + tie_pos[0], wn[0] + tie_neg[0]
+            else:
+                enter(tie_pos, tie_neg)
+            enter(wp[:-1], wn[:-1])
+            tie, tie_pos, tie_neg = score[-1], wp[-1:], wn[-1:]
+        enter(tie_pos, tie_neg)
         return pd.DataFrame({"rep": np.arange(replicates), "precision_area": precision_area, "roc_area": roc_area})
     return areas
 

@@ -76,13 +76,19 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
 
 
 def lookup_profile(events: DataFrame, profiles: DataFrame, key: str = "card_id") -> DataFrame:
-    """Left join on the canonical key, so that ``CARD-7`` and ``7`` meet; ``known`` tells whether
-    a profile exists."""
-    side = profiles.select(bare_card(key).alias("__key"), F.lit(True).alias("__known"),
-                           *[c for c in profiles.columns if c != key])
-    keyed = events.withColumn("__key", bare_card(canonical_card(key)))
-    return (keyed.join(side, "__key", "left").drop("__key")
-            .withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known"))
+    """Left join in which ``CARD-7`` and ``7`` meet; ``known`` tells whether a profile exists. A card has one profile: that of the
+    event's own spelling, else that of the other. Of profiles with one spelling, the one with the greatest hash."""
+    names = [c for c in profiles.columns if c != key]
+    spelled = F.col(key).cast("string")
+    rank = F.xxhash64(*[F.col(c) for c in names if profiles.schema[c].dataType.typeName() not in ("map", "variant")])
+    profile, prefixed = F.struct(*names), spelled.startswith("CARD-")
+    side = profiles.filter(F.col(key).isNotNull()).groupBy(bare_card(key).alias("__key")).agg(
+        F.max_by(F.when(prefixed, profile), F.when(prefixed, rank)).alias("__card"),
+        F.max_by(F.when(~prefixed, profile), F.when(~prefixed, rank)).alias("__bare"))
+    keyed = events.withColumn("__key", bare_card(canonical_card(key))).join(side, "__key", "left")
+    own = F.when(spelled.startswith("CARD-"), F.coalesce("__card", "__bare")).otherwise(F.coalesce("__bare", "__card"))
+    return keyed.withColumn("__own", own).select(
+        *[F.col(c) for c in events.columns], *[F.col(f"__own.`{c}`").alias(c) for c in names], F.col("__own").isNotNull().alias("known"))
 
 
 def align_predictions(a: DataFrame, b: DataFrame, key: str, label: str, score: str) -> DataFrame:

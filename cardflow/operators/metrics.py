@@ -69,13 +69,13 @@ def threshold_scores(points: DataFrame) -> DataFrame:
     return points.select("*", *[c.alias(n) for n, c in _rates(F.col("tp"), F.col("fp"), fn, tn).items()])
 
 
-def select_threshold(points: DataFrame, metric: str = "f1", grid: int = 1000) -> DataFrame:
-    """The score that maximises ``metric``; the lowest one among equals. Balanced accuracy is
-    searched on at most ``grid`` scores at evenly spaced ranks (from the lowest score)."""
+def select_threshold(points: DataFrame, metric: str = "f1", grid: int | None = None) -> DataFrame:
+    """The score that maximises ``metric``; the lowest one among equals. All scores are
+    searched; with ``grid``, balanced accuracy only on so many scores at evenly spaced ranks (from the lowest score)."""
     if metric not in ("f1", "precision", "recall", "balanced_accuracy"):
         raise ValueError(f"unknown metric {metric!r}")
     scores = threshold_scores(points)
-    if metric == "balanced_accuracy":
+    if metric == "balanced_accuracy" and grid is not None:
         rank, last = F.col("k_all") - F.col("k"), F.col("k_all") - 1
         steps = F.least(F.lit(grid), F.col("k_all")) - 1
         place = F.ceil(rank * steps / F.greatest(last, F.lit(1)))

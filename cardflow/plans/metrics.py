@@ -82,6 +82,11 @@ i AS (SELECT (g.i * last) // greatest(steps, 1) AS rank FROM (SELECT max(last) A
   range({grid}) g(i) WHERE g.i <= steps)
 SELECT round(score, 9) AS threshold, round(v, 9) AS value FROM r WHERE rank IN (SELECT rank FROM i) ORDER BY v DESC, score LIMIT 1""")
 
+QUERIES["m4b_threshold_balanced"] = (
+    lambda spark, sf: rounded(M.select_threshold(M.curve(scored2(spark, sf), "y", "p_a"), "balanced_accuracy")),
+    C2 + """SELECT round(score, 9) AS threshold, round(v, 9) AS value FROM (SELECT score, (tp / p_all::DOUBLE + (n_all - fp) / n_all::DOUBLE) / 2 AS v FROM c)
+ORDER BY v DESC, score LIMIT 1""")
+
 SWEEP_SQL = """, t AS (SELECT i, 0.01::DOUBLE + i * ((0.99::DOUBLE - 0.01::DOUBLE) / 199) AS threshold FROM range(200) r(i)),
 s AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp,
   count(*) FILTER (y = 1 AND p < threshold) AS fn FROM t, scored GROUP BY threshold),
@@ -120,12 +125,6 @@ QUERIES["m9_ece"] = (
     with_(SCORED) + CAL_SQL + """, t AS (SELECT count(*) AS n, avg(p) AS m, avg(y) AS f FROM b GROUP BY bin)
 SELECT round(sum(n * abs(m - f)) / sum(n), 9) AS ece FROM t""")
 
-QUERIES["m10_bootstrap"] = (lambda spark, sf: B.bootstrap(scored2(spark, sf), "y", "p_a", 0.05, replicates=500), None)
-QUERIES["m10_bootstrap_ties"] = (lambda spark, sf: B.bootstrap(scored(spark, sf), "y", "p", 0.5, replicates=500), None)
-QUERIES["m11_paired_bootstrap"] = (
-    lambda spark, sf: B.paired_bootstrap(scored2(spark, sf), "y", "p_a", "p_b", replicates=500), None)
-
-
 def headline_sql(view, p, y, t, tag):
     return (CURVE.format(p=p, y=y, t=view).replace("g AS", f"g{tag} AS").replace("FROM g ", f"FROM g{tag} ")
             .replace("\nc AS", f"\nc{tag} AS") + ", " + confusion_cte(view, y, p, t).replace("x AS", f"x{tag} AS")
@@ -135,6 +134,42 @@ def headline_sql(view, p, y, t, tag):
 l{tag} AS (UNPIVOT h{tag} ON COLUMNS(*) INTO NAME metric VALUE value)""")
 
 
+
+def against(spark, intervals, points):
+    """Each metric of a bootstrap with its value on the table itself, and whether the interval fits it: in order, and its mean within a deviation."""
+    side = spark.createDataFrame([(k, float(v)) for k, v in points.items()], "metric string, point double")
+    fits = (F.col("ci_lower") <= F.col("mean")) & (F.col("mean") <= F.col("ci_upper")) & (F.abs(F.col("mean") - F.col("point")) <= F.col("std"))
+    return intervals.join(side, "metric").select("metric", F.round("point", 7).alias("point"), fits.alias("fits"), (F.col("n_valid") > 1800).alias("mostly_valid"))
+
+
+def points_of(df, y, p, threshold):
+    points = M.curve(df, y, p)
+    rates = M.confusion(df, y, p, threshold).first()
+    return {"pr_auc": M.average_precision(points).first()[0], "roc_auc": M.roc_auc(points).first()[0], **{m: rates[m] for m in ("precision", "recall", "f1", "mcc")}}
+
+
+def bootstrapped(df, y, p, threshold):
+    return against(df.sparkSession, B.bootstrap(df, y, p, threshold), points_of(df, y, p, threshold))
+
+
+def points_sql(base, view, p, t):
+    return with_(base, headline_sql(view, p, "y", t, 1)) + """SELECT CASE metric WHEN 'average_precision' THEN 'pr_auc' ELSE metric END AS metric, round(value, 7) AS point,
+  TRUE AS fits, TRUE AS mostly_valid FROM l1 WHERE metric IN ('average_precision', 'roc_auc', 'precision', 'recall', 'f1', 'mcc')"""
+
+
+def paired(spark, sf):
+    df = scored2(spark, sf)
+    delta = M.average_precision(M.curve(df, "y", "p_b")).first()[0] - M.average_precision(M.curve(df, "y", "p_a")).first()[0]
+    return against(spark, B.paired_bootstrap(df, "y", "p_a", "p_b"), {"delta_average_precision": delta})
+
+
+QUERIES["m10_bootstrap"] = (lambda spark, sf: bootstrapped(scored2(spark, sf), "y", "p_a", 0.05), points_sql(SCORED2, "scored2", "p_a", 0.05))
+QUERIES["m10_bootstrap_ties"] = (lambda spark, sf: bootstrapped(scored(spark, sf), "y", "p", 0.5), points_sql(SCORED, "scored", "p", 0.5))
+QUERIES["m11_paired_bootstrap"] = (
+    paired, with_(SCORED2, headline_sql("scored2", "p_a", "y", 0.05, 1), headline_sql("scored2", "p_b", "y", 0.05, 2))
+    + """SELECT 'delta_average_precision' AS metric, round(b.value - a.value, 7) AS point, TRUE AS fits, TRUE AS mostly_valid
+FROM l1 a JOIN l2 b USING (metric) WHERE a.metric = 'average_precision'""")
+
 QUERIES["m12_compare_models"] = (
     lambda spark, sf: rounded(M.compare_models(scored2(spark, sf), "y", "p_a", "p_b", 0.2), 7),
     with_(SCORED2, headline_sql("scored2", "p_a", "y", 0.2, 1), headline_sql("scored2", "p_b", "y", 0.2, 2))

@@ -309,6 +309,26 @@ QUERIES["j7_lookup_profile"] = (
   ELSE CAST(e.card_id AS VARCHAR) END AS card_id, p.card4, p.card1, p.addr1, p.card_id IS NOT NULL AS known
 FROM ev e LEFT JOIN prof p ON p.card_id = e.card_id AND p.addr1 >= 0""")
 
+
+
+def both_spellings(spark, sf):
+    """Profiles under the bare key, under the prefixed one, under both, and under none."""
+    p = prof(spark, sf)
+    bare = p.filter("card_id % 3 <> 0").withColumn("card_id", F.col("card_id").cast("string"))
+    return bare.unionByName(p.filter("card_id % 5 < 3").select(
+        F.concat(F.lit("CARD-"), F.col("card_id")).alias("card_id"), F.concat(F.lit("P-"), F.col("card4")).alias("card4"), "card1", "addr1"))
+
+
+SPELLED = F.when(F.col("k") % 2 == 0, F.concat(F.lit("CARD-"), F.col("card_id"))).otherwise(F.col("card_id").cast("string")).alias("card_id")
+QUERIES["j7_lookup_both_spellings"] = (
+    lambda spark, sf: J.lookup_profile(ev(spark, sf).select("transaction_id", SPELLED), both_spellings(spark, sf)).select("transaction_id", "card_id", "card4", "known"),
+    with_(EV, PROF) + """, s AS (SELECT CAST(card_id AS VARCHAR) AS key, card4 FROM prof WHERE card_id % 3 <> 0
+  UNION ALL SELECT 'CARD-' || card_id, 'P-' || card4 FROM prof WHERE card_id % 5 < 3),
+e AS (SELECT transaction_id, CAST(card_id AS VARCHAR) AS bare, CASE WHEN k % 2 = 0 THEN 'CARD-' || card_id ELSE CAST(card_id AS VARCHAR) END AS card_id FROM ev)
+SELECT e.transaction_id, e.card_id, coalesce(a.card4, CASE WHEN e.card_id = e.bare THEN c.card4 ELSE b.card4 END) AS card4,
+  a.key IS NOT NULL OR b.key IS NOT NULL OR c.key IS NOT NULL AS known
+FROM e LEFT JOIN s a ON a.key = e.card_id LEFT JOIN s b ON b.key = e.bare LEFT JOIN s c ON c.key = 'CARD-' || e.bare""")
+
 QUERIES["j9_align_predictions"] = (
     lambda spark, sf: J.alignment_summary(J.align_predictions(
         scored2(spark, sf).select("id", "y", F.col("p_a").alias("p")),
