@@ -180,6 +180,11 @@ def period_split(df: DataFrame, period: str, names: Mapping[int, str]) -> DataFr
     return df.withColumn("split", F.try_element_at(named, F.col(period))).filter(F.col("split").isNotNull())
 
 
+def unmapped_periods(df: DataFrame, period: str, names: Mapping[int, str]) -> DataFrame:
+    """Rows of each period that ``period_split`` drops."""
+    return df.filter(~F.coalesce(F.col(period).isin(list(names)), F.lit(False))).groupBy(period).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def check_counts(df: DataFrame, expected: Mapping[str, int]) -> DataFrame:
     """Rows per split against the expected number."""
     wanted = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])
@@ -190,7 +195,7 @@ def check_counts(df: DataFrame, expected: Mapping[str, int]) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int) -> DataFrame:
     """``n`` rows chosen by a seeded hash of the id: the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), id_col).limit(n)
 
 
 def canonical_keys(df: DataFrame, col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from cardflow.operators.clean import LABEL_ALIASES
 from cardflow.operators.ordered import ROWS, running
 from cardflow.operators.profile import column_group
 from cardflow.operators.quantiles import long_form, quantile_columns
-from cardflow.session import materialize
+from cardflow.session import materialize, stored
 
 MISSING, UNSEEN = "MISSING", "UNSEEN"
 TEMPORAL = ("hour_sin", "hour_cos", "day_index")
@@ -88,7 +88,7 @@ def apply_labels(df: DataFrame, model: DataFrame, cols: Sequence[str], unseen: s
                  value: str = "code") -> DataFrame:
     """Replaces categories by their code. Unseen ones become the code of UNSEEN (``token``), the
     number of categories (``next``), NULL (``null``) or 0 (``zero``)."""
-    model = materialize(model)
+    model = stored(model)  # its true size decides about a broadcast, not that of the rows it was fitted on
     out = df
     for c in cols:
         mine = model.filter(F.col("feature") == c)

@@ -19,20 +19,22 @@ CATEGORICAL = ["l_returnflag", "l_linestatus", "ship_month"]
 CUT = "1998-01-01"
 
 
-def windows(spark, sf):
-    """Reference and monitored rows; from the second window one month is unknown to the first."""
+def windows(spark, sf, unseen=False):
+    """Reference and monitored rows; with ``unseen``, one month of the second window is unknown to the first."""
     rows = table(spark, sf, "lineitem").withColumn("ship_month", F.month("l_shipdate")).select(
         "l_shipdate", *NUMERIC, *CATEGORICAL)
     before = F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")
-    ref = rows.filter(before & (F.col("ship_month") != 12))
-    return ref, rows.filter(~before)
+    return rows.filter(before & (F.col("ship_month") != 12) if unseen else before), rows.filter(~before)
 
 
 BASE = f"""li AS (SELECT *, month(l_shipdate) AS ship_month FROM lineitem),
-ref AS (SELECT * FROM li WHERE l_shipdate < TIMESTAMP '{CUT}' AND ship_month <> 12),
+ref AS (SELECT * FROM li WHERE l_shipdate < TIMESTAMP '{CUT}'),
 mon AS (SELECT * FROM li WHERE l_shipdate >= TIMESTAMP '{CUT}')"""
 
 
+UNSEEN = BASE.replace(f"TIMESTAMP '{CUT}'),", f"TIMESTAMP '{CUT}' AND ship_month <> 12),", 1)
+
+
 def numeric_sql(clip: str, source: str) -> str:
     """Long rows with their bin, from the edges of ``ref``."""
     cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS v FROM {{t}}" for c in NUMERIC)
@@ -77,6 +79,9 @@ for clip in ("none", "inner"):
 QUERIES["r3_psi_categorical"] = (
     lambda spark, sf: rounded(R.psi_categorical(reference(spark, sf, numeric=False), windows(spark, sf)[1]), ["psi"], 8),
     with_(BASE, categorical_sql()) + "SELECT feature, round(psi, 8) AS psi FROM pc")
+QUERIES["r3_psi_unseen_category"] = (
+    lambda spark, sf: rounded(R.psi_categorical(R.fit_psi(windows(spark, sf, unseen=True)[0], [], CATEGORICAL), windows(spark, sf)[1]), ["psi"], 8),
+    with_(UNSEEN, categorical_sql()) + "SELECT feature, round(psi, 8) AS psi FROM pc")
 
 
 def trigger(spark, sf):
@@ -262,7 +267,13 @@ QUERIES["d13_duplicate_rows"] = (
     """SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
   SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)""")
 
-TABLES = {"orders": 6, "lineitem": 11, "events": 6, "customer": 5, "documents": 5, "labels": 3}
+QUERIES["d13_duplicate_whole_rows"] = (
+    lambda spark, sf: D.duplicate_rows(table(spark, sf, "lineitem").unionByName(table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0"))),
+    """SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
+  SELECT count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0) GROUP BY ALL)""".replace("count(*) AS n", "COLUMNS(*), count(*) AS n"))
+
+TABLES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3,
+          "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 QUERIES["d14_inventory"] = (
     lambda spark, sf: D.inventory(spark, {t: table(spark, sf, t) for t in TABLES}),
     " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, CAST({n} AS INTEGER) AS columns FROM {t}"""

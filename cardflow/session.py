@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the checkpoint folder, read from there: unlike a checkpoint, Spark knows the size of what it
+    reads, so that it can choose a join by it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and read them from there, so that
     a lost executor replays a file read and values such as partition ids stay fixed."""
