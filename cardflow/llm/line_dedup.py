@@ -30,8 +30,12 @@ from cardflow.llm.frames import small, stored, table
 #: A space in so many ends a wrapped line.
 WRAP = 4
 MIN_WORDS = 30
+#: Bytes that a chunk has at least. Shorter ones hardly ever are the only whole chunk of a passage.
+MIN_BYTES = 32
 #: Bytes that an occurrence can be widened by, on each side.
-REACH = 400
+REACH = 256
+#: Bytes between chunks that are looked up as one, if they lie alike in both texts.
+GAP = 100
 #: Most keys of texts that are broadcast (8 bytes each), to leave out the others before a shuffle; beyond it, the joins shuffle.
 MOST_KEYS = 1_000_000
 
@@ -72,6 +76,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = np.flatnonzero(whole | ((rolling < before) & (rolling <= after)))
     first = np.concatenate([[0], cut[:-1] + 1])
     many = cut > first
+    many &= ends[cut] - starts[first] >= MIN_BYTES
     first, last = first[many], cut[many]
     return starts[first], ends[last], arrays.sequence_hashes(h, first, last + 1)
 
@@ -104,29 +109,40 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLANK = frozenset(b" \n\t\r\x0b\x0c")
 
 
+def _alike(own: bytes, same: bytes) -> list[tuple[int, int]]:
+    """Where two equally long strings agree for MIN_BYTES or more."""
+    if own == same:
+        return [(0, len(own))]
+    equal = np.frombuffer(own, np.uint8) == np.frombuffer(same, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8))).reshape(-1, 2)
+    return [(int(a), int(b)) for a, b in edges if b - a >= MIN_BYTES]
+
+
 def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
     """What to remove from a text: each find is confirmed byte by byte and widened, whole words only; spans that overlap or touch are joined."""
+    spans: list[tuple[int, int]] = []
+    for f in found:
+        start, end = f["at"], f["end"]
+        for a, b in _alike(text[start:end], f["same"]):
+            a, b = start + a, start + b
+            if a == start:
+                while start - a < len(f["before"]) and a and text[a - 1] == f["before"][a - 1 - start]:
+                    a -= 1
+            while a < b and a and text[a - 1] not in _BLANK:  # to the start of a word
+                a += 1
+            if b == end:
+                while b - end < len(f["after"]) and b < len(text) and text[b] == f["after"][b - end]:
+                    b += 1
+            while b > a and b < len(text) and text[b - 1] not in _BLANK:
+                b -= 1
+            if a < b:
+                spans.append((a, b))
     out: list[tuple[int, int]] = []
-    for f in sorted(found, key=lambda f: f["at"]):
-        a, b = f["at"], f["end"]
-        if text[a:b] != f["same"]:
-            continue
-        before, after, i = f["before"], f["after"], 0
-        most = min(len(before), a)
-        while i < most and text[a - 1 - i] == before[len(before) - 1 - i]:
-            i += 1
-        while i and a - i and text[a - i - 1] not in _BLANK:  # back to the start of a word
-            i -= 1
-        j, most = 0, min(len(after), len(text) - b)
-        while j < most and text[b + j] == after[j]:
-            j += 1
-        while j and b + j < len(text) and text[b + j - 1] not in _BLANK:
-            j -= 1
-        a, b = a - i, b + j
-        while out and a <= out[-1][1]:
-            before, end = out.pop()
-            a, b = min(a, before), max(b, end)
-        out.append((a, b))
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return [(a, b) for a, b in out if len(text[a:b].split()) >= MIN_WORDS]
 
 
@@ -173,11 +189,11 @@ def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> D
     first = some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
         "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at"))
     later = some.join(stored(first), "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at")))
-    later = later.withColumn("from_end", F.expr("from_at + end - at")).drop("h").distinct()
-
+    # one exchange by text for dropping repeated rows and for joining neighbouring chunks
+    later = later.withColumn("shift", F.col("at") - F.col("from_at")).drop("h").repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
     by_place = W.partitionBy("doc_id", "key").orderBy("at")
-    on = (F.lag("end").over(by_place) == F.col("at")) & (F.lag("from_key").over(by_place) == F.col("from_key")) & (F.lag("from_end").over(by_place) == F.col("from_at"))
-    later = later.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place))
+    on = (F.col("at") - F.lag("end").over(by_place) <= GAP) & (F.lag("from_key").over(by_place) == F.col("from_key")) & (F.lag("shift").over(by_place) == F.col("shift"))
+    later = later.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place)).withColumn("from_end", F.col("end") - F.col("shift"))
     finds = stored(later.groupBy("doc_id", "key", "run").agg(*[f(c).alias(c) for f, c in (
         (F.min, "at"), (F.max, "end"), (F.min, "from_id"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"))]))
 
