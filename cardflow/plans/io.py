@@ -251,6 +251,89 @@ SELECT transaction_id, CASE WHEN us - vel_us <= {6 * HOURS} THEN vel_us END AS r
 FROM e ASOF LEFT JOIN vel v ON e.card_id = v.card_id AND e.us >= v.vel_us""")
 
 
+# The same operators over five micro-batches, with late rows, missing amounts and countries and busy cards.
+
+WEEK = 7 * 86400 * SECOND
+LATE = "10 days"
+BATCHES_SQL = EV + f""", b AS (SELECT transaction_id, card_id % 40 AS card_id, us, CASE WHEN k % 9 <> 0 THEN amount END AS amount,
+  CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '' ELSE country END AS country,
+  CAST(least((us - (SELECT min(us) FROM ev)) // {WEEK}, 3) AS INTEGER) + CAST(k % 10 = 0 AS INTEGER) AS batch FROM ev),
+seen AS (SELECT a.transaction_id AS id, a.us AS t, x.* FROM b a JOIN b x ON x.card_id = a.card_id AND x.batch <= a.batch
+  AND (x.us < a.us OR x.us = a.us AND (x.batch, x.transaction_id) <= (a.batch, a.transaction_id)))"""
+
+
+def batches(spark, sf, late_by=1):
+    """``ev`` by weeks; every tenth row comes one batch late, or more. Busy cards, and holes in amounts and countries."""
+    rows = ev(spark, sf)
+    first = rows.agg(F.min("us")).first()[0]
+    late = (F.col("k") % 10 == 0).cast("int")
+    return rows.select(
+        "transaction_id", F.pmod("card_id", F.lit(40)).alias("card_id"), "us", F.when(F.col("k") % 9 != 0, F.col("amount")).alias("amount"),
+        F.when(F.col("k") % 11 != 0, F.when(F.col("k") % 13 == 0, "").otherwise(F.col("country"))).alias("country"),
+        (F.least(F.floor((F.col("us") - first) / F.lit(WEEK)), F.lit(3)) + late * late_by).cast("int").alias("batch"))
+
+
+def arriving(spark, rows, name):
+    """A stream that gets the rows of one batch number after the other, each as a micro-batch of its own."""
+    S.use_rocksdb(spark)
+    inbox = S.scratch(spark, name)
+    for i in range(6):
+        rows.filter(F.col("batch") == i).coalesce(1).write.mode("append").parquet(inbox)
+    return I.read_file_events(spark, inbox, rows.schema, max_files=1)
+
+
+QUERIES["w5_trailing_batches"] = (
+    lambda spark, sf: drained(T.trailing_stream(arriving(spark, batches(spark, sf), "w5b-in"), [6 * HOURS, 24 * HOURS], delay=LATE), "w5b").select(
+        F.col("id").alias("transaction_id"), F.col("n0").alias("count_short"), F.round("s0", 4).alias("total_short"),
+        F.col("n1").alias("count_long"), F.round("s1", 4).alias("total_long")),
+    with_(BATCHES_SQL) + f"""SELECT id AS transaction_id, count(*) FILTER (us >= t - {6 * HOURS}) AS count_short,
+  round(CAST(coalesce(sum(CAST(amount AS {MONEY})) FILTER (us >= t - {6 * HOURS}), 0) AS DOUBLE), 4) AS total_short, count(*) AS count_long,
+  round(CAST(coalesce(sum(CAST(amount AS {MONEY})), 0) AS DOUBLE), 4) AS total_long FROM seen WHERE us >= t - {24 * HOURS} GROUP BY id""")
+QUERIES["w6_previous_gap_batches"] = (
+    lambda spark, sf: drained(T.previous_gap_stream(arriving(spark, batches(spark, sf), "w6b-in"), delay=LATE), "w6b").select(
+        F.col("id").alias("transaction_id"), "card_id", "us", "prev_us", "gap"),
+    with_(BATCHES_SQL) + """, p AS (SELECT a.transaction_id, max(x.us) AS prev_us FROM b a JOIN b x ON x.card_id = a.card_id AND x.batch <= a.batch AND x.us < a.us GROUP BY 1)
+SELECT transaction_id, card_id, us, prev_us, us - prev_us AS gap FROM b LEFT JOIN p USING (transaction_id)""")
+QUERIES["w7_arrival_gap_batches"] = (
+    lambda spark, sf: drained(T.arrival_gap_stream(arriving(spark, batches(spark, sf), "w7b-in"), arrival="transaction_id", delay=LATE), "w7b").select(
+        F.col("id").alias("transaction_id"), "card_id", "us", "gap"),
+    with_(BATCHES_SQL) + """SELECT transaction_id, card_id, us, CASE WHEN lag(us) OVER w IS NOT NULL THEN greatest(us - lag(us) OVER w, 0) END AS gap FROM b
+WINDOW w AS (PARTITION BY card_id ORDER BY batch, transaction_id)""")
+QUERIES["w12_alerts_batches"] = (
+    lambda spark, sf: drained(T.velocity_alerts_stream(arriving(spark, batches(spark, sf), "w12b-in"), 24 * HOURS, max_spend=400.0, delay=LATE), "w12b").select(
+        "transaction_id", "count_in_window", F.round("spend_in_window", 4).alias("spend_in_window"), F.array_join("alerts", ",").alias("alerts")),
+    with_(BATCHES_SQL) + f""", w AS (SELECT id, count(*) AS n, CAST(coalesce(sum(CAST(amount AS {MONEY})), 0) AS DOUBLE) AS s,
+  count(*) FILTER (country = 'FOREIGN') AS f, count(*) FILTER (country NOT IN ('FOREIGN', '')) AS o FROM seen WHERE us >= t - {24 * HOURS} GROUP BY id)
+SELECT id AS transaction_id, n AS count_in_window, round(s, 4) AS spend_in_window, concat_ws(',', CASE WHEN n > 3 THEN 'VELOCITY' END,
+  CASE WHEN s > 400 THEN 'BURST_SPEND' END, CASE WHEN f > 0 AND o > 0 THEN 'GEO_HOP' END) AS alerts FROM w""")
+
+
+def asof_batches(spark, sf):
+    """Every third row is a record, the others are events."""
+    rows = batches(spark, sf)
+    records = rows.filter("transaction_id % 3 = 0").select("card_id", F.col("us").alias("vel_us"), F.col("transaction_id").alias("vel_id"), "batch")
+    events = rows.filter("transaction_id % 3 <> 0")
+    return drained(T.asof_stream(arriving(spark, events, "j6b-events"), arriving(spark, records, "j6b-records"), 24 * HOURS, delay=LATE), "j6b").select(
+        F.col("id").alias("transaction_id"), "record_us")
+
+
+QUERIES["j6_asof_batches"] = (
+    asof_batches, with_(BATCHES_SQL) + f"""SELECT a.transaction_id, max(x.us) AS record_us FROM b a LEFT JOIN b x ON x.card_id = a.card_id AND x.batch <= a.batch
+  AND x.us BETWEEN a.us - {24 * HOURS} AND a.us AND x.transaction_id % 3 = 0 WHERE a.transaction_id % 3 <> 0 GROUP BY 1""")
+
+
+def refused(spark, sf):
+    """Every tenth row comes two batches late. Spark refuses what is behind the watermark of the batch before the last."""
+    rows = batches(spark, sf, late_by=2).withColumn("event_time", F.timestamp_micros("us"))
+    return drained(S.dedup_stream(arriving(spark, rows, "w2-in"), ["transaction_id"], delay="2 days").select("transaction_id", "amount"), "w2b")
+
+
+QUERIES["w2_late_rows"] = (
+    refused, with_(BATCHES_SQL.replace("CAST(k % 10 = 0 AS INTEGER)", "2 * CAST(k % 10 = 0 AS INTEGER)"))
+    + f""", w AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS top FROM b GROUP BY batch)
+SELECT transaction_id, amount FROM b JOIN w USING (batch) WHERE top IS NULL OR us > top // 1000 * 1000 - {2 * 86400 * SECOND}""")
+
+
 def doubled(spark, sf):
     """Every event twice in the stream."""
     twice = stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

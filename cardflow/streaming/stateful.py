@@ -2,8 +2,12 @@
 
 The windowed operators do not keep one state per card: a card's time line is cut into
 buckets at least as long as the window, and a row is sent to its own bucket and, as
-context, to the next one. A busy card is thereby spread over many tasks, a state never
-holds more than two buckets of one card, and an idle state can expire.
+context, to the next one. A busy card is thereby spread over many tasks and a state never
+holds more than two buckets of one card.
+
+With a ``delay``, rows carry a watermark: later rows are refused by Spark, every batch drops what no accepted row can ask
+for any more, and a bucket's state goes when the watermark has passed it. Without one, ``ttl_ms`` (processing time) bounds
+the state, or nothing does. What a card's latest time is must be kept as long as the card can come back: one number.
 
 Rows of a micro-batch are ordered by (time, id) within their group. A late row is answered
 from the history seen so far. How many rows a micro-batch brings is bounded by the rate cap
@@ -17,26 +21,29 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cardflow.functions.columns import true_labels
+from cardflow.functions.columns import MONEY_UNIT, money, money_rest, true_labels
 
 # The processors travel to the executors by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HISTORY_LIMIT = 100  # fixed value: times kept per card
+LIMB = 1 << 31  # units are added up in two parts, so that no sum of them overflows
 
 
 class _Rows(StatefulProcessor):
-    """Keeps arrays per group and hands each micro-batch, in order, to ``answer``."""
+    """Keeps arrays per group, the first of them times, and hands each micro-batch, in order, to ``answer``. ``reach``: how far back
+    from the watermark a row may look. ``bucket``: length of the time buckets that are part of the key."""
 
     fields: Sequence[tuple[str, str, type]] = ()
+    order: Sequence[str] = ("us", "id")
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, reach: int = 0, bucket: int | None = None):
+        self.ttl_ms, self.reach, self.bucket = ttl_ms, reach, bucket
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = ", ".join(f"{name} array<{kind}>" for name, kind, _ in self.fields)
         self.state = handle.getValueState("rows", schema, self.ttl_ms)
 
@@ -44,14 +51,31 @@ class _Rows(StatefulProcessor):
         stored = self.state.get() if self.state.exists() else [[] for _ in self.fields]
         return [np.asarray(list(v), dtype=t) for v, (_, _, t) in zip(stored, self.fields)]
 
+    def keep(self, us: np.ndarray, watermark: int) -> np.ndarray:
+        """What rows after the watermark can still ask for."""
+        return us >= watermark - self.reach
+
     def store(self, arrays: Sequence[np.ndarray]) -> None:
+        if self.watermark is not None:
+            some = self.keep(arrays[0], self.watermark)
+            arrays = [a[some] for a in arrays]
         self.state.update(tuple(a.tolist() for a in arrays))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["us", "id"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(list(self.order), kind="stable").reset_index(drop=True)
+        at = timerValues.getCurrentWatermarkInMs() if "at" in batch.columns else -1
+        self.watermark = at * 1000 if at > 0 else None
+        if self.bucket and "at" in batch.columns:
+            ends = (key[1] + 1) * self.bucket // 1000 + 1
+            if ends > at:
+                self.handle.registerTimer(int(ends))
         yield self.answer(key, batch)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def answer(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -62,40 +86,48 @@ class _Rows(StatefulProcessor):
 class TrailingSums(_Rows):
     """Counts and sums over trailing widths, rows counted up to the row itself."""
 
-    fields = (("us", "bigint", np.int64), ("amount", "double", np.float64), ("flag", "bigint", np.int64))
-
-    def __init__(self, widths: Sequence[int], ttl_ms: int | None = None):
-        super().__init__(ttl_ms)
-        self.widths = list(widths)
+    def __init__(self, widths: Sequence[int], flags: int = 0, ttl_ms: int | None = None):
+        super().__init__(ttl_ms, max(widths), max(widths) + 1)
+        self.widths, self.flags = list(widths), flags
+        self.fields = (("us", "bigint", np.int64), ("units", "bigint", np.int64), ("rest", "double", np.float64),
+                       *[(f"f{j}", "bigint", np.int64) for j in range(flags)])
 
     def answer(self, key, batch: pd.DataFrame) -> pd.DataFrame:
-        old_us, old_amount, old_flag = self.load()
+        old = self.load()
         new_us = batch["us"].to_numpy(np.int64)
-        us = np.concatenate([old_us, new_us])
-        amount = np.concatenate([old_amount, batch["amount"].to_numpy(np.float64)])
-        flag = np.concatenate([old_flag, batch["flag"].to_numpy(np.int64)])
+        every = [np.concatenate([o, batch[name].to_numpy(kind)]) for o, (name, _, kind) in zip(old, self.fields)]
         # Rows that came earlier go before new rows of the same time.
-        order = np.argsort(us, kind="stable")
-        place = np.empty(len(us), np.int64)
-        place[order] = np.arange(len(us))
-        us, amount, flag = us[order], amount[order], flag[order]
-        mine = place[len(old_us):]
+        order = np.argsort(every[0], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        us, units, rest, *flags = (a[order] for a in every)
+        mine = place[len(old[0]):]
+        high, low = _upto(units // LIMB), _upto(units % LIMB)
+        odd, counted = _upto((rest != 0).astype(np.int64)), [_upto(f) for f in flags]
         out = {"id": batch["id"]}
-        sums, flags = np.concatenate([[0.0], np.cumsum(amount)]), np.concatenate([[0], np.cumsum(flag)])
         for i, width in enumerate(self.widths):
             first = np.searchsorted(us, new_us - width, side="left")
             out[f"n{i}"] = mine - first + 1
-            out[f"s{i}"] = np.round(sums[mine + 1] - sums[first], 6)
-            out[f"f{i}"] = flags[mine + 1] - flags[first]
-        self.store([us, amount, flag])
+            total = ((high[mine + 1] - high[first]) * float(LIMB) + (low[mine + 1] - low[first])) / MONEY_UNIT
+            for j in np.flatnonzero(odd[mine + 1] > odd[first]):
+                with np.errstate(invalid="ignore"):
+                    total[j] += rest[first[j]:mine[j] + 1].sum()
+            out[f"s{i}"] = total
+            for j, c in enumerate(counted):
+                out[f"f{i}_{j}"] = c[mine + 1] - c[first]
+        self.store([us, units, rest, *flags])
         return pd.DataFrame(out)[batch["own"].to_numpy(bool)]
 
 
+def _upto(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values)])
+
+
 class LatestRecord(_Rows):
     """Events (side 1) against the latest record (side 0) at or before them."""
 
     def __init__(self, tolerance: int, id_type: str, ttl_ms: int | None = None):
-        super().__init__(ttl_ms)
+        super().__init__(ttl_ms, tolerance, tolerance + 1)
         self.tolerance = tolerance
         self.fields = (("us", "bigint", np.int64), ("record", id_type, object))
 
@@ -119,18 +151,21 @@ class LatestRecord(_Rows):
 
 
 class PreviousTime(_Rows):
-    """Latest known time strictly before each row; the newest 100 times are remembered."""
+    """Latest known time strictly before each row. Of the times below the watermark only the latest is kept."""
 
     fields = (("us", "bigint", np.int64),)
 
+    def keep(self, us: np.ndarray, watermark: int) -> np.ndarray:
+        return us >= max(us[us < watermark], default=watermark)
+
     def answer(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         (old,) = self.load()
         new = batch["us"].to_numpy(np.int64)
-        known = np.sort(np.concatenate([old, new]))
+        known = np.unique(np.concatenate([old, new]))
         last = np.searchsorted(known, new, side="left") - 1
         previous = pd.array(known[np.maximum(last, 0)], dtype="Int64")
         previous[last < 0] = pd.NA
-        self.store([known[-HISTORY_LIMIT:]])
+        self.store([known])
         return pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "prev_us": previous})
 
 
@@ -138,9 +173,12 @@ class LastArrival(_Rows):
     """Distance to the row that arrived before, never negative."""
 
     fields = (("us", "bigint", np.int64),)
+    order = ("arrival", "id")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("id", kind="stable").reset_index(drop=True)
+    def keep(self, us: np.ndarray, watermark: int) -> np.ndarray:
+        return np.ones(len(us), bool)
+
+    def answer(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         (old,) = self.load()
         new = batch["us"].to_numpy(np.int64)
         before = np.concatenate([old, new])[-len(new) - 1:-1] if len(old) else np.concatenate([[0], new[:-1]])
@@ -148,7 +186,7 @@ class LastArrival(_Rows):
         if not len(old):
             gap[0] = pd.NA
         self.store([new[-1:]])
-        yield pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "gap": gap})
+        return pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "gap": gap})
 
 
 def _bucketed(df: DataFrame, key: str, width: int) -> DataFrame:
@@ -159,8 +197,15 @@ def _bucketed(df: DataFrame, key: str, width: int) -> DataFrame:
     return df.withColumn("__copy", F.explode(copies)).select("*", "__copy.bucket", "__copy.own").drop("__copy")
 
 
-def _mode(ttl_ms: int | None) -> str:
-    return "processingTime" if ttl_ms else "none"
+def _mode(ttl_ms: int | None, delay: str | None) -> str:
+    if ttl_ms and delay:
+        raise ValueError("state ends by event time (delay) or by processing time (ttl_ms), not by both")
+    return "eventTime" if delay else "processingTime" if ttl_ms else "none"
+
+
+def _marked(df: DataFrame, delay: str | None) -> DataFrame:
+    """With a watermark, if there is a delay, on the time in microseconds."""
+    return df.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay) if delay else df
 
 
 def _type(df: DataFrame, col: str) -> str:
@@ -168,53 +213,57 @@ def _type(df: DataFrame, col: str) -> str:
 
 
 def trailing_stream(df: DataFrame, widths: Sequence[int], key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
-                    amount: str = "amount", flag: str | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """``id, n0, s0, f0, n1, ...``: rows, sum and flagged rows in each trailing width, per row."""
-    rows = df.select(key, F.col(time).alias("us"), F.col(row_id).alias("id"), F.col(amount).cast("double").alias("amount"),
-                     (F.col(flag).cast("long") if flag else F.lit(0).cast("long")).alias("flag"))
-    schema = f"id {_type(df, row_id)}, " + ", ".join(f"n{i} long, s{i} double, f{i} long" for i in range(len(widths)))
-    return _bucketed(rows, key, max(widths) + 1).groupBy(key, "bucket").transformWithStateInPandas(
-        TrailingSums(widths, ttl_ms), schema, "append", _mode(ttl_ms))
+                    amount: str = "amount", flags: Sequence[Column] = (), ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """``id, n0, s0, f0_0, ..., n1, ...``: rows, sum and rows with each flag in each trailing width, per row. A NULL amount counts as a row
+    and adds nothing, a NULL flag is no flag; sums are those of ``trailing_velocity``."""
+    rows = df.select(key, F.col(time).alias("us"), F.col(row_id).alias("id"), F.coalesce(money(amount).cast("long"), F.lit(0).cast("long")).alias("units"),
+                     F.coalesce(money_rest(amount), F.lit(0.0)).alias("rest"),
+                     *[F.coalesce(f.cast("long"), F.lit(0).cast("long")).alias(f"f{j}") for j, f in enumerate(flags)])
+    schema = f"id {_type(df, row_id)}, " + ", ".join(
+        f"n{i} long, s{i} double" + "".join(f", f{i}_{j} long" for j in range(len(flags))) for i in range(len(widths)))
+    return _bucketed(_marked(rows, delay), key, max(widths) + 1).groupBy(key, "bucket").transformWithStateInPandas(
+        TrailingSums(widths, len(flags), ttl_ms), schema, "append", _mode(ttl_ms, delay))
 
 
 def velocity_alerts_stream(df: DataFrame, width: int, max_count: int = 3, max_spend: float = 5000.0,
-                           foreign: str = "FOREIGN", ttl_ms: int | None = None) -> DataFrame:
-    """Alerts of the trailing window of each row."""
-    flagged = df.withColumn("__foreign", (F.col("country") == foreign).cast("long"))
-    out = trailing_stream(flagged, [width], flag="__foreign", ttl_ms=ttl_ms)
+                           foreign: str = "FOREIGN", ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """Alerts of the trailing window of each row, by the rules of ``velocity_alerts``."""
+    is_foreign = F.col("country") == foreign
+    out = trailing_stream(df, [width], flags=[is_foreign, ~is_foreign & (F.col("country") != "")], ttl_ms=ttl_ms, delay=delay)
     alerts = true_labels({"VELOCITY": F.col("n0") > max_count, "BURST_SPEND": F.col("s0") > max_spend,
-                          "GEO_HOP": (F.col("f0") > 0) & (F.col("f0") < F.col("n0"))})
+                          "GEO_HOP": (F.col("f0_0") > 0) & (F.col("f0_1") > 0)})
     return out.select(F.col("id").alias("transaction_id"), F.col("n0").alias("count_in_window"),
                       F.col("s0").alias("spend_in_window"), alerts.alias("alerts"))
 
 
 def asof_stream(events: DataFrame, records: DataFrame, tolerance: int, key: str = "card_id", time: str = "us",
                 event_id: str = "transaction_id", record_time: str = "vel_us", record_id: str = "vel_id",
-                ttl_ms: int | None = None) -> DataFrame:
+                ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """For each event the latest record of its card that is not newer and at most ``tolerance`` old.
     Event and record ids have one type."""
     left = events.select(key, F.col(time).alias("us"), F.col(event_id).alias("id"), F.lit(1).alias("side"))
     right = records.select(key, F.col(record_time).alias("us"), F.col(record_id).alias("id"), F.lit(0).alias("side"))
-    both, kind = left.unionByName(right), _type(records, record_id)
+    both, kind = _marked(left.unionByName(right), delay), _type(records, record_id)
     return _bucketed(both, key, tolerance + 1).groupBy(key, "bucket").transformWithStateInPandas(
-        LatestRecord(tolerance, kind, ttl_ms), f"id {kind}, record_us long, record_id {kind}", "append", _mode(ttl_ms))
+        LatestRecord(tolerance, kind, ttl_ms), f"id {kind}, record_us long, record_id {kind}", "append", _mode(ttl_ms, delay))
 
 
-def _per_key(df: DataFrame, processor: _Rows, extra: str, key: str, time: str, row_id: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("key"), F.col(time).alias("us"), F.col(row_id).alias("id"))
+def _per_key(df: DataFrame, processor: _Rows, extra: str, key: str, time: str, row_id: str, delay: str | None, *more: Column) -> DataFrame:
+    rows = _marked(df.select(F.col(key).alias("key"), F.col(time).alias("us"), F.col(row_id).alias("id"), *more), delay)
     schema = f"key {_type(df, key)}, id {_type(df, row_id)}, us long, {extra} long"
-    out = rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", _mode(processor.ttl_ms))
+    out = rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", _mode(processor.ttl_ms, delay))
     return out.withColumnRenamed("key", key)
 
 
 def previous_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
-                        ttl_ms: int | None = None) -> DataFrame:
+                        ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """Previous time in event-time order, as ``previous_gap(prev="strict")`` in batch."""
-    out = _per_key(df, PreviousTime(ttl_ms), "prev_us", key, time, row_id)
+    out = _per_key(df, PreviousTime(ttl_ms), "prev_us", key, time, row_id, delay)
     return out.withColumn("gap", F.col("us") - F.col("prev_us"))
 
 
-def arrival_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", row_id: str = "transaction_id",
-                       ttl_ms: int | None = None) -> DataFrame:
-    """Distance to the previously arrived row of the key."""
-    return _per_key(df, LastArrival(ttl_ms), "gap", key, time, row_id)
+def arrival_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", row_id: str = "transaction_id", arrival: str | None = None,
+                       ttl_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """Distance to the previously arrived row of the key. ``arrival`` numbers the rows of a micro-batch as they came (an offset, a time);
+    without it the row's id does."""
+    return _per_key(df, LastArrival(ttl_ms), "gap", key, time, row_id, delay, F.col(arrival or row_id).alias("arrival"))
