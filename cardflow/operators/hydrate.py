@@ -69,6 +69,10 @@ def provenance_map(names: Sequence[str]) -> Column:
 
 def write_gated(batch: DataFrame, scored_path: str, quarantine_path: str, batch_id: int) -> None:
     """Both outputs of one micro-batch; repeating the batch replaces its own files only."""
-    kept, rejected = quarantine(batch)
-    for df, path in ((kept, scored_path), (rejected, quarantine_path)):
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    batch = batch.persist()  # computed once for both
+    try:
+        kept, rejected = quarantine(batch)
+        for df, path in ((kept, scored_path), (rejected, quarantine_path)):
+            df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    finally:
+        batch.unpersist()

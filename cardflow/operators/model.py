@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,9 +27,10 @@ class TreeConfig:
 
 
 def train_gbt(train: DataFrame, features: Sequence[str], label: str, config: TreeConfig = TreeConfig(),
-              val: DataFrame | None = None, balanced: bool = True) -> PipelineModel:
+              val: DataFrame | None = None, balanced: bool = True, nominal: Sequence[str] = ()) -> PipelineModel:
     """Boosted trees with class weights from the training rows. With ``val`` training stops when
-    the validation error no longer falls by the tolerance."""
+    the validation error no longer falls by the tolerance. ``nominal`` features are text columns; trees
+    split them by sets of categories, and categories that training did not see are one of their own."""
     rows = train.select(*features, F.col(label).cast("double").alias(label))
     rows = prep.balanced_weights(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
     rows = rows.withColumn("is_validation", F.lit(False))
@@ -40,8 +41,14 @@ def train_gbt(train: DataFrame, features: Sequence[str], label: str, config: Tre
                           F.lit(True).alias("is_validation"))
         rows = rows.unionByName(held)
         tree = tree.setValidationIndicatorCol("is_validation").setParams(validationTol=config.validation_tolerance)
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assemble, tree]).fit(rows)
+    stages, inputs = [], [f for f in features if f not in nominal]
+    if nominal:
+        coded = [f"__{f}" for f in nominal]
+        index = StringIndexer(inputCols=list(nominal), outputCols=coded, handleInvalid="keep", stringOrderType="alphabetAsc").fit(rows)
+        tree = tree.setMaxBins(max(tree.getMaxBins(), 2 + max(map(len, index.labelsArray))))
+        stages, inputs = [index], [*inputs, *coded]
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[*stages, assemble, tree]).fit(rows)
 
 
 def score(df: DataFrame, model: PipelineModel, keep: Sequence[str], name: str = "probability") -> DataFrame:
@@ -62,13 +69,13 @@ def compare_encodings(train: DataFrame, val: DataFrame, test: DataFrame, categor
     validation rows, metrics on the test rows."""
     encoders: Mapping[str, tuple] = {
         "label": (prep.fit_categories, lambda d, m: prep.apply_labels(d, m, categorical, unseen="next")),
-        "native": (prep.fit_categories, lambda d, m: prep.apply_labels(d, m, categorical, unseen="null").fillna(-1, list(categorical))),
+        "native": (lambda d, c: None, lambda d, m: d.fillna(prep.MISSING, list(categorical))),
         "frequency": (prep.fit_frequency, lambda d, m: prep.apply_frequency(d, m, categorical)),
     }
     features, out = [*numeric, *categorical], None
     for name, (fit, apply) in encoders.items():
         encoder = fit(train, categorical)
-        model = train_gbt(apply(train, encoder), features, label, config)
+        model = train_gbt(apply(train, encoder), features, label, config, nominal=categorical if name == "native" else ())
         threshold = select_threshold(curve(score(apply(val, encoder), model, [label]), label, "probability")).first()["threshold"]
         scored = score(apply(test, encoder), model, [*keys, label])
         points = curve(scored, label, "probability")

@@ -1,17 +1,17 @@
-"""Queries that train models (M14-M17, R6). Their values depend on the trainer, so there is no SQL."""
+"""Queries that train models (M14-M17, R6). Their values depend on the trainer, so SQL states what must hold of them."""
 
 from pyspark.sql import functions as F
 
 from cardflow.operators import model as M
 from cardflow.operators.adapt import adapt
-from cardflow.plans.relational import split_tx
+from cardflow.plans.relational import SPLIT_SQL, split_tx
+from cardflow.plans.sql import TX, with_
 from cardflow.sources.readers import read_file_events, read_parquet
 from cardflow.sources.sinks import sink_parquet, write_parquet
 from cardflow.sources.views import prof
 from cardflow.streaming.streams import run_all, scratch
 
 QUERIES = {}
-SMALL = M.TreeConfig(iterations=5, depth=3)
 FEATURES = ["amount", "hour", "priority", "balance"]
 
 
@@ -26,12 +26,17 @@ def rows(spark, sf):
 
 def trained(spark, sf):
     df = rows(spark, sf)
-    return M.train_gbt(df.filter("split = 'train'"), FEATURES, "is_fraud", SMALL, df.filter("split = 'val'")), df
+    return M.train_gbt(df.filter("split = 'train'"), FEATURES, "is_fraud", val=df.filter("split = 'val'")), df
 
 
 def scored(spark, sf):
     model, df = trained(spark, sf)
-    return M.score(df, model, ["transaction_id", "split"])
+    return valid(M.score(df, model, ["transaction_id", "split"]))
+
+
+def valid(df):
+    """Whether the probability is one."""
+    return df.withColumn("valid", F.col("probability").between(0, 1)).drop("probability")
 
 
 def scored_stream(spark, sf):
@@ -40,29 +45,43 @@ def scored_stream(spark, sf):
     write_parquet(df, inbox)
     arriving = read_file_events(spark, inbox, df.schema)
     run_all([sink_parquet(M.score(arriving, model, ["transaction_id"]), path, checkpoint)])
-    return read_parquet(spark, path)
+    return valid(read_parquet(spark, path))
 
 
 def importances(spark, sf):
     model, _ = trained(spark, sf)
-    return M.importance(spark, model, FEATURES)
+    shares = M.importance(spark, model, FEATURES)
+    total = shares.agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()
+    return shares.select("feature", (F.col("importance") >= 0).alias("valid"), total.alias("whole"))
 
 
 def encodings(spark, sf):
     df = rows(spark, sf)
     part = {s: df.filter(F.col("split") == s) for s in ("train", "val", "test")}
-    return M.compare_encodings(part["train"], part["val"], part["test"], ["product_cd", "card4"], ["amount", "hour"],
-                               "is_fraud", ["transaction_id"], SMALL)
+    out = M.compare_encodings(part["train"], part["val"], part["test"], ["product_cd", "card4"], ["amount", "hour"],
+                              "is_fraud", ["transaction_id"])
+    shares = F.array("average_precision", "roc_auc", "precision", "recall", "f1", "threshold")
+    return out.select("encoding", (F.col("tp") + F.col("fn")).cast("long").alias("positives"),
+                      (F.col("fp") + F.col("tn")).cast("long").alias("negatives"), F.forall(shares, lambda x: x.between(0, 1)).alias("valid"))
 
 
 def adapted(spark, sf):
-    return adapt(rows(spark, sf), "year", "is_fraud", ["amount", "hour", "balance"], ["product_cd", "card4"], FEATURES,
-                 train=[1995, 1996], validate=1997, monitor=[1998, 1999], evaluate=[1999, 2000], trigger_features=1,
-                 min_rows=1, clip="inner", replicates=200, config=SMALL)
-
-
-QUERIES["m14_train_gbt"] = (scored, None)
-QUERIES["m15_score_stream"] = (scored_stream, None)
-QUERIES["m16_importance"] = (importances, None)
-QUERIES["m17_compare_encodings"] = (encodings, None)
-QUERIES["r6_adapt"] = (adapted, None)
+    out = adapt(rows(spark, sf), "year", "is_fraud", ["amount", "hour", "balance"], ["product_cd", "card4"], FEATURES,
+                train=[1995, 1996], validate=1997, monitor=[1998, 1999, 2000], evaluate=[1999, 2000, 2001], trigger_features=1,
+                min_rows=1, clip="inner")
+    close = F.abs(F.col("ap_adaptive") - F.col("ap_static") - F.col("delta")) < 1e-9
+    ordered = (F.col("ci_lower") <= F.col("ci_upper")) & F.col("ap_static").between(0, 1)
+    return out.select("period", F.col("ap_static").isNotNull().alias("evaluated"), F.col("triggered").isNotNull().alias("monitored"),
+                      F.coalesce(close & ordered, F.col("ap_static").isNull()).alias("valid"), F.col("version").rlike("^v[1-4]$").alias("versioned"))
+
+
+SPLITS = with_(TX) + f"SELECT transaction_id, {SPLIT_SQL} AS split, TRUE AS valid FROM tx"
+QUERIES["m14_train_gbt"] = (scored, SPLITS)
+QUERIES["m15_score_stream"] = (scored_stream, with_(TX) + "SELECT transaction_id, TRUE AS valid FROM tx")
+QUERIES["m16_importance"] = (importances, "SELECT unnest(['amount', 'hour', 'priority', 'balance']) AS feature, TRUE AS valid, TRUE AS whole")
+QUERIES["m17_compare_encodings"] = (
+    encodings, with_(TX) + f"""SELECT unnest(['label', 'native', 'frequency']) AS encoding, count(*) FILTER (is_fraud = 1) AS positives,
+  count(*) FILTER (is_fraud = 0) AS negatives, TRUE AS valid FROM tx WHERE {SPLIT_SQL} = 'test' GROUP BY ALL""".replace(" GROUP BY ALL", ""))
+QUERIES["r6_adapt"] = (
+    adapted, with_(TX) + """SELECT DISTINCT CAST(year(make_timestamp(dt * 1000000)) AS INTEGER) AS period, year(make_timestamp(dt * 1000000)) >= 1999 AS evaluated,
+  year(make_timestamp(dt * 1000000)) <= 2000 AS monitored, TRUE AS valid, TRUE AS versioned FROM tx WHERE year(make_timestamp(dt * 1000000)) >= 1998""")

@@ -42,7 +42,7 @@ def max_group_rows(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only on one machine, where none is set, a temporary one."""
+    """The shared folder the cluster names. Only on one machine, where none is set, a temporary one for the whole session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -51,7 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame) -> DataFrame:

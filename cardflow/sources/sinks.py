@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
 def convert_to_parquet(df: DataFrame, path: str) -> int:
     """Writes a table that must not exist yet and checks the row count of what was written."""
-    df.write.mode("errorifexists").parquet(path)
-    written, expected = df.sparkSession.read.parquet(path).count(), df.count()
+    seen = Observation()  # counted on the way, so that the source is read once
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    written, expected = df.sparkSession.read.parquet(path).count(), seen.get["rows"]
     if written != expected:
         raise ValueError(f"{path}: {written} rows written, {expected} expected")
     return written
