@@ -134,7 +134,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = counts(piece)
                 at = np.flatnonzero(c)
                 found += [pa.array([at.astype(np.int32)]), pa.array([c[at]])]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), *found], names=["lang", "at", "n", "short_at", "short_n"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("draw").slice(i, 1), *found], names=["lang", "draw", "at", "n", "short_at", "short_n"])
 
 
 def fit(docs: DataFrame, key: str = "doc_id") -> Model:
@@ -145,22 +145,32 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     if not languages:
         return Model([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
     chance = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], SAMPLE_PER_LANGUAGE / r["count"])])
-    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)) / float(1 << 40)
-    rows = docs.where(draw < chance[F.col("lang")]).select("lang", "text").mapInArrow(
-        _sampled, "lang string, at array<int>, n array<float>, short_at array<int>, short_n array<float>").toArrow()
+    docs = docs.withColumn("draw", F.xxhash64("key", "text"))
+    drawn = F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < chance[F.col("lang")]
+    rows = docs.where(drawn).select("lang", "draw", "text").mapInArrow(
+        _sampled, "lang string, draw long, at array<int>, n array<float>, short_at array<int>, short_n array<float>").toArrow()
     lang = np.array([languages.index(x) for x in rows.column("lang").to_pylist()], int)
-    tf = np.zeros((2, len(lang), DIMENSIONS), np.float32)
-    for part, (at, n) in enumerate((("at", "n"), ("short_at", "short_n"))):
-        for i, (a, c) in enumerate(zip(rows.column(at), rows.column(n), strict=True)):
-            tf[part, i, a.values.to_numpy()] = c.values.to_numpy()
-    order = np.lexsort((*tf[0, :, :64].T, tf[0].sum(axis=1), lang))  # rows come in any order
-    lang, tf = lang[order], tf[:, order]
-    df = (tf[0] > 0).sum(axis=0)
+    order = np.lexsort((rows.column("draw").to_numpy(), lang))  # rows come in any order
+    lang, parts = lang[order], {}
+    for part, (at, n) in {"whole": ("at", "n"), "short": ("short_at", "short_n")}.items():
+        at, n = rows.column(at), rows.column(n)
+        parts[part] = [(at[int(i)].values.to_numpy(), n[int(i)].values.to_numpy()) for i in order]
+
+    def dense(part: str, some: np.ndarray) -> np.ndarray:
+        tf = np.zeros((len(some), DIMENSIONS), np.float32)
+        for j, i in enumerate(some):
+            at, n = parts[part][i]
+            tf[j, at] = n
+        return tf
+
+    df = np.zeros(DIMENSIONS)
+    for at, _ in parts["whole"]:
+        df[at] += 1
     model = Model(languages, np.log((1 + len(lang)) / (1 + df)).astype(np.float32) + 0.1, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(len(languages)))
-    w, of, centroids = model.weights(tf[0]), [], []
+    of, centroids = [], []
     for k in range(len(languages)):
-        if (lang == k).any():
-            c = _clusters(w[lang == k], CENTROIDS)
+        if (lang == k).any():  # one language at a time is held as a matrix
+            c = _clusters(model.weights(dense("whole", np.flatnonzero(lang == k))), CENTROIDS)
             centroids.append(c)
             of += [k] * len(c)
     have = sorted(set(of))
@@ -169,8 +179,11 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     model.centroids = np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32)
     if not have:
         return Model([], np.zeros(0), model.centroids, model.of, np.zeros(0))
-    own = np.stack([model.similarities(model.weights(x)) for x in tf])
-    model.least = np.array([LIMIT_SHARE * np.quantile(own[:, lang == k][..., j], LIMIT_QUANTILE) for j, k in enumerate(have)])
+    for j, k in enumerate(have):
+        mine = np.flatnonzero(lang == k)
+        own = np.concatenate([model.similarities(model.weights(dense(part, mine)))[:, j] for part in parts])
+        model.least[j] = LIMIT_SHARE * np.quantile(own, LIMIT_QUANTILE)
+    model.least = model.least[: len(have)]
     return model
 
 

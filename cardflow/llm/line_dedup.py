@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardflow.llm import arrays
-from cardflow.llm.frames import small, stored, table
+from cardflow.llm.frames import Tables, small, stored, table
 
 #: A space in so many ends a wrapped line.
 WRAP = 4
@@ -182,27 +182,32 @@ def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> D
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("key", F.when(F.col("doc_id").isNotNull(), _key()))
     known = rows.where("doc_id is not null and text is not null").select("doc_id", "key", "text")
-    seen = stored(known.mapInArrow(_occurrences, "h long, doc_id long, key long, at int, end int"))
+    steps = Tables()
+    seen = steps.stored(known.mapInArrow(_occurrences, "h long, doc_id long, key long, at int, end int"))
     often = seen.groupBy("h").count().where("count > 1").select("h")
-    some = stored(seen.join(often, "h"))
+    some = steps.stored(seen.join(often, "h"))
+    steps.drop(seen)
     place = F.struct("doc_id", "key", "at")
-    first = some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
-        "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at"))
-    later = some.join(stored(first), "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at")))
+    first = steps.stored(some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
+        "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at")))
+    later = some.join(first, "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at")))
     # one exchange by text for dropping repeated rows and for joining neighbouring chunks
     later = later.withColumn("shift", F.col("at") - F.col("from_at")).drop("h").repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
     by_place = W.partitionBy("doc_id", "key").orderBy("at")
     on = (F.col("at") - F.lag("end").over(by_place) <= GAP) & (F.lag("from_key").over(by_place) == F.col("from_key")) & (F.lag("shift").over(by_place) == F.col("shift"))
     later = later.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place)).withColumn("from_end", F.col("end") - F.col("shift"))
-    finds = stored(later.groupBy("doc_id", "key", "run").agg(*[f(c).alias(c) for f, c in (
-        (F.min, "at"), (F.max, "end"), (F.min, "from_id"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"))]))
+    runs = steps.stored(later.groupBy("doc_id", "key", "run").agg(*[f(c).alias(c) for f, c in (
+        (F.min, "at"), (F.max, "end"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"))]))
+    steps.drop(some, first)
 
-    wanted = finds.select("from_key", "from_at", "from_end").distinct().groupBy("from_key").agg(F.collect_list(F.struct("from_at", "from_end")).alias("wanted"))
-    holders = small(stored(finds.select(F.col("from_key").alias("key")).distinct()), MOST_KEYS)
-    held = known.join(holders, "key", "left_semi").withColumnRenamed("key", "from_key").join(wanted, "from_key").select("from_key", "wanted", "text")
+    wanted = runs.select("from_key", "from_at", "from_end").distinct().groupBy("from_key").agg(F.collect_list(F.struct("from_at", "from_end")).alias("wanted"))
+    holders = steps.stored(runs.select(F.col("from_key").alias("key")).distinct())
+    held = known.join(small(holders, MOST_KEYS), "key", "left_semi").withColumnRenamed("key", "from_key").join(wanted, "from_key").select("from_key", "wanted", "text")
     same = held.mapInArrow(_first_bytes, "from_key long, from_at int, from_end int, before binary, same binary, after binary")
     same = same.dropDuplicates(["from_key", "from_at", "from_end"])
-    finds = stored(finds.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "before", "same", "after")).alias("finds")))
+    finds = stored(runs.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "before", "same", "after")).alias("finds")))
+
+    steps.drop(runs, holders)
 
     # only texts that change are moved and go through Python
     changing = small(finds.select("key"), MOST_KEYS)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm import arrays
-from cardflow.llm.frames import components, stored, table
+from cardflow.llm.frames import Tables, components, stored, table
 
 #: Base, rate and largest value of the registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
@@ -163,19 +163,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """doc_id, n_shingles, component_id and kept of each document; documents are linked where 100 * intersection >= percent * union."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_bands = bands(percent / 100)
-    sketches = stored(docs.mapInArrow(
+    steps = Tables()
+    sketches = steps.stored(docs.mapInArrow(
         lambda batches: _sketch(batches, k, n_bands, ROWS),
         "doc_id long, n_shingles long, high long, low long, bands array<long>, registers binary"))
-    classes = stored(sketches.where("doc_id is not null and n_shingles > 0").groupBy("high", "low").agg(
+    classes = steps.stored(sketches.where("doc_id is not null and n_shingles > 0").groupBy("high", "low").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
     near = components(banded.join(leaders, "band").where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
 
-    members = stored(near.join(classes.select("node", "n", "registers"), "node"))
+    members = steps.stored(near.join(classes.select("node", "n", "registers"), "node"))
     sizes = members.groupBy("component").agg(F.greatest(F.sum("n") * 2 / TASK_SHINGLES, F.count("*") * 2 / TASK_DOCS).alias("size"))
-    pieces = stored(sizes.where("size > 2").select("component", F.ceil("size").cast("int").alias("pieces")))
+    pieces = steps.stored(sizes.where("size > 2").select("component", F.ceil("size").cast("int").alias("pieces")))
     cut = members.join(pieces, "component", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     cut = cut.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     other = F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("pieces") - 1), F.col("piece")))
@@ -185,10 +186,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         lambda batches: _confirm(batches, k, percent), "a long, b long")
 
     found = classes.select("high", "low", "node").join(components(links), "node", "left")
-    found = stored(found.select("high", "low", F.coalesce("component", "node").alias("found")))
+    found = steps.stored(found.select("high", "low", F.coalesce("component", "node").alias("found")))
     out = sketches.select("doc_id", "n_shingles", "high", "low").join(found, ["high", "low"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    steps.drop(sketches, classes, members, pieces, found)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.llm.frames import small, stored, table
+from cardflow.llm.frames import Tables, small, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -131,13 +131,14 @@ def disclosing_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     beside = some.select(*keys, F.explode(F.concat(*[F.transform(kind, _entity(kind)) for kind in KINDS])).alias("c"))
     beside = beside.select("h", "k", "c.kind", "c.value", F.explode_outer("c.terms").alias("term"))
     # a row for each text, identifier and term; copies of a text count as often as they occur, and as one for the support
-    beside = stored(beside.groupBy("h", "k", "kind", "value", "term").agg(F.count("*").alias("n")).drop("n").join(some.groupBy(*keys).agg(F.count("*").alias("copies")), ["h", "k"]))
+    steps = Tables()
+    beside = steps.stored(beside.groupBy("h", "k", "kind", "value", "term").agg(F.count("*").alias("n")).drop("n").join(some.groupBy(*keys).agg(F.count("*").alias("copies")), ["h", "k"]))
     holds = beside.select("h", "k", "kind", "value", "copies").distinct().groupBy("kind", "value").agg(F.sum("copies").alias("n_c"))
     joint = beside.where("term is not null").groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts"))
-    joint = stored(joint.where(F.col("texts") >= SUPPORT).join(holds, ["kind", "value"]))
-    candidates = small(stored(joint.select("term").distinct()))
+    joint = steps.stored(joint.where(F.col("texts") >= SUPPORT).join(holds, ["kind", "value"]))
+    candidates = steps.stored(joint.select("term").distinct())
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
-    holders = stored(found.select(*keys, F.explode(words).alias("term")).join(candidates, "term").groupBy("h", "k", "term").agg(F.count("*").alias("copies")))
+    holders = stored(found.select(*keys, F.explode(words).alias("term")).join(small(candidates), "term").groupBy("h", "k", "term").agg(F.count("*").alias("copies")))
     n_t = holders.groupBy("term").agg(F.sum("copies").alias("n_t"))
     n = F.lit(float(found.select("doc").count()))
     ic = F.log2(n / F.col("n_c"))
@@ -145,7 +146,9 @@ def disclosing_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     scored = joint.join(n_t, "term").select("term", "kind", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     terms = scored.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("most")).select(
         "term", "most.kind", "most.disclosure", F.when(F.col("most.disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    return stored(terms), holders
+    terms = stored(terms)
+    steps.drop(beside, joint, candidates)
+    return terms, holders
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

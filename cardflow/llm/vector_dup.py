@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm import arrays
-from cardflow.llm.frames import components, small, stored, table
+from cardflow.llm.frames import Tables, components, small, stored, table
 
 BLOCKS = 4
 TASK_ROWS = 8192
@@ -133,20 +133,23 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     sound = F.col("vec_id").isNotNull() & F.exists("vec", lambda v: v != 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.col("vec")).alias("vec"))
     keyed = rows.withColumn("h", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))).withColumn("k", F.hash("vec"))
-    classes = stored(keyed.where("h is not null").groupBy("h", "k").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
+    steps = Tables()
+    classes = steps.stored(keyed.where("h is not null").groupBy("h", "k").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")))
     grid = min(MOST_GRID, 1 + max(0, math.ceil(math.log(max(classes.count(), 1) / GRID_ROWS, 4))))
-    cells = stored(classes.select("node", "copies", "vec").mapInArrow(lambda b: _cells(b, cosine, grid), "block int, cell long, home boolean, node long, copies long, vector binary"))
-    big = stored(cells.groupBy("cell").count().where(F.col("count") > TASK_ROWS).select("cell", F.ceil(F.col("count") * 2 / TASK_ROWS).cast("int").alias("pieces")))
+    cells = steps.stored(classes.select("node", "copies", "vec").mapInArrow(lambda b: _cells(b, cosine, grid), "block int, cell long, home boolean, node long, copies long, vector binary"))
+    big = steps.stored(cells.groupBy("cell").count().where(F.col("count") > TASK_ROWS).select("cell", F.ceil(F.col("count") * 2 / TASK_ROWS).cast("int").alias("pieces")))
     cut = cells.join(small(big), "cell", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     cut = cut.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     tasks = cut.select("block", "cell", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "home", "node", "copies", "vector")
     tasks = tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
-    found = stored(tasks.mapInArrow(lambda b: (r for run in arrays.runs(b, ["cell", "i", "j"]) for r in _links(run, cosine)), "a long, b long, links long"))
+    found = steps.stored(tasks.mapInArrow(lambda b: (r for run in arrays.runs(b, ["cell", "i", "j"]) for r in _links(run, cosine)), "a long, b long, links long"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    steps.drop(cells, big)
     ids = components(found.select("a", "b"))
     out = classes.select("h", "k", "node", "copies").join(links, "node", "left").join(ids, "node", "left")
     out = stored(out.select("h", "k", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("found")))
+    steps.drop(classes, found)
     rows = keyed.select("vec_id", "h", "k").join(out, ["h", "k"], "left")
     rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("found", "vec_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
