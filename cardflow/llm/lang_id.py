@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from cardflow.llm import arrays
 from cardflow.llm.frames import table
 
-DIMENSIONS = 1 << 13
+BITS = 15
+DIMENSIONS = 1 << BITS
 SIZES = (2, 3, 4)
 #: The fit takes about so many rows of each language (each with the same chance, by a hash), and so many languages at most, the most frequent.
 SAMPLE_PER_LANGUAGE = 500
@@ -56,16 +58,17 @@ def _slots(data: np.ndarray) -> np.ndarray:
                 h += (data[i : len(data) - n + 1 + i] + np.uint32(1 + n)) * _ODD[i]
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x2C1B3C6D)
-            out.append((h >> np.uint32(32 - 13)).astype(np.int32))
+            out.append((h >> np.uint32(32 - BITS)).astype(np.int32))
     return np.concatenate(out)
 
 
-def counts(data: np.ndarray) -> np.ndarray:
-    """How often each position occurs; parts of long texts are counted one after the other."""
-    total = np.zeros(DIMENSIONS, np.float32)
+def counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions that occur, and how often; parts of long texts are counted one after the other."""
+    total = np.zeros(DIMENSIONS, np.int64)
     for a in range(0, max(len(data), 1), arrays.PART_BYTES):  # the few n-grams over the seam of two parts are not counted
         total += np.bincount(_slots(data[a : a + arrays.PART_BYTES]), minlength=DIMENSIONS)
-    return total
+    at = np.flatnonzero(total)
+    return at, total[at].astype(np.float32)
 
 
 @dataclass
@@ -76,17 +79,19 @@ class Model:
     of: np.ndarray  # the language of each centroid
     least: np.ndarray  # the least similarity that each language accepts
 
+    @cached_property
+    def by_position(self) -> np.ndarray:
+        return np.ascontiguousarray(self.centroids.T)
+
     def weights(self, tf: np.ndarray) -> np.ndarray:
         w = np.log1p(tf) * self.idf
         return w / np.maximum(np.linalg.norm(w, axis=-1, keepdims=True), 1e-12)
 
-    def similarities(self, w: np.ndarray) -> np.ndarray:
-        """The cosine with the nearest centroid of each language."""
-        s = w @ self.centroids.T
-        out = np.zeros((len(w), len(self.languages)), np.float32)
-        for k in range(len(self.languages)):
-            out[:, k] = s[:, self.of == k].max(axis=1)
-        return out
+    def similarity(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The cosine of a text, given by its positions and their counts, with the nearest centroid of each language."""
+        w = np.log1p(n) * self.idf[at]
+        s = w.astype(np.float64) @ self.by_position[at] / max(float(np.linalg.norm(w)), 1e-12)
+        return np.array([s[self.of == k].max() for k in range(len(self.languages))])
 
     def predict(self, texts: pa.Array) -> tuple[list, list, list, list]:
         """Language, score, distance and whether it is rejected, of each text."""
@@ -95,19 +100,15 @@ class Model:
         if not self.languages:
             return lang, score, distance, rejected
         data, offsets = arrays.utf8(texts)
-        rows = [i for i, t in enumerate(texts.to_pylist()) if t and LETTER.search(t)]
-        for at in range(0, len(rows), 128):
-            some = rows[at : at + 128]
-            tf = np.stack([counts(data[offsets[i] : offsets[i + 1]]) for i in some])
-            s = self.similarities(self.weights(tf)).round(6)  # sums differ in the last bits with the number of rows
-            best = s.argmax(axis=1)
-            top = s[np.arange(len(some)), best].astype(float)
-            e = np.exp((s - top[:, None]) / TEMPERATURE)
-            for j, i in enumerate(some):
-                lang[i] = self.languages[best[j]]
-            score[some] = (1 / e.sum(axis=1)).round(6)
-            distance[some] = 1 - top
-            rejected[some] = top < self.least[best]
+        for i, t in enumerate(texts.to_pylist()):
+            if not t or not LETTER.search(t):
+                continue
+            s = self.similarity(*counts(data[offsets[i] : offsets[i + 1]])).round(9)
+            best = int(s.argmax())
+            lang[i] = self.languages[best]
+            score[i] = round(1 / np.exp((s - s[best]) / TEMPERATURE).sum(), 6)
+            distance[i] = 1 - s[best]
+            rejected[i] = s[best] < self.least[best]
         return lang, score, distance, rejected
 
 
@@ -131,9 +132,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = data[offsets[i] : offsets[i + 1]]
             found = []
             for piece in (whole, whole[:SHORT_BYTES]):
-                c = counts(piece)
-                at = np.flatnonzero(c)
-                found += [pa.array([at.astype(np.int32)]), pa.array([c[at]])]
+                at, n = counts(piece)
+                found += [pa.array([at.astype(np.int32)]), pa.array([n])]
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("draw").slice(i, 1), *found], names=["lang", "draw", "at", "n", "short_at", "short_n"])
 
 
@@ -156,10 +156,10 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
         at, n = rows.column(at), rows.column(n)
         parts[part] = [(at[int(i)].values.to_numpy(), n[int(i)].values.to_numpy()) for i in order]
 
-    def dense(part: str, some: np.ndarray) -> np.ndarray:
+    def dense(some: np.ndarray) -> np.ndarray:
         tf = np.zeros((len(some), DIMENSIONS), np.float32)
         for j, i in enumerate(some):
-            at, n = parts[part][i]
+            at, n = parts["whole"][i]
             tf[j, at] = n
         return tf
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     of, centroids = [], []
     for k in range(len(languages)):
         if (lang == k).any():  # one language at a time is held as a matrix
-            c = _clusters(model.weights(dense("whole", np.flatnonzero(lang == k))), CENTROIDS)
+            c = _clusters(model.weights(dense(np.flatnonzero(lang == k))), CENTROIDS)
             centroids.append(c)
             of += [k] * len(c)
     have = sorted(set(of))
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
         return Model([], np.zeros(0), model.centroids, model.of, np.zeros(0))
     for j, k in enumerate(have):
         mine = np.flatnonzero(lang == k)
-        own = np.concatenate([model.similarities(model.weights(dense(part, mine)))[:, j] for part in parts])
+        own = [model.similarity(*parts[part][i])[j] for part in parts for i in mine]
         model.least[j] = LIMIT_SHARE * np.quantile(own, LIMIT_QUANTILE)
     model.least = model.least[: len(have)]
     return model
