@@ -135,12 +135,15 @@ def disclosing_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     beside = steps.stored(beside.groupBy("h", "k", "kind", "value", "term").agg(F.count("*").alias("n")).drop("n").join(some.groupBy(*keys).agg(F.count("*").alias("copies")), ["h", "k"]))
     holds = beside.select("h", "k", "kind", "value", "copies").distinct().groupBy("kind", "value").agg(F.sum("copies").alias("n_c"))
     joint = beside.where("term is not null").groupBy("kind", "value", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts"))
-    joint = steps.stored(joint.where(F.col("texts") >= SUPPORT).join(holds, ["kind", "value"]))
+    # a term that is beside identifiers in more texts than its disclosure allows it to be in at all is no candidate
+    n = F.lit(float(found.select("doc").count()))
+    some = beside.where("term is not null").select("h", "k", "term", "copies").distinct().groupBy("term").agg(F.sum("copies").alias("n_t_least"))
+    joint = joint.where(F.col("texts") >= SUPPORT).join(holds, ["kind", "value"]).join(some, "term")
+    joint = steps.stored(joint.where(F.col("n_t_least") <= F.col("n_ct") * F.pow(n / F.col("n_c"), F.lit(1 - GENERALISE)) * (1 + 1e-9)))
     candidates = steps.stored(joint.select("term").distinct())
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     holders = stored(found.select(*keys, F.explode(words).alias("term")).join(small(candidates), "term").groupBy("h", "k", "term").agg(F.count("*").alias("copies")))
     n_t = holders.groupBy("term").agg(F.sum("copies").alias("n_t"))
-    n = F.lit(float(found.select("doc").count()))
     ic = F.log2(n / F.col("n_c"))
     pmi = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     scored = joint.join(n_t, "term").select("term", "kind", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
