@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cardflow.operators import aggregate, history, joins, profile, velocity
+from cardflow.operators import aggregate, history, joins, prep, profile, velocity
 from cardflow.session import checkpoint_dir, materialize
 from cardflow.sources.views import ev, prof, table, tx
 
@@ -58,6 +58,18 @@ def test_only_small_tables_are_broadcast(spark):
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
 
 
+def test_encoders_leave_the_table_in_place(spark):
+    """The model is small, whatever the table it was fitted on: no shuffle of the table, even where little may be broadcast."""
+    rows = ev(spark, SF).select("transaction_id", "merchant_id", "country")
+    model = prep.fit_labels(rows, ["merchant_id", "country"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        text = plan(prep.apply_labels(rows, model, ["merchant_id", "country"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint_dir(spark) == folder
