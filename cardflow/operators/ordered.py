@@ -20,31 +20,23 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cardflow.session import materialize, max_group_rows
+from cardflow.session import materialize, max_group_rows, stored
 
 SLICE = "__slice"
 ROWS = ("count", None)
-HOT_KEYS_LIMIT = 10_000
 WHOLE = ("byte", "short", "integer", "long")
 
 Aggs = Mapping[str, tuple[str, Column | None]]
 
 
 def hot_keys(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than one task should take, or None. A key is hot above
-    ``spark.cardflow.maxGroupRows`` rows and above a 10,000th of all rows; the second bound
-    proves that there are fewer than 10,000 hot keys, so they may be broadcast."""
+    """Keys with more than ``spark.cardflow.maxGroupRows`` rows, whatever the table holds, or None. Their list is stored, so that
+    Spark knows its size and chooses between broadcast and shuffle by it."""
     both = dfs[0].select(*keys)
     for df in dfs[1:]:
         both = both.unionByName(df.select(*keys))
-    counts = both.groupBy(*keys).count()
-    size = counts.agg(F.max("count").alias("top"), F.sum("count").alias("rows")).first()
-    spark = both.sparkSession
-    limit = max(max_group_rows(spark), (size["rows"] or 0) // HOT_KEYS_LIMIT)
-    if (size["top"] or 0) <= limit:
-        return None
-    rows = counts.filter(F.col("count") > limit).select(*keys).collect()
-    return spark.createDataFrame(rows, both.schema)
+    hot = stored(both.groupBy(*keys).count().filter(F.col("count") > max_group_rows(both.sparkSession)).select(*keys))
+    return None if hot.isEmpty() else hot
 
 
 def by_heat(dfs: Sequence[DataFrame], keys: Sequence[str], work: Callable[..., DataFrame]) -> DataFrame:
@@ -58,7 +50,7 @@ def by_heat(dfs: Sequence[DataFrame], keys: Sequence[str], work: Callable[..., D
         return work(*dfs, split=False)
 
     def part(df: DataFrame, how: str) -> DataFrame:
-        side = F.broadcast(hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys]))
+        side = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
         return df.join(side, [df[k].eqNullSafe(side[f"__hot_{k}"]) for k in keys], how)
 
     return work(*[part(df, "left_anti") for df in dfs], split=False).unionByName(
@@ -69,7 +61,9 @@ def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                    slices: int | None = None) -> DataFrame:
     """Adds ``SLICE``: consecutive, evenly filled slices in (keys, order). The result
     is materialised because range bounds are sampled anew on every evaluation."""
-    slices = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    if slices is None:  # as many as the rows need, and at least as many as a shuffle would make
+        least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+        slices = max(least, -(-df.count() // max_group_rows(df.sparkSession)))
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
