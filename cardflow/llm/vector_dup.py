@@ -27,12 +27,12 @@ from cardflow.llm import arrays
 from cardflow.llm.frames import Tables, components, small, stored, table
 
 BLOCKS = 4
-TASK_ROWS = 8192
+TASK_ROWS = 40_000
 #: One grid dimension up to so many vectors, and one more for each four times as many.
 GRID_ROWS, MOST_GRID = 100_000, 6
 TILE = 1024
-#: Room for rounding in the squared distances that only choose candidates.
-SLACK = 1e-9
+#: Room for rounding in the squared distances that only choose candidates, in double and in single precision.
+SLACK, ROUGH = 1e-9, 1e-5
 
 
 def rotation(d: int) -> np.ndarray:
@@ -79,6 +79,7 @@ def _cells(batches: Iterator[pa.RecordBatch], cosine: float, grid: int) -> Itera
 
 def _links(run: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
     run = run.combine_chunks()
+    run = run.take(pa.array(np.argsort(~run.column("home").to_numpy(), kind="stable")))  # own vectors of the cell first
     node, copies = run.column("node").to_numpy(), run.column("copies").to_numpy()
     home, piece = run.column("home").to_numpy(), run.column("piece").to_numpy()
     raw = run.column("vector").to_pylist()
@@ -88,22 +89,23 @@ def _links(run: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
     turned = x @ rotation(d)
     cuts = shares(d, cosine)
     start, stop, share = cuts[block]
-    part = turned[:, start:stop]
-    square = (part * part).sum(axis=1)
+    part = turned[:, start:stop].astype(np.float32)
+    square, one = (part * part).sum(axis=1)[:, None], np.ones((len(part), 1), np.float32)
+    # the squared distance of a pair is one product of these
+    rows, columns = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])
     label, count = np.arange(len(x)), np.zeros(len(x), np.int64)
-    if i_piece == j_piece:
-        left = right = np.arange(len(x))
+    within_piece = i_piece == j_piece
+    if within_piece:  # two neighbours of the cell meet elsewhere
+        left, right = np.flatnonzero(home), np.arange(len(x))
     else:
         left, right = np.flatnonzero(piece == i_piece), np.flatnonzero(piece == j_piece)
     for a in range(0, len(left), TILE):
-        for b in range(a if left is right else 0, len(right), TILE):
+        for b in range(a if within_piece else 0, len(right), TILE):
             p, q = left[a : a + TILE], right[b : b + TILE]
-            near = square[p][:, None] + square[q][None, :] - 2 * (part[p] @ part[q].T) <= share + 2 * SLACK
-            near &= home[p][:, None] | home[q][None, :]
-            u, v = np.nonzero(near)
+            u, v = np.divmod(np.flatnonzero(rows[p] @ columns[q].T <= np.float32(share + ROUGH)), len(q))
             u, v = p[u], q[v]
-            if left is right:
-                u, v = u[u < v], v[u < v]
+            keep = (home[u] | home[v]) & ((u < v) | (not within_piece))
+            u, v = u[keep], v[keep]
             for s in range(0, len(u), 1 << 17):
                 m, n = u[s : s + (1 << 17)], v[s : s + (1 << 17)]
                 gap = (turned[m] - turned[n]) ** 2
