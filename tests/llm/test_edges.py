@@ -79,13 +79,13 @@ def test_media_edges(spark, nasty):
 
 
 def test_toxicity_edges(spark, nasty):
-    rows = nasty.select("text", "lang", (F.col("doc_id") % 2).alias("toxic"))
-    model = toxicity.fit(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (2, None), (None, 1), (3, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(nasty, labels)
     got = [r[0] for r in nasty.select(toxicity.scored(F.col("text"), model)).collect()]
     assert all(0 <= s <= 1 for s in got)
-    alone = toxicity.fit(rows.where("toxic = 1"))
+    alone = toxicity.fit(nasty, labels.where("toxic = 1"))
     assert {r[0] for r in nasty.select(toxicity.scored(F.col("text"), alone)).collect()} == {1.0}
-    none = toxicity.fit(rows.where("false"))
+    none = toxicity.fit(nasty, labels.limit(0))
     assert {r[0] for r in nasty.select(toxicity.scored(F.col("text"), none)).collect()} == {0.0}
 
 
