@@ -224,7 +224,7 @@ def window_summary(df: DataFrame, size: str, slide: str | None = None, key: str
 def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes",
                     key: str = "card_id", time: str = "event_time", amount: str = "amount") -> DataFrame:
     """Per hopping window and key: the whole window against the time ``back`` from its latest
-    event. Batch only. Rows are first summed per (window, key, instant), so a hot window
+    event (on a stream: ``window_velocity_stream``). Rows are first summed per (window, key, instant), so a hot window
     enters the join with its latest instant in pre-aggregated form."""
     instants = df.groupBy(F.window(time, size, slide).alias("__w"), key, time).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
@@ -236,6 +236,28 @@ def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 min
         F.sum(F.when(recent, F.col("__n")).otherwise(0)).alias("count_short"),
         amount_of(F.sum(F.when(recent, F.col("__s"))), F.sum(F.when(recent, F.col("__r")))).alias("total_short"),
         F.sum("__n").alias("count_long"), amount_of(F.sum("__s"), F.sum("__r")).alias("total_long"))
+    return _velocity_columns(out, key)
+
+
+def window_velocity_stream(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes", delay: str = "10 minutes",
+                           key: str = "card_id", time: str = "event_time", amount: str = "amount") -> DataFrame:
+    """The same on a stream, in one aggregate: a window keeps the times and amounts of its rows until the watermark has passed it, since
+    which of them are recent is known only then."""
+    row = F.struct(F.unix_micros(time).alias("t"), money(amount).alias("s"), money_rest(amount).alias("r"))
+    marked = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    held = marked.groupBy(F.window(time, size, slide).alias("__w"), key).agg(F.collect_list(row).alias("__rows"), F.max(F.unix_micros(time)).alias("__latest"))
+
+    def total(rows: Column) -> Column:
+        units = F.aggregate(rows, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.coalesce(x["s"], F.lit(0))).cast("decimal(38,0)"))
+        return F.when(F.exists(rows, lambda x: x["s"].isNotNull()), amount_of(units, F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x["r"], F.lit(0.0)))))
+
+    recent = F.filter("__rows", lambda x: x["t"] >= F.col("__latest") - F.lit(micros(back)))
+    return _velocity_columns(held.select(
+        "__w", key, F.size(recent).cast("long").alias("count_short"), total(recent).alias("total_short"),
+        F.size("__rows").cast("long").alias("count_long"), total(F.col("__rows")).alias("total_long")), key)
+
+
+def _velocity_columns(out: DataFrame, key: str) -> DataFrame:
     total_ratio = F.when(F.col("total_long") > 0, ratio(F.col("total_short"), F.col("total_long"))).otherwise(0.0)
     return out.select(
         F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,

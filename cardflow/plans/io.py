@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from cardflow.operators import hydrate as H
-from cardflow.operators.velocity import SECOND, hopping_features
+from cardflow.operators.velocity import SECOND, hopping_features, window_velocity_stream
 from cardflow.plans.features import HYDRATE_SQL, hydrated
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
 from cardflow.plans.sql import EV, MONEY, TX, with_
-from cardflow.plans.velocity import summary_columns, summary_sql, us
+from cardflow.plans.velocity import summary_columns, summary_sql, us, velocity_window_columns, window_velocity_sql
 from cardflow.sources import readers as I
 from cardflow.sources import sinks as O
 from cardflow.sources.views import ev, table
@@ -194,6 +194,9 @@ FROM ev, range(10) r(i) WHERE us // 60000000 * 60000000 - r.i * 60000000 + 60000
 QUERIES["w3_tumbling_stream"] = (
     lambda spark, sf: drained(S.summary_stream(stream(spark, sf), "5 minutes"), "w3").select(*summary_columns()),
     with_(EV) + summary_sql(300 * SECOND, 300 * SECOND).replace("FROM h GROUP BY", f"FROM h WHERE ws + 300000000 <= {CLOSED} GROUP BY"))
+QUERIES["w4_window_velocity_stream"] = (
+    lambda spark, sf: drained(window_velocity_stream(stream(spark, sf)), "w4").select(*velocity_window_columns()),
+    window_velocity_sql(600 * SECOND, 300 * SECOND, 300 * SECOND) + f" WHERE ws + 600000000 <= {CLOSED}")
 
 
 def watermark(spark, sf):

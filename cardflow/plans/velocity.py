@@ -172,17 +172,9 @@ QUERIES["w3_hopping_10m_5m"] = (
     lambda spark, sf: V.window_summary(ev(spark, sf), "10 minutes", "5 minutes").select(*summary_columns()),
     with_(EV) + summary_sql(600 * V.SECOND, 300 * V.SECOND))
 
-for label, size, slide, back, unit in (("10m_5m", "10 minutes", "5 minutes", "5 minutes", (600, 300, 300)),
-                                       ("2d_1d", "48 hours", "24 hours", "24 hours", (172800, 86400, 86400))):
-    z, s, b = (x * V.SECOND for x in unit)
-    QUERIES[f"w4_window_velocity_{label}"] = (
-        lambda spark, sf, size=size, slide=slide, back=back: V.window_velocity(ev(spark, sf), size, slide, back).select(
-            us("window_start"), us("window_end"), "card_id", "count_short",
-            F.round("total_short", 4).alias("total_short"), F.round("avg_short", 7).alias("avg_short"), "count_long",
-            F.round("total_long", 4).alias("total_long"), F.round("avg_long", 7).alias("avg_long"),
-            F.round("count_ratio", 7).alias("count_ratio"), F.round("amount_ratio", 7).alias("amount_ratio"),
-            "amount_bucket"),
-        with_(EV) + f""", h AS (SELECT *, us // {s} * {s} - r.i * {s} AS ws FROM ev, range({z // s}) r(i)),
+
+def window_velocity_sql(z: int, s: int, b: int) -> str:
+    return with_(EV) + f""", h AS (SELECT *, us // {s} * {s} - r.i * {s} AS ws FROM ev, range({z // s}) r(i)),
 m AS (SELECT *, max(us) OVER (PARTITION BY ws, card_id) AS latest FROM h),
 g AS (SELECT ws, card_id, count(*) FILTER (us >= latest - {b}) AS cs, count(*) AS cl,
   CAST(sum(CAST(amount AS {MONEY})) FILTER (us >= latest - {b}) AS DOUBLE) AS ts,
@@ -190,7 +182,22 @@ g AS (SELECT ws, card_id, count(*) FILTER (us >= latest - {b}) AS cs, count(*) A
 SELECT ws AS window_start, ws + {z} AS window_end, card_id, cs AS count_short, round(ts, 4) AS total_short,
   round(ts / cs, 7) AS avg_short, cl AS count_long, round(tl, 4) AS total_long, round(tl / cl, 7) AS avg_long,
   round(cs / cl, 7) AS count_ratio, CASE WHEN tl > 0 THEN round(ts / tl, 7) ELSE 0 END AS amount_ratio,
-  {below_sql('tl')} AS amount_bucket FROM g""")
+  {below_sql('tl')} AS amount_bucket FROM g"""
+
+
+def velocity_window_columns():
+    return [us("window_start"), us("window_end"), "card_id", "count_short",
+            F.round("total_short", 4).alias("total_short"), F.round("avg_short", 7).alias("avg_short"), "count_long",
+            F.round("total_long", 4).alias("total_long"), F.round("avg_long", 7).alias("avg_long"),
+            F.round("count_ratio", 7).alias("count_ratio"), F.round("amount_ratio", 7).alias("amount_ratio"), "amount_bucket"]
+
+
+for label, size, slide, back, unit in (("10m_5m", "10 minutes", "5 minutes", "5 minutes", (600, 300, 300)),
+                                       ("2d_1d", "48 hours", "24 hours", "24 hours", (172800, 86400, 86400))):
+    z, s, b = (x * V.SECOND for x in unit)
+    QUERIES[f"w4_window_velocity_{label}"] = (
+        lambda spark, sf, size=size, slide=slide, back=back: V.window_velocity(ev(spark, sf), size, slide, back).select(*velocity_window_columns()),
+        window_velocity_sql(z, s, b))
 
 # Late rows; arrival order is the id, event time is shifted back for some rows
 
