@@ -248,14 +248,19 @@ v AS (SELECT g.*, CASE WHEN event_time - vt <= {TOLERANCE} THEN n END AS count_5
 h AS (SELECT a.transaction_id, count(b.event_time) AS n, min(b.event_time) AS first, max(b.event_time) AS prev FROM v a LEFT JOIN v b
   ON b.card_id = a.card_id AND b.event_time < a.event_time AND b.rejection_reason IS NULL GROUP BY a.transaction_id),
 o AS (SELECT v.*, n, first, prev FROM v JOIN h USING (transaction_id)) """
+HYDRATED_SQL = """SELECT transaction_id, card_id, amount, product_code, card4, card1, addr1, rejection_reason IS NULL AS complete, count_5m,
+  greatest(n + 1, coalesce(count_5m, 0))::DOUBLE AS c1, (n + 1)::DOUBLE AS c2, round(coalesce((event_time - first) / 86400e6::DOUBLE, 0), 6) AS d1,
+  round(coalesce((event_time - prev) / 86400e6::DOUBLE, 0), 6) AS d2 FROM o"""
+
+
+def hydrate_columns():
+    return ["transaction_id", "card_id", "amount", "product_code", "card4", "card1", "addr1", "complete", "count_5m", "c1", "c2",
+            F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2")]
+
+
 for suffix, split in (("", None), ("_split", True)):
     QUERIES[f"h1_hydrate{suffix}"] = (
-        lambda spark, sf, split=split: hydrated(spark, sf, split).select(
-            "transaction_id", "card_id", "amount", "product_code", "card4", "card1", "addr1", "complete", "count_5m", "c1", "c2",
-            F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2")),
-        HYDRATE_SQL + """SELECT transaction_id, card_id, amount, product_code, card4, card1, addr1, rejection_reason IS NULL AS complete, count_5m,
-  greatest(n + 1, coalesce(count_5m, 0))::DOUBLE AS c1, (n + 1)::DOUBLE AS c2, round(coalesce((event_time - first) / 86400e6::DOUBLE, 0), 6) AS d1,
-  round(coalesce((event_time - prev) / 86400e6::DOUBLE, 0), 6) AS d2 FROM o""")
+        lambda spark, sf, split=split: hydrated(spark, sf, split).select(*hydrate_columns()), HYDRATE_SQL + HYDRATED_SQL)
 QUERIES["h2_gate"] = (
     lambda spark, sf: hydrated(spark, sf).select("transaction_id", "complete", "rejection_reason",
                                                  F.array_join("missing_features", ",").alias("missing_features")),

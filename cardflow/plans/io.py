@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cardflow.operators import hydrate as H
 from cardflow.operators.velocity import SECOND, hopping_features, window_velocity_stream
-from cardflow.plans.features import HYDRATE_SQL, hydrated
+from cardflow.plans.features import (
+    DAY_US, HYDRATE_SQL, HYDRATED_SQL, PROFILE_FIELDS, TOLERANCE, events, hydrate_columns, hydrated, profiles, velocity)
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
 from cardflow.plans.sql import EV, MONEY, TX, with_
 from cardflow.plans.velocity import summary_columns, summary_sql, us, velocity_window_columns, window_velocity_sql
@@ -388,6 +389,21 @@ def progress(spark, sf):
 QUERIES["w13_stream_progress"] = (progress, "SELECT count(*) AS rows, TRUE AS ran, TRUE AS measured FROM events")
 
 
+def hydrated_stream(spark, sf):
+    """Events and velocity records week by week, five micro-batches on one state."""
+    first = ev(spark, sf).agg(F.min("us")).first()[0]
+
+    def weeks(df, time):
+        return df.withColumn("batch", F.least(F.greatest(F.floor((F.col(time) - first) / F.lit(WEEK)), F.lit(0)), F.lit(4)).cast("int"))
+
+    rows = arriving(spark, weeks(events(spark, sf), "event_time"), "h1-events").drop("batch")
+    records = arriving(spark, weeks(velocity(spark, sf), "velocity_time"), "h1-velocity").drop("batch")
+    return drained(T.hydrate_stream(rows, profiles(spark, sf), records, tolerance=TOLERANCE, day=DAY_US, profile_fields=PROFILE_FIELDS, delay="1 day"), "h1")
+
+
+QUERIES["h1_hydrate_stream"] = (lambda spark, sf: hydrated_stream(spark, sf).select(*hydrate_columns()), HYDRATE_SQL + HYDRATED_SQL)
+
+
 def gated(spark, sf):
     """Scored and rejected rows through one ``foreachBatch``."""
     inbox, kept, rejected, checkpoint = (S.scratch(spark, n) for n in ("h3-in", "h3-scored", "h3-quarantine", "h3-checkpoint"))

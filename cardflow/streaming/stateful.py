@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cardflow.functions.columns import MONEY_UNIT, money, money_rest, true_labels
+from cardflow.operators.hydrate import ESSENTIAL_PROFILE, gate
+from cardflow.operators.joins import lookup_profile
 
 # The processors travel to the executors by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -189,6 +191,53 @@ class LastArrival(_Rows):
         return pd.DataFrame({"key": key[0], "id": batch["id"], "us": new, "gap": gap})
 
 
+class Hydration(StatefulProcessor):
+    """Events (side 1) of a card with its latest velocity record (side 0) and the counters over its accepted earlier events. Accepted times below the
+    watermark are counted, not kept, but for the latest; records too old for any accepted row are dropped."""
+
+    def __init__(self, tolerance: int | None, day: float):
+        self.tolerance, self.day = tolerance, day
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("card", "n bigint, first bigint, done array<bigint>, rec_us array<bigint>, rec_n array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "n"], kind="stable")
+        folded, first, done, rec_us, rec_n = self.state.get() if self.state.exists() else (0, 0, [], [], [])
+        events, records = batch[batch["side"] == 1], batch[batch["side"] == 0]
+        at = events["us"].to_numpy(np.int64)
+        done = np.sort(np.concatenate([np.asarray(list(done), np.int64), at[events["accepted"].to_numpy(bool)]]))
+        rec_us = np.concatenate([np.asarray(list(rec_us), np.int64), records["us"].to_numpy(np.int64)])
+        rec_n = np.concatenate([np.asarray(list(rec_n), np.float64), records["n"].to_numpy(np.float64)])
+        order = np.lexsort((rec_n, rec_us))
+        rec_us, rec_n = rec_us[order], rec_n[order]
+        last = np.searchsorted(rec_us, at, side="right") - 1
+        fresh = last >= 0
+        if self.tolerance is not None and len(rec_us):
+            fresh &= at - rec_us[np.maximum(last, 0)] <= self.tolerance
+        count = np.where(fresh, rec_n[np.maximum(last, 0)] if len(rec_n) else np.nan, np.nan)
+        before = np.searchsorted(done, at, side="left")
+        begin = np.where(folded > 0, first, done[0] if len(done) else 0)
+        previous = done[np.maximum(before - 1, 0)] if len(done) else np.zeros(len(at), np.int64)
+        some = before > 0
+        c2 = (folded + before + 1).astype(float)
+        yield pd.DataFrame({"row": events["row"].to_numpy(object), "count": pd.array([float(c) if f else None for c, f in zip(count, fresh)], dtype="Float64"),
+                            "c1": np.where(fresh, np.fmax(c2, count), c2), "c2": c2,
+                            "d1": np.where(some, (at - begin) / self.day, 0.0), "d2": np.where(some, (at - previous) / self.day, 0.0)})
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        if watermark > 0:
+            drop = max(int(np.searchsorted(done, watermark)) - 1, 0)
+            if drop:
+                folded, first, done = folded + drop, first if folded else int(done[0]), done[drop:]
+            least = watermark - (self.tolerance or 0)
+            keep = rec_us >= (least if self.tolerance is not None else max(rec_us[rec_us < watermark], default=watermark))
+            rec_us, rec_n = rec_us[keep], rec_n[keep]
+        self.state.update((int(folded), int(first), done.tolist(), rec_us.tolist(), rec_n.tolist()))
+
+    def close(self) -> None:
+        pass
+
+
 def _bucketed(df: DataFrame, key: str, width: int) -> DataFrame:
     """Each row under its own time bucket and, as context, under the next one."""
     own = F.floor(F.col("us") / F.lit(width))
@@ -267,3 +316,23 @@ def arrival_gap_stream(df: DataFrame, key: str = "card_id", time: str = "us", ro
     """Distance to the previously arrived row of the key. ``arrival`` numbers the rows of a micro-batch as they came (an offset, a time);
     without it the row's id does."""
     return _per_key(df, LastArrival(ttl_ms), "gap", key, time, row_id, delay, F.col(arrival or row_id).alias("arrival"))
+
+
+def hydrate_stream(events: DataFrame, profiles: DataFrame, velocity: DataFrame, key: str = "card_id", time: str = "event_time", velocity_time: str = "velocity_time",
+                   velocity_count: str = "count_5m", tolerance: int | None = None, day: float = 86400.0,
+                   profile_fields: Sequence[str] = ESSENTIAL_PROFILE, delay: str = "10 minutes") -> DataFrame:
+    """``hydrate`` on streams of events and velocity records (times in microseconds), with a table of profiles: profile, gate, the latest record that is known and not newer, and the
+    counters over accepted events that are known and earlier. An event without time passes with the counters of a first one; it is rejected anyway."""
+    rows = gate(lookup_profile(events, profiles, key), profile_fields)
+    timed = rows.filter(F.col(time).isNotNull())
+    left = timed.select(F.col(key).alias("key"), F.col(time).alias("us"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("n"), F.col("complete").alias("accepted"),
+                        F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row"))
+    right = velocity.select(F.col(key).alias("key"), F.col(velocity_time).alias("us"), F.lit(0).alias("side"), F.col(velocity_count).cast("double").alias("n"),
+                            F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("row"))
+    out = _marked(left.unionByName(right), delay).groupBy("key").transformWithStateInPandas(
+        Hydration(tolerance, day), "row string, count double, c1 double, c2 double, d1 double, d2 double", "append", "eventTime")
+    kind = velocity.schema[velocity_count].dataType
+    out = out.withColumn("row", F.from_json("row", rows.schema)).select("row.*", F.col("count").cast(kind).alias(velocity_count), "c1", "c2", "d1", "d2")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return out.unionByName(rows.filter(F.col(time).isNull()).select(
+        "*", F.lit(None).cast(kind).alias(velocity_count), one.alias("c1"), one.alias("c2"), zero.alias("d1"), zero.alias("d2")))
