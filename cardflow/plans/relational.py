@@ -328,9 +328,14 @@ def both_spellings(spark, sf):
         F.concat(F.lit("CARD-"), F.col("card_id")).alias("card_id"), F.concat(F.lit("P-"), F.col("card4")).alias("card4"), "card1", "addr1"))
 
 
-SPELLED = F.when(F.col("k") % 2 == 0, F.concat(F.lit("CARD-"), F.col("card_id"))).otherwise(F.col("card_id").cast("string")).alias("card_id")
+def spelled(spark, sf):
+    """Events under either spelling of their card."""
+    card = F.when(F.col("k") % 2 == 0, F.concat(F.lit("CARD-"), F.col("card_id"))).otherwise(F.col("card_id").cast("string"))
+    return ev(spark, sf).select("transaction_id", card.alias("card_id"))
+
+
 QUERIES["j7_lookup_both_spellings"] = (
-    lambda spark, sf: J.lookup_profile(ev(spark, sf).select("transaction_id", SPELLED), both_spellings(spark, sf)).select("transaction_id", "card_id", "card4", "known"),
+    lambda spark, sf: J.lookup_profile(spelled(spark, sf), both_spellings(spark, sf)).select("transaction_id", "card_id", "card4", "known"),
     with_(EV, PROF) + """, s AS (SELECT CAST(card_id AS VARCHAR) AS key, card4 FROM prof WHERE card_id % 3 <> 0
   UNION ALL SELECT 'CARD-' || card_id, 'P-' || card4 FROM prof WHERE card_id % 5 < 3),
 e AS (SELECT transaction_id, CAST(card_id AS VARCHAR) AS bare, CASE WHEN k % 2 = 0 THEN 'CARD-' || card_id ELSE CAST(card_id AS VARCHAR) END AS card_id FROM ev)
