@@ -1,10 +1,11 @@
-"""Repeated passages: content-defined chunks of lines.
+"""Repeated passages: chunks of ten words, chosen by winnowing.
 
-A text is broken into lines at its newlines, and long lines are wrapped after spaces that a hash of the bytes before them chooses. A rolling
-hash over the hashes of two neighbouring lines sets the ends of chunks: where it is least among its neighbours, and at newlines. Equal passages
-therefore get equal chunks wherever they stand. Chunks of two lines or more that occur more than once, anywhere in the corpus, are looked up by hash;
-every occurrence but the first (by doc_id, then place) is compared with the first byte by byte, widened to both sides as far
-as the bytes go on to agree (up to REACH), and removed if it has MIN_WORDS words or more.
+A text is broken into words at any white space, newlines among it; a run without white space of more than LONG bytes is broken into pieces, after
+characters that a hash of the bytes before them chooses. Of each SPAN successive chunks of GRAM words, white space included, the one with the least hash
+is taken. Equal passages therefore get equal chunks wherever they stand, and each of MIN_WORDS words or more has one. Chunks that occur more
+than once, anywhere in the corpus, are looked up by hash; every occurrence but the first (by doc_id, then place) is compared with the first byte by
+byte, widened to both sides as far as the bytes go on to agree (up to SPAN words, where the next chunk is at the latest), and removed if it has
+MIN_WORDS words or more.
 
 What is removed always has an equal passage at a smaller (doc_id, place), so one occurrence of everything stays.
 
@@ -27,58 +28,62 @@ from pyspark.sql import functions as F
 from cardflow.llm import arrays
 from cardflow.llm.frames import Tables, small, stored, table
 
-#: A space in so many ends a wrapped line.
-WRAP = 4
 MIN_WORDS = 30
-#: Bytes that a chunk has at least. Shorter ones hardly ever are the only whole chunk of a passage.
-MIN_BYTES = 32
-#: Bytes that an occurrence can be widened by, on each side.
-REACH = 256
+#: Words of a chunk, and successive chunks of which one is taken, so that MIN_WORDS words hold one for sure. About every eleventh chunk is taken.
+GRAM = 10
+SPAN = MIN_WORDS - GRAM + 1
+#: Bytes from which a run without white space counts as several words, and the characters of it of which one ends a word.
+LONG, WRAP = 64, 4
 #: Bytes between chunks that are looked up as one, if they lie alike in both texts.
 GAP = 100
 #: Most keys of texts that are broadcast (8 bytes each), to leave out the others before a shuffle; beyond it, the joins shuffle.
 MOST_KEYS = 1_000_000
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of the wrapped lines of all texts, and whether each is the end of a line of the text."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    whole = data == 0x0A
-    whole[offsets[1:][offsets[1:] > 0] - 1] = True
-    wrap = data == 0x20
-    for i in range(4):  # there the bytes before are another text's
-        wrap[np.minimum(offsets[:-1] + i, len(data) - 1)] = False
-    at = np.flatnonzero(wrap)
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts; the third array has the first word of each text, and their number."""
+    starts, ends, first = arrays.spans(data, offsets, arrays.SPACE)
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return starts, ends, first
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts[long] + 4], edges[ends[long]] = 1, -1
+    at = np.flatnonzero(np.cumsum(edges[:-1], dtype=np.int8).astype(bool) & ((data & 0xC0) != 0x80))
     h = np.zeros(len(at), np.uint32)
     for back, odd in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35), (4, 0x27D4EB2F)):
         h += data[at - back] * np.uint32(odd)
         h ^= h >> np.uint32(13)
-    whole_or_wrapped = whole.copy()
-    whole_or_wrapped[at[((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)) % np.uint32(WRAP) == 0]] = True
-    ends = np.flatnonzero(whole_or_wrapped)
-    return ends + 1, whole[ends]
+    at = at[((h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)) % np.uint32(WRAP) == 0]
+    starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _over(x: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of each n successive values."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = least(x[:-step], x[step:])
+        have += step
+    return x
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the chunks of two lines or more."""
-    ends, whole = lines(data, offsets)
-    if not len(ends):
-        return ends, ends, np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], ends[:-1]])
+    """Starts, ends and hashes of the chunks that are taken."""
+    starts, ends, first = words(data, offsets)
+    if len(starts) < MIN_WORDS:
+        return starts[:0], starts[:0], np.zeros(0, np.uint64)
+    starts, ends = starts[: len(starts) - GRAM + 1], ends[GRAM - 1 :]
     h = arrays.prefix_hashes(data, starts, ends)[0]
-    rolling = h.copy()
-    inner = np.flatnonzero(~whole[:-1]) + 1  # lines that go on the one before
-    rolling[inner] = arrays.mix(h[inner - 1] * np.uint64(0x100000001B3) + h[inner])
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    before, after = np.full(len(h), top), np.full(len(h), top)
-    before[inner], after[inner - 1] = rolling[inner - 1], rolling[inner]
-    cut = np.flatnonzero(whole | ((rolling < before) & (rolling <= after)))
-    first = np.concatenate([[0], cut[:-1] + 1])
-    many = cut > first
-    many &= ends[cut] - starts[first] >= MIN_BYTES
-    first, last = first[many], cut[many]
-    return starts[first], ends[last], arrays.sequence_hashes(h, first, last + 1)
+    least = _over(h, SPAN, np.minimum)
+    whole = np.zeros(len(least) + 1, np.int64)  # windows that lie in one text
+    some = np.flatnonzero(np.diff(first) >= MIN_WORDS)
+    np.add.at(whole, first[some], 1)
+    np.add.at(whole, first[some + 1] - MIN_WORDS + 1, -1)
+    least[np.cumsum(whole[:-1]) == 0] = 0
+    none = np.zeros(SPAN - 1, np.uint64)
+    taken = np.flatnonzero((h == _over(np.concatenate([none, least, none]), SPAN, np.maximum)) & (h > 0))
+    return starts[taken], ends[taken], h[taken]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +103,17 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, wanted = batch.column("from_key").to_pylist(), batch.column("wanted").to_pylist()
         for key, places, text in zip(keys, wanted, batch.column("text").cast(pa.large_binary()), strict=True):
             text = text.as_py()
+            starts, ends, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            at, end = (np.array([p[c] for p in places], np.int64) for c in ("from_at", "from_end"))
+            # one word more, so that the white space beyond the last one is there
+            left = starts[np.maximum(np.searchsorted(starts, at) - SPAN, 0)]
+            right = ends[np.minimum(np.searchsorted(ends, end) + SPAN, len(ends) - 1)]
+            left[left == starts[0]], right[right == ends[-1]] = 0, len(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(places), pa.int64()), pa.array([p["from_at"] for p in places], pa.int32()), pa.array([p["from_end"] for p in places], pa.int32()),
-                 pa.array([text[max(0, p["from_at"] - REACH) : p["from_at"]] for p in places], pa.binary()),
-                 pa.array([text[p["from_at"] : p["from_end"]] for p in places], pa.binary()),
-                 pa.array([text[p["from_end"] : p["from_end"] + REACH] for p in places], pa.binary())],
+                [pa.array([key] * len(places), pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)),
+                 pa.array([text[x:a] for x, a in zip(left, at)], pa.binary()),
+                 pa.array([text[a:b] for a, b in zip(at, end)], pa.binary()),
+                 pa.array([text[b:x] for b, x in zip(end, right)], pa.binary())],
                 names=["from_key", "from_at", "from_end", "before", "same", "after"])
 
 
@@ -110,31 +121,35 @@ _BLANK = frozenset(b" \n\t\r\x0b\x0c")
 
 
 def _alike(own: bytes, same: bytes) -> list[tuple[int, int]]:
-    """Where two equally long strings agree for MIN_BYTES or more."""
+    """Where two equally long strings agree for GRAM bytes or more."""
     if own == same:
         return [(0, len(own))]
     equal = np.frombuffer(own, np.uint8) == np.frombuffer(same, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8))).reshape(-1, 2)
-    return [(int(a), int(b)) for a, b in edges if b - a >= MIN_BYTES]
+    return [(int(a), int(b)) for a, b in edges if b - a >= GRAM]
 
 
 def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
     """What to remove from a text: each find is confirmed byte by byte and widened, whole words only; spans that overlap or touch are joined."""
+    starts, ends, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     spans: list[tuple[int, int]] = []
     for f in found:
         start, end = f["at"], f["end"]
         for a, b in _alike(text[start:end], f["same"]):
             a, b = start + a, start + b
             if a == start:
-                while start - a < len(f["before"]) and a and text[a - 1] == f["before"][a - 1 - start]:
+                while start - a < len(f["before"]) and a > f["stays"] and text[a - 1] == f["before"][a - 1 - start]:
                     a -= 1
-            while a < b and a and text[a - 1] not in _BLANK:  # to the start of a word
-                a += 1
             if b == end:
                 while b - end < len(f["after"]) and b < len(text) and text[b] == f["after"][b - end]:
                     b += 1
-            while b > a and b < len(text) and text[b - 1] not in _BLANK:
-                b -= 1
+            i = int(np.searchsorted(starts, a)) - 1
+            if i >= 0 and a <= ends[i] and (i + 1 == len(starts) or a != starts[i + 1]):  # inside a word or at its end; white space before the span stays
+                a = int(ends[i])
+                a += a < len(text) and text[a] in _BLANK
+            i = int(np.searchsorted(starts, b)) - 1
+            if i >= 0 and b < ends[i]:
+                b = int(starts[i])
             if a < b:
                 spans.append((a, b))
     out: list[tuple[int, int]] = []
@@ -143,7 +158,7 @@ def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
-    return [(a, b) for a, b in out if len(text[a:b].split()) >= MIN_WORDS]
+    return [(a, b) for a, b in out if np.searchsorted(starts, b) - np.searchsorted(starts, a) >= MIN_WORDS]
 
 
 RESULT = "struct<text string, removed array<struct<start:long, end:long>>, removed_words long>"
@@ -190,14 +205,17 @@ def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> D
     place = F.struct("doc_id", "key", "at")
     first = steps.stored(some.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select(
         "h", F.col("first.doc_id").alias("from_id"), F.col("first.key").alias("from_key"), F.col("first.at").alias("from_at")))
-    later = some.join(first, "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at")))
+    # in one text, a chunk that overlaps the first is none beside it, and the first one stays whole
+    alone = (F.col("key") != F.col("from_key")) | (F.col("at") + F.col("at") >= F.col("from_at") + F.col("end"))
+    later = some.join(first, "h").where(place > F.struct(F.col("from_id").alias("doc_id"), F.col("from_key").alias("key"), F.col("from_at").alias("at"))).where(alone)
     # one exchange by text for dropping repeated rows and for joining neighbouring chunks
     later = later.withColumn("shift", F.col("at") - F.col("from_at")).drop("h").repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "at"])
     by_place = W.partitionBy("doc_id", "key").orderBy("at")
     on = (F.col("at") - F.lag("end").over(by_place) <= GAP) & (F.lag("from_key").over(by_place) == F.col("from_key")) & (F.lag("shift").over(by_place) == F.col("shift"))
     later = later.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_place)).withColumn("from_end", F.col("end") - F.col("shift"))
+    later = later.withColumn("stays", F.when(F.col("key") == F.col("from_key"), F.col("from_end")).otherwise(0))
     runs = steps.stored(later.groupBy("doc_id", "key", "run").agg(*[f(c).alias(c) for f, c in (
-        (F.min, "at"), (F.max, "end"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"))]))
+        (F.min, "at"), (F.max, "end"), (F.min, "from_key"), (F.min, "from_at"), (F.max, "from_end"), (F.min, "stays"))]))
     steps.drop(some, first)
 
     wanted = runs.select("from_key", "from_at", "from_end").distinct().groupBy("from_key").agg(F.collect_list(F.struct("from_at", "from_end")).alias("wanted"))
@@ -205,7 +223,7 @@ def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> D
     held = known.join(small(holders, MOST_KEYS), "key", "left_semi").withColumnRenamed("key", "from_key").join(wanted, "from_key").select("from_key", "wanted", "text")
     same = held.mapInArrow(_first_bytes, "from_key long, from_at int, from_end int, before binary, same binary, after binary")
     same = same.dropDuplicates(["from_key", "from_at", "from_end"])
-    finds = stored(runs.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "before", "same", "after")).alias("finds")))
+    finds = stored(runs.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "stays", "before", "same", "after")).alias("finds")))
 
     steps.drop(runs, holders)
 

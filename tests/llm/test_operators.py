@@ -122,6 +122,44 @@ def test_line_dedup(spark, words):
         assert "".join(kept) + t[at:] == got[i].text
 
 
+@pytest.mark.parametrize("white", ["\n", "\n\t", " "])
+def test_line_dedup_short_lines(spark, words, white):
+    """Passages of 10 to 30 short lines (or with tabs, or in a paragraph) go from all texts but the first, and nothing beside them."""
+    rng = random.Random(len(white))
+
+    def lines(n, most=3):
+        return "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, most + 1))) for _ in range(n))
+
+    passages = []
+    while len(passages) < 12:
+        p = "".join(rng.choice(white) if c in "\n " else c for c in lines(rng.randrange(10, 31)))
+        passages += [p] * (len(p.split()) >= 30)
+    rows, own = [], {}
+    for i in range(60):
+        own[i] = f"{lines(rng.randrange(1, 40))} end{i}", f"{i}begins {lines(rng.randrange(1, 40))}"
+        rows.append((i, f"{own[i][0]}\n{passages[i % 12]}\n{own[i][1]}"))
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "found.*").collect()}
+    for i, t in rows:
+        if i < 12:
+            assert got[i].text == t
+        else:
+            assert got[i].text.split() == " ".join(own[i]).split() and got[i].removed_words == len(passages[i % 12].split())
+
+
+def test_line_dedup_without_spaces(spark):
+    """Text without white space is cut by its bytes; a text that repeats one word keeps its first chunk."""
+    rng = random.Random(7)
+
+    def kanji(n):
+        return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+    passage = kanji(600)
+    rows = [(i, kanji(100) + passage + kanji(100)) for i in range(6)] + [(6, "la " * 300)]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "found.*").collect()}
+    assert got[0].text == rows[0][1] and all(200 <= len(got[i].text) <= 240 for i in range(1, 6))
+    assert 10 <= len(got[6].text.split()) <= 30
+
+
 def test_mix_takes_targets(spark, docs):
     rows = mixing.schedule(docs).select("doc.source", "size", "target", "source_size", "taken", "finish").collect()
     taken, target = collections.Counter(), {}
