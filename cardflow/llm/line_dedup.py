@@ -117,9 +117,6 @@ def _first_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["from_key", "from_at", "from_end", "before", "same", "after"])
 
 
-_BLANK = frozenset(b" \n\t\r\x0b\x0c")
-
-
 def _alike(own: bytes, same: bytes) -> list[tuple[int, int]]:
     """Where two equally long strings agree for GRAM bytes or more."""
     if own == same:
@@ -129,31 +126,43 @@ def _alike(own: bytes, same: bytes) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in edges if b - a >= GRAM]
 
 
+def _agree(x: bytes, y: bytes) -> int:
+    """How many bytes two strings have in common at the start."""
+    n, step = 0, min(len(x), len(y))
+    most = step
+    while step:
+        if n + step <= most and x[n : n + step] == y[n : n + step]:
+            n += step
+        else:
+            step //= 2
+    return n
+
+
 def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
     """What to remove from a text: each find is confirmed byte by byte and widened, whole words only; spans that overlap or touch are joined."""
-    starts, ends, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     spans: list[tuple[int, int]] = []
     for f in found:
         start, end = f["at"], f["end"]
         for a, b in _alike(text[start:end], f["same"]):
             a, b = start + a, start + b
             if a == start:
-                while start - a < len(f["before"]) and a > f["stays"] and text[a - 1] == f["before"][a - 1 - start]:
-                    a -= 1
+                before = f["before"]
+                a -= min(_agree(text[max(0, a - len(before)) : a][::-1], before[::-1]), max(0, a - f["stays"]))
             if b == end:
-                while b - end < len(f["after"]) and b < len(text) and text[b] == f["after"][b - end]:
-                    b += 1
-            i = int(np.searchsorted(starts, a)) - 1
-            if i >= 0 and a <= ends[i] and (i + 1 == len(starts) or a != starts[i + 1]):  # inside a word or at its end; white space before the span stays
-                a = int(ends[i])
-                a += a < len(text) and text[a] in _BLANK
-            i = int(np.searchsorted(starts, b)) - 1
-            if i >= 0 and b < ends[i]:
-                b = int(starts[i])
-            if a < b:
-                spans.append((a, b))
+                b += _agree(text[b : b + len(f["after"])], f["after"])
+            spans.append((a, b))
+    starts, ends, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    if len(starts) < MIN_WORDS or not spans:
+        return []
+    a, b = np.array(spans, np.int64).T
+    i = np.searchsorted(starts, a, "right") - 1
+    cut = (i >= 0) & (a > starts[i]) & (a <= ends[i])  # inside a word or at its end; white space before the span stays
+    blank = np.append(arrays.SPACE[np.frombuffer(text, np.uint8)], False)
+    a = np.where(cut, ends[i] + blank[ends[i]], a)
+    i = np.searchsorted(starts, b) - 1
+    b = np.where((i >= 0) & (b < ends[i]), starts[i], b)
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted((a, b) for a, b in zip(a.tolist(), b.tolist()) if a < b):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:

@@ -146,6 +146,28 @@ def test_line_dedup_short_lines(spark, words, white):
             assert got[i].text.split() == " ".join(own[i]).split() and got[i].removed_words == len(passages[i % 12].split())
 
 
+def test_line_dedup_every_passage_has_a_chunk():
+    """30 words or more hold a whole chunk wherever they stand, and what is beside the chunks is in reach."""
+    rng = random.Random(9)
+
+    def prose(n, white=" "):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))) + rng.choice(white).strip(" ") for _ in range(n))
+
+    for _ in range(300):
+        passage, found = prose(rng.randrange(30, 60), " \n"), []
+        for text in (f"{prose(rng.randrange(40))} {passage} {prose(rng.randrange(40))}", passage):
+            data = np.frombuffer(text.encode(), np.uint8)
+            s, e, h = line_dedup.chunks(data, np.array([0, len(data)]))
+            at = text.index(passage)
+            starts = line_dedup.words(data, np.array([0, len(data)]))[0]
+            n = np.searchsorted(starts, [at, at + len(passage)])
+            mine = np.searchsorted(starts, s[(s >= at) & (e <= at + len(passage))])
+            gaps = np.diff([n[0], *mine, n[1] - line_dedup.GRAM])
+            assert len(mine) and gaps.max() <= line_dedup.SPAN
+            found.append(set(h.tolist()))
+        assert found[0] & found[1] and found[1]
+
+
 def test_line_dedup_without_spaces(spark):
     """Text without white space is cut by its bytes; a text that repeats one word keeps its first chunk."""
     rng = random.Random(7)
