@@ -2,7 +2,7 @@
 
 A text is a TF-IDF vector of hashed byte n-grams (2 to 4 bytes; A-Z lowered, other ASCII that is no letter counts as a space),
 of length 1. Each language has a few centroids, found by spherical k-means on its sample; a text gets the language of the nearest
-centroid by cosine, and is rejected if that is farther off than the language's limit.
+centroid by cosine, and is rejected if that is farther off than the language's limit for texts of its length.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and is rejected. Without any labelled text
 there is no language to predict: every text is `und` and none is rejected. Ties go to the language that comes first by code
@@ -30,10 +30,12 @@ SIZES = (2, 3, 4)
 SAMPLE_PER_LANGUAGE = 500
 LANGUAGES = 500
 CENTROIDS = 4
-#: A limit is this part of the similarity that all but 0.1 % of a language's own sample reach.
-LIMIT_SHARE, LIMIT_QUANTILE = 0.5, 0.001
-#: A first few words must be kept as well, so they take part in setting the limits.
-SHORT_BYTES = 24
+#: A limit is the similarity that all but 0.1 % of a language's own sample reach, of pieces of about the text's length: so many bytes, and n-grams.
+LIMIT_QUANTILE = 0.001
+BANDS = tuple(12 * 2**i for i in range(14))
+_BAND_GRAMS = np.array(BANDS) * len(SIZES)
+#: With fewer own pieces than this, the limit of the next shorter band holds where it is less.
+LEAST_PIECES = 64
 #: Softness of the score: differences of cosine are divided by it.
 TEMPERATURE = 0.03
 
@@ -77,7 +79,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     of: np.ndarray  # the language of each centroid
-    least: np.ndarray  # the least similarity that each language accepts
+    least: np.ndarray  # the least similarity that each language accepts, by band of lengths; the first one is of shorter texts
 
     @cached_property
     def by_position(self) -> np.ndarray:
@@ -103,12 +105,13 @@ class Model:
         for i, t in enumerate(texts.to_pylist()):
             if not t or not LETTER.search(t):
                 continue
-            s = self.similarity(*counts(data[offsets[i] : offsets[i + 1]])).round(9)
+            at, tf = counts(data[offsets[i] : offsets[i + 1]])
+            s = self.similarity(at, tf).round(9)
             best = int(s.argmax())
             lang[i] = self.languages[best]
             score[i] = round(1 / np.exp((s - s[best]) / TEMPERATURE).sum(), 6)
             distance[i] = 1 - s[best]
-            rejected[i] = s[best] < self.least[best]
+            rejected[i] = s[best] <= self.least[best, np.searchsorted(_BAND_GRAMS, tf.sum(), "right")]
         return lang, score, distance, rejected
 
 
@@ -130,11 +133,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = arrays.utf8(batch.column("text"))
         for i in range(batch.num_rows):
             whole = data[offsets[i] : offsets[i + 1]]
-            found = []
-            for piece in (whole, whole[:SHORT_BYTES]):
-                at, n = counts(piece)
-                found += [pa.array([at.astype(np.int32)]), pa.array([n])]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("draw").slice(i, 1), *found], names=["lang", "draw", "at", "n", "short_at", "short_n"])
+            pieces = [counts(whole), *(counts(whole[:n]) for n in BANDS if n <= len(whole))]
+            found = [pa.array([[x[j] for x in pieces]], pa.list_(pa.list_(kind))) for j, kind in ((0, pa.int32()), (1, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("draw").slice(i, 1), *found], names=["lang", "draw", "at", "n"])
 
 
 def fit(docs: DataFrame, key: str = "doc_id") -> Model:
@@ -143,47 +144,61 @@ def fit(docs: DataFrame, key: str = "doc_id") -> Model:
     sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Model([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(0))
+        return Model([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, 1 + len(BANDS))))
     chance = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], SAMPLE_PER_LANGUAGE / r["count"])])
     docs = docs.withColumn("draw", F.xxhash64("key", "text"))
     drawn = F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < chance[F.col("lang")]
     rows = docs.where(drawn).select("lang", "draw", "text").mapInArrow(
-        _sampled, "lang string, draw long, at array<int>, n array<float>, short_at array<int>, short_n array<float>").toArrow()
+        _sampled, "lang string, draw long, at array<array<int>>, n array<array<float>>").toArrow()
     lang = np.array([languages.index(x) for x in rows.column("lang").to_pylist()], int)
     order = np.lexsort((rows.column("draw").to_numpy(), lang))  # rows come in any order
-    lang, parts = lang[order], {}
-    for part, (at, n) in {"whole": ("at", "n"), "short": ("short_at", "short_n")}.items():
-        at, n = rows.column(at), rows.column(n)
-        parts[part] = [(at[int(i)].values.to_numpy(), n[int(i)].values.to_numpy()) for i in order]
+    lang, at, n = lang[order], rows.column("at"), rows.column("n")
+    # of each text the whole, then pieces by band
+    parts = [[(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(at[int(i)], n[int(i)])] for i in order]
 
     def dense(some: np.ndarray) -> np.ndarray:
         tf = np.zeros((len(some), DIMENSIONS), np.float32)
         for j, i in enumerate(some):
-            at, n = parts["whole"][i]
+            at, n = parts[i][0]
             tf[j, at] = n
         return tf
 
     df = np.zeros(DIMENSIONS)
-    for at, _ in parts["whole"]:
+    for (at, _), *_ in parts:
         df[at] += 1
-    model = Model(languages, np.log((1 + len(lang)) / (1 + df)).astype(np.float32) + 0.1, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros(len(languages)))
-    of, centroids = [], []
-    for k in range(len(languages)):
-        if (lang == k).any():  # one language at a time is held as a matrix
-            c = _clusters(model.weights(dense(np.flatnonzero(lang == k))), CENTROIDS)
-            centroids.append(c)
-            of += [k] * len(c)
-    have = sorted(set(of))
-    model.languages = [languages[k] for k in have]
-    model.of = np.array([have.index(k) for k in of], int)
-    model.centroids = np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32)
+    model = Model(languages, np.log((1 + len(lang)) / (1 + df)).astype(np.float32) + 0.1, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, 1 + len(BANDS))))
+    have = [k for k in range(len(languages)) if (lang == k).any()]
     if not have:
-        return Model([], np.zeros(0), model.centroids, model.of, np.zeros(0))
-    for j, k in enumerate(have):
+        return Model([], np.zeros(0), model.centroids, model.of, model.least)
+    model.languages = [languages[k] for k in have]
+    # limits come from texts that the centroids were not fit on: those of each half of a language's sample judge the other half, if there are enough
+    half = np.zeros(len(lang), int)
+    for k in have:
         mine = np.flatnonzero(lang == k)
-        own = [model.similarity(*parts[part][i])[j] for part in parts for i in mine]
-        model.least[j] = LIMIT_SHARE * np.quantile(own, LIMIT_QUANTILE)
-    model.least = model.least[: len(have)]
+        if len(mine) >= LEAST_PIECES:
+            half[mine] = 1 + np.arange(len(mine)) % 2
+    found: list[tuple[list, list]] = [([], []), ([], []), ([], [])]
+    for j, k in enumerate(have):  # one language at a time is held as a matrix
+        mine = np.flatnonzero(lang == k)
+        w = model.weights(dense(mine))
+        for (centroids, of), some in zip(found, (half[mine] >= 0, half[mine] != 1, half[mine] != 2)):
+            c = _clusters(w[some], CENTROIDS)
+            centroids.append(c.astype(np.float32))
+            of += [j] * len(c)
+    model.centroids, model.of = np.concatenate(found[0][0]), np.array(found[0][1], int)
+    others = [Model(model.languages, model.idf, np.concatenate(c), np.array(of, int), model.least) for c, of in found]
+    model.least = np.zeros((len(have), 1 + len(BANDS)))
+    for j, k in enumerate(have):
+        own: list[list[float]] = [[] for _ in BANDS]
+        for i in np.flatnonzero(lang == k):
+            for band, piece in enumerate(parts[i][1:]):
+                s = others[half[i]].similarity(*piece)
+                if s.argmax() == j:  # else it would be taken for another language
+                    own[band].append(s[j])
+        for band, s in enumerate(own):
+            model.least[j, band + 1] = np.quantile(s, LIMIT_QUANTILE) if s else model.least[j, band]
+            if len(s) < LEAST_PIECES and band > 1:
+                model.least[j, band + 1] = min(model.least[j, band + 1], model.least[j, band])
     return model
 
 

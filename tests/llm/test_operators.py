@@ -9,6 +9,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,20 @@ def test_language_rejects_what_is_far(spark, docs):
     assert all(r[0] for r in df.select(lang_id.predict(F.col("text"), model)["rejected"]).collect())
 
 
+def test_language_limits_by_length(spark, docs):
+    """Passages of other languages in Latin script go, and held-out texts and their beginnings of any length stay."""
+    model = lang_id.fit(docs.where(~lang_id.held_out()))
+    foreign = ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir qual era è cosa dura questa selva",
+               "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan",
+               "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych",
+               "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile"]
+    assert all(model.predict(pa.array(foreign))[3])
+    own = [r.text for r in docs.where(lang_id.held_out()).collect() if r.text and lang_id.LETTER.search(r.text)]
+    for n in (12, 40, 150, 600, 2400):
+        rejected = model.predict(pa.array([t[:n] for t in own if len(t) >= n and lang_id.LETTER.search(t[:n])]))[3]
+        assert len(rejected) > 30 and np.mean(rejected) <= 0.03
+
+
 def test_language_batches(spark, docs):
     """The result of a text does not depend on the rows beside it."""
     model = lang_id.fit(docs)
