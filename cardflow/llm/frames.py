@@ -26,10 +26,11 @@ class Tables:
     def __init__(self) -> None:
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def stored(self, df: DataFrame, *by: str) -> DataFrame:
+        """by: columns whose values become folders, so that reading some of them leaves the files of the others alone."""
         spark = df.sparkSession
         path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
