@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lang_id", "near_dup", "mixing", "line_dedup", "packing", "toxicity", "html_text", "media", "vector_dup", "pii", "divergence", "vector_codes")
+MODULES = ("lang_id", "near_dup", "mixing", "line_dedup", "packing", "toxicity", "html_text", "media", "vector_dup", "pii", "divergence", "vector_codes", "lm")
 
 
 def all_queries() -> dict:
