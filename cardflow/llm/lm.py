@@ -8,7 +8,7 @@ of a fixed size, reach the driver. A text is scored whole: the state is carried
 The counts of frequent words are looked up in a list of bounded size; all other words of the documents meet their counts in a join.
 
 Defined results: a null text is empty and has its end as only token. A null doc_id counts as ''. Every row counts, also where doc_id is repeated. Without
-training documents the base score is 0 and the model's symbols are as good as equal. Words that tie for the last symbol enter by their bytes. An empty table gives no rows;
+training documents the base score is 0 and the model's symbols are as good as equal. Words of equal counts are in the order of their bytes; of words that tie for the end of the list none is in it. An empty table gives no rows;
 other columns are not looked at. Scores depend on how the rows lie in files (as the tasks of a round do), and not on a run; beside other rows, a text's score varies by rounding only."""
 
 from __future__ import annotations
@@ -78,9 +78,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
+    """The list takes whole levels of counts (single ones up to 32, 1/16 of an octave above) from the top, as long as it has at most LISTED words."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.where(F.octet_length("word") <= LISTED_BYTES).orderBy(F.desc("n"), "word").limit(LISTED).collect()
-    return Vocabulary([r["word"] for r in top], np.array([r["n"] for r in top], np.int64), ends, (total[0] or 0) + ends, total[1] + (ends > 0))
+    short = counts.where(F.octet_length("word") <= LISTED_BYTES)
+    levels = short.groupBy(F.when(F.col("n") <= 32, F.col("n")).otherwise(F.floor(F.log2("n") * 16) - 47).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n"))
+    least, room = None, LISTED
+    for r in sorted(levels.collect(), key=lambda r: -r["n"]):  # some hundred rows
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = [] if least is None else sorted((-r["n"], r["word"].encode(), r["word"]) for r in short.where(F.col("n") >= least).collect())
+    return Vocabulary([w for *_, w in top], np.array([-n for n, *_ in top], np.int64), ends, (total[0] or 0) + ends, total[1] + (ends > 0))
 
 
 ENCODED = "row long, doc_id {key}, held_out boolean, part int, symbols binary, n_tokens long, n_rare long, n_known long, logs double, rare_logs double, word string, n long"

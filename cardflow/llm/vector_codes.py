@@ -134,14 +134,16 @@ def _vectors(rows: DataFrame, vector: str) -> DataFrame:
 
 def learn(rows: DataFrame, rounds: int = ROUNDS) -> Books:
     """The codebook of each position. rows: vec_id, vec, all of the same length."""
-    start = rows.orderBy(F.col("vec_id").asc_nulls_last(), "vec").limit(ENTRIES).collect()
+    steps, by = Tables(), (F.col("vec_id").asc_nulls_last(), "vec")
+    top = steps.stored(rows.orderBy(*by).limit(ENTRIES))  # a task gets each task's first rows, not the driver
+    start = top.orderBy(*by).collect()
+    steps.drop(top)
     if not start:
         return []
     d = len(start[0]["vec"])
     x = whole(pa.array([list(r["vec"]) for r in start], pa.list_(pa.float64())), d)
     books = [x[:, a:b].copy() for a, b in cuts(d)]
     salts = -(-rows.count() // OWNER_MEMBERS)
-    steps = Tables()
     first = rows.select("vec").mapInArrow(lambda b, books=books: _first(b, books, d, salts), MEMBER)
     resident = steps.stored(first.repartition("position", "entry", "salt"))
     held = [resident]
