@@ -55,10 +55,6 @@ def initial(counts: np.ndarray, seed: int = 11) -> Weights:
     return w
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Lanes:
     """Texts dealt to lanes, longest first; each is an array of symbols that ends with 0."""
 
@@ -88,8 +84,8 @@ class Lanes:
             yield np.where(inside, self.starts[:n] + step, 0), inside
 
 
-def _steps(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The states of a window. keep: gets what the way back needs."""
+def _steps(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+    """The states of a window. keep: arrays for what the way back needs."""
     out = np.empty((*before.shape, HIDDEN), np.float32)
     a = gates[before]
     goes_on = (before != 0).astype(np.float32)[:, :, None]
@@ -97,11 +93,16 @@ def _steps(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray, kee
     for t in range(len(before)):
         h = h * goes_on[t]
         b = h @ u
-        zr = _sigmoid(a[t, :, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
+        zr = b[:, : 2 * HIDDEN] + a[t, :, : 2 * HIDDEN]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         n = np.tanh(a[t, :, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
         if keep is not None:
-            keep.append((h, zr, n, b[:, 2 * HIDDEN :]))
+            for kept, x in zip(keep, (h, zr, n, b[:, 2 * HIDDEN :]), strict=True):
+                kept[t] = x
         h = n + z * (h - n)
         out[t] = h
     return out
@@ -166,7 +167,7 @@ def log10_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
 
 def _gradient(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray, symbols: np.ndarray, inside: np.ndarray, g: Weights) -> np.ndarray:
     """Writes the gradient of the mean loss over a window to g; returns the state at its end."""
-    keep: list = []
+    keep = tuple(np.empty((*before.shape, size), np.float32) for size in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
     states = _steps(w, gates, h, before, keep)
     n = int(inside.sum())
     s, target = _rows(states, inside), symbols[inside]
@@ -189,7 +190,7 @@ def _gradient(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray,
     else:
         d_states = np.zeros_like(states)
         d_states[inside] = ds
-    h0, zr, new, b = (np.stack(x) for x in zip(*keep, strict=True))
+    h0, zr, new, b = keep
     z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
     slope = zr * (1 - zr)
     by_z, by_n, by_r = (h0 - new) * slope[..., :HIDDEN], (1 - z) * (1 - new * new), b * slope[..., HIDDEN:]
