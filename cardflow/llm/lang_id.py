@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm import arrays
-from cardflow.llm.frames import table
+from cardflow.llm.frames import Tables, table
 
 BITS = 15
 DIMENSIONS = 1 << BITS
 SIZES = (2, 3, 4)
-#: The fit takes about so many rows of each language (each with the same chance, by a hash), and so many languages at most, the most frequent.
+#: The fit takes about so many rows of each language, each with the same chance, by a hash.
 SAMPLE_PER_LANGUAGE = 500
-LANGUAGES = 500
 CENTROIDS = 4
 #: A limit is the similarity that all but 0.1 % of a language's own sample reach, of pieces of about the text's length: so many bytes, and n-grams.
 LIMIT_QUANTILE = 0.001
@@ -46,29 +45,30 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 0x20
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
 
-def _slots(data: np.ndarray) -> np.ndarray:
-    """The vector position of every n-gram of some bytes, runs of spaces taken as one."""
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes that are compared, runs of spaces taken as one, with a space at both ends."""
     data = _FOLD[data]
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
-    data = np.concatenate([[0x20], data[keep], [0x20]]).astype(np.uint32)
-    out = []
-    for n in SIZES:
-        if len(data) >= n:
-            h = np.zeros(len(data) - n + 1, np.uint32)
-            for i in range(n):
-                h += (data[i : len(data) - n + 1 + i] + np.uint32(1 + n)) * _ODD[i]
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0x2C1B3C6D)
-            out.append((h >> np.uint32(32 - BITS)).astype(np.int32))
-    return np.concatenate(out)
+    return np.concatenate([[0x20], data[keep], [0x20]]).astype(np.uint8)
 
 
 def counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions that occur, and how often; parts of long texts are counted one after the other."""
+    """The vector positions of the n-grams that occur, and how often; a long text is counted a part after the other."""
+    data = folded(data)
     total = np.zeros(DIMENSIONS, np.int64)
-    for a in range(0, max(len(data), 1), arrays.PART_BYTES):  # the few n-grams over the seam of two parts are not counted
-        total += np.bincount(_slots(data[a : a + arrays.PART_BYTES]), minlength=DIMENSIONS)
+    for a in range(0, len(data), arrays.PART_BYTES):
+        part = data[a : a + arrays.PART_BYTES + max(SIZES) - 1].astype(np.uint32)  # n-grams that begin in this part
+        for n in SIZES:
+            size = min(arrays.PART_BYTES, len(part) - n + 1)
+            if size <= 0:
+                continue
+            h = np.zeros(size, np.uint32)
+            for i in range(n):
+                h += (part[i : size + i] + np.uint32(1 + n)) * _ODD[i]
+                h ^= h >> np.uint32(15)
+                h *= np.uint32(0x2C1B3C6D)
+            total += np.bincount((h >> np.uint32(32 - BITS)).astype(np.int32), minlength=DIMENSIONS)
     at = np.flatnonzero(total)
     return at, total[at].astype(np.float32)
 
@@ -93,7 +93,7 @@ class Model:
         """The cosine of a text, given by its positions and their counts, with the nearest centroid of each language."""
         w = np.log1p(n) * self.idf[at]
         s = w.astype(np.float64) @ self.by_position[at] / max(float(np.linalg.norm(w)), 1e-12)
-        return np.array([s[self.of == k].max() for k in range(len(self.languages))])
+        return np.maximum.reduceat(s, np.searchsorted(self.of, np.arange(len(self.languages))))
 
     def predict(self, texts: pa.Array) -> tuple[list, list, list, list]:
         """Language, score, distance and whether it is rejected, of each text."""
@@ -129,76 +129,102 @@ def _clusters(w: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as a whole (band -1), and a piece of it for each band, from a place that its draw decides."""
     for batch in batches:
         data, offsets = arrays.utf8(batch.column("text"))
+        draws = batch.column("draw").to_pylist()
         for i in range(batch.num_rows):
             whole = data[offsets[i] : offsets[i + 1]]
-            pieces = [counts(whole), *(counts(whole[:n]) for n in BANDS if n <= len(whole))]
-            found = [pa.array([[x[j] for x in pieces]], pa.list_(pa.list_(kind))) for j, kind in ((0, pa.int32()), (1, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, 1), batch.column("draw").slice(i, 1), *found], names=["lang", "draw", "at", "n"])
+            bands = [-1, *(k for k, n in enumerate(BANDS) if n <= len(whole))]
+            places = [(draws[i] >> k) % (len(whole) - BANDS[k] + 1) for k in bands[1:]]
+            found = [counts(whole), *(counts(whole[p : p + BANDS[k]]) for k, p in zip(bands[1:], places, strict=True))]
+            rows = pa.array(np.full(len(bands), i))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang").take(rows), batch.column("draw").take(rows), pa.array(bands, pa.int32()),
+                 pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in found], pa.binary())],
+                names=["lang", "draw", "band", "at", "n"])
+
+
+def _pieces(rows: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Draw, band, positions and counts, in an order that doesn't depend on that of the rows."""
+    rows = rows.sort_by([(c, "ascending") for c in ("draw", "band", "at", "n")])
+    for draw, band, at, n in zip(*(rows.column(c) for c in ("draw", "band", "at", "n")), strict=True):
+        yield draw.as_py(), band.as_py(), np.frombuffer(at.as_py(), "<i4"), np.frombuffer(n.as_py(), "<f4")
+
+
+def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a task each position occurs."""
+    total = np.zeros(DIMENSIONS, np.int64)
+    for batch in batches:
+        for at in batch.column("at").to_pylist():
+            total[np.frombuffer(at, "<i4")] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["position", "texts"])
+
+
+def _matrix(model: Model, whole: list) -> np.ndarray:
+    tf = np.zeros((len(whole), DIMENSIONS), np.float32)
+    for row, (_, _, at, n) in zip(tf, whole, strict=True):
+        row[at] = n
+    return model.weights(tf)
+
+
+def _centroids(rows: pa.Table, model: Model) -> pa.Table:
+    c = _clusters(_matrix(model, list(_pieces(rows))), CENTROIDS).astype("<f4")
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+
+def _limits(rows: pa.Table, model: Model) -> pa.Table:
+    """The least similarity of a language by band. Its texts are compared with centroids that were not fit on them: those of each half
+    of the sample judge the other half, if there are enough."""
+    mine = model.languages.index(rows.column("lang")[0].as_py())
+    whole = list(_pieces(rows.filter(pa.compute.equal(rows.column("band"), -1))))
+    w = _matrix(model, whole)
+    halves = len(whole) >= LEAST_PIECES
+    own = [Model(["own"], model.idf, c := _clusters(w[(np.arange(len(w)) % 2 != k) | (not halves)], CENTROIDS), np.zeros(len(c), int), model.least) for k in (0, 1)]
+    del w
+    found: list[list[float]] = [[] for _ in BANDS]
+    text = -1
+    for _, band, at, n in _pieces(rows):
+        if band < 0:  # the first row of each text
+            text += 1
+            continue
+        s = model.similarity(at, n)
+        s[mine] = own[text % 2].similarity(at, n)[0]
+        if s.argmax() == mine:  # else it would be taken for another language
+            found[band].append(s[mine])
+    least = np.zeros(1 + len(BANDS))
+    for band, s in enumerate(found):
+        least[band + 1] = np.quantile(s, LIMIT_QUANTILE) if s else least[band]
+        if len(s) < LEAST_PIECES and band > 1:
+            least[band + 1] = min(least[band + 1], least[band])
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "least": pa.array([least.tolist()], pa.list_(pa.float64()))})
 
 
 def fit(docs: DataFrame, key: str = "doc_id") -> Model:
-    """Learns from the rows that have a text with a letter and a lang. The key only decides who is in the sample."""
+    """Learns from the rows that have a text with a letter and a lang. The key only decides who is in the sample. A language's sample is a task's;
+    the driver gets the texts that each position occurs in, and of each language its centroids (half a MB) and limits."""
     docs = docs.select(F.col(key).alias("key"), "text", "lang").where("lang is not null and text rlike '\\\\p{L}'")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], np.zeros(0), np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, 1 + len(BANDS))))
-    chance = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], SAMPLE_PER_LANGUAGE / r["count"])])
-    docs = docs.withColumn("draw", F.xxhash64("key", "text"))
-    drawn = F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < chance[F.col("lang")]
-    rows = docs.where(drawn).select("lang", "draw", "text").mapInArrow(
-        _sampled, "lang string, draw long, at array<array<int>>, n array<array<float>>").toArrow()
-    lang = np.array([languages.index(x) for x in rows.column("lang").to_pylist()], int)
-    order = np.lexsort((rows.column("draw").to_numpy(), lang))  # rows come in any order
-    lang, at, n = lang[order], rows.column("at"), rows.column("n")
-    # of each text the whole, then pieces by band
-    parts = [[(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(at[int(i)], n[int(i)])] for i in order]
-
-    def dense(some: np.ndarray) -> np.ndarray:
-        tf = np.zeros((len(some), DIMENSIONS), np.float32)
-        for j, i in enumerate(some):
-            at, n = parts[i][0]
-            tf[j, at] = n
-        return tf
-
-    df = np.zeros(DIMENSIONS)
-    for (at, _), *_ in parts:
-        df[at] += 1
-    model = Model(languages, np.log((1 + len(lang)) / (1 + df)).astype(np.float32) + 0.1, np.zeros((0, DIMENSIONS)), np.zeros(0, int), np.zeros((0, 1 + len(BANDS))))
-    have = [k for k in range(len(languages)) if (lang == k).any()]
-    if not have:
-        return Model([], np.zeros(0), model.centroids, model.of, model.least)
-    model.languages = [languages[k] for k in have]
-    # limits come from texts that the centroids were not fit on: those of each half of a language's sample judge the other half, if there are enough
-    half = np.zeros(len(lang), int)
-    for k in have:
-        mine = np.flatnonzero(lang == k)
-        if len(mine) >= LEAST_PIECES:
-            half[mine] = 1 + np.arange(len(mine)) % 2
-    found: list[tuple[list, list]] = [([], []), ([], []), ([], [])]
-    for j, k in enumerate(have):  # one language at a time is held as a matrix
-        mine = np.flatnonzero(lang == k)
-        w = model.weights(dense(mine))
-        for (centroids, of), some in zip(found, (half[mine] >= 0, half[mine] != 1, half[mine] != 2)):
-            c = _clusters(w[some], CENTROIDS)
-            centroids.append(c.astype(np.float32))
-            of += [j] * len(c)
-    model.centroids, model.of = np.concatenate(found[0][0]), np.array(found[0][1], int)
-    others = [Model(model.languages, model.idf, np.concatenate(c), np.array(of, int), model.least) for c, of in found]
-    model.least = np.zeros((len(have), 1 + len(BANDS)))
-    for j, k in enumerate(have):
-        own: list[list[float]] = [[] for _ in BANDS]
-        for i in np.flatnonzero(lang == k):
-            for band, piece in enumerate(parts[i][1:]):
-                s = others[half[i]].similarity(*piece)
-                if s.argmax() == j:  # else it would be taken for another language
-                    own[band].append(s[j])
-        for band, s in enumerate(own):
-            model.least[j, band + 1] = np.quantile(s, LIMIT_QUANTILE) if s else model.least[j, band]
-            if len(s) < LEAST_PIECES and band > 1:
-                model.least[j, band + 1] = min(model.least[j, band + 1], model.least[j, band])
+    steps = Tables()
+    sizes = steps.stored(docs.groupBy("lang").agg(F.count("*").alias("rows")))
+    drawn = docs.withColumn("draw", F.xxhash64("key", "text")).join(sizes, "lang")
+    drawn = drawn.where(F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < SAMPLE_PER_LANGUAGE / F.col("rows"))
+    sample = steps.stored(drawn.select("lang", "draw", "text").mapInArrow(_sampled, "lang string, draw long, band int, at binary, n binary"))
+    whole = sample.where("band = -1")
+    texts = whole.count()
+    occurring = np.zeros(DIMENSIONS)
+    for r in whole.select("at").mapInArrow(_occurring, "position long, texts long").groupBy("position").agg(F.sum("texts").alias("texts")).collect():
+        occurring[r["position"]] = r["texts"]
+    model = Model([], np.log((1 + texts) / (1 + occurring)).astype(np.float32) + 0.1, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, 1 + len(BANDS))))
+    got = whole.groupBy("lang").applyInArrow(lambda rows: _centroids(rows, model), "lang string, centroids binary").collect()
+    got.sort(key=lambda r: r["lang"])
+    if got:
+        centroids = [np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMENSIONS) for r in got]
+        model = Model([r["lang"] for r in got], model.idf, np.concatenate(centroids), np.repeat(np.arange(len(got)), [len(c) for c in centroids]), np.zeros((len(got), 1 + len(BANDS))))
+        fitted = model
+        least = {r["lang"]: r["least"] for r in sample.groupBy("lang").applyInArrow(lambda rows: _limits(rows, fitted), "lang string, least array<double>").collect()}
+        model.least = np.array([least[x] for x in model.languages])
+    steps.drop(sizes, sample)
     return model
 
 

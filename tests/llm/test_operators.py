@@ -328,3 +328,22 @@ def test_near_vectors(spark, monkeypatch, n, d, task):
         up = new
     for i in range(len(x)):
         assert (got[i].n_links, got[i].component_id) == (near[i].sum(), up[i])
+
+
+def test_language_many(spark):
+    """Two hundred languages, each with its own pairs of letters; none is left out."""
+    rng = random.Random(12)
+    tongues = {f"l{i:03}": [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))) for _ in range(40)] for i in range(200)}
+    rows = [(i, lang, " ".join(rng.choice(words) for _ in range(60))) for i, (lang, words) in enumerate(x for x in tongues.items() for _ in range(8))]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.languages == sorted(tongues)
+    some = [(lang, " ".join(rng.choice(words) for _ in range(30))) for lang, words in tongues.items()]
+    assert np.mean([a == b for a, (b, _) in zip(model.predict(pa.array([t for _, t in some]))[0], some)]) > 0.97
+
+
+def test_language_parts(monkeypatch):
+    """A text counted in parts has the n-grams over their seams."""
+    data = np.frombuffer("Über den Wolken,  muss die Freiheit wohl grenzenlos sein. ".encode() * 9, np.uint8)
+    want = lang_id.counts(data)
+    monkeypatch.setattr(lang_id.arrays, "PART_BYTES", 17)
+    assert all((a == b).all() for a, b in zip(lang_id.counts(data), want))
