@@ -36,6 +36,8 @@ SPAN = MIN_WORDS - GRAM + 1
 LONG, WRAP = 64, 4
 #: Bytes between chunks that are looked up as one, if they lie alike in both texts.
 GAP = 100
+#: Bytes of texts that are cut up at once; what is held beside them is some thirty times as much.
+SLICE_BYTES = 1 << 20
 #: Most keys of texts that are broadcast (8 bytes each), to leave out the others before a shuffle; beyond it, the joins shuffle.
 MOST_KEYS = 1_000_000
 
@@ -88,7 +90,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in arrays.slices(whole, "text"):
+        for batch in arrays.slices(whole, "text", SLICE_BYTES):
             data, offsets = arrays.utf8(batch.column("text"))
             s, e, h = chunks(data, offsets)
             row = np.searchsorted(offsets, s, "right") - 1
