@@ -11,6 +11,7 @@ from cardflow.operators.history import causal_counters
 from cardflow.operators.ordered import by_heat
 from cardflow.operators.joins import asof_join, lookup_profile
 from cardflow.operators.prep import tier
+from cardflow.sources.sinks import write_once
 
 # Fields without which a row is not scored, and the reasons given.
 ESSENTIAL_EVENT = ("amount", "event_time", "product_code")
@@ -68,11 +69,15 @@ def provenance_map(names: Sequence[str]) -> Column:
 
 
 def write_gated(batch: DataFrame, scored_path: str, quarantine_path: str, batch_id: int) -> None:
-    """Both outputs of one micro-batch; repeating the batch replaces its own files only."""
+    """Both outputs of one micro-batch, in folders of the same number; a batch that comes again is not written again."""
     batch = batch.persist()  # computed once for both
-    try:
+
+    def write(slot: int) -> None:
         kept, rejected = quarantine(batch)
         for df, path in ((kept, scored_path), (rejected, quarantine_path)):
-            df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            df.write.mode("overwrite").parquet(f"{path}/batch_id={slot}")
+
+    try:
+        write_once([scored_path, quarantine_path], batch, batch_id, write)
     finally:
         batch.unpersist()

@@ -30,13 +30,15 @@ Aggs = Mapping[str, tuple[str, Column | None]]
 
 
 def hot_keys(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more than ``spark.cardflow.maxGroupRows`` rows, whatever the table holds, or None. Their list is stored, so that
-    Spark knows its size and chooses between broadcast and shuffle by it."""
+    """Keys with more than ``spark.cardflow.maxGroupRows`` rows, whatever the table holds, or None. One aggregate says whether there are any;
+    only then is their list stored, so that Spark knows its size and chooses between broadcast and shuffle by it."""
     both = dfs[0].select(*keys)
     for df in dfs[1:]:
         both = both.unionByName(df.select(*keys))
-    hot = stored(both.groupBy(*keys).count().filter(F.col("count") > max_group_rows(both.sparkSession)).select(*keys))
-    return None if hot.isEmpty() else hot
+    counted, limit = both.groupBy(*keys).count(), max_group_rows(both.sparkSession)
+    if (counted.agg(F.max("count")).first()[0] or 0) <= limit:
+        return None
+    return stored(counted.filter(F.col("count") > limit).select(*keys))
 
 
 def by_heat(dfs: Sequence[DataFrame], keys: Sequence[str], work: Callable[..., DataFrame]) -> DataFrame:

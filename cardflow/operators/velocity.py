@@ -167,7 +167,7 @@ def hopping_features(df: DataFrame, size: str = "10 minutes", slide: str = "1 mi
                      distinct: str = "exact", key: str = "card_id", time: str = "event_time",
                      amount: str = "amount", merchant: str = "merchant_id") -> DataFrame:
     """Hopping windows per key: count and sum over the window and over its last ``tail``, and
-    distinct merchants. ``distinct``: ``exact`` (batch), ``set`` (exact in a stream) or ``approx``."""
+    distinct merchants. ``distinct``: ``exact`` (batch), ``set`` (exact) or ``approx``. On a stream: ``streams.hopping_stream``."""
     if distinct == "exact" and not micros(size) % micros(slide) and not micros(tail) % micros(slide):
         return _hopping_panes(df, micros(size), micros(slide), micros(tail), key, time, amount, merchant)
     merchants = {"exact": F.count_distinct, "approx": F.approx_count_distinct,
@@ -224,7 +224,7 @@ def window_summary(df: DataFrame, size: str, slide: str | None = None, key: str
 def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes",
                     key: str = "card_id", time: str = "event_time", amount: str = "amount") -> DataFrame:
     """Per hopping window and key: the whole window against the time ``back`` from its latest
-    event (on a stream: ``window_velocity_stream``). Rows are first summed per (window, key, instant), so a hot window
+    event (on a stream: ``streams.window_velocity_stream``). Rows are first summed per (window, key, instant), so a hot window
     enters the join with its latest instant in pre-aggregated form."""
     instants = df.groupBy(F.window(time, size, slide).alias("__w"), key, time).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
@@ -239,22 +239,19 @@ def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 min
     return _velocity_columns(out, key)
 
 
-def window_velocity_stream(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes", delay: str = "10 minutes",
-                           key: str = "card_id", time: str = "event_time", amount: str = "amount") -> DataFrame:
-    """The same on a stream, in one aggregate: a window keeps the times and amounts of its rows until the watermark has passed it, since
-    which of them are recent is known only then."""
-    row = F.struct(F.unix_micros(time).alias("t"), money(amount).alias("s"), money_rest(amount).alias("r"))
-    marked = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    held = marked.groupBy(F.window(time, size, slide).alias("__w"), key).agg(F.collect_list(row).alias("__rows"), F.max(F.unix_micros(time)).alias("__latest"))
+def recent_totals(held: DataFrame, rows: str, latest: str, back: int, key: str) -> DataFrame:
+    """The result of ``window_velocity`` from the instants of a window: structs of time, rows, units and rest of the amounts."""
+    def total(some: Column) -> Column:
+        units = F.aggregate(some, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.coalesce(x["s"], F.lit(0))).cast("decimal(38,0)"))
+        return F.when(F.exists(some, lambda x: x["s"].isNotNull()), amount_of(units, F.aggregate(some, F.lit(0.0), lambda a, x: a + F.coalesce(x["r"], F.lit(0.0)))))
 
-    def total(rows: Column) -> Column:
-        units = F.aggregate(rows, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.coalesce(x["s"], F.lit(0))).cast("decimal(38,0)"))
-        return F.when(F.exists(rows, lambda x: x["s"].isNotNull()), amount_of(units, F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x["r"], F.lit(0.0)))))
+    def count(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
-    recent = F.filter("__rows", lambda x: x["t"] >= F.col("__latest") - F.lit(micros(back)))
+    recent = F.filter(rows, lambda x: x["t"] >= F.col(latest) - F.lit(back))
     return _velocity_columns(held.select(
-        "__w", key, F.size(recent).cast("long").alias("count_short"), total(recent).alias("total_short"),
-        F.size("__rows").cast("long").alias("count_long"), total(F.col("__rows")).alias("total_long")), key)
+        "__w", key, count(recent).alias("count_short"), total(recent).alias("total_short"),
+        count(F.col(rows)).alias("count_long"), total(F.col(rows)).alias("total_long")), key)
 
 
 def _velocity_columns(out: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cardflow.operators import hydrate as H
-from cardflow.operators.velocity import SECOND, hopping_features, window_velocity_stream
+from cardflow.operators.velocity import SECOND, hopping_features
 from cardflow.plans.features import (
     DAY_US, HYDRATE_SQL, HYDRATED_SQL, PROFILE_FIELDS, TOLERANCE, events, hydrate_columns, hydrated, profiles, velocity)
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
@@ -163,6 +163,20 @@ def replayed_batches(spark, sf):
 TOTALS_SQL = with_(EV) + f"""SELECT card_id, round(CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE), 4) AS running_total,
   count(*) AS running_count FROM ev GROUP BY card_id"""
 QUERIES["s9_foreach_batch_replay"] = (replayed_batches, TOTALS_SQL)
+
+
+def two_checkpoints(spark, sf):
+    """A second query with a new checkpoint on the folder of the first: its output comes after that of the first and replaces nothing."""
+    path = S.scratch(spark, "s9-two")
+    for name in ("s9-first", "s9-second"):
+        S.run_all([O.sink_foreach_batch(S.running_totals_stream(stream(spark, sf)), path, S.scratch(spark, name))])
+    rows = I.read_parquet(spark, path)
+    newest = rounded(O.latest_state(rows, ["card_id"]), ["running_total"], 4)
+    return newest.join(rows.groupBy("card_id").agg(F.count_distinct("batch_id").alias("written")), "card_id")
+
+
+QUERIES["s9_two_checkpoints"] = (two_checkpoints, with_(EV) + f"""SELECT card_id, round(CAST(sum(CAST(amount AS {MONEY})) AS DOUBLE), 4) AS running_total,
+  count(*) AS running_count, 2 AS written FROM ev GROUP BY card_id""")
 QUERIES["w14_running_totals_stream"] = (
     lambda spark, sf: rounded(O.latest_state(drained(S.running_totals_stream(stream(spark, sf)), "w14", "update"),
                                              ["card_id"]), ["running_total"], 4), TOTALS_SQL)
@@ -196,7 +210,7 @@ QUERIES["w3_tumbling_stream"] = (
     lambda spark, sf: drained(S.summary_stream(stream(spark, sf), "5 minutes"), "w3").select(*summary_columns()),
     with_(EV) + summary_sql(300 * SECOND, 300 * SECOND).replace("FROM h GROUP BY", f"FROM h WHERE ws + 300000000 <= {CLOSED} GROUP BY"))
 QUERIES["w4_window_velocity_stream"] = (
-    lambda spark, sf: drained(window_velocity_stream(stream(spark, sf)), "w4").select(*velocity_window_columns()),
+    lambda spark, sf: drained(S.window_velocity_stream(stream(spark, sf)), "w4").select(*velocity_window_columns()),
     window_velocity_sql(600 * SECOND, 300 * SECOND, 300 * SECOND) + f" WHERE ws + 600000000 <= {CLOSED}")
 
 
@@ -382,8 +396,10 @@ QUERIES["w11_restart"] = (restarted, with_(EV) + "SELECT transaction_id, amount,
 
 def progress(spark, sf):
     path, checkpoint = S.scratch(spark, "w13"), S.scratch(spark, "w13-checkpoint")
-    done = S.run_all([O.sink_parquet(stream(spark, sf).select("transaction_id"), path, checkpoint)])
-    return S.stream_progress(spark, done).select("rows", (F.col("batches") >= 1).alias("ran"), (F.col("rows_per_second") > 0).alias("measured"))
+    with S.ProgressTotals(spark) as totals:
+        done = S.run_all([O.sink_parquet(stream(spark, sf).select("transaction_id"), path, checkpoint)])
+        found = S.stream_progress(totals, done)
+    return found.select("rows", (F.col("batches") >= 1).alias("ran"), (F.col("rows_per_second") > 0).alias("measured"))
 
 
 QUERIES["w13_stream_progress"] = (progress, "SELECT count(*) AS rows, TRUE AS ran, TRUE AS measured FROM events")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
@@ -46,10 +46,43 @@ def sink_parquet(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
 
+def _slots(spark: SparkSession, log: str) -> dict[tuple[str, int], tuple[int, bool]]:
+    """(query, its batch) -> (folder number, whether it is written)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    rows = spark.read.schema("query string, batch long, slot long, done boolean").json(log)
+    rows = rows.groupBy("query", "batch").agg(F.max("slot").alias("slot"), F.max("done").alias("done"))
+    return {(r["query"], r["batch"]): (r["slot"], r["done"]) for r in rows.collect()}
+
+
+def write_once(paths: Sequence[str], batch: DataFrame, batch_id: int, write: Callable[[int], None]) -> bool:
+    """Calls ``write(slot)`` unless this batch of this query has been written; says whether it was called. Slots count the batches of all queries that wrote
+    to ``paths[0]``, one after the other, and name the folders: a query that starts anew on an old path gets new ones and overwrites nothing, and a batch that comes again
+    gets the folder it had. The commit table (a row before and a row after the write) lies in ``_commits`` beside the folders, where readers don't look."""
+    spark = batch.sparkSession
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+    log = f"{paths[0]}/_commits"
+    slots = _slots(spark, log)
+    slot, done = slots.get((query, batch_id), (None, False))
+    if done:
+        return False
+    if slot is None:
+        slot = 1 + max((s for s, _ in slots.values()), default=-1)
+        _commit(spark, log, query, batch_id, slot, False)
+    write(slot)
+    _commit(spark, log, query, batch_id, slot, True)
+    return True
+
+
+def _commit(spark: SparkSession, log: str, *row) -> None:
+    spark.createDataFrame([row], "query string, batch long, slot long, done boolean").coalesce(1).write.mode("append").json(log)
+
+
 def write_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: one folder per micro-batch, so that a repeated batch replaces itself."""
+    """``foreachBatch`` writer: one folder per micro-batch, which is written once. ``batch_id`` of the folders goes on from query to query."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_once([path], batch, batch_id, lambda slot: batch.write.mode("overwrite").parquet(f"{path}/batch_id={slot}"))
     return write
 
 

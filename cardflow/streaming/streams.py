@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
-from cardflow.functions.columns import money_sum
-from cardflow.operators.velocity import hopping_features, window_summary
+from cardflow.functions.columns import amount_of, money, money_rest, money_sum
+from cardflow.operators.velocity import hopping_features, micros, recent_totals, window_summary
 from cardflow.session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,8 +32,39 @@ def with_watermark(df: DataFrame, time: str = "event_time", delay: str = "10 min
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def hopping_stream(df: DataFrame, delay: str = "10 minutes", distinct: str = "approx", **options) -> DataFrame:
-    return hopping_features(with_watermark(df, options.get("time", "event_time"), delay), distinct=distinct, **options)
+def hopping_stream(df: DataFrame, delay: str = "10 minutes", distinct: str = "approx", size: str = "10 minutes", slide: str = "1 minute", tail: str = "5 minutes",
+                   key: str = "card_id", time: str = "event_time", amount: str = "amount", merchant: str = "merchant_id") -> DataFrame:
+    """``hopping_features`` on a stream, as two aggregates: rows are summed per pane (one slide long), so that a row is shuffled once and not once per
+    window, and a pane goes to its windows when the watermark has passed it. Distinct merchants are sketches that are merged (``approx``), or sets (``set``). A row
+    behind the watermark is in no window."""
+    marked = with_watermark(df, time, delay)
+    if micros(size) % micros(slide) or micros(tail) % micros(slide):
+        return hopping_features(marked, size, slide, tail, distinct, key, time, amount, merchant)
+    approx = distinct == "approx"
+    name = F.col(merchant).cast("string")
+    panes = marked.groupBy(F.window(time, slide).alias("__pane"), key).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"),
+        (F.hll_sketch_agg(name) if approx else F.collect_set(name)).alias("__m"))
+    placed = panes.withColumn("__w", F.window(F.window_time("__pane"), size, slide))
+    in_tail = F.col("__pane.start") >= F.col("__w.end") - F.expr(f"INTERVAL {tail}")
+    merchants = F.hll_sketch_estimate(F.hll_union_agg("__m")) if approx else F.size(F.array_distinct(F.flatten(F.collect_list("__m")))).cast("long")
+    return placed.groupBy("__w", key).agg(
+        F.sum(F.when(in_tail, F.col("__n")).otherwise(0)).alias("count_tail"),
+        F.coalesce(amount_of(F.sum(F.when(in_tail, F.col("__s"))), F.sum(F.when(in_tail, F.col("__r")))), F.lit(0.0)).alias("amount_tail"),
+        F.sum("__n").alias("count_window"), amount_of(F.sum("__s"), F.sum("__r")).alias("amount_window"), merchants.alias("unique_merchants"),
+    ).select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,
+             "count_tail", "amount_tail", "count_window", "amount_window", "unique_merchants")
+
+
+def window_velocity_stream(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes", delay: str = "10 minutes",
+                           key: str = "card_id", time: str = "event_time", amount: str = "amount") -> DataFrame:
+    """``window_velocity`` on a stream, as two aggregates: the first adds up the rows of each instant of a window as they come, the second gets the instants when the
+    watermark has passed the window, and finds which are recent. State grows with the instants of a window, not with its rows."""
+    marked = with_watermark(df, time, delay)
+    instants = marked.groupBy(F.window(time, size, slide).alias("__w"), key, F.unix_micros(time).alias("__t")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
+    held = instants.groupBy("__w", key).agg(F.collect_list(F.struct(*[F.col(f"__{c}").alias(c) for c in "tnsr"])).alias("__rows"), F.max("__t").alias("__latest"))
+    return recent_totals(held, "__rows", "__latest", micros(back), key)
 
 
 def summary_stream(df: DataFrame, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -73,18 +105,57 @@ def run_all(writers: Sequence[DataStreamWriter], trigger: str | None = None) ->
     return started
 
 
-def stream_progress(spark: SparkSession, queries: Sequence[StreamingQuery]) -> DataFrame:
+class ProgressTotals(StreamingQueryListener):
+    """Adds up the progress of every query as it is reported, so that a long run is counted in full (a query itself remembers its last
+    hundred micro-batches). As a context manager it listens to all queries of the session that start inside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.changed = spark, threading.Condition()
+        self.totals: dict[str, dict[str, float]] = {}
+        self.ended: set[str] = set()
+
+    def __enter__(self) -> ProgressTotals:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        add = {"rows": p.numInputRows, "batches": int(p.numInputRows > 0), "millis": p.durationMs.get("triggerExecution", 0) if p.numInputRows else 0,
+               "dropped": sum(op.numRowsDroppedByWatermark for op in p.stateOperators)}
+        with self.changed:
+            mine = self.totals.setdefault(str(p.runId), dict.fromkeys(add, 0))
+            for name, value in add.items():
+                mine[name] += value
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, query: StreamingQuery, wait: float = 60.0) -> dict[str, float]:
+        """The totals of a run: rows, batches with rows, their milliseconds, and rows the watermark refused. Reports come after the fact, so those
+        of a query that has ended are waited for."""
+        run = str(query.runId)
+        with self.changed:
+            if not query.isActive and not self.changed.wait_for(lambda: run in self.ended, wait):
+                raise TimeoutError(f"the end of query {run} was not reported")
+            return dict(self.totals.get(run, {"rows": 0, "batches": 0, "millis": 0, "dropped": 0}))
+
+
+def stream_progress(totals: ProgressTotals, queries: Sequence[StreamingQuery]) -> DataFrame:
     """Rows, micro-batches and rows per batch and second of finished or running queries."""
     rows = []
     for query in queries:
-        batches = [p for p in query.recentProgress if p["numInputRows"] > 0]
-        total = sum(p["numInputRows"] for p in batches)
-        millis = sum(p["durationMs"].get("triggerExecution", 0) for p in batches)
-        rows.append((query.name or str(query.id), total, len(batches), total / len(batches) if batches else 0.0,
-                     total * 1000.0 / millis if millis else 0.0))
-    return spark.createDataFrame(rows, "query string, rows long, batches long, rows_per_batch double, rows_per_second double")
-
-
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the watermark refused."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+        t = totals.of(query)
+        rows.append((query.name or str(query.id), int(t["rows"]), int(t["batches"]), t["rows"] / t["batches"] if t["batches"] else 0.0,
+                     t["rows"] * 1000.0 / t["millis"] if t["millis"] else 0.0, int(t["dropped"])))
+    return totals.spark.createDataFrame(rows, "query string, rows long, batches long, rows_per_batch double, rows_per_second double, dropped long")

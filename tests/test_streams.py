@@ -47,9 +47,10 @@ def run(df, tmp_path, name, mode="append"):
     path = str(tmp_path / name)
     writer = (sinks.sink_parquet(df, path, path + "-c") if mode == "append" else
               sinks.sink_foreach_batch(df, path, path + "-c", mode))
-    (query,) = streams.run_all([writer])
-    batches = len([p for p in query.recentProgress if p["numInputRows"] > 0])
-    return df.sparkSession.read.parquet(path), batches, query
+    with streams.ProgressTotals(df.sparkSession) as totals:
+        (query,) = streams.run_all([writer])
+        row = streams.stream_progress(totals, [query]).first()
+    return df.sparkSession.read.parquet(path), row["batches"], row
 
 
 def test_trailing_state_across_batches(spark, events, inbox, tmp_path):
@@ -146,8 +147,8 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
                 os.utime(path, (stamp, stamp))
     df = readers.read_file_events(spark, folder, "m long", max_files=1).select(
         F.timestamp_seconds(F.col("m") * 60).alias("event_time"), F.lit(1).alias("card_id"), F.lit(1.0).alias("amount"))
-    out, _, query = run(streams.summary_stream(df, "5 minutes", delay="10 minutes"), tmp_path, "late-out")
-    assert streams.dropped_rows(query) == 1
+    out, _, progress = run(streams.summary_stream(df, "5 minutes", delay="10 minutes"), tmp_path, "late-out")
+    assert progress["dropped"] == 1
     assert out.agg(F.sum("transaction_count")).first()[0] == 2
 
 
@@ -167,6 +168,57 @@ def test_replayed_batch_does_not_double(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 20
 
 
+def test_two_checkpoints_on_one_path(spark, inbox, events, tmp_path):
+    """A query that starts anew overwrites nothing, also when its batches have the numbers of the first one's; a batch that comes again is written once."""
+    path, (first, second) = str(tmp_path / "out"), (str(tmp_path / c) for c in "ab")
+    for checkpoint in (first, first, second):
+        streams.run_all([sinks.sink_foreach_batch(arriving(spark, inbox).select("transaction_id"), path, checkpoint, "append")])
+    rows = spark.read.parquet(path)
+    assert rows.count() == 2 * len(events) and sorted(r[0] for r in rows.select("batch_id").distinct().collect()) == list(range(10))
+    assert {r["count"] for r in rows.groupBy("transaction_id").count().collect()} == {2}
+
+
+def test_batch_that_broke_off(spark, tmp_path):
+    """The folder of a batch that failed is written again, and no other."""
+    path, calls = str(tmp_path / "b"), []
+
+    def write(slot):
+        calls.append(slot)
+        spark.range(3).write.mode("overwrite").parquet(f"{path}/batch_id={slot}")
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+
+    for i in (0, 1, 1, 1, 2):
+        try:
+            sinks.write_once([path], spark.range(3), i, write)
+        except RuntimeError:
+            pass
+    assert calls == [0, 1, 1, 2] and spark.read.parquet(path).count() == 9
+
+
+def test_long_run_is_counted_in_full(spark, tmp_path):
+    """More micro-batches than a query remembers."""
+    folder = str(tmp_path / "many")
+    spark.range(150).repartitionByRange(150, "id").write.option("maxRecordsPerFile", 1).parquet(folder)
+    source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
+    _, batches, row = run(source, tmp_path, "many-out")
+    assert batches == 150 and row["rows"] == 150 and row["rows_per_batch"] == 1
+
+
+def test_window_velocity_across_batches(spark, events, inbox, tmp_path):
+    """Instants with several rows, missing and odd amounts; state has an entry for each instant."""
+    odd = F.when(F.col("transaction_id") % 7 == 0, None).when(F.col("transaction_id") % 50 == 1, float("inf")).otherwise(F.col("amount"))
+
+    def shaped(df):
+        return df.withColumn("event_time", F.timestamp_seconds(F.floor(F.col("us") / (30 * US)) * 30)).withColumn("amount", odd)
+
+    out, _, _ = run(streams.window_velocity_stream(shaped(arriving(spark, inbox)), delay="1 minute"), tmp_path, "w4")
+    table = shaped(spark.createDataFrame(events, SCHEMA))
+    last = table.agg(F.max(F.unix_micros("event_time"))).first()[0]
+    want = velocity.window_velocity(table).filter(F.unix_micros("window_end") <= last - 60 * US)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() > 20
+
+
 def test_failed_query_stops_the_others(spark, inbox, tmp_path):
     good = sinks.sink_parquet(arriving(spark, inbox), str(tmp_path / "good"), str(tmp_path / "good-c"))
     bad = arriving(spark, inbox).writeStream.option("checkpointLocation", str(tmp_path / "bad-c")).foreachBatch(
@@ -177,8 +229,7 @@ def test_failed_query_stops_the_others(spark, inbox, tmp_path):
 
 
 def test_progress(spark, inbox, events, tmp_path):
-    _, _, query = run(arriving(spark, inbox).select("transaction_id"), tmp_path, "progress")
-    row = streams.stream_progress(spark, [query]).first()
+    _, _, row = run(arriving(spark, inbox).select("transaction_id"), tmp_path, "progress")
     assert (row["rows"], row["batches"], row["rows_per_batch"]) == (len(events), 5, len(events) / 5)
 
 
