@@ -32,11 +32,29 @@ def summarize(df: DataFrame, amount: str) -> DataFrame:
 
 def unique_merchants(df: DataFrame, by: Sequence[str], merchant: str, approx: float | None = None) -> DataFrame:
     """Distinct non-empty merchants, exact or within ``approx`` relative deviation."""
-    value = F.nullif(F.col(merchant), F.lit(""))
+    value = F.nullif(F.col(merchant).cast("string"), F.lit(""))
     n = F.count_distinct(value) if approx is None else F.approx_count_distinct(value, approx)
     return df.groupBy(*by).agg(n.alias("unique_merchants"))
 
 
+def merchant_sketches(df: DataFrame, by: Sequence[str], merchant: str, size: int = 12) -> DataFrame:
+    """One sketch of the distinct non-empty values per group, such as a card and day, to be stored and merged later (``size``: log2 of its
+    registers; the relative deviation is about 0.8 / 2**(size / 2))."""
+    value = F.nullif(F.col(merchant).cast("string"), F.lit(""))
+    return df.groupBy(*by).agg(F.hll_sketch_agg(value, size).alias("merchants"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values of coarser groups from stored sketches; the rows behind them are not read again."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("merchants")).alias("unique_merchants"))
+
+
+def hop_sketches(sketches: DataFrame, by: Sequence[str], pane: str, panes: int) -> DataFrame:
+    """Distinct values of windows of so many panes (whole numbers), one pane apart, from the sketches of the panes."""
+    starts = F.explode(F.sequence(F.col(pane) - (panes - 1), F.col(pane)))
+    return merge_sketches(sketches.withColumn("window", starts), [*by, "window"])
+
+
 def run_counters(df: DataFrame, by: Sequence[str], amount: str, label: str | Column) -> DataFrame:
     """Rows, positives and volume per partition, source or rule."""
     hit = F.col(label) if isinstance(label, str) else label

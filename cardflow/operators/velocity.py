@@ -236,7 +236,7 @@ def window_velocity(df: DataFrame, size: str = "10 minutes", slide: str = "5 min
         F.sum(F.when(recent, F.col("__n")).otherwise(0)).alias("count_short"),
         amount_of(F.sum(F.when(recent, F.col("__s"))), F.sum(F.when(recent, F.col("__r")))).alias("total_short"),
         F.sum("__n").alias("count_long"), amount_of(F.sum("__s"), F.sum("__r")).alias("total_long"))
-    return _velocity_columns(out, key)
+    return velocity_columns(out, key)
 
 
 def recent_totals(held: DataFrame, rows: str, latest: str, back: int, key: str) -> DataFrame:
@@ -249,12 +249,12 @@ def recent_totals(held: DataFrame, rows: str, latest: str, back: int, key: str)
         return F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
     recent = F.filter(rows, lambda x: x["t"] >= F.col(latest) - F.lit(back))
-    return _velocity_columns(held.select(
+    return velocity_columns(held.select(
         "__w", key, count(recent).alias("count_short"), total(recent).alias("total_short"),
         count(F.col(rows)).alias("count_long"), total(F.col(rows)).alias("total_long")), key)
 
 
-def _velocity_columns(out: DataFrame, key: str) -> DataFrame:
+def velocity_columns(out: DataFrame, key: str) -> DataFrame:
     total_ratio = F.when(F.col("total_long") > 0, ratio(F.col("total_short"), F.col("total_long"))).otherwise(0.0)
     return out.select(
         F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,

@@ -6,11 +6,15 @@ from cardflow.functions import columns as C
 from cardflow.operators import aggregate as A
 from cardflow.operators import clean as P
 from cardflow.operators import joins as J
+from cardflow.operators import user_aggregate as U
 from cardflow.operators.velocity import SECOND, trailing_velocity
 from cardflow.plans.sql import API_LOG, EV, MONEY, NULLS, PROF, SCORED2, TX, with_
 from cardflow.plans.sql import digits as sql_digits, odd as sql_odd
 from cardflow.sources import normalize as N
+from cardflow.sources.readers import read_parquet
+from cardflow.sources.sinks import write_parquet
 from cardflow.sources.views import api_log, digits, ev, nulls, odd, prof, scored2, table, tx
+from cardflow.streaming.streams import scratch
 
 QUERIES = {}
 DAY = 86400
@@ -415,6 +419,47 @@ QUERIES["a4_approx_merchants"] = (
         A.unique_merchants(ev(spark, sf), ["card_id"], "merchant_id").withColumnRenamed("unique_merchants", "exact"), "card_id").select(
         "card_id", "exact", (F.abs(F.col("unique_merchants") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.15)).alias("near")),
     with_(EV) + "SELECT card_id, count(DISTINCT merchant_id) AS exact, TRUE AS near FROM ev GROUP BY card_id")
+
+
+def sketched(spark, sf):
+    """Cards per day and event type in stored sketches, from which days, types and windows of a week are rolled up."""
+    path = scratch(spark, "a4-sketches")
+    day = F.floor(F.col("us") / F.lit(86400 * 1000000)).cast("long").alias("day")
+    write_parquet(A.merchant_sketches(ev(spark, sf).select("card_id", "merchant_id", day), ["merchant_id", "day"], "card_id"), path)
+    return read_parquet(spark, path)
+
+
+def rolled(spark, sf):
+    """Each roll-up with the exact number, and whether it is within three deviations."""
+    sketches = sketched(spark, sf)
+    made = [("day", A.merge_sketches(sketches, ["day"]).withColumnRenamed("day", "place")),
+            ("week", A.hop_sketches(sketches, [], "day", 7).withColumnRenamed("window", "place")),
+            ("type", A.merge_sketches(sketches, ["merchant_id"]).withColumn("place", F.ascii("merchant_id").cast("long")).drop("merchant_id"))]
+    rows = ev(spark, sf).select("card_id", "merchant_id", F.floor(F.col("us") / F.lit(86400 * 1000000)).cast("long").alias("day"))
+    weeks = rows.withColumn("place", F.explode(F.sequence(F.col("day") - 6, F.col("day"))))
+    exact = {"day": rows.withColumnRenamed("day", "place"), "week": weeks, "type": rows.withColumn("place", F.ascii("merchant_id").cast("long"))}
+    out = None
+    for name, estimates in made:
+        both = estimates.join(A.unique_merchants(exact[name], ["place"], "card_id").withColumnRenamed("unique_merchants", "exact"), "place")
+        near = F.abs(F.col("unique_merchants") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.04)
+        part = both.select(F.lit(name).alias("rollup"), "place", "exact", near.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES["a4_sketch_rollups"] = (
+    rolled,
+    with_(EV) + """SELECT 'day' AS rollup, us // 86400000000 AS place, count(DISTINCT card_id) AS exact, TRUE AS near FROM ev GROUP BY 2
+UNION ALL SELECT 'week', us // 86400000000 - i, count(DISTINCT card_id), TRUE FROM ev, range(7) r(i) GROUP BY 2
+UNION ALL SELECT 'type', ascii(merchant_id), count(DISTINCT card_id), TRUE FROM ev GROUP BY 2""")
+
+for suffix, by in (("", ["card_id"]), ("_pairs", ["merchant_id", "country"])):
+    keys = ", ".join(by)
+    QUERIES[f"a10_user_moments{suffix}"] = (
+        lambda spark, sf, by=by: rounded(U.user_aggregate(nulls(spark, sf).repartition(7), by, ["amount"], U.Moments("amount")), ["mean", "var_pop", "var_samp"], 5),
+        with_(NULLS) + f"""SELECT {keys}, count(amount) AS n, round(avg(amount), 5) AS mean, round(var_pop(amount), 5) AS var_pop,
+  round(var_samp(amount), 5) AS var_samp FROM nulls GROUP BY {keys}""")
+
 QUERIES["a5_exact_merchants"] = (
     lambda spark, sf: A.unique_merchants(nulls(spark, sf), ["card_id"], "merchant_id"),
     with_(NULLS) + "SELECT card_id, count(DISTINCT merchant_id) AS unique_merchants FROM nulls GROUP BY card_id")

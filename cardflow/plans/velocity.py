@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cardflow.operators import user_aggregate as U
 from cardflow.operators import velocity as V
 from cardflow.plans.sql import EV, MONEY, TX, with_
 from cardflow.plans.sql import digits as sql_digits, odd as sql_odd
@@ -199,6 +200,13 @@ for label, size, slide, back, unit in (("10m_5m", "10 minutes", "5 minutes", "5
         lambda spark, sf, size=size, slide=slide, back=back: V.window_velocity(ev(spark, sf), size, slide, back).select(*velocity_window_columns()),
         window_velocity_sql(z, s, b))
 
+for label, size, slide, back, unit in (("10m_5m", "10 minutes", "5 minutes", "5 minutes", (600, 300, 300)),
+                                       ("2d_1d", "48 hours", "24 hours", "24 hours", (172800, 86400, 86400))):
+    z, s, b = (x * V.SECOND for x in unit)
+    QUERIES[f"a10_window_velocity_{label}"] = (
+        lambda spark, sf, size=size, slide=slide, back=back: U.window_velocity_by_state(ev(spark, sf), size, slide, back).select(*velocity_window_columns()),
+        window_velocity_sql(z, s, b))
+
 # Late rows; arrival order is the id, event time is shifted back for some rows
 
 for suffix, split in (("", None), ("_split", True)):
