@@ -17,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +86,6 @@ class Model:
     def by_position(self) -> np.ndarray:
         return np.ascontiguousarray(self.centroids.T)
 
-    def weights(self, tf: np.ndarray) -> np.ndarray:
-        w = np.log1p(tf) * self.idf
-        return w / np.maximum(np.linalg.norm(w, axis=-1, keepdims=True), 1e-12)
-
     def similarity(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The cosine of a text, given by its positions and their counts, with the nearest centroid of each language."""
         w = np.log1p(n) * self.idf[at]
@@ -145,11 +142,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "draw", "band", "at", "n"])
 
 
-def _pieces(rows: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Draw, band, positions and counts, in an order that doesn't depend on that of the rows."""
-    rows = rows.sort_by([(c, "ascending") for c in ("draw", "band", "at", "n")])
-    for draw, band, at, n in zip(*(rows.column(c) for c in ("draw", "band", "at", "n")), strict=True):
-        yield draw.as_py(), band.as_py(), np.frombuffer(at.as_py(), "<i4"), np.frombuffer(n.as_py(), "<f4")
+def _pieces(rows: pa.Table, band: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Band, positions and counts (of one band, if it is given), in an order that doesn't depend on that of the rows."""
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("draw", "band", "at", "n")]).to_numpy()
+    bands = rows.column("band").to_numpy()[order]
+    for i, k in zip(order.tolist(), bands.tolist(), strict=True):
+        if band is None or k == band:
+            yield k, np.frombuffer(rows.column("at")[i].as_py(), "<i4"), np.frombuffer(rows.column("n")[i].as_py(), "<f4")
 
 
 def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +161,17 @@ def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["position", "texts"])
 
 
-def _matrix(model: Model, whole: list) -> np.ndarray:
-    tf = np.zeros((len(whole), DIMENSIONS), np.float32)
-    for row, (_, _, at, n) in zip(tf, whole, strict=True):
-        row[at] = n
-    return model.weights(tf)
+def _matrix(model: Model, rows: pa.Table) -> np.ndarray:
+    """The vectors of the whole texts; the one large array of a task."""
+    w = np.zeros((pc.sum(pc.equal(rows.column("band"), -1)).as_py(), DIMENSIONS), np.float32)
+    for row, (_, at, n) in zip(w, _pieces(rows, -1), strict=True):
+        row[at] = np.log1p(n) * model.idf[at]
+        row /= max(float(np.linalg.norm(row)), 1e-12)
+    return w
 
 
 def _centroids(rows: pa.Table, model: Model) -> pa.Table:
-    c = _clusters(_matrix(model, list(_pieces(rows))), CENTROIDS).astype("<f4")
+    c = _clusters(_matrix(model, rows), CENTROIDS).astype("<f4")
     return pa.table({"lang": rows.column("lang").slice(0, 1), "centroids": pa.array([c.tobytes()], pa.binary())})
 
 
@@ -178,14 +179,13 @@ def _limits(rows: pa.Table, model: Model) -> pa.Table:
     """The least similarity of a language by band. Its texts are compared with centroids that were not fit on them: those of each half
     of the sample judge the other half, if there are enough."""
     mine = model.languages.index(rows.column("lang")[0].as_py())
-    whole = list(_pieces(rows.filter(pa.compute.equal(rows.column("band"), -1))))
-    w = _matrix(model, whole)
-    halves = len(whole) >= LEAST_PIECES
+    w = _matrix(model, rows)
+    halves = len(w) >= LEAST_PIECES
     own = [Model(["own"], model.idf, c := _clusters(w[(np.arange(len(w)) % 2 != k) | (not halves)], CENTROIDS), np.zeros(len(c), int), model.least) for k in (0, 1)]
     del w
     found: list[list[float]] = [[] for _ in BANDS]
     text = -1
-    for _, band, at, n in _pieces(rows):
+    for band, at, n in _pieces(rows):
         if band < 0:  # the first row of each text
             text += 1
             continue
