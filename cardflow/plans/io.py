@@ -7,8 +7,9 @@ from cardflow.operators.velocity import SECOND, hopping_features
 from cardflow.plans.features import (
     DAY_US, HYDRATE_SQL, HYDRATED_SQL, PROFILE_FIELDS, TOLERANCE, events, hydrate_columns, hydrated, profiles, velocity)
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
-from cardflow.plans.sql import EV, MONEY, TX, with_
+from cardflow.plans.sql import EV, LOG, MONEY, TX, with_
 from cardflow.plans.velocity import summary_columns, summary_sql, us, velocity_window_columns, window_velocity_sql
+from cardflow.sources import logs as L
 from cardflow.sources import readers as I
 from cardflow.sources import sinks as O
 from cardflow.sources.views import ev, table
@@ -141,6 +142,25 @@ def drained(df, name, mode="append"):
 QUERIES["s6_file_events"] = (
     lambda spark, sf: drained(stream(spark, sf).select("transaction_id", "card_id", "amount", "us"), "s6"),
     with_(EV) + "SELECT transaction_id, card_id, amount, us FROM ev")
+
+
+def logged(spark, sf):
+    """Two appends; the query ends after the first one and goes on from its offsets after the second."""
+    log, path, checkpoint, progress = (S.scratch(spark, n) for n in ("s5-log", "s5-out", "s5-checkpoint", "s5-progress"))
+    rows = ev(spark, sf)
+    middle, n = rows.agg(F.avg("transaction_id"), F.count("*")).first()
+    for half in (F.col("transaction_id") < middle, F.col("transaction_id") >= middle):
+        records = rows.where(half).select(
+            F.col("card_id").cast("string").alias("key"), F.to_json(F.struct("transaction_id", "us", "amount")).alias("value"), "transaction_id", "card_id", "us")
+        L.append_log(records.withColumn("time", F.col("transaction_id")), log, "time", partition=F.col("card_id") % 6)
+        arriving = L.read_log_events(spark, log, max_offsets=max(n // 6, 1), progress=progress, fail_on_data_loss=True)
+        S.catch_up(O.sink_parquet(arriving, path, checkpoint))
+    out = I.read_parquet(spark, path)
+    value = F.from_json(F.col("value").cast("string"), "transaction_id long, us long, amount double")
+    return out.select("partition", "offset", F.col("key").cast("string").cast("long").alias("card_id"), value.alias("v")).select("partition", "offset", "card_id", "v.*")
+
+
+QUERIES["s5_log_events"] = (logged, with_(LOG) + 'SELECT partition, "offset", card_id, transaction_id, us, amount FROM log')
 QUERIES["s8_sink_parquet"] = (
     lambda spark, sf: drained(stream(spark, sf).select("transaction_id", "country"), "s8"),
     with_(EV) + "SELECT transaction_id, country FROM ev")

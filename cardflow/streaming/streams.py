@@ -105,6 +105,16 @@ def run_all(writers: Sequence[DataStreamWriter], trigger: str | None = None) ->
     return started
 
 
+def catch_up(writer: DataStreamWriter) -> StreamingQuery:
+    """Runs micro-batch after micro-batch until nothing waits, and ends. For sources whose rate cap ``availableNow`` would take for the end."""
+    query = start(writer, "0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 class ProgressTotals(StreamingQueryListener):
     """Adds up the progress of every query as it is reported, so that a long run is counted in full (a query itself remembers its last
     hundred micro-batches). As a context manager it listens to all queries of the session that start inside."""
