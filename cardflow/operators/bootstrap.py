@@ -10,6 +10,7 @@ or shuffled. A score whose groups lie in several slices is put together from its
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardflow.functions.resample import weighted_blocks
-from cardflow.operators.metrics import _rates
+from cardflow.operators.metrics import _rates, evaluation_report
 from cardflow.operators.ordered import SLICE, ordered_slices
 from cardflow.operators.quantiles import quantile_columns
 from cardflow.session import materialize
@@ -160,3 +161,16 @@ def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, replicates: int
     both = precision(a, "ap_a").join(precision(b, "ap_b"), "rep")
     return _intervals(both.select("rep", F.lit("delta_average_precision").alias("metric"),
                                   (F.col("ap_b") - F.col("ap_a")).alias("value")))
+
+
+def full_report(preds: DataFrame, label: str, score: str, threshold: float, tiebreak: Sequence[str], splits: Sequence[str],
+                replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """``evaluation_report`` with the bootstrap of every split: ``{metric}_mean``, ``_std``, ``_ci_lower``, ``_ci_upper`` and ``_n_valid``. A split
+    without both classes has no valid replicate and gets no such rows."""
+    out = evaluation_report(preds, label, score, threshold, tiebreak, splits)
+    for name in splits:
+        intervals = bootstrap(preds.filter(F.col("split") == name), label, score, threshold, replicates, seed)
+        cells = F.array(*[F.struct(F.concat("metric", F.lit(f"_{c}")).alias("metric"), F.col(c).cast("double").alias("value"))
+                          for c in ("mean", "std", "ci_lower", "ci_upper", "n_valid")])
+        out = out.unionByName(intervals.select(F.lit(name).alias("split"), F.explode(cells).alias("c")).select("split", "c.*"))
+    return out

@@ -135,39 +135,52 @@ l{tag} AS (UNPIVOT h{tag} ON COLUMNS(*) INTO NAME metric VALUE value)""")
 
 
 
-def against(spark, intervals, points):
-    """Each metric of a bootstrap with its value on the table itself, and whether the interval fits it: in order, and its mean within a deviation."""
-    side = spark.createDataFrame([(k, float(v)) for k, v in points.items()], "metric string, point double")
-    fits = (F.col("ci_lower") <= F.col("mean")) & (F.col("mean") <= F.col("ci_upper")) & (F.abs(F.col("mean") - F.col("point")) <= F.col("std"))
-    return intervals.join(side, "metric").select("metric", F.round("point", 7).alias("point"), fits.alias("fits"), (F.col("n_valid") > 1800).alias("mostly_valid"))
+# The deviation of a ratio of counts, each of which a resample draws around its value: the width an interval must have.
+DEVIATIONS = {"precision": "sqrt(tp * fp / power(tp + fp, 3))", "recall": "sqrt(tp * fn / power(tp + fn, 3))",
+              "f1": "2 * sqrt(tp * (fp + fn) * (tp + fp + fn)) / power(2 * tp + fp + fn, 2)"}
+
+
+def against(intervals, points):
+    """Each metric of a bootstrap with its value and the deviation expected of it (where there is a formula), and whether the interval fits them: the mean is within a deviation
+    of the value, the deviation within a quarter of the expected one, and the interval as wide as one of 95 % is for such a deviation."""
+    spark = intervals.sparkSession
+    side = spark.createDataFrame([(k, float(v), d) for k, (v, d) in points.items()], "metric string, point double, deviation double")
+    width = (F.col("ci_upper") - F.col("ci_lower")) / F.col("std")
+    fits = F.abs(F.col("mean") - F.col("point")) <= F.col("std")
+    fits = fits & F.col("mean").between(F.col("ci_lower"), F.col("ci_upper")) & width.between(3.3, 4.5)
+    fits = fits & F.coalesce((F.col("std") / F.col("deviation")).between(0.8, 1.25), F.lit(True))
+    return intervals.join(side, "metric").select("metric", F.round("point", 7).alias("point"), F.round("deviation", 7).alias("deviation"), fits.alias("fits"),
+                                                 (F.col("n_valid") > 1800).alias("mostly_valid"))
 
 
 def points_of(df, y, p, threshold):
-    points = M.curve(df, y, p)
-    rates = M.confusion(df, y, p, threshold).first()
-    return {"pr_auc": M.average_precision(points).first()[0], "roc_auc": M.roc_auc(points).first()[0], **{m: rates[m] for m in ("precision", "recall", "f1", "mcc")}}
+    points, x = M.curve(df, y, p), M.confusion(df, y, p, threshold)
+    rates = x.select("*", *[F.expr(f"CAST({d} AS DOUBLE)").alias(f"{m}_deviation") for m, d in DEVIATIONS.items()]).first().asDict()
+    return {"pr_auc": (M.average_precision(points).first()[0], None), "roc_auc": (M.roc_auc(points).first()[0], None),
+            **{m: (rates[m], rates.get(f"{m}_deviation")) for m in ("precision", "recall", "f1", "mcc")}}
 
 
 def bootstrapped(df, y, p, threshold):
-    return against(df.sparkSession, B.bootstrap(df, y, p, threshold), points_of(df, y, p, threshold))
+    return against(B.bootstrap(df, y, p, threshold), points_of(df, y, p, threshold))
 
 
 def points_sql(base, view, p, t):
-    return with_(base, headline_sql(view, p, "y", t, 1)) + """SELECT CASE metric WHEN 'average_precision' THEN 'pr_auc' ELSE metric END AS metric, round(value, 7) AS point,
-  TRUE AS fits, TRUE AS mostly_valid FROM l1 WHERE metric IN ('average_precision', 'roc_auc', 'precision', 'recall', 'f1', 'mcc')"""
+    deviation = "CASE metric " + " ".join(f"WHEN '{m}' THEN (SELECT round({d}, 7) FROM x1)" for m, d in DEVIATIONS.items()) + " END"
+    return with_(base, headline_sql(view, p, "y", t, 1)) + f"""SELECT CASE metric WHEN 'average_precision' THEN 'pr_auc' ELSE metric END AS metric, round(value, 7) AS point,
+  {deviation} AS deviation, TRUE AS fits, TRUE AS mostly_valid FROM l1 WHERE metric IN ('average_precision', 'roc_auc', 'precision', 'recall', 'f1', 'mcc')"""
 
 
 def paired(spark, sf):
     df = scored2(spark, sf)
     delta = M.average_precision(M.curve(df, "y", "p_b")).first()[0] - M.average_precision(M.curve(df, "y", "p_a")).first()[0]
-    return against(spark, B.paired_bootstrap(df, "y", "p_a", "p_b"), {"delta_average_precision": delta})
+    return against(B.paired_bootstrap(df, "y", "p_a", "p_b"), {"delta_average_precision": (delta, None)})
 
 
 QUERIES["m10_bootstrap"] = (lambda spark, sf: bootstrapped(scored2(spark, sf), "y", "p_a", 0.05), points_sql(SCORED2, "scored2", "p_a", 0.05))
 QUERIES["m10_bootstrap_ties"] = (lambda spark, sf: bootstrapped(scored(spark, sf), "y", "p", 0.5), points_sql(SCORED, "scored", "p", 0.5))
 QUERIES["m11_paired_bootstrap"] = (
     paired, with_(SCORED2, headline_sql("scored2", "p_a", "y", 0.05, 1), headline_sql("scored2", "p_b", "y", 0.05, 2))
-    + """SELECT 'delta_average_precision' AS metric, round(b.value - a.value, 7) AS point, TRUE AS fits, TRUE AS mostly_valid
+    + """SELECT 'delta_average_precision' AS metric, round(b.value - a.value, 7) AS point, CAST(NULL AS DOUBLE) AS deviation, TRUE AS fits, TRUE AS mostly_valid
 FROM l1 a JOIN l2 b USING (metric) WHERE a.metric = 'average_precision'""")
 
 QUERIES["m12_compare_models"] = (
@@ -199,3 +212,22 @@ QUERIES["m18_evaluation_report"] = (
     with_(SCORED2, "sval AS (SELECT * FROM scored2 WHERE id % 2 = 0)", "stest AS (SELECT * FROM scored2 WHERE id % 2 = 1)",
           headline_sql("sval", "p_a", "y", 0.2, "val"), headline_sql("stest", "p_a", "y", 0.2, "test"))
     + _extras("val", "sval") + " UNION ALL " + _extras("test", "stest"))
+
+
+# The bootstrap rows of the report: their form, as m10 holds their values against what is expected.
+
+
+def reported(spark, sf):
+    preds = scored2(spark, sf).withColumn("split", F.when(F.col("id") % 2 == 0, "val").otherwise("test"))
+    parts = F.regexp_extract("metric", "^(.*)_(mean|std|ci_lower|ci_upper|n_valid)$", 1)
+    rows = B.full_report(preds, "y", "p_a", 0.2, ["id"], ["val", "test"]).withColumn("base", parts).where("base != ''")
+    at = {s: F.max(F.when(F.col("metric").endswith(f"_{s}"), F.col("value"))) for s in ("mean", "std", "ci_lower", "ci_upper", "n_valid")}
+    rows = rows.groupBy("split", F.col("base").alias("metric")).agg(F.count("*").alias("rows"), *[c.alias(s) for s, c in at.items()])
+    # a metric that is 0 or 1 in every draw (few rows of a class) has no spread
+    ordered = F.col("mean").between(F.col("ci_lower"), F.col("ci_upper")) & ((F.col("std") > 0) == (F.col("ci_lower") < F.col("ci_upper"))) & (F.col("n_valid") > 1800)
+    return rows.select("split", "metric", "rows", ordered.alias("fits"))
+
+
+QUERIES["m18_report_intervals"] = (
+    reported, "SELECT split, metric, CAST(5 AS BIGINT) AS rows, TRUE AS fits FROM (VALUES ('val'), ('test')) s(split), (VALUES "
+    + ", ".join(f"('{m}')" for m in B.METRICS) + ") m(metric)")

@@ -112,3 +112,64 @@ def test_trained_model_ranks(spark, preds):
     assert M.roc_auc(M.curve(scored, "y", "probability")).first()[0] > 0.7
     weights = model.importance(spark, fitted, ["a", "b"]).collect()
     assert sum(r["importance"] for r in weights) == pytest.approx(1.0)
+
+
+def plain_resampling(preds, times=600):
+    """Rows drawn with replacement, the metrics by their definitions."""
+    rows = np.array([(r["y"], r["a"], r["b"]) for r in preds.collect()])
+    rng, out = np.random.default_rng(3), {k: [] for k in (*B.METRICS, "delta")}
+
+    def precision(y, s):
+        cut = np.unique(s)[::-1]
+        taken = [(y[s >= c].sum(), (s >= c).sum()) for c in cut]
+        gained = np.diff([0] + [t for t, _ in taken])
+        return sum(g * t / n for g, (t, n) in zip(gained, taken)) / y.sum()
+
+    for _ in range(times):
+        y, a, b = rows[rng.integers(0, len(rows), len(rows))].T
+        up, down = a[y == 1][:, None], a[y == 0][None, :]
+        tp, fp, fn, tn = ((a >= 0.5) & (y == 1)).sum(), ((a >= 0.5) & (y == 0)).sum(), ((a < 0.5) & (y == 1)).sum(), ((a < 0.5) & (y == 0)).sum()
+        out["pr_auc"].append(precision(y, a))
+        out["roc_auc"].append(((up > down) + 0.5 * (up == down)).mean())
+        out["precision"].append(tp / (tp + fp))
+        out["recall"].append(tp / (tp + fn))
+        out["f1"].append(2 * tp / (2 * tp + fp + fn))
+        out["mcc"].append((tp * tn - fp * fn) / np.sqrt(float(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+        out["delta"].append(precision(y, b) - out["pr_auc"][-1])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def test_bootstrap_agrees_with_plain_resampling(preds):
+    some = preds.filter("id < 200")
+    want = plain_resampling(some)
+    got = {r["metric"]: r for r in B.bootstrap(some, "y", "a", 0.5, replicates=1000).collect()}
+    got["delta"] = B.paired_bootstrap(some, "y", "a", "b", replicates=1000).first()
+    for name, values in want.items():
+        assert got[name]["std"] == pytest.approx(values.std(), rel=0.12), name
+        for bound, q in (("ci_lower", 0.025), ("ci_upper", 0.975)):
+            assert got[name][bound] == pytest.approx(np.quantile(values, q), abs=0.35 * values.std()), name
+
+
+def test_a_wrong_interval_is_seen(preds):
+    """The check of the registered queries refuses an interval or a deviation that is twice as wide, or half."""
+    from cardflow.plans.metrics import against, points_of
+
+    points, good = points_of(preds, "y", "a", 0.5), B.bootstrap(preds, "y", "a", 0.5)
+    assert all(r["fits"] for r in against(good, points).collect())
+    for factor in (2.0, 0.5):
+        middle = F.col("mean")
+        wide = good.withColumn("ci_lower", middle + (F.col("ci_lower") - middle) * factor).withColumn("ci_upper", middle + (F.col("ci_upper") - middle) * factor)
+        assert not any(r["fits"] for r in against(wide, points).collect())
+        both = against(wide.withColumn("std", F.col("std") * factor), points).collect()
+        assert not any(r["fits"] for r in both if r["deviation"] is not None)
+
+
+def test_report_with_intervals(preds):
+    rows = preds.withColumn("split", F.when(F.col("id") < 300, "val").when(F.col("id") < 590, "test").otherwise("none")).withColumn(
+        "y", F.when(F.col("split") == "none", 0).otherwise(F.col("y")))
+    got = {(r["split"], r["metric"]): r["value"] for r in B.full_report(rows, "y", "a", 0.5, ["id"], ["val", "test", "none"], replicates=200).collect()}
+    want = {r["metric"]: r for r in B.bootstrap(rows.filter("split = 'val'"), "y", "a", 0.5, replicates=200).collect()}
+    for name in B.METRICS:
+        assert got["val", f"{name}_ci_lower"] == want[name]["ci_lower"] < got["val", f"{name}_mean"] < got["val", f"{name}_ci_upper"]
+        assert got["test", f"{name}_n_valid"] == 200.0 and ("none", f"{name}_mean") not in got
+    assert got["val", "roc_auc"] == pytest.approx(got["val", "roc_auc_mean"], abs=0.03) and ("none", "brier") in got
