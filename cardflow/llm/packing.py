@@ -10,14 +10,17 @@ There is no shuffle; a task holds one shard. Numbers of sequences come from the
 task is repeated, as they do from files; store the result of a shuffle first.
 
 Tokens: text is cut where the vocabulary's pattern always cuts (before a space and a word, around other white space), equal pieces are encoded once.
-Texts with white space beyond ASCII are encoded as a whole, as there the pattern looks across such cuts.
+Texts with white space beyond ASCII are encoded as a whole, as there the pattern looks across such cuts; so are texts that hold the string of a special token, which is
+one id wherever it stands.
 
-Defined results: a null or empty text is the end id alone. Strings of special tokens in a text are ordinary text. doc_id may be null or repeated: every row is
+Defined results: a null or empty text is the end id alone. doc_id may be null or repeated: every row is
 packed on its own."""
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,11 +43,23 @@ _ODD_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 _BLANK = frozenset(b" \n\t\r\x0b\x0c")
 
 
+def special_tokens(ranks: str) -> dict[str, int]:
+    """Those of the vocabulary's JSON form, if it lies beside the ranks."""
+    path = os.path.splitext(ranks)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Encoder:
     def __init__(self, ranks: str):
         with open(ranks, "rb") as lines:
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens=special_tokens(ranks))
+        self.specials = [x.encode() for x in self.bpe.special_tokens_set]
+        if any(x.split() != [x] for x in self.specials):
+            raise ValueError("a special token with white space in it")
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
@@ -83,12 +98,12 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(n)])
         out = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
         begins = ends[first]
-        odd = [i for i, x in enumerate(raw) if not x.isascii() and _ODD_SPACE.search(x.decode())]
+        odd = [i for i, x in enumerate(raw) if any(t in x for t in self.specials) or not x.isascii() and _ODD_SPACE.search(x.decode())]
         if odd:
             strange = set(np.searchsorted(first, np.flatnonzero(np.isin(codes, odd)), "right") - 1)
             parts = [out[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
             for i in strange:
-                parts[i] = np.array(self.bpe.encode_ordinary(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32)
+                parts[i] = np.array(self.bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), allowed_special="all"), np.uint32)
             out, begins = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return np.insert(out, begins[1:], END), begins + np.arange(len(begins)), codes, first
 

@@ -347,3 +347,28 @@ def test_language_parts(monkeypatch):
     want = lang_id.counts(data)
     monkeypatch.setattr(lang_id.arrays, "PART_BYTES", 17)
     assert all((a == b).all() for a, b in zip(lang_id.counts(data), want))
+
+
+def test_special_tokens_are_one_id(spark):
+    """The string of a special token, alone, beside words, in white space, cut short and repeated: ids as the vocabulary's own tokenizer gives them."""
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = dict(enumerate([end, f"a {end} b", f"a{end}b", f"  {end}  ", f"a\n\n{end}\n", end * 3, "<|endoftext", f"é\u3000{end} é", f"<{end}>", "plain"]))
+    got = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    ids = {d: [i for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r.start) for i in r.ids] for d in texts}
+    assert ids == {d: tokens.encode(t, add_special_tokens=False).ids + [1] for d, t in texts.items()}
+    assert ids[1].count(50256) == 1
+
+
+def test_toxicity_fit_is_repeatable(spark):
+    """The rows in another order, and copies of texts in other languages: the same model."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where("doc_id < 400")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").selectExpr("doc_id + 100000 AS doc_id", "text", "'xx' AS lang"))
+    labels = labels.unionByName(labels.where("doc_id % 7 = 0").selectExpr("doc_id + 100000 AS doc_id", "toxic"))
+    one = toxicity.fit(docs, labels)
+    two = toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(5), labels.repartition(3))
+    assert one.shift == two.shift and one.thresholds == two.thresholds
+    texts = docs.limit(50)
+    scores = [texts.select("doc_id", toxicity.scored(F.col("text"), m).alias("score")).orderBy("doc_id").collect() for m in (one, two)]
+    assert scores[0] == scores[1]
