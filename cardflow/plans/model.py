@@ -3,7 +3,7 @@ the rows, so that a model must rank by it (its own area is 0.85), and a constant
 
 from pyspark.sql import functions as F
 
-from cardflow.operators import model as M
+from cardflow.operators import boosting as B, model as M
 from cardflow.operators.adapt import adapt
 from cardflow.operators.metrics import curve, roc_auc
 from cardflow.plans.relational import SPLIT_SQL, split_tx
@@ -96,8 +96,44 @@ def adapted(spark, sf):
                       F.coalesce(close & ordered, F.col("ap_static").isNull()).alias("valid"), F.col("version").rlike("^v[1-4]$").alias("versioned"))
 
 
+BOOSTED = ["amount", "weekday", "priority", "balance"]
+SMALL = B.BoostConfig(trees=8, leaves=7, rate=0.3, patience=6, block=4)
+
+
+def together(spark, sf):
+    """A label that no single feature decides: in 80 % of the rows, whether it is early in the week and the priority is high; an amount that is missing tells it from the rest."""
+    early = (F.col("weekday") < 4) & (F.col("priority") <= 3)
+    draw = F.pmod(F.xxhash64("transaction_id", F.lit(3)), F.lit(10))
+    df = rows(spark, sf).withColumn("target", F.when(draw < 8, early.cast("int")).otherwise((draw == 8).cast("int")))
+    gone = (F.col("target") == 1) & (F.pmod(F.xxhash64("transaction_id", F.lit(4)), F.lit(3)) == 0)
+    return df.withColumn("amount", F.when(~gone, F.col("amount").cast("double")))
+
+
+def boosted(spark, sf):
+    """Histogram boosting against a constant, a single split of the same table, and itself on rows that lie otherwise."""
+    df = together(spark, sf)
+    train, val = df.filter("split = 'train'"), df.filter("split = 'val'")
+    model = B.train(train, BOOSTED, "target", ["transaction_id"], SMALL, val)
+    stump = B.train(train, BOOSTED, "target", ["transaction_id"], B.BoostConfig(trees=1, leaves=2, feature_share=1.0))
+    out = materialize(df.select("transaction_id", "split", "target", B.probability(model).alias("probability"), B.probability(stump).alias("by_stump")))
+    held = out.filter("split = 'test'")
+    area, least = auc(held, "target"), auc(held, "target", "by_stump")
+    return valid(out).select("transaction_id", "split", "valid", F.lit(area > LEAST_AUC).alias("ranks"), F.lit(area > least + 0.05).alias("above_stump"))
+
+
+def boosted_importances(spark, sf):
+    df = together(spark, sf).filter("split = 'train'")
+    config = B.BoostConfig(trees=3, leaves=7, feature_share=1.0)
+    shares = B.importance(spark, B.train(df, BOOSTED, "target", ["transaction_id"], config))
+    decide = F.col("feature").isin("amount", "weekday", "priority")
+    total, least, most = shares.agg(F.sum("importance"), F.min(F.when(decide, F.col("importance"))), F.max(F.when(~decide, F.col("importance")))).first()
+    return shares.select("feature", (F.col("importance") >= 0).alias("valid"), F.lit(abs(total - 1) < 1e-9).alias("whole"), F.lit(least > most).alias("found"))
+
+
 SPLITS = with_(TX) + f"SELECT transaction_id, {SPLIT_SQL} AS split, TRUE AS valid, TRUE AS ranks FROM tx"
 QUERIES["m14_train_gbt"] = (scored, SPLITS)
+QUERIES["m14_boost_trees"] = (boosted, SPLITS.replace("TRUE AS ranks", "TRUE AS ranks, TRUE AS above_stump"))
+QUERIES["m16_boost_importance"] = (boosted_importances, f"SELECT feature, TRUE AS valid, TRUE AS whole, TRUE AS found FROM (SELECT unnest({BOOSTED}) AS feature)")
 QUERIES["m15_score_stream"] = (scored_stream, with_(TX) + "SELECT transaction_id, TRUE AS valid, TRUE AS same FROM tx")
 QUERIES["m16_importance"] = (importances, f"SELECT feature, TRUE AS valid, TRUE AS whole, feature = 'signal' AS first FROM (SELECT unnest({FEATURES}) AS feature)")
 QUERIES["m17_compare_encodings"] = (

@@ -58,9 +58,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows as Parquet in the checkpoint folder, read from there: unlike a checkpoint, Spark knows the size of what it
     reads, so that it can choose a join by it."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, for a caller that drops it."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``stored_at`` wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
