@@ -109,19 +109,26 @@ def _steps(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray, kee
 
 
 def _chosen(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The log softmax of one column of each row; x is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    value = x[np.arange(len(x)), of]
+    """The log softmax of one row of each column, a column being a symbol, so that numpy goes along the symbols; x is used up."""
+    x -= x.max(axis=0)
+    value = x[of, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    return value - np.log(x @ np.ones(x.shape[1], np.float32))
+    return value - np.log(np.ones(len(x), np.float32) @ x)
 
 
 def _error(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of the mean loss of n rows by the logits x, where column `of` is right; in place."""
-    x -= x.max(axis=1, keepdims=True)
+    """The gradient of the mean loss of n columns by the logits x, where row `of` is right; in place."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x *= (np.float32(1 / n) / (x @ np.ones(x.shape[1], np.float32)))[:, None]
-    x[np.arange(len(x)), of] -= np.float32(1 / n)
+    x *= np.float32(1 / n) / (np.ones(len(x), np.float32) @ x)
+    x[of, np.arange(x.shape[1])] -= np.float32(1 / n)
+    return x
+
+
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A row for each class or word, a column for each state."""
+    x = weights.T @ states.T
+    x += bias[:, None]
     return x
 
 
@@ -129,13 +136,12 @@ def _rows(states: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return states.reshape(-1, HIDDEN) if inside.all() else states[inside]
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class that has words of its own and symbols here, and their rows."""
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the symbols by class, and the range of each class that has words of its own and symbols here."""
     kind = kind.astype(np.uint16)
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        yield int(c), order[bounds[c] : bounds[c + 1]]
+    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return order[: bounds[-1]], [(c, slice(*bounds[c : c + 2])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
 def log10_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
@@ -151,14 +157,13 @@ def log10_probabilities(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
         h = states[-1]
         where = at[inside]
         states, symbols = _rows(states, inside), lanes.symbols[where]
-        logits = states @ w["classes"]
-        logits += w["class_bias"]
         kind, place = np.divmod(symbols, CLASS)
-        p = _chosen(logits, kind)
-        for c, rows in _by_class(kind):
-            logits = states[rows] @ w["words"][c]
-            logits += w["word_bias"][c]
-            p[rows] += _chosen(logits, place[rows])
+        p = _chosen(_logits(states, w["classes"], w["class_bias"]), kind)
+        order, classes = _by_class(kind)
+        states, place, within = states[order], place[order], np.empty(len(order), np.float32)
+        for c, some in classes:
+            within[some] = _chosen(_logits(states[some], w["words"][c], w["word_bias"][c]), place[some])
+        p[order] += within
         found[where] = p
     out = np.zeros(len(texts))
     out[lanes.order] = np.add.reduceat(found, lanes.text_starts)
@@ -172,19 +177,17 @@ def _gradient(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray,
     n = int(inside.sum())
     s, target = _rows(states, inside), symbols[inside]
     kind, place = np.divmod(target, CLASS)
-    logits = s @ w["classes"]
-    logits += w["class_bias"]
-    d = _error(logits, kind, n)
-    g["classes"][:], g["class_bias"][:] = s.T @ d, d.sum(axis=0)
-    ds = d @ np.ascontiguousarray(w["classes"].T)
+    d = _error(_logits(s, w["classes"], w["class_bias"]), kind, n)
+    g["classes"][:], g["class_bias"][:] = (d @ s).T, d.sum(axis=1)
+    ds = d.T @ w["classes"].T
     g["words"][:], g["word_bias"][:] = 0, 0
-    for c, rows in _by_class(kind):
-        some = s[rows]
-        logits = some @ w["words"][c]
-        logits += w["word_bias"][c]
-        d = _error(logits, place[rows], n)
-        g["words"][c], g["word_bias"][c] = some.T @ d, d.sum(axis=0)
-        ds[rows] += d @ w["words"][c].T
+    order, classes = _by_class(kind)
+    s, place, within = s[order], place[order], np.empty((len(order), HIDDEN), np.float32)
+    for c, some in classes:
+        d = _error(_logits(s[some], w["words"][c], w["word_bias"][c]), place[some], n)
+        g["words"][c], g["word_bias"][c] = (d @ s[some]).T, d.sum(axis=1)
+        np.matmul(d.T, w["words"][c].T, out=within[some])
+    ds[order] += within
     if n == inside.size:
         d_states = ds.reshape(states.shape)
     else:
@@ -193,7 +196,11 @@ def _gradient(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray,
     h0, zr, new, b = keep
     z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
     slope = zr * (1 - zr)
-    by_z, by_n, by_r = (h0 - new) * slope[..., :HIDDEN], (1 - z) * (1 - new * new), b * slope[..., HIDDEN:]
+    by_z, by_r = slope[..., :HIDDEN], slope[..., HIDDEN:]
+    by_z *= h0 - new
+    by_r *= b
+    by_n = 1 - new * new
+    by_n *= 1 - z
     goes_on = (before != 0).astype(np.float32)[:, :, None]
     kept = z * goes_on
     d_input = np.empty((*before.shape, 3 * HIDDEN), np.float32)
@@ -213,7 +220,7 @@ def _gradient(w: Weights, gates: np.ndarray, h: np.ndarray, before: np.ndarray,
         dh += (du @ back) * goes_on[t]
     d_input, used = d_input.reshape(-1, 3 * HIDDEN), before.ravel()
     g["state"][:] = h0.reshape(-1, HIDDEN).T @ d_state.reshape(-1, 3 * HIDDEN)
-    g["gate"][:] = d_input.sum(axis=0)
+    g["gate"][:] = np.ones(len(d_input), np.float32) @ d_input
     g["input"][:] = w["embedding"][used].T @ d_input
     order = np.argsort(used.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(used[order], prepend=-1))
