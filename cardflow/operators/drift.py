@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cardflow.functions.columns import money_sum, ratio
+from cardflow.operators import sketches as S
 from cardflow.operators.ordered import running
 from cardflow.operators.quantiles import long_form, quantile_columns, with_row
 from cardflow.session import materialize
@@ -32,11 +33,15 @@ def _bin(value: Column, inner: Sequence[float], clip: str) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in inner]), lambda e: e <= value))
 
 
-def numeric_edges(df: DataFrame, cols: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
+def numeric_edges(df: DataFrame, cols: Sequence[str], bins: int = 10, sketches: DataFrame | None = None) -> dict[str, list[float]]:
     """Inner edges per column: distinct interpolated quantiles without the two outer ones, which
-    stand for minus and plus infinity. A model table of ``columns x bins`` numbers."""
+    stand for minus and plus infinity. A model table of ``columns x bins`` numbers. With stored ``sketches`` of the rows (one per column), the pass that
+    brackets the quantiles isn't needed; the edges are the same."""
     names = {f"q{i}": i / bins for i in range(bins + 1)}
-    rows = quantile_columns(long_form(df, cols), ["feature"], "value", names).collect()
+    if sketches is not None:
+        rows = S.exact_quantiles(df, cols, names, sketches).collect()
+    else:
+        rows = quantile_columns(long_form(df, cols), ["feature"], "value", names).collect()
     return {r["feature"]: sorted({r[n] for n in names})[1:-1] for r in rows}
 
 
@@ -73,8 +78,8 @@ class PsiReference:
         self.edges, self.numeric, self.categorical = edges, numeric, categorical
 
 
-def fit_psi(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 10) -> PsiReference:
-    edges = numeric_edges(df, numeric, bins) if numeric else {}
+def fit_psi(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 10, sketches: DataFrame | None = None) -> PsiReference:
+    edges = numeric_edges(df, numeric, bins, sketches) if numeric else {}
     shares = None
     if categorical:
         counts = _category_counts(df, categorical)

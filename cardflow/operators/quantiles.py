@@ -109,14 +109,14 @@ def _ranked_inside(df: DataFrame, by: Sequence[str], value: str, ends: DataFrame
 
 
 def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                     method: str = "linear", split: bool | None = None) -> DataFrame:
+                     method: str = "linear", split: bool | None = None, ends: DataFrame | None = None) -> DataFrame:
     """One row per group with a column per quantile. ``linear`` interpolates between ranks,
     ``nearest`` takes the value at rank ``int(p * n)``. ``split`` forces the ranking of all
-    values, in one task per group or in slices."""
+    values, in one task per group or in slices. ``ends``: brackets from elsewhere (``sketches.brackets``), which saves the first pass."""
     present = df.filter(F.col(value).isNotNull()).select(*by, value)
     kind = df.schema[value].dataType.simpleString() if method == "nearest" else "double"
     if split is None:
-        ends = _brackets(present, by, value, probs)
+        ends = _brackets(present, by, value, probs) if ends is None else ends
         if ends is not None:
             # A few rows per bracketed group.
             rows = _hits(_ranked_inside(present, by, value, ends), by, probs, method).collect()

@@ -6,8 +6,10 @@ from cardflow.operators import audit as Q
 from cardflow.operators import clean as P
 from cardflow.operators import drift as R
 from cardflow.operators import profile as D
+from cardflow.operators import sketches as S
 from cardflow.plans.relational import STATS, STATS_SQL, TRAIN_END, VAL_END, rounded, split_tx
 from cardflow.plans.sql import EV, LOG, MONEY, NULLS, SCORED2, TX, with_
+from cardflow.session import stored
 from cardflow.sources.views import ev, log, nulls, scored2, table, tx
 
 QUERIES = {}
@@ -76,6 +78,40 @@ for clip in ("none", "inner"):
     QUERIES[f"r2_psi_numeric_{clip}"] = (
         lambda spark, sf, clip=clip: rounded(R.psi_numeric(reference(spark, sf, categorical=False), windows(spark, sf)[1], clip), ["psi"], 8),
         with_(BASE, numeric_sql(clip, "mon")) + "SELECT feature, round(psi, 8) AS psi FROM pn")
+def by_year(spark, sf):
+    """Stored sketches per year of shipping."""
+    rows = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), *NUMERIC)
+    return rows, stored(S.column_sketches(rows, NUMERIC, ["year"]))
+
+
+def psi_from_sketches(spark, sf):
+    """The reference window's edges from the merged sketches of its years."""
+    ref, mon = windows(spark, sf)
+    merged = S.merge_sketches(by_year(spark, sf)[1].filter(F.col("year") < int(CUT[:4])))
+    return rounded(R.psi_numeric(R.fit_psi(ref, NUMERIC, [], sketches=merged), mon), ["psi"], 8)
+
+
+def quantiles_by_year(spark, sf):
+    """Exact quantiles of each year, and whether those read from the sketches alone are within four times their rank error."""
+    points = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    rows, sketches = by_year(spark, sf)
+    exact = S.exact_quantiles(rows, NUMERIC, points, sketches, ["year"])
+    wide = {f"{n}_{side}": min(1.0, max(0.0, p + d)) for n, p in points.items() for side, d in (("lo", -4 * 0.0013), ("hi", 4 * 0.0013))}
+    near = S.sketched_quantiles(sketches, {**points, **wide}, ["year"])
+    close = F.lit(True)
+    for n in points:
+        close = close & F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi"))
+    near = near.select("year", "feature", "n", *[F.col(f"{n}_{s}") for n in points for s in ("lo", "hi")])
+    both = exact.join(near, ["year", "feature"])
+    return rounded(both.select(F.col("year").cast("long").alias("year"), "feature", "n", *points, close.alias("near")), list(points), 6)
+
+
+YEAR_CELLS = " UNION ALL ".join(f"SELECT year(l_shipdate) AS year, '{c}' AS feature, {c}::DOUBLE AS v FROM lineitem" for c in NUMERIC)
+QUERIES["r2_psi_from_sketches"] = (psi_from_sketches, with_(BASE, numeric_sql("none", "mon")) + "SELECT feature, round(psi, 8) AS psi FROM pn")
+QUERIES["a7_sketched_quantiles"] = (
+    quantiles_by_year,
+    f"""SELECT year, feature, count(v) AS n, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
+  TRUE AS near FROM ({YEAR_CELLS}) GROUP BY year, feature""")
 QUERIES["r3_psi_categorical"] = (
     lambda spark, sf: rounded(R.psi_categorical(reference(spark, sf, numeric=False), windows(spark, sf)[1]), ["psi"], 8),
     with_(BASE, categorical_sql()) + "SELECT feature, round(psi, 8) AS psi FROM pc")
