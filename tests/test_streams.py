@@ -251,3 +251,22 @@ def test_kafka_options():
 def test_unknown_source_is_refused(spark):
     with pytest.raises(ValueError):
         readers.source(spark, "nothing", "/tmp")
+
+
+def test_groups_of_cards_not_one_per_card(spark, tmp_path):
+    """Many cards, one of them NULL, share a bounded number of states, and each keeps its own history."""
+    inbox, cards = str(tmp_path / "many"), 500
+    rows = [(card if card else None, card * 10 + i, i * US, float(i + 1)) for card in range(cards) for i in range(2)]
+    spark.createDataFrame(rows, "card_id long, transaction_id long, us long, amount double").coalesce(1).write.parquet(inbox)
+    df = readers.read_file_events(spark, inbox, "card_id long, transaction_id long, us long, amount double")
+    queries = {"sums": stateful.trailing_stream(df, [60 * US]), "previous": stateful.previous_gap_stream(df), "arrival": stateful.arrival_gap_stream(df),
+               "asof": stateful.asof_stream(df, df.select("card_id", (F.col("us") - 1).alias("vel_us"), F.col("transaction_id").alias("vel_id")), 60 * US)}
+    made = {}
+    for name, query in queries.items():
+        (done,) = streams.run_all([sinks.sink_parquet(query, str(tmp_path / name), str(tmp_path / f"{name}-c"))])
+        assert done.lastProgress["stateOperators"][0]["numRowsTotal"] <= 256 < cards, name
+        made[name] = spark.read.parquet(str(tmp_path / name)).collect()
+    assert {(r["id"], r["n0"], r["s0"]) for r in made["sums"]} == {(c * 10 + i, i + 1, (1.0, 3.0)[i]) for c in range(cards) for i in range(2)}
+    for name in ("previous", "arrival"):
+        assert {(r["card_id"], r["id"], r["gap"]) for r in made[name]} == {(c or None, c * 10 + i, (None, US)[i]) for c in range(cards) for i in range(2)}
+    assert {(r["id"], r["record_id"]) for r in made["asof"]} == {(c * 10 + i, c * 10 + i) for c in range(cards) for i in range(2)}
