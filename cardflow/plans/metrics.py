@@ -155,6 +155,7 @@ def against(intervals, points):
 
 def points_of(df, y, p, threshold):
     points, x = M.curve(df, y, p), M.confusion(df, y, p, threshold)
+    x = x.withColumns({c: F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")})  # a product of three counts of millions does not fit a long
     rates = x.select("*", *[F.expr(f"CAST({d} AS DOUBLE)").alias(f"{m}_deviation") for m, d in DEVIATIONS.items()]).first().asDict()
     return {"pr_auc": (M.average_precision(points).first()[0], None), "roc_auc": (M.roc_auc(points).first()[0], None),
             **{m: (rates[m], rates.get(f"{m}_deviation")) for m in ("precision", "recall", "f1", "mcc")}}

@@ -173,3 +173,13 @@ def test_report_with_intervals(preds):
         assert got["val", f"{name}_ci_lower"] == want[name]["ci_lower"] < got["val", f"{name}_mean"] < got["val", f"{name}_ci_upper"]
         assert got["test", f"{name}_n_valid"] == 200.0 and ("none", f"{name}_mean") not in got
     assert got["val", "roc_auc"] == pytest.approx(got["val", "roc_auc_mean"], abs=0.03) and ("none", "brier") in got
+
+
+def test_deviations_of_millions_of_rows(spark):
+    """The product of three counts of millions is more than a long holds."""
+    from cardflow.plans.metrics import points_of
+
+    rows = spark.range(9_000_000).select((F.col("id") % 3 > 0).cast("int").alias("y"), F.when(F.col("id") % 2 == 0, 0.75).otherwise(0.25).alias("p"))
+    points = points_of(rows, "y", "p", 0.5)
+    tp, fp, fn = 3e6, 1.5e6, 3e6
+    assert points["f1"] == pytest.approx((2 * tp / (2 * tp + fp + fn), 2 * (tp * (fp + fn) * (tp + fp + fn)) ** 0.5 / (2 * tp + fp + fn) ** 2))
