@@ -14,6 +14,7 @@ from cardflow.operators.ordered import ROWS, by_heat, prefixes, running, trailin
 
 SECOND = 1_000_000
 LARGE = LONG_UNITS / MONEY_UNIT
+ROWS_PER_TASK = 100_000  # rows whose windows a task forms, ten windows or so each
 
 
 def _parts(amount: str) -> dict[str, tuple[str, Column]]:
@@ -194,7 +195,11 @@ def _hopping_panes(df: DataFrame, size: int, slide: int, tail: int, key: str, ti
         F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"))
     pane = F.col("__p")
     blocks = F.array_distinct(F.array(F.floor((pane - (k - 1)) / F.lit(k)), F.floor(pane / F.lit(k))))
-    placed = panes.withColumn("__b", F.explode(blocks)).repartition(key, "__b")
+    # A task holds every window of its panes, so the number of tasks goes by the rows.
+    spark = df.sparkSession
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    several = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    placed = panes.withColumn("__b", F.explode(blocks)).repartition(*several, key, "__b")
     first = F.col("__b") * k
     starts = F.sequence(F.greatest(pane - (k - 1), first), F.least(pane, first + (k - 1)))
     in_tail = pane >= F.col("__w") + keep

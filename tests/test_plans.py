@@ -77,3 +77,11 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     materialize(spark.range(5)).count()
     written = set(os.listdir(folder)) | {n for d in os.listdir(folder) for n in os.listdir(os.path.join(folder, d))}
     assert any(n.startswith("rdd-") for n in written) and before <= written
+
+
+def test_tasks_of_windows_grow_with_the_rows(spark, monkeypatch):
+    """A task holds ten windows or so of each of its rows."""
+    monkeypatch.setattr(velocity, "ROWS_PER_TASK", 50)
+    rows = ev(spark, SF)
+    tasks = -(-rows.count() // 50)
+    assert tasks > 4 and f", {tasks})" in re.search(r"Exchange hashpartitioning\([^()]*__b[^()]*\)", plan(velocity.hopping_features(rows))).group()
