@@ -9,6 +9,7 @@ from cardflow.plans.features import (
 from cardflow.plans.relational import SPLIT_SQL, VEL_SQL, rounded, split_tx, velocity_records, wide_rows
 from cardflow.plans.sql import EV, LOG, MONEY, TX, with_
 from cardflow.plans.velocity import summary_columns, summary_sql, us, velocity_window_columns, window_velocity_sql
+from cardflow.session import stored
 from cardflow.sources import logs as L
 from cardflow.sources import readers as I
 from cardflow.sources import sinks as O
@@ -315,6 +316,7 @@ def arriving(spark, rows, name):
     """A stream that gets the rows of one batch number after the other, each as a micro-batch of its own."""
     S.use_rocksdb(spark)
     inbox = S.scratch(spark, name)
+    rows = stored(rows)  # computed once, by many tasks; only the copy to a file of its own is one task
     for i in range(6):
         rows.filter(F.col("batch") == i).coalesce(1).write.mode("append").parquet(inbox)
     return I.read_file_events(spark, inbox, rows.schema, max_files=1)

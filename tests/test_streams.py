@@ -270,3 +270,19 @@ def test_groups_of_cards_not_one_per_card(spark, tmp_path):
     for name in ("previous", "arrival"):
         assert {(r["card_id"], r["id"], r["gap"]) for r in made[name]} == {(c or None, c * 10 + i, (None, US)[i]) for c in range(cards) for i in range(2)}
     assert {(r["id"], r["record_id"]) for r in made["asof"]} == {(c * 10 + i, c * 10 + i) for c in range(cards) for i in range(2)}
+
+
+def test_hydration_by_groups_of_cards(spark, tmp_path):
+    """Many cards in few states: each event gets the record and the counters of its own card."""
+    cards = 500
+    spark.createDataFrame([(c, c * 10 + i, (i + 1) * US, 1.0) for c in range(cards) for i in range(3)], "card_id long, transaction_id long, event_time long, amount double").coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(c, 2 * US, c) for c in range(0, cards, 2)], "card_id long, velocity_time long, count_5m long").coalesce(1).write.parquet(str(tmp_path / "v"))
+    streams.use_rocksdb(spark)
+    out = stateful.hydrate_stream(
+        readers.read_file_events(spark, str(tmp_path / "e"), "card_id long, transaction_id long, event_time long, amount double"), spark.range(cards).select(F.col("id").alias("card_id"), F.lit("x").alias("card4")),
+        readers.read_file_events(spark, str(tmp_path / "v"), "card_id long, velocity_time long, count_5m long"), profile_fields=["card4"], day=float(US))
+    (done,) = streams.run_all([sinks.sink_parquet(out, str(tmp_path / "h"), str(tmp_path / "h-c"))])
+    assert max(o["numRowsTotal"] for o in done.lastProgress["stateOperators"]) <= 256
+    got = {(r["transaction_id"], r["count_5m"], r["c1"], r["c2"], r["d1"], r["d2"]) for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    assert got == {(c * 10 + i, c if i and not c % 2 else None, float(max(i + 1, c) if i and not c % 2 else i + 1), i + 1.0, float(i), float(min(i, 1)))
+                   for c in range(cards) for i in range(3)}
