@@ -5,6 +5,7 @@ a text (a single word or line that is longer is a part of its own)."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +126,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         at = end
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system: Spark's Python workers outlive their tasks, and what they keep is
+    missing in the steps that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, which gives back its memory after the last one."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key as a table, out of batches that are sorted by the keys."""
     held: list[pa.RecordBatch] = []

@@ -237,6 +237,7 @@ def predict(text: Column, model: Model) -> Column:
     @F.arrow_udf(RESULT)
     def of(texts: pa.Array) -> pa.Array:
         lang, score, distance, rejected = model.predict(texts)
+        arrays.give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64()), pa.array(rejected, pa.bool_())],
                                           names=["lang_pred", "score", "distance", "rejected"])
 

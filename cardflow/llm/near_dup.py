@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     n_bands = bands(percent / 100)
     steps = Tables()
     sketches = steps.stored(docs.mapInArrow(
-        lambda batches: _sketch(batches, k, n_bands, ROWS),
+        lambda batches: arrays.giving_back(_sketch(batches, k, n_bands, ROWS)),
         "doc_id long, n_shingles long, high long, low long, bands array<long>, registers binary"))
     classes = steps.stored(sketches.where("doc_id is not null and n_shingles > 0").groupBy("high", "low").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     cut = cut.join(docs.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(other))
     units = cut.select("component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "registers", "text")
     links = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(
-        lambda batches: _confirm(batches, k, percent), "a long, b long")
+        lambda batches: arrays.giving_back(_confirm(batches, k, percent)), "a long, b long")
 
     found = classes.select("high", "low", "node").join(components(links), "node", "left")
     found = steps.stored(found.select("high", "low", F.coalesce("component", "node").alias("found")))

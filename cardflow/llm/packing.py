@@ -96,7 +96,10 @@ class Encoder:
         starts = np.cumsum(lengths) - lengths
         n = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        at = np.repeat(starts[codes] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        out = flat[at]
+        del at, n
         begins = ends[first]
         odd = [i for i, x in enumerate(raw) if any(t in x for t in self.specials) or not x.isascii() and _ODD_SPACE.search(x.decode())]
         if odd:
@@ -273,7 +276,7 @@ def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, with_i
     """One row per piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if wanted."""
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = ", ".join(f"{n} long" for n in NAMES) + (", ids array<int>" if with_ids else "")
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda batches: _pack(batches, ranks, length, with_ids), schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda batches: arrays.giving_back(_pack(batches, ranks, length, with_ids)), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

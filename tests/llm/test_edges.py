@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cardflow.llm import html_text, lang_id, line_dedup, media, mixing, near_dup, packing, pii, toxicity, vector_dup
+from cardflow.llm import arrays, html_text, lang_id, line_dedup, media, mixing, near_dup, packing, pii, toxicity, vector_dup
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
@@ -109,3 +109,23 @@ def test_vector_edges(spark):
         assert got[i] == (0, i, True), i
     assert got[13] == (1, 13, True) and got[14] == (1, 13, False) and got[None] == (0, None, True)
     assert vector_dup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_memory_is_given_back_after_a_task():
+    """What a task freed is no longer the process's, even below memory that is still in use."""
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4 // 1024
+
+    kept = []
+
+    def task():
+        held = [bytes(60_000) for _ in range(5_000)]  # 300 MB in pieces that come from the heap
+        kept.append([bytes(60_000) for _ in range(10)])  # lies above them
+        del held
+        kept.append(resident())
+        yield from ()
+
+    assert list(arrays.giving_back(task())) == []
+    assert resident() < kept[1] - 100
