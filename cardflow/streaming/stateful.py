@@ -18,6 +18,7 @@ of the source."""
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -36,6 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LIMB = 1 << 31  # units are added up in two parts, so that no sum of them overflows
 SHARDS = 256  # groups of cards
+PANES_PER_STEP = 20_000  # panes whose windows are formed at once
 WINDOW_SHARDS = 64  # groups of cards in each bucket of time
 
 
@@ -303,6 +305,84 @@ class Hydration(StatefulProcessor):
         pass
 
 
+class HoppingWindows(StatefulProcessor):
+    """Panes (sums over one slide each) to the windows they lie in, ``k`` panes each, of which the last from ``keep`` on are its tail. A micro-batch gives the windows
+    that the watermark has come past since the last one; what is kept are panes with a window still open."""
+
+    def __init__(self, slide: int, k: int, keep: int):
+        self.slide, self.k, self.keep = slide, k, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("panes", "done bigint, panes binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        return self.closed(list(rows), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.closed([], timerValues)
+
+    def closed(self, panes: list[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, kept = self.state.get() if self.state.exists() else (None, None)
+        if kept is not None:
+            panes = [pickle.loads(bytes(kept)), *panes]
+        if not panes:
+            return
+        panes = pd.concat(panes, ignore_index=True)
+        # the first pane behind the last window that ends by now
+        upto = timerValues.getCurrentWatermarkInMs() * 1000 // self.slide
+        since = np.iinfo(np.int64).min if done is None else done
+        (codes,) = _codes(panes["key"].to_numpy(object))
+        order = np.lexsort((panes["pane"].to_numpy(np.int64), codes))
+        panes, codes = panes.iloc[order].reset_index(drop=True), codes[order]
+        at = panes["pane"].to_numpy(np.int64)
+        # panes that share no window with the one before begin a new stretch; some stretches are one step
+        begins = np.flatnonzero(np.append(True, (np.diff(codes) != 0) | (np.diff(at) >= self.k)))
+        steps = begins[np.append(True, np.diff(begins // PANES_PER_STEP) != 0)]
+        for a, b in zip(steps, np.append(steps[1:], len(at)), strict=True):
+            yield self.windows(panes.iloc[a:b], codes[a:b], at[a:b], since, upto)
+        still = at + self.k > upto
+        if still.any():
+            self.state.update((int(upto), pickle.dumps(panes[still])))
+            ends = int(max(at[still].min(), upto) + 1) * self.slide  # of the next window; a timer fires when the watermark is behind it
+            self.handle.registerTimer(-(-ends // 1000) - 1)
+        else:
+            self.state.clear()
+
+    def windows(self, panes: pd.DataFrame, codes: np.ndarray, at: np.ndarray, since: int, upto: int) -> pd.DataFrame:
+        row = np.repeat(np.arange(len(at)), self.k)
+        start = at[row] - np.tile(np.arange(self.k), len(at))
+        now = (start + self.k <= upto) & (start + self.k > since)
+        row, start = row[now], start[now]
+        order = np.lexsort((start, codes[row]))  # stable: the panes of a window stay in their order
+        row, start = row[order], start[order]
+        first = np.flatnonzero(np.append(True, (np.diff(codes[row]) != 0) | (np.diff(start) != 0))) if len(row) else np.zeros(0, np.int64)
+        tail = at[row] >= start + self.keep
+
+        def total(name: str, kind: type, some=None) -> np.ndarray:
+            values = panes[name].to_numpy(kind)[row]
+            if some is not None:
+                values = np.where(some, values, kind(0))
+            with np.errstate(invalid="ignore"):
+                return np.add.reduceat(values, first) if len(first) else values
+
+        out = {"key": panes["key"].to_numpy(object)[row[first]], "start": start[first] * self.slide}
+        for name, kind in (("n", np.int64), ("known", np.int64), ("high", np.int64), ("low", np.int64), ("rest", np.float64)):
+            out[name] = total(name, kind)
+            if name != "known":
+                out[f"{name}_tail"] = total(name, kind, tail)
+        # nested values are slow to pass on: a window of one pane has that pane's number of merchants, only one of several has their merchants
+        held, sizes = panes["m"].to_numpy(object), np.diff(np.append(first, len(row)))
+        several, m = sizes > 1, np.full(len(first), None, object)
+        for i in np.flatnonzero(several):
+            m[i] = list(held[row[first[i]:first[i] + sizes[i]]])
+        out["distinct"], out["m"] = panes["distinct"].to_numpy(np.int64)[row[first]], pd.Series(m, dtype=object)
+        return pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
 def _shard(key: str, shards: int) -> list[Column]:
     """A card as text, and its group."""
     return [F.col(key).cast("string").alias("key"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")]
@@ -356,6 +436,26 @@ def velocity_alerts_stream(df: DataFrame, width: int, max_count: int = 3, max_sp
                       F.col("s0").alias("spend_in_window"), alerts.alias("alerts"))
 
 
+def hopping_windows(panes: DataFrame, slide: int, k: int, keep: int, key: str, shards: int = SHARDS) -> DataFrame:
+    """Windows of ``k`` panes from a stream of closed panes: ``__pane`` (a window one slide long, with the watermark), the key, and ``__n, __s, __r`` and ``__m``, rows, units and rest
+    of the amounts, merchants (binary) and ``__d``, their number. Gives ``start``, the key, ``n``, ``units``, ``rest`` (of the tail: ``n_tail`` and so on), ``m``, the merchants of each
+    of its panes, NULL if there is one, and ``distinct``, their number then."""
+    units = F.coalesce("__s", F.lit(0).cast("decimal(38,0)"))
+    high = F.floor(units / F.lit(LIMB)).cast("decimal(38,0)")
+    rows = panes.select(
+        *_shard(key, shards), F.window_time("__pane").alias("at"), F.floor(F.unix_micros("__pane.start") / F.lit(slide)).alias("pane"), F.col("__n").alias("n"),
+        F.col("__s").isNotNull().cast("long").alias("known"), high.cast("long").alias("high"), (units - high * LIMB).cast("long").alias("low"),
+        F.coalesce("__r", F.lit(0.0)).alias("rest"), F.col("__m").alias("m"), F.col("__d").cast("long").alias("distinct"))
+    schema = ("key string, start long, n long, n_tail long, known long, high long, high_tail long, low long, low_tail long, rest double, rest_tail double, distinct long, m array<binary>")
+    out = rows.groupBy("shard").transformWithStateInPandas(HoppingWindows(slide, k, keep), schema, "append", "eventTime")
+
+    def whole(tail: str) -> Column:
+        return F.col(f"high{tail}").cast("decimal(28,0)") * F.lit(LIMB).cast("decimal(10,0)") + F.col(f"low{tail}").cast("decimal(38,0)")
+
+    return out.select(F.col("key").cast(panes.schema[key].dataType).alias(key), "start", "n", "n_tail", F.when(F.col("known") > 0, whole("")).alias("units"), "distinct", "m",
+                      whole("_tail").alias("units_tail"), *[F.coalesce(r, F.lit(float("nan"))).alias(r) for r in ("rest", "rest_tail")])  # pandas gives NaN as NULL
+
+
 def asof_stream(events: DataFrame, records: DataFrame, tolerance: int, key: str = "card_id", time: str = "us",
                 event_id: str = "transaction_id", record_time: str = "vel_us", record_id: str = "vel_id",
                 ttl_ms: int | None = None, delay: str | None = None, shards: int = WINDOW_SHARDS) -> DataFrame:

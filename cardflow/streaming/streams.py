@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 from cardflow.functions.columns import amount_of, money, money_rest, money_sum
 from cardflow.operators.velocity import hopping_features, micros, recent_totals, window_summary
 from cardflow.session import checkpoint_dir
+from cardflow.streaming.stateful import hopping_windows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,9 +35,9 @@ def with_watermark(df: DataFrame, time: str = "event_time", delay: str = "10 min
 
 def hopping_stream(df: DataFrame, delay: str = "10 minutes", distinct: str = "approx", size: str = "10 minutes", slide: str = "1 minute", tail: str = "5 minutes",
                    key: str = "card_id", time: str = "event_time", amount: str = "amount", merchant: str = "merchant_id") -> DataFrame:
-    """``hopping_features`` on a stream, as two aggregates: rows are summed per pane (one slide long), so that a row is shuffled once and not once per
-    window, and a pane goes to its windows when the watermark has passed it. Distinct merchants are sketches that are merged (``approx``), or sets (``set``). A row
-    behind the watermark is in no window."""
+    """``hopping_features`` on a stream: an aggregate sums rows per pane (one slide long), so that a row is shuffled once and not once per window, and when the
+    watermark has passed a pane, keyed state forms the windows, of all panes of a group of cards at once, so that no window is ever a row of state. Distinct merchants are sketches that are
+    merged (``approx``), or sets (``set``). A row behind the watermark is in no window."""
     marked = with_watermark(df, time, delay)
     if micros(size) % micros(slide) or micros(tail) % micros(slide):
         return hopping_features(marked, size, slide, tail, distinct, key, time, amount, merchant)
@@ -45,15 +46,20 @@ def hopping_stream(df: DataFrame, delay: str = "10 minutes", distinct: str = "ap
     panes = marked.groupBy(F.window(time, slide).alias("__pane"), key).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(money(amount)).alias("__s"), F.sum(money_rest(amount)).alias("__r"),
         (F.hll_sketch_agg(name) if approx else F.collect_set(name)).alias("__m"))
-    placed = panes.withColumn("__w", F.window(F.window_time("__pane"), size, slide))
-    in_tail = F.col("__pane.start") >= F.col("__w.end") - F.expr(f"INTERVAL {tail}")
-    merchants = F.hll_sketch_estimate(F.hll_union_agg("__m")) if approx else F.size(F.array_distinct(F.flatten(F.collect_list("__m")))).cast("long")
-    return placed.groupBy("__w", key).agg(
-        F.sum(F.when(in_tail, F.col("__n")).otherwise(0)).alias("count_tail"),
-        F.coalesce(amount_of(F.sum(F.when(in_tail, F.col("__s"))), F.sum(F.when(in_tail, F.col("__r")))), F.lit(0.0)).alias("amount_tail"),
-        F.sum("__n").alias("count_window"), amount_of(F.sum("__s"), F.sum("__r")).alias("amount_window"), merchants.alias("unique_merchants"),
-    ).select(F.col("__w.start").alias("window_start"), F.col("__w.end").alias("window_end"), key,
-             "count_tail", "amount_tail", "count_window", "amount_window", "unique_merchants")
+    panes = panes.withColumn("__d", F.hll_sketch_estimate("__m") if approx else F.size("__m"))
+    if not approx:
+        panes = panes.withColumn("__m", F.to_json("__m").cast("binary"))
+    k = micros(size) // micros(slide)
+    out = hopping_windows(panes, micros(slide), k, k - micros(tail) // micros(slide), key)
+
+    if approx:
+        several = F.hll_sketch_estimate(F.aggregate(F.slice("m", 2, F.size("m") - 1), F.col("m")[0], lambda a, b: F.hll_union(a, b)))
+    else:
+        several = F.size(F.array_distinct(F.flatten(F.transform("m", lambda m: F.from_json(m.cast("string"), "array<string>"))))).cast("long")
+    merchants = F.when(F.col("m").isNull(), F.col("distinct")).otherwise(several)
+    return out.select(F.timestamp_micros("start").alias("window_start"), F.timestamp_micros(F.col("start") + micros(size)).alias("window_end"), key,
+                      F.col("n_tail").alias("count_tail"), amount_of("units_tail", "rest_tail").alias("amount_tail"), F.col("n").alias("count_window"),
+                      amount_of("units", "rest").alias("amount_window"), merchants.alias("unique_merchants"))
 
 
 def window_velocity_stream(df: DataFrame, size: str = "10 minutes", slide: str = "5 minutes", back: str = "5 minutes", delay: str = "10 minutes",

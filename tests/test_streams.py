@@ -136,6 +136,24 @@ def test_windows_across_batches(spark, events, inbox, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_windows_are_no_state_and_keep_odd_rows(spark, events, inbox, tmp_path):
+    """A window of a minute's panes is formed when it closes: the ten windows of each pane are never written as state. NULL cards, merchants and amounts, and amounts without units."""
+    def odd(df):
+        i = F.col("transaction_id")
+        return df.select(i, F.when(i % 11 != 0, F.col("card_id")).alias("card_id"), F.timestamp_micros("us").alias("event_time"), F.when(i % 5 != 0, F.col("merchant_id")).alias("merchant_id"),
+                         F.when(i % 7 == 0, None).when(i % 97 == 0, float("nan")).when(i % 41 == 0, 1e30).otherwise(F.col("amount")).alias("amount"))
+
+    path = str(tmp_path / "odd")
+    for distinct in ("set", "approx"):
+        writer = sinks.sink_parquet(streams.hopping_stream(odd(arriving(spark, inbox)), "1 minute", distinct), path + distinct, path + distinct + "-c")
+        (query,) = streams.run_all([writer])
+        assert max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 60  # rows of a micro-batch
+        closed = F.unix_micros("window_end") <= events[-1][2] - 60 * US
+        want = velocity.hopping_features(odd(spark.createDataFrame(events, SCHEMA))).filter(closed)
+        got = spark.read.parquet(path + distinct)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     folder = str(tmp_path / "late")
     for i, minutes in enumerate(([1, 4], [30], [31], [2, 29])):
