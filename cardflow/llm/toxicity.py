@@ -4,9 +4,11 @@ A word (lower case, split at what is no letter) is the sum of the hashed embeddi
 Filters of several widths slide over the words; the largest value of each filter anywhere in the text goes through ReLU to a logistic
 output. As a filter is linear in the embeddings, its products with all of them are tabled once, and scoring a text is table lookups.
 
-The fit takes a bounded sample of the labelled rows and is deterministic. Embeddings start as the smoothed log-odds of their slot in one dimension and small
-noise in the others. The output is shifted so that THRESHOLD separates the sample's classes best; on top of it, a threshold is set for each language
-where it has enough labelled rows (`thresholds`), for use with a language known from elsewhere. Language is never an input of a score.
+The fit takes every labelled row, whole, and is deterministic. Embeddings start as the smoothed log-odds of their slot over all rows in one dimension and small
+noise in the others. The rows are dealt to parts by a hash of the text; in each of EPOCHS rounds a part is learned from the weights of the round before, and what the
+parts changed is averaged by their rows (an embedding over the parts that changed it), in whole numbers, so that no order of rows or parts matters. The output is
+shifted so that THRESHOLD separates the classes best; on top of it, a threshold is set for each language where it has enough labelled rows (`thresholds`), for use
+with a language known from elsewhere; both count all labelled rows, by their logit to four digits. Language is never an input of a score.
 
 Defined results: a null or empty text, or one without a word, gets the score of the filters' bias alone. Without rows of both classes the score is the share of
 toxic rows, 0 if there are no rows. Texts are read whole, in parts of a few MB, with the words over a seam seen by both parts."""
@@ -22,17 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm import arrays
-from cardflow.llm.frames import table
+from cardflow.llm.frames import Tables, small, table
 
 SLOTS = 1 << 15
 PREFIXES = (4, 5)
 DIMENSIONS = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 6
-#: The fit takes about so many labelled rows of each class; a longer text counts with this many words from as many places spread over it.
-SAMPLE_PER_CLASS = 2_500
-SAMPLE_WORDS = 3_000
-EPOCHS, BATCH, RATE = 8, 32, 0.03
+#: Labelled rows of a part (about), and bytes of coded words that a part holds at once.
+PART_ROWS = 2_500
+PART_BYTES = 16 << 20
+#: Words of a text that are learned from at once; what is held beside them is some hundred times as much.
+BLOCK = 1 << 16
+#: Most labels that are broadcast; beyond it, the join shuffles.
+MOST_LABELS = 1_000_000
+EPOCHS, RATE = 8, 0.03
 THRESHOLD = 0.7
 #: Labelled rows of each class that a language needs for a threshold of its own.
 LANGUAGE_ROWS = 20
@@ -89,21 +95,45 @@ class Model:
                 out[some, at] = np.maximum(out[some, at], best)
         return out
 
+    def logits(self, slots: np.ndarray, first: np.ndarray, tables: list) -> np.ndarray:
+        pooled = self.pooled(slots, first, tables)
+        return np.clip((pooled * self.output[:-1]).sum(axis=1, dtype=np.float64) + self.output[-1] + self.shift, -30, 30)
+
     def score(self, slots: np.ndarray, first: np.ndarray, tables: list) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(first) - 1, self.constant)
-        pooled = self.pooled(slots, first, tables)
-        z = (pooled * self.output[:-1]).sum(axis=1, dtype=np.float64) + self.output[-1] + self.shift
-        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).round(6)
+        return (1 / (1 + np.exp(-self.logits(slots, first, tables)))).round(6)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text as three numbers of two bytes."""
+    for batch in batches:
+        for part in arrays.slices(batch, "text"):
+            slots, first = word_slots(part.column("text"))
+            raw = (slots % SLOTS).astype("<u2")
+            words = pa.array([raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([words, *(part.column(c) for c in ("toxic", "lang", "tie"))], names=["words", "toxic", "lang", "tie"])
 
 
-def _train(texts: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
+def _slots(words: bytes) -> np.ndarray:
+    """The table rows that `_coded` has written."""
+    n = 1 + len(PREFIXES)
+    return np.frombuffer(words, "<u2").reshape(-1, n).astype(np.int32) + np.arange(0, n * SLOTS, SLOTS, dtype=np.int32)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each class a slot occurs, for the rows of a task."""
+    seen = np.zeros((2, SLOTS * (1 + len(PREFIXES))), np.int64)
+    for batch in batches:
+        for words, label in zip(batch.column("words"), batch.column("toxic").to_pylist(), strict=True):
+            seen[label, np.unique(_slots(words.as_py()))] += 1
+    some = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[0, some]), pa.array(seen[1, some])], names=["slot", "clean", "toxic"])
+
+
+def _initial(seen: np.ndarray, n: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    size = SLOTS * (1 + len(PREFIXES))
-    seen = np.zeros((2, size))
-    for slots, label in zip(texts, y, strict=True):
-        seen[label, np.unique(slots)] += 1
-    n = np.bincount(y, minlength=2)
+    size = seen.shape[1]
     odds = np.log((seen[1] + 0.1) / (n[1] + 0.2)) - np.log((seen[0] + 0.1) / (n[0] + 0.2))
     sure = (seen.sum(axis=0)) / (seen.sum(axis=0) + 2.0)
     embedding = rng.normal(0, 0.02, (size, DIMENSIONS)).astype(np.float32)
@@ -114,104 +144,186 @@ def _train(texts: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
         f[:, 0, 0] = 0.5 / w
     model.output[:-1:FILTERS] = 0.6
     model.output[-1] = -2.0
-    rows, width = np.arange(len(texts)), max(WIDTHS)
-    padded = [np.concatenate([t, np.full((width - 1, t.shape[1]), -1, t.dtype)]) for t in texts]
-    weight = len(y) / (2.0 * np.maximum(n, 1))
-    for epoch in range(EPOCHS):
-        rng.shuffle(rows)
-        rate = RATE / (1 + epoch)
-        for at in range(0, len(rows), BATCH):
-            for i in rows[at : at + BATCH]:
-                t = padded[i]
-                words = len(t) - width + 1
-                if not words:
-                    continue
-                e = np.where((t >= 0)[:, :, None], model.embedding[t], 0).sum(axis=1)
-                value, where = np.zeros(len(model.bias), np.float32), np.zeros(len(model.bias), int)
-                for w, (f, k) in enumerate(zip(model.filters, WIDTHS, strict=True)):
-                    v = sum(e[j : j + words] @ f[j] for j in range(k))
-                    s = slice(w * FILTERS, (w + 1) * FILTERS)
-                    where[s] = v.argmax(axis=0)
-                    value[s] = v[where[s], np.arange(FILTERS)]
-                hidden = np.maximum(value + model.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(hidden @ model.output[:-1] + model.output[-1], -30, 30)))
-                g = np.float32((p - y[i]) * weight[y[i]] * rate)
-                back = g * model.output[:-1] * (hidden > 0)
-                model.output[:-1] -= g * hidden
-                model.output[-1] -= g
-                model.bias -= back
-                for w, (f, k) in enumerate(zip(model.filters, WIDTHS, strict=True)):
-                    for j in range(FILTERS):
-                        d = back[w * FILTERS + j]
-                        if d:
-                            a = where[w * FILTERS + j]
-                            window = t[a : a + k]
-                            grad = d * f[:, :, j]
-                            f[:, :, j] -= d * e[a : a + k]
-                            for q in range(k):
-                                model.embedding[window[q][window[q] >= 0]] -= grad[q]
     return model
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The cut between two scores at which the mean of both classes' accuracies is best; of equal ones the middle one."""
-    order = np.argsort(score, kind="stable")
-    s, y = score[order], y[order]
-    right = np.concatenate([[0], np.cumsum(1 - y)]) / max((1 - y).sum(), 1) + np.concatenate([[y.sum()], y.sum() - np.cumsum(y)]) / max(y.sum(), 1)
+def _flat(model: Model) -> np.ndarray:
+    """All weights as rows of DIMENSIONS numbers: the embeddings, and behind them the others, filled up with zeros."""
+    rest = np.concatenate([*(f.ravel() for f in model.filters), model.bias, model.output])
+    rest = np.append(rest, np.zeros(-len(rest) % DIMENSIONS)).astype(np.float32)
+    return np.concatenate([model.embedding, rest.reshape(-1, DIMENSIONS)])
+
+
+def _shaped(flat: np.ndarray) -> Model:
+    size = SLOTS * (1 + len(PREFIXES))
+    rest, at = flat[size:].ravel().copy(), 0
+    filters = []
+    for w in WIDTHS:
+        filters.append(rest[at : at + w * DIMENSIONS * FILTERS].reshape(w, DIMENSIONS, FILTERS))
+        at += w * DIMENSIONS * FILTERS
+    n = FILTERS * len(WIDTHS)
+    return Model(flat[:size].copy(), filters, rest[at : at + n], rest[at + n : at + 2 * n + 1], 0.0)
+
+
+def _learn(model: Model, texts: list[np.ndarray], y: list[int], weight: np.ndarray, rate: float) -> None:
+    """One step for each text. The last row of the embeddings is zero and stands for the words behind the end of a text."""
+    ahead = max(WIDTHS) - 1
+    for t, label in zip(texts, y, strict=True):
+        if not len(t):
+            continue
+        words = len(t)
+        t = np.concatenate([t, np.full((ahead, t.shape[1]), len(model.embedding) - 1, t.dtype)])
+        by_place = t.T.astype(np.intp)
+        products = np.concatenate([part.T for f in model.filters for part in f])
+        value, where = np.full(len(model.bias), -np.inf, np.float32), np.zeros(len(model.bias), int)
+        for a in range(0, words, BLOCK):
+            n = min(BLOCK, words - a)
+            e = model.embedding.take(by_place[0, a : a + n + ahead], axis=0)
+            for j in range(1, t.shape[1]):
+                e += model.embedding.take(by_place[j, a : a + n + ahead], axis=0)
+            p, at = products @ e.T, 0
+            for w, width in enumerate(WIDTHS):
+                v = p[at : at + FILTERS, :n]
+                for k in range(1, width):
+                    v = v + p[at + k * FILTERS : at + (k + 1) * FILTERS, k : k + n]
+                at += width * FILTERS
+                s = slice(w * FILTERS, (w + 1) * FILTERS)
+                place = v.argmax(axis=1)
+                most = v[np.arange(FILTERS), place]
+                where[s], value[s] = np.where(most > value[s], place + a, where[s]), np.maximum(most, value[s])
+        hidden = np.maximum(value + model.bias, 0)
+        p = 1 / (1 + np.exp(-np.clip(hidden @ model.output[:-1] + model.output[-1], -30, 30)))
+        g = np.float32((p - label) * weight[label] * rate)
+        back = g * model.output[:-1] * (hidden > 0)
+        model.output[:-1] -= g * hidden
+        model.output[-1] -= g
+        model.bias -= back
+        changes = []
+        for w, (f, width) in enumerate(zip(model.filters, WIDTHS, strict=True)):
+            some = np.flatnonzero(back[w * FILTERS : (w + 1) * FILTERS])
+            if len(some):
+                windows = t[where[w * FILTERS + some][:, None] + np.arange(width)]
+                d = back[w * FILTERS + some][:, None, None]
+                changes.append((windows, (d * f[:, :, some].transpose(2, 0, 1))[:, :, None, :]))
+                f[:, :, some] -= (d * model.embedding[windows].sum(axis=2)).transpose(1, 2, 0)
+        for windows, grad in changes:
+            np.subtract.at(model.embedding, windows, grad)
+        model.embedding[-1] = 0
+
+
+_UNIT = float(1 << 24)
+_CHANGES = "row int, n long, " + ", ".join(f"d{i} long" for i in range(DIMENSIONS))
+
+
+def _learned(batches: Iterator[pa.RecordBatch], flat: np.ndarray, weight: np.ndarray, epoch: int) -> Iterator[pa.RecordBatch]:
+    """What each part changes in the weights, times its rows; rows come in the order of parts."""
+    size = SLOTS * (1 + len(PREFIXES))
+    model, part, n, held, texts, y, turns = None, None, 0, 0, [], [], 0
+
+    def learn() -> None:
+        nonlocal held, texts, y, turns
+        order = np.random.default_rng([epoch, part, turns]).permutation(len(texts))
+        _learn(model, [_slots(texts[i]) for i in order], [y[i] for i in order], weight, RATE / (1 + epoch))
+        held, texts, y, turns = 0, [], [], turns + 1
+
+    def changes() -> pa.RecordBatch:
+        model.embedding = model.embedding[:-1]
+        change = _flat(model) - flat
+        rows = np.flatnonzero(change.any(axis=1) | (np.arange(len(change)) >= size))
+        units = np.rint(change[rows].astype(np.float64) * (n * _UNIT)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(np.full(len(rows), n)), *(pa.array(c) for c in units.T.copy())],
+                                          names=["row", "n", *(f"d{i}" for i in range(DIMENSIONS))])
+
+    for batch in batches:
+        for this, words, label in zip(batch.column("part").to_pylist(), batch.column("words"), batch.column("toxic").to_pylist(), strict=True):
+            if this != part:
+                if model is not None:
+                    learn()
+                    yield changes()
+                model, part, n, turns = _shaped(flat), this, 0, 0
+                model.embedding = np.concatenate([model.embedding, np.zeros((1, DIMENSIONS), np.float32)])
+            texts.append(words.as_py())
+            y.append(label)
+            n, held = n + 1, held + len(texts[-1])
+            if held >= PART_BYTES:
+                learn()
+    if model is not None:
+        learn()
+        yield changes()
+
+
+def _train(rows: DataFrame, n: np.ndarray) -> Model:
+    """rows: part, words, toxic; n: how many of each class."""
+    seen = np.zeros((2, SLOTS * (1 + len(PREFIXES))))
+    got = rows.select("words", "toxic").mapInArrow(_seen, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen[:, got.column("slot").to_numpy()] = [got.column("clean").to_numpy(), got.column("toxic").to_numpy()]
+    flat = _flat(_initial(seen, n))
+    weight = n.sum() / (2.0 * np.maximum(n, 1))
+    for epoch in range(EPOCHS):
+        some = rows.select("part", "words", "toxic").mapInArrow(lambda b, flat=flat, epoch=epoch: _learned(b, flat, weight, epoch), _CHANGES)
+        got = some.groupBy("row").agg(*[F.sum(c).alias(c) for c in some.columns[1:]]).toArrow()  # a row for each row of the weights at most
+        change = np.stack([got.column(f"d{i}").to_numpy() for i in range(DIMENSIONS)], axis=1) / (got.column("n").to_numpy()[:, None] * _UNIT)
+        flat = flat.copy()
+        flat[got.column("row").to_numpy()] += change.astype(np.float32)
+    return _shaped(flat)
+
+
+def _threshold(s: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut between two of the ascending scores at which the mean of both classes' accuracies is best; of equal ones the one in the widest gap."""
+    right = np.append(0, np.cumsum(clean)) / max(clean.sum(), 1) + (toxic.sum() - np.append(0, np.cumsum(toxic))) / max(toxic.sum(), 1)
     cut = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
-    distinct = np.concatenate([[True], s[1:] > s[:-1], [True]])
-    best = np.flatnonzero(distinct & (right >= right[distinct].max() - 1e-12))
-    widths = [(s[i] - s[i - 1]) if 0 < i < len(s) else 0 for i in best]
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    widths = np.concatenate([[0], np.diff(s), [0]])[best]
     return float(cut[best[int(np.argmax(widths))]])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _logits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    tables = model.tables()
     for batch in batches:
-        for part in arrays.slices(batch, "text"):
-            slots, first = word_slots(part.column("text"))
-            found = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                t = slots[a:b]
-                if len(t) > SAMPLE_WORDS:  # runs of ten words at even distances
-                    at = (np.linspace(0, len(t) - 10, SAMPLE_WORDS // 10).astype(int)[:, None] + np.arange(10)).ravel()
-                    t = t[at]
-                found.append(t.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), part.column("toxic"), part.column("lang"), part.column("draw"), part.column("tie")], names=["slots", "toxic", "lang", "draw", "tie"])
+        for part in arrays.slices(batch, "words", 4 << 20):
+            texts = [_slots(x.as_py()) for x in part.column("words")]
+            z = model.logits(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), tables)
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(z.round(4)), part.column("toxic")], names=["lang", "z", "toxic"])
+
+
+def _cut(counts: pa.Table) -> pa.Table:
+    """The threshold of a group, whose logits are as many as four digits tell apart."""
+    counts = counts.sort_by("z")
+    clean, toxic = (counts.column(c).to_numpy() for c in ("clean", "toxic"))
+    cut = _threshold(counts.column("z").to_numpy(), clean, toxic)
+    return pa.table({"of": counts.column("of").slice(0, 1), "cut": pa.array([cut]), "least": pa.array([int(min(clean.sum(), toxic.sum()))])})
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
-    """Learns from the documents that have a label toxic of 0 or 1 (others don't count); their lang, if there is one, only serves `thresholds`.
-    The sample is drawn from the labels, so that no text moves but those of the sample; the key only decides who is in it."""
+    """Learns from the documents that have a label toxic of 0 or 1 (others don't count); their lang, if there is one, only serves `thresholds`."""
+    steps = Tables()
     labels = labels.where(F.col("toxic").isin(0, 1)).select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic"))
-    labels = labels.join(docs.where("text is not null").select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    labels = steps.stored(labels.join(docs.where("text is not null").select(F.col(key).alias("key")).distinct(), "key", "left_semi").distinct())
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
+        steps.drop(labels)
         return Model(np.zeros((0, 0)), [], np.zeros(0), np.zeros(0), 0.0, float(max(sizes, default=0)))
-    labels = labels.withColumn("draw", F.xxhash64("key", "toxic"))
-    chance = F.when(F.col("toxic") == 1, SAMPLE_PER_CLASS / sizes[1]).otherwise(SAMPLE_PER_CLASS / sizes[0])
-    drawn = labels.where(F.pmod("draw", F.lit(1 << 40)) / float(1 << 40) < chance)  # about twice SAMPLE_PER_CLASS rows at most
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.where("text is not null").select(F.col(key).alias("key"), "text", lang.alias("lang")).join(F.broadcast(drawn), "key")
-    # equal texts are one row, whose draw and lang don't depend on the order of rows; nor does the order of training
-    texts = texts.groupBy("text", "toxic").agg(F.min("lang").alias("lang"), F.min("draw").alias("draw")).withColumn("tie", F.xxhash64("text"))
-    got = texts.mapInArrow(_sampled, "slots array<int>, toxic int, lang string, draw long, tie long").toArrow()
-    got = got.sort_by([("draw", "ascending"), ("toxic", "ascending"), ("tie", "ascending")])
-    y = got.column("toxic").to_numpy().astype(int)
-    texts = [np.asarray(x.values).reshape(-1, 1 + len(PREFIXES)) if len(x) else np.zeros((0, 1 + len(PREFIXES)), np.int32) for x in got.column("slots")]
-    model = _train(texts, y)
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    slots, tables = np.concatenate(texts), model.tables()
-
-    def logits() -> np.ndarray:
-        p = np.clip(model.score(slots, first, tables), 1e-9, 1 - 1e-9)
-        return np.log(p / (1 - p))
-
-    model.shift = np.log(THRESHOLD / (1 - THRESHOLD)) - _threshold(logits(), y)
-    score, langs = model.score(slots, first, tables), np.array([x or "" for x in got.column("lang").to_pylist()])
-    for name in sorted(set(langs) - {""}):
-        mine = langs == name
-        if min(y[mine].sum(), (1 - y[mine]).sum()) >= LANGUAGE_ROWS:
-            model.thresholds[name] = _threshold(score[mine], y[mine])
+    texts = docs.where("text is not null").select(F.col(key).alias("key"), "text", lang.alias("lang")).join(small(labels, MOST_LABELS), "key")
+    texts = texts.withColumn("tie", F.xxhash64("text")).mapInArrow(_coded, "words binary, toxic int, lang string, tie long")
+    # equal texts are one row, whose lang doesn't depend on the order of rows; nor do its part and its place there
+    texts = texts.groupBy("tie", "toxic").agg(F.min("lang").alias("lang"), F.first("words").alias("words"))
+    parts = -(-sum(sizes.values()) // PART_ROWS)
+    texts = texts.withColumn("part", F.pmod("tie", F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "tie", "toxic")
+    rows = steps.stored(texts)
+    steps.drop(labels)
+    counted = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    model = _train(rows, np.array([counted[0], counted[1]]))
+
+    scored = rows.select("lang", "words", "toxic").mapInArrow(lambda b: _logits(b, model), "lang string, z double, toxic int")
+    named = F.when(F.col("lang") != "", F.array(F.lit(""), F.col("lang"))).otherwise(F.array(F.lit("")))
+    counts = scored.select(F.explode(named).alias("of"), "z", "toxic").groupBy("of", "z").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    cuts = {r["of"]: r for r in counts.groupBy("of").applyInArrow(_cut, "of string, cut double, least long").collect()}
+    steps.drop(rows)
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD))) - cuts[""]["cut"]
+    for name in sorted(set(cuts) - {""}):
+        if cuts[name]["least"] >= LANGUAGE_ROWS:
+            model.thresholds[name] = float(1 / (1 + np.exp(-np.clip(cuts[name]["cut"] + model.shift, -30, 30))))
     return model
 
 

@@ -129,3 +129,22 @@ def test_memory_is_given_back_after_a_task():
 
     assert list(arrays.giving_back(task())) == []
     assert resident() < kept[1] - 100
+
+
+def test_toxicity_learns_from_every_row(spark):
+    """A word that only a few of many labelled rows hold, far behind in a long text in one of them, decides their label."""
+    filler = " ".join(f"word{i % 211}" for i in range(5_000))
+    rows = [(i, f"plain text number {i} of many", 0) for i in range(6_000)] + [(9_000 + i, f"awful text number {i} of many", 1) for i in range(100)]
+    rows += [(20_000 + i, f"{filler} vile{'x' * 9}{i} {filler}" if i == 0 else f"zymurgic text number {i} of many", 1) for i in range(12)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen = []
+    train = toxicity._train
+    try:
+        toxicity._train = lambda found, n: seen.append((n.tolist(), found.agg(F.max(F.length("words"))).first()[0])) or train(found, n)
+        model = toxicity.fit(docs, labels)
+    finally:
+        toxicity._train = train
+    assert seen == [([6_000, 112], 10_001 * 6)]
+    scores = {r[0]: r[1] for r in docs.select("doc_id", toxicity.scored(F.col("text"), model)).collect()}
+    assert all(scores[r[0]] >= 0.7 for r in rows if r[0] > 20_000) and max(scores[i] for i in range(6_000)) < 0.7
