@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,8 +141,9 @@ def _agree(x: bytes, y: bytes) -> int:
     return n
 
 
-def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
-    """What to remove from a text: each find is confirmed byte by byte and widened, whole words only; spans that overlap or touch are joined."""
+def repeated_spans(text: bytes, found: list[dict], starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """What to remove from a text with words from starts to ends: each find is confirmed byte by byte and widened, whole words only; spans that overlap
+    or touch are joined."""
     spans: list[tuple[int, int]] = []
     for f in found:
         start, end = f["at"], f["end"]
@@ -153,14 +155,13 @@ def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
             if b == end:
                 b += _agree(text[b : b + len(f["after"])], f["after"])
             spans.append((a, b))
-    starts, ends, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     if len(starts) < MIN_WORDS or not spans:
         return []
     a, b = np.array(spans, np.int64).T
     i = np.searchsorted(starts, a, "right") - 1
     cut = (i >= 0) & (a > starts[i]) & (a <= ends[i])  # inside a word or at its end; white space before the span stays
-    blank = np.append(arrays.SPACE[np.frombuffer(text, np.uint8)], False)
-    a = np.where(cut, ends[i] + blank[ends[i]], a)
+    behind = np.minimum(ends[i], len(text) - 1)
+    a = np.where(cut, ends[i] + ((ends[i] < len(text)) & arrays.SPACE[np.frombuffer(text, np.uint8)[behind]]), a)
     i = np.searchsorted(starts, b) - 1
     b = np.where((i >= 0) & (b < ends[i]), starts[i], b)
     out: list[tuple[int, int]] = []
@@ -172,31 +173,39 @@ def repeated_spans(text: bytes, found: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if np.searchsorted(starts, b) - np.searchsorted(starts, a) >= MIN_WORDS]
 
 
+FIND = ("at", "end", "stays", "before", "same", "after")
 RESULT = "struct<text string, removed array<struct<start:long, end:long>>, removed_words long>"
 
 
 def _removed(texts: pa.Array, found: pa.Array) -> pa.Array:
-    clean, spans, words = [], [], []
-    for t, f in zip(texts, found, strict=True):
-        t, f = t.as_py(), f.as_py()
-        if t is None or not f:
-            clean.append(t)
-            spans.append([])
-            words.append(0)
-            continue
-        raw, at, kept, gone, points, n = t.encode(), 0, [], [], 0, 0
-        for a, b in repeated_spans(raw, f):
-            kept.append(raw[at:a].decode())
-            start = points + len(kept[-1])
-            points = start + len(raw[a:b].decode())
-            gone.append({"start": start, "end": points})
-            n += len(raw[a:b].split())
-            at = b
-        clean.append("".join(kept) + raw[at:].decode())
-        spans.append(gone)
-        words.append(n)
+    clean, spans, removed = [], [], []
+    for part in arrays.slices(pa.RecordBatch.from_arrays([texts, found], names=["text", "found"]), "text", SLICE_BYTES):
+        data, offsets = arrays.utf8(part.column("text"))
+        starts, ends, first = words(data, offsets)  # of all texts at once
+        finds = part.column("found").flatten()
+        rows = list(zip(*(finds.field(c).to_pylist() for c in FIND), strict=True))
+        at_find = np.concatenate([[0], np.cumsum(pc.list_value_length(part.column("found")).fill_null(0).to_numpy(zero_copy_only=False))])
+        for i, t in enumerate(part.column("text").to_pylist()):
+            f = [dict(zip(FIND, row)) for row in rows[at_find[i] : at_find[i + 1]]]
+            if t is None or not f:
+                clean.append(t)
+                spans.append([])
+                removed.append(0)
+                continue
+            own = slice(first[i], first[i + 1])
+            raw, at, kept, gone, points, n = t.encode(), 0, [], [], 0, 0
+            for a, b in repeated_spans(raw, f, starts[own] - offsets[i], ends[own] - offsets[i]):
+                kept.append(raw[at:a].decode())
+                start = points + len(kept[-1])
+                points = start + len(raw[a:b].decode())
+                gone.append({"start": start, "end": points})
+                n += len(raw[a:b].split())
+                at = b
+            clean.append("".join(kept) + raw[at:].decode())
+            spans.append(gone)
+            removed.append(n)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.array(spans, kind), pa.array(words, pa.int64())], names=["text", "removed", "removed_words"])
+    return pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.array(spans, kind), pa.array(removed, pa.int64())], names=["text", "removed", "removed_words"])
 
 
 def _key() -> Column:
@@ -234,7 +243,7 @@ def remove_repeats(docs: DataFrame, keep: str = "doc", into: str = "found") -> D
     held = known.join(small(holders, MOST_KEYS), "key", "left_semi").withColumnRenamed("key", "from_key").join(wanted, "from_key").select("from_key", "wanted", "text")
     same = held.mapInArrow(_first_bytes, "from_key long, from_at int, from_end int, before binary, same binary, after binary")
     same = same.dropDuplicates(["from_key", "from_at", "from_end"])
-    finds = stored(runs.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct("at", "end", "stays", "before", "same", "after")).alias("finds")))
+    finds = stored(runs.join(same, ["from_key", "from_at", "from_end"]).groupBy("key").agg(F.collect_list(F.struct(*FIND)).alias("finds")))
 
     steps.drop(runs, holders)
 

@@ -1,5 +1,6 @@
 """Every operator and stage over nulls, empty and very long texts, repeated rows, clashing names and empty tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,17 @@ def test_toxicity_learns_from_every_row(spark):
     assert seen == [([6_000, 112], 10_001 * 6)]
     scores = {r[0]: r[1] for r in docs.select("doc_id", toxicity.scored(F.col("text"), model)).collect()}
     assert all(scores[r[0]] >= 0.7 for r in rows if r[0] > 20_000) and max(scores[i] for i in range(6_000)) < 0.7
+
+
+def test_repeats_of_a_batch_are_removed_with_one_look_at_its_words(monkeypatch):
+    words, calls = line_dedup.words, []
+    monkeypatch.setattr(line_dedup, "words", lambda *a: calls.append(1) or words(*a))
+    passage = " ".join(f"é{i}" for i in range(40))
+    texts = [f"own {i} {passage} end" if i % 3 else None if i else "" for i in range(50)]
+    n = len(passage.encode())
+    finds = [[{"at": len(f"own {i} "), "end": len(f"own {i} ") + n, "stays": 0, "before": b"", "same": passage.encode(), "after": b""}] if i % 3 else None if i else [] for i in range(50)]
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32()), ("stays", pa.int32()), ("before", pa.binary()), ("same", pa.binary()), ("after", pa.binary())]))
+    got = line_dedup._removed(pa.array(texts), pa.array(finds, kind)).to_pylist()
+    assert len(calls) == 1
+    assert [r["removed_words"] for r in got] == [40 if i % 3 else 0 for i in range(50)]
+    assert [(r["text"] or "").split() for r in got] == [["own", str(i), "end"] if i % 3 else [] for i in range(50)]
