@@ -1,5 +1,8 @@
 """Every operator and stage over nulls, empty and very long texts, repeated rows, clashing names and empty tables."""
 
+import time
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +166,42 @@ def test_repeats_of_a_batch_are_removed_with_one_look_at_its_words(monkeypatch):
     assert len(calls) == 1
     assert [r["removed_words"] for r in got] == [40 if i % 3 else 0 for i in range(50)]
     assert [(r["text"] or "").split() for r in got] == [["own", str(i), "end"] if i % 3 else [] for i in range(50)]
+
+
+def test_vectors_are_stored_once_and_leave_no_shuffle_files(spark, monkeypatch):
+    """No step holds more rows than there are vectors, and what the parts are dealt by is gone when the links are counted."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))], "vec_id long, embedding array<float>")
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    rows, left, write = [], [], vector_dup.Tables.stored
+
+    def stored(self, step, *by):
+        before = disk.getAllFiles().size()
+        out = write(self, step, *by)
+        time.sleep(0.3)  # files are removed beside the caller
+        left.append(disk.getAllFiles().size() - before)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(vector_dup.Tables, "stored", stored)
+    monkeypatch.setattr(vector_dup, "components", lambda edges: edges.selectExpr("a AS node", "b AS component"))
+    vector_dup.near_vectors(df)
+    assert max(rows) <= 300 and max(left) <= 0
+
+
+def test_vectors_in_many_parts(spark, monkeypatch):
+    """Parts cut along the coordinate and, where all lie at one place, by a hash; several rounds; two lengths; single precision."""
+    monkeypatch.setattr(vector_dup, "TASK_ROWS", 16)
+    monkeypatch.setattr(vector_dup, "PART_ROWS", 4)
+    monkeypatch.setattr(vector_dup, "ROUND", 2)
+    rng = np.random.default_rng(4)
+    x = [*np.concatenate([rng.normal(size=(10, 6))] * 3) + rng.normal(scale=0.2, size=(30, 6)), *(np.array([s]) for s in [*range(1, 21), *range(-9, 0)])]
+    x = [v.astype(np.float32) for v in x]
+    got = {r.vec_id: r for r in vector_dup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float)) for v in x]
+    near = [[i != j and len(a) == len(b) and a @ b >= 0.9 for j, b in enumerate(unit)] for i, a in enumerate(unit)]
+    up = list(range(len(x)))
+    for _ in x:
+        up = [min([up[i], *(up[j] for j in range(len(x)) if near[i][j])]) for i in range(len(x))]
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(sum(near[i]), up[i]) for i in range(len(x))]
+    assert sum(near[0]) and sum(near[30]) == 19 and sum(near[50]) == 8
