@@ -16,11 +16,13 @@ Aggregates are given as ``{name: (kind, column)}`` with the kinds ``count``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cardflow.session import materialize, max_group_rows, stored
+from cardflow.session import materialize, max_group_rows, shuffles_dropped, stored, stored_at
 
 SLICE = "__slice"
 ROWS = ("count", None)
@@ -59,15 +61,26 @@ def by_heat(dfs: Sequence[DataFrame], keys: Sequence[str], work: Callable[..., D
         work(*[part(df, "left_semi") for df in dfs], split=True))
 
 
+def slice_count(df: DataFrame, times: int = 1) -> int:
+    """As many slices as so many times the rows need, and at least as many as a shuffle would make."""
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    return max(least, -(-times * df.count() // max_group_rows(df.sparkSession)))
+
+
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   slices: int | None = None) -> DataFrame:
+                   slices: int | None = None, paths: list[str] | None = None) -> DataFrame:
     """Adds ``SLICE``: consecutive, evenly filled slices in (keys, order). The result
-    is materialised because range bounds are sampled anew on every evaluation."""
-    if slices is None:  # as many as the rows need, and at least as many as a shuffle would make
-        least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-        slices = max(least, -(-df.count() // max_group_rows(df.sparkSession)))
-    ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
-    return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
+    is stored because range bounds are sampled anew on every evaluation; what it was shuffled by
+    is dropped. ``paths`` gets its folder, for a caller that drops it."""
+    slices = slice_count(df) if slices is None else slices
+    ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order).withColumn(SLICE, F.spark_partition_id())
+    with shuffles_dropped(df.sparkSession):
+        if re.search('"(void|interval[^"]*)"', ranged.schema.json()):  # types that Parquet doesn't hold
+            return materialize(ranged)
+        out, path = stored_at(ranged)
+    if paths is not None:
+        paths.append(path)
+    return out
 
 
 def _value(column: Column | None) -> Column:
@@ -97,10 +110,11 @@ def _combine(kind: str, before: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: Aggs,
-            include_current: bool = True, totals: Aggs | None = None, split: bool | None = None) -> DataFrame:
+            include_current: bool = True, totals: Aggs | None = None, split: bool | None = None,
+            slices: int | None = None, paths: list[str] | None = None) -> DataFrame:
     """Running aggregates over the rows of the key up to (or before) each row, and ``totals``
     over all rows of the key. ``order`` must be total within a key; without keys the whole
-    table is one group."""
+    table is one group. ``slices`` and ``paths`` are those of ``ordered_slices``."""
     if split is None:
         return by_heat([df], keys, lambda rows, split: running(
             rows, keys, order, aggs, include_current, totals, split))
@@ -112,7 +126,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], aggs: A
         return df.select("*", *[_aggregate(k, c).over(frame).alias(n) for n, (k, c) in aggs.items()],
                          *[_aggregate(k, c).over(group).alias(n) for n, (k, c) in totals.items()])
 
-    sliced = ordered_slices(df, keys, order)
+    sliced = ordered_slices(df, keys, order, slices, paths)
     group = [*keys, SLICE]
     by_slice = W.partitionBy(*group).orderBy(*order)
     frame = by_slice.rowsBetween(W.unboundedPreceding, end)
@@ -187,12 +201,13 @@ def _upto(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str]
 
 def prefixes(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
              points: Mapping[str, tuple[int, bool]], split: bool | None = None,
-             upto: DataFrame | None = None) -> DataFrame:
+             upto: DataFrame | None = None, slices: int | None = None) -> DataFrame:
     """Aggregates over the rows of the key before several points per row. A point
     ``{label: (shift, inclusive)}`` takes the rows with ``time < row.time - shift`` (``<=`` if
     inclusive) and adds ``{aggregate}_{label}``: unlike ``running`` with rows, tied rows never
     see each other. ``time`` is a whole number; counts are 0 and the others NULL when nothing
-    qualifies. ``upto`` are sliced running aggregates, if the caller has them."""
+    qualifies. ``upto`` are sliced running aggregates, if the caller has them; else the rows are
+    sliced once, and only points that lie in another slice than their row are looked up."""
     if df.schema[time].dataType.typeName() not in WHOLE:
         raise TypeError(f"{time} must be a whole number, for instance epoch microseconds")
     if split is None:
@@ -203,8 +218,56 @@ def prefixes(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[s
                   for label, (shift, inclusive) in points.items()}
         return df.select("*", *[_aggregate(k, c).over(frame).alias(f"{n}_{label}")
                                 for label, frame in frames.items() for n, (k, c) in aggs.items()])
-    # The value of the latest row before the point, found among the running aggregates.
-    upto = _upto(df, keys, time, tiebreak, aggs) if upto is None else upto
+    if upto is not None or any(k == "last" for k, _ in aggs.values()):
+        return _looked_up(df, keys, time, tiebreak, aggs, points, _upto(df, keys, time, tiebreak, aggs) if upto is None else upto)
+    return _sliced(ordered_slices(df, keys, [F.col(time), *[F.col(t) for t in tiebreak]], slices), keys, time, tiebreak, aggs, points)
+
+
+def _sliced(sliced: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs,
+            points: Mapping[str, tuple[int, bool]]) -> DataFrame:
+    """``prefixes`` of slices. A point is answered by the row's own slice and the totals of the earlier ones, if all of their rows
+    and none of the later ones lie before it."""
+    columns, group = [c for c in sliced.columns if c != SLICE], [*keys, SLICE]
+    every = {**aggs, "__timed": ("count", F.col(time))}
+    # One row per key and slice, of keys in more than one: at most two per slice.
+    sums = sliced.groupBy(*group).agg(F.min(time).alias("__first"), F.max(time).alias("__last"), *[_aggregate(k, c).alias(f"__t_{n}") for n, (k, c) in every.items()])
+    by_slice = W.partitionBy(*keys).orderBy(SLICE)
+    earlier, later = by_slice.rowsBetween(W.unboundedPreceding, -1), by_slice.rowsBetween(1, W.unboundedFollowing)
+    edges = sums.select(
+        *group, F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("__slices"),
+        F.max("__last").over(earlier).alias("__before"), F.min("__first").over(later).alias("__after"),
+        *[_aggregate(_merge(k), F.col(f"__t_{n}")).over(earlier).alias(f"__c_{n}") for n, (k, _) in every.items()])
+    with shuffles_dropped(sliced.sparkSession):
+        edges = stored(edges.filter("__slices > 1").drop("__slices").withColumnsRenamed({g: f"__e_{g}" for g in group}))
+    marked = sliced.join(edges, [sliced[g].eqNullSafe(edges[f"__e_{g}"]) for g in group], "left").drop(*[f"__e_{g}" for g in group])
+
+    def aside(shift: int, inclusive: bool) -> Column:
+        point, before, after = F.col(time) - F.lit(shift), F.col("__before"), F.col("__after")
+        return F.coalesce((before > point) | (after < point) | ((after if inclusive else before) == point), F.lit(False))
+
+    far = reduce(lambda a, b: a | b, [aside(*point) for point in points.values()])
+    order = W.partitionBy(*group).orderBy(time)
+    frames = {label: order.rangeBetween(W.unboundedPreceding, -shift if inclusive else -shift - 1) for label, (shift, inclusive) in points.items()}
+    local = marked.withColumn("__far", far).select("*", *[_aggregate(k, c).over(frame).alias(f"__l_{n}_{label}") for label, frame in frames.items() for n, (k, c) in every.items()])
+
+    def value(n: str, kind: str, label: str) -> Column:
+        some = F.col(time).isNotNull() & (_combine("count", F.col("__c___timed"), F.col(f"__l___timed_{label}")) > 0)
+        found = F.when(some, _combine(kind, F.col(f"__c_{n}"), F.col(f"__l_{n}_{label}")))
+        return (F.coalesce(found, F.lit(0)) if kind == "count" else found).alias(f"{n}_{label}")
+
+    near = local.filter(~F.col("__far")).select(*columns, *[value(n, k, label) for label in points for n, (k, _) in aggs.items()])
+    rows = marked.filter(far).select(*columns)
+    if rows.isEmpty():
+        return near
+    several = edges.select(*[F.col(f"__e_{k}") for k in keys]).distinct()
+    sources = sliced.join(several, [sliced[k].eqNullSafe(several[f"__e_{k}"]) for k in keys], "left_semi") if keys else sliced
+    rows = stored(rows)
+    return near.unionByName(_looked_up(rows, keys, time, tiebreak, aggs, points, _upto(sources, keys, time, tiebreak, aggs)))
+
+
+def _looked_up(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str], aggs: Aggs, points: Mapping[str, tuple[int, bool]],
+               upto: DataFrame) -> DataFrame:
+    """``prefixes`` by the value of the latest row before each point, found among the running aggregates."""
     out = df
     for label, (shift, inclusive) in points.items():
         named = upto.select(*keys, time, *tiebreak, *[F.col(n).alias(f"{n}_{label}") for n in aggs])

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardflow.functions.columns import (
     AMOUNT_SCALE_BELOW, AMOUNT_SCALE_UPTO, LONG_UNITS, MONEY_UNIT, amount_of, bucketize, money, money_rest, money_sum, ratio, true_labels)
-from cardflow.operators.ordered import ROWS, by_heat, prefixes, running, trailing
+from cardflow.operators.ordered import ROWS, by_heat, prefixes, running, slice_count, trailing
+from cardflow.session import drop_stored
 
 SECOND = 1_000_000
 LARGE = LONG_UNITS / MONEY_UNIT
@@ -62,19 +63,21 @@ def trailing_velocity(df: DataFrame, key: str, time: str, tiebreak: Sequence[str
 
 
 def trailing_distinct(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], value: str, width: int,
-                      name: str, split: bool | None = None) -> DataFrame:
+                      name: str, split: bool | None = None, slices: int | None = None, paths: list[str] | None = None) -> DataFrame:
     """Distinct non-null values in ``[time - width, time]``, all tied rows included.
 
     Each occurrence is "the latest one of its value" for a stretch of time: from its own time
     until the value's next occurrence or until it leaves the window. The distinct count is the
-    number of open stretches, i.e. stretches begun minus stretches ended: two running counts."""
+    number of open stretches, i.e. stretches begun minus stretches ended: two running counts.
+    ``slices`` are those of the rows; ``paths`` gets the folder of the slices that the result reads."""
     if split is None:
         return by_heat([df], [key], lambda rows, split: trailing_distinct(
             rows, key, time, tiebreak, value, width, name, split))
+    first: list[str] = []
     occurrences = df.filter(F.col(value).isNotNull()).select(key, time, *tiebreak, value)
     descending = [F.col(time).desc(), *[F.col(t).desc() for t in tiebreak]]
     nexts = running(occurrences, [key, value], descending, {"__next": ("last", F.col(time))},
-                    include_current=False, split=split)
+                    include_current=False, split=split, slices=slices, paths=first)
     leaves = F.col(time) + F.lit(width + 1)
     edges = nexts.select(key, F.explode(F.array(
         F.struct(F.col(time).alias("__at"), F.lit(1).alias("__delta")),
@@ -86,7 +89,9 @@ def trailing_distinct(df: DataFrame, key: str, time: str, tiebreak: Sequence[str
         df.select(key, time, F.lit(1).alias("__side"), *[F.col(t) for t in tiebreak],
                   F.struct(*[F.col(c) for c in df.columns]).alias("__row")), allowMissingColumns=True)
     order = [F.col(time), F.col("__side"), *[F.col(t) for t in tiebreak]]
-    counted = running(stacked, [key], order, {"__open": ("sum", F.col("__delta"))}, split=split)
+    counted = running(stacked, [key], order, {"__open": ("sum", F.col("__delta"))}, split=split, slices=slices and 3 * slices, paths=paths)
+    for path in first:  # read by the slices just written
+        drop_stored(df.sparkSession, path)
     return counted.filter(F.col("__row").isNotNull()).select(
         *[F.col(f"__row.`{c}`").alias(c) for c in df.columns],
         F.coalesce(F.col("__open"), F.lit(0)).cast("long").alias(name))
@@ -99,10 +104,12 @@ def features_at(df: DataFrame, key: str, time: str, tiebreak: Sequence[str], amo
     if split is None:
         return by_heat([df], [key], lambda rows, split: features_at(
             rows, key, time, tiebreak, amount, merchant, short, long, split))
-    aggs = {"__n": ROWS, **_parts(amount), "__t": ("max", F.col(time))}
-    out = prefixes(df, [key], time, tiebreak, {**aggs, **_odd(amount, time)}, {"now": (0, True)}, split)
-    out = prefixes(out, [key], time, tiebreak, aggs, {"before": (0, False), "short": (short, False), "long": (long, False)}, split)
-    out = trailing_distinct(out, key, time, tiebreak, merchant, long, "unique_merchants_long", split=split)
+    aggs = {"__n": ROWS, **_parts(amount), "__t": ("max", F.col(time)), **_odd(amount, time)}
+    slices, paths = slice_count(df) if split else None, []
+    out = trailing_distinct(df, key, time, tiebreak, merchant, long, "unique_merchants_long", split, slices, paths)
+    out = prefixes(out, [key], time, tiebreak, aggs, {"now": (0, True), "before": (0, False), "short": (short, False), "long": (long, False)}, split, slices=slices)
+    for path in paths:  # read by the slices just written
+        drop_stored(df.sparkSession, path)
 
     out = out.withColumnsRenamed({f"__{name}_now": f"__{name}" for name in ("nan", "inf", "-inf", "huge")})
     for w in ("short", "long"):

@@ -1,5 +1,6 @@
 """The ordered functions against brute force: plain, all keys sliced, and only hot keys sliced."""
 
+import os
 import random
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cardflow.operators import history, velocity
 from cardflow.operators.ordered import ROWS, by_heat, hot_keys, latest, prefix, running, tail_rows, trailing
 from cardflow.operators.quantiles import quantile_columns
+from cardflow.session import checkpoint_dir
 
 SCHEMA = "k string, t long, id long, v double, m string"
 
@@ -246,3 +248,40 @@ def test_shuffled_input_gives_the_same(df, rows):
         mixed = df.orderBy(F.rand(n)).repartition(n)
         got = history.history_features(mixed, "k", "t", ["id"], "v", split=split)
         assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
+
+
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+
+
+def test_sliced_features_keep_one_copy_of_the_rows(spark, limit):
+    """Slices are stored once, compressed, and not again per point in time; keys in one slice need no look-up."""
+    n = 20_000
+    limit(n // 4)
+    df = spark.range(n).select((F.col("id") % 997).alias("k"), (F.col("id") * 7919 % 10_007).alias("t"), "id", (F.col("id") % 89).cast("double").alias("amount"),
+                               (F.col("id") % 5).cast("string").alias("m"))
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = folder_bytes(folder)
+    out = velocity.features_at(df, "k", "t", ["id"], merchant="m", short=500, long=2_000, split=True)
+    assert folder_bytes(folder) - before < 100 * n
+    plain = velocity.features_at(df, "k", "t", ["id"], merchant="m", short=500, long=2_000, split=False)
+    assert sorted(out.collect()) == sorted(plain.collect())
+
+
+def test_features_at_instants_in_several_slices(spark):
+    """Rows of one instant before, in and after a slice; slices of one instant; a key that begins and ends within a slice; rows without key or time."""
+    rng = random.Random(8)
+    rows = [("hot", 50 if i % 3 else rng.randrange(100), i, float(i % 11), rng.choice("xyz")) for i in range(300)]
+    rows += [(k, rng.randrange(100), 300 + i, float(i % 7), rng.choice("xyz")) for i, k in enumerate(["a", "b", None] * 10)]
+    rows += [("hot", None, 400, 1.0, "x"), ("c", None, 401, 1.0, "x"), (None, None, 402, 1.0, "x"), ("hot", 50, 50, 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, amount double, m string").repartition(3)
+    got = by_id(velocity.features_at(df.filter("t IS NOT NULL"), "k", "t", ["id"], merchant="m", short=5, long=30, split=True).withColumn("id", F.col("id") * 2 + F.col("m").isNull().cast("int")),
+                "count_short", "amount_short", "count_long", "amount_long", "unique_merchants_long", "since_previous")
+    for k, t, i, _, m in (r for r in rows if r[1] is not None):
+        short, long = ([r for r in rows if r[0] == k and r[1] is not None and t - w <= r[1] <= t] for w in (5, 30))
+        times = sorted(r[1] for r in rows if r[0] == k and r[1] is not None and r[1] <= t)
+        want = (len(short), sum(r[3] for r in short), len(long), sum(r[3] for r in long), len({r[4] for r in long} - {None}), times[-1] - times[-2] if len(times) > 1 else None)
+        assert got[i * 2 + (m is None)] == pytest.approx(want), (k, t, i)
+    # with no row in time before it, a row without time has no history
+    timeless = by_id(prefix(df, ["k"], "t", ["id"], {"n": ROWS}, 0, True, True).filter("t IS NULL"), "n")
+    assert timeless == {400: (0,), 401: (0,), 402: (0,)}
